@@ -66,6 +66,24 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint32) if not len(a) or a.max() < 2**32 else a.astype(np.uint64)
 
 
+def deltas(a: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+    """32-bit numbers that rise within each range as their differences; each range begins with its first number."""
+    out = np.diff(a, prepend=a[:1] * 0)
+    if begins is not None:
+        out[begins] = a[begins]
+    return out
+
+
+def sums(d: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The inverse of deltas, for ranges of these lengths."""
+    total = np.cumsum(d, dtype=np.uint64)
+    if lengths is not None:
+        n = lengths.astype(np.int64)
+        begins = np.cumsum(n) - n
+        total = total - np.repeat(total[begins] - d[begins], n)
+    return total.astype(np.uint32)
+
+
 def hashed(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 10)
 
@@ -179,8 +197,7 @@ def score(docs: DataFrame, training=None, k: float = K) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(12, -(-size // SHARD))
-    parts = int(max(12, -(-size // CHUNK)))
-    bodies = cut(rows.mapInArrow(tokenise, ROWS).repartition(parts, "chunk"))
+    bodies = cut(rows.mapInArrow(tokenise, ROWS))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,11 +231,13 @@ def score(docs: DataFrame, training=None, k: float = K) -> DataFrame:
         for s in full:
             a, b = cuts[s], cuts[s + 1]
             begin = np.flatnonzero(np.concatenate([[True], ch[a + 1 : b] != ch[a : b - 1]]))
-            out.append(pack(ch[a:b][begin], small(np.diff(np.append(begin, b - a))), small(totals[a:b][begin]), cw[a:b], small(n[a:b])))
+            out.append(pack(deltas(ch[a:b][begin]), small(np.diff(np.append(begin, b - a))), small(totals[a:b][begin]), deltas(cw[a:b], begin), small(n[a:b])))
         return pa.Table.from_batches([rows_of(left.column("chunk")[0].as_py(), full, out)])
 
     def answer_pairs(t: pa.Table) -> pa.Table:
         asked = [unpack(p.as_py()) for p in t.column("payload")]
+        for x in asked:
+            x[0], x[3] = sums(x[0]), sums(x[3], x[1])
         keys = [np.repeat(x[0].astype(np.uint64), x[1].astype(np.int64)) << np.uint64(32) | x[3].astype(np.uint64) for x in asked]
         pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(inverse, weights=np.concatenate([x[4] for x in asked]), minlength=len(pairs))
