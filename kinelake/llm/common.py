@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation. The shuffle files
+    that led to it are of no more use; the driver's garbage collection, which is what frees them, is asked for."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    del df
+    gc.collect()
+    kept.sparkSession.sparkContext._jvm.System.gc()
+    return kept
 
 
 def lower_ascii(c: Column) -> Column:
