@@ -1 +1,788 @@
-QUERIES, ORACLES = {}, {}
+"""Every operator as a query over the driver's tables, with the same in SQL.
+
+No robot data is at hand: events stand for frames (user_id for the episode, its rows in order of time for frames),
+embeddings for raw vectors, documents' sources for leaves. Results say that operators compute what they should, no more.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric, rotation, text
+from ..operators import joins, stats, steps, timestamps, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FRAMES = "fr AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"
+KEY, ORDER = ["user_id"], ["frame"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return timestamps.frame_numbers(rows, KEY, ["ts", "event_id"]).drop("ts")
+
+
+def episodes(spark: SparkSession, d: str) -> DataFrame:
+    return steps.derive_episodes(t(spark, d, "events"), KEY)
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+# steps and splits
+
+
+@query("SELECT user_id, count(*) AS length FROM events GROUP BY user_id")
+def episode_derive(spark, d):
+    return episodes(spark, d)
+
+
+@query("SELECT count(*) AS episodes, CAST(sum(n) AS BIGINT) AS frames, min(user_id) = 0 AND max(user_id) = count(*) - 1 AS contiguous, count(*) = 150 AS episodes_match, sum(n) = 10000 AS frames_match FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def episode_validate(spark, d):
+    return steps.validate_episodes(episodes(spark, d), "user_id", 150, 10000)
+
+
+@query("SELECT user_id, unnest(range(n)) AS base FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def step_enumerate(spark, d):
+    return steps.enumerate_steps(episodes(spark, d))
+
+
+@query("SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS base FROM events")
+def step_single_base(spark, d):
+    return steps.enumerate_steps(episodes(spark, d), single=True)
+
+
+SPLITS = [("Fail", "0:9, 20-29"), ("bad_frames", "25:30 3"), ("train", "40:99"), ("last", "7")]
+_SPLITS = "s(name, spec) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SPLITS) + ")"
+_RANGES = (
+    "p AS (SELECT name, unnest(regexp_split_to_array(trim(spec), '[,\\s]+')) AS x FROM s), "
+    "q AS (SELECT name, unnest(range(CAST(regexp_extract(x, '^(\\d+)', 1) AS BIGINT), CAST(regexp_extract(x, '(\\d+)$', 1) AS BIGINT) + 1)) AS episode FROM p)"
+)
+
+
+def splits(spark):
+    return spark.createDataFrame(SPLITS, "name string, spec string")
+
+
+@query(f"WITH {_SPLITS}, {_RANGES} SELECT DISTINCT name, episode FROM q")
+def split_range_parse(spark, d):
+    return splits(spark).select("name", F.explode(steps.parse_ranges(F.col("spec"))).alias("episode"))
+
+
+@query(f"WITH {_SPLITS}, {_RANGES} SELECT user_id, count(*) AS length FROM events WHERE user_id NOT IN (SELECT episode FROM q WHERE lower(name) IN ('fail', 'bad_frames')) GROUP BY 1")
+def episode_exclude(spark, d):
+    gone = steps.excluded_indices(splits(spark), ["FAIL", " Bad_Frames"]).withColumnRenamed("episode", "user_id")
+    return steps.exclude(episodes(spark, d), gone, "user_id")
+
+
+_POS = f"{FRAMES}, p AS (SELECT user_id, frame AS base, row_number() OVER (ORDER BY user_id, frame) - 1 AS pos, count(*) OVER () AS n FROM fr)"
+
+
+def positions(spark, d):
+    return steps.positions_by_episode(steps.enumerate_steps(episodes(spark, d)), "user_id")
+
+
+@query(f"WITH {_POS} SELECT user_id, base, pos FROM p WHERE pos < n - greatest(1, CAST(floor(n * 0.02::DOUBLE) AS BIGINT))")
+def train_split(spark, d):
+    return steps.trailing_split(positions(spark, d), "train")
+
+
+@query(f"WITH {_POS} SELECT user_id, base, pos FROM p WHERE pos >= n - greatest(1, CAST(floor(n * 0.02::DOUBLE) AS BIGINT))")
+def test_split(spark, d):
+    return steps.trailing_split(positions(spark, d), "test")
+
+
+@query(f"WITH {_POS} SELECT user_id, base, pos FROM p WHERE pos % greatest(1, n // 300) = 0")
+def stride_sample(spark, d):
+    return steps.stride_sample(positions(spark, d), 300)
+
+
+@query(f"WITH {FRAMES} SELECT event_id, user_id, frame FROM fr ORDER BY user_id, frame LIMIT 25")
+def head_sample(spark, d):
+    return steps.head(frames(spark, d).select("event_id", "user_id", "frame"), ["user_id", "frame"], 25)
+
+
+# windows
+
+_EDGE = "PARTITION BY user_id ORDER BY frame"
+_ALL = "PARTITION BY user_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+DELTAS = [-2, 0, 1, 4]
+
+
+def _gathered(spark, d, fill):
+    out = windows.gather(frames(spark, d), "value", DELTAS, KEY, ORDER, fill)
+    return out.select("user_id", "frame", *[F.col("window")[i].alias(f"w{i}") for i in range(len(DELTAS))])
+
+
+def _gather_sql(zero: bool) -> str:
+    cells = []
+    for i, k in enumerate(DELTAS):
+        end = "CAST(0 AS DOUBLE)" if zero else f"{'last' if k > 0 else 'first'}_value(value) OVER ({_ALL})"
+        cells.append(f"CASE WHEN frame + {k} BETWEEN 0 AND n - 1 THEN lead(value, {k}) OVER ({_EDGE}) ELSE {end} END AS w{i}")
+    return f"WITH {FRAMES}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM fr) SELECT user_id, frame, {', '.join(cells)} FROM c"
+
+
+@query(_gather_sql(False))
+def gather_edge_hold(spark, d):
+    return _gathered(spark, d, "edge")
+
+
+@query(_gather_sql(True))
+def gather_zero_pad(spark, d):
+    return _gathered(spark, d, "zero")
+
+
+@query(_gather_sql(False))
+def gather_clamp(spark, d):
+    return _gathered(spark, d, "clamp")
+
+
+def flagged(spark, d):
+    """Frames with engagement flags and arm numbers made of event types and ids."""
+    return frames(spark, d).withColumns({"on_left": (F.length("event_type") % 2).cast("double"), "on_right": (F.col("event_id") % 5 == 0).cast("double"), "arm_left": F.floor(F.col("frame") / 9).cast("long"), "arm_right": F.floor(F.col("frame") / 14).cast("long")})
+
+
+_FLAGS = f"{FRAMES}, fl AS (SELECT *, length(event_type) % 2 AS on_left, CAST(event_id % 5 = 0 AS INT) AS on_right, frame // 9 AS arm_left, frame // 14 AS arm_right FROM fr)"
+_AHEAD = "PARTITION BY user_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING"
+_RULE = (
+    f"{_FLAGS}, ru AS (SELECT user_id, frame, CASE WHEN count(*) OVER ({_AHEAD}) < 4 THEN 'out_of_bounds' WHEN min(arm_left) OVER ({_AHEAD}) <> max(arm_left) OVER ({_AHEAD}) THEN 'left_swap' "
+    f"WHEN min(arm_right) OVER ({_AHEAD}) <> max(arm_right) OVER ({_AHEAD}) THEN 'right_swap' WHEN max(greatest(on_left, on_right)) OVER ({_AHEAD}) = 0 THEN 'never_engaged' END AS rule FROM fl)"
+)
+
+
+def _ruled(spark, d):
+    return windows.horizon_filter(flagged(spark, d), 3, KEY, ORDER, ("on_left", "on_right"), ("arm_left", "arm_right"))
+
+
+@query(f"WITH {_RULE} SELECT user_id, frame, rule FROM ru")
+def horizon_filter(spark, d):
+    return _ruled(spark, d).select("user_id", "frame", "rule")
+
+
+@query(
+    f"WITH {_RULE}, e AS (SELECT user_id, count(*) AS n, count_if(rule IS NULL) AS v, count_if(rule = 'out_of_bounds') AS o, count_if(rule = 'left_swap') AS l, count_if(rule = 'right_swap') AS r, count_if(rule = 'never_engaged') AS x FROM ru GROUP BY 1) "
+    "SELECT CAST(sum(o) AS BIGINT) AS out_of_bounds, CAST(sum(l) AS BIGINT) AS left_swap, CAST(sum(r) AS BIGINT) AS right_swap, CAST(sum(x) AS BIGINT) AS never_engaged, CAST(sum(v) AS BIGINT) AS valid, CAST(sum(n - o) AS BIGINT) AS eligible, "
+    "CAST(count_if(v = 0) AS BIGINT) AS fully_filtered, CAST(count_if(v > 0 AND v < n - o) AS BIGINT) AS partly_filtered, CAST(count_if(v > 0 AND v = n - o) AS BIGINT) AS unfiltered, "
+    "round(100 * (1 - CAST(sum(v) AS DOUBLE) / greatest(1, sum(n - o))), 2) AS reduction_percent FROM e"
+)
+def horizon_filter_counts(spark, d):
+    return windows.filter_counts(_ruled(spark, d), KEY)
+
+
+@query(f"WITH {FRAMES} SELECT user_id, frame, round(value - coalesce(lag(value) OVER ({_EDGE}), value), 6) AS delta FROM fr")
+def delta_prev(spark, d):
+    return frames(spark, d).select("user_id", "frame", F.round(windows.delta_previous("value", F.col("value"), KEY, ORDER), 6).alias("delta"))
+
+
+_MASK = f"m AS (SELECT *, on_left <> 0 AND coalesce(lag(on_left) OVER ({_EDGE}) <> 0, on_left <> 0) AS mask, value - coalesce(lag(value) OVER ({_EDGE}), value) AS dv FROM fl)"
+
+
+@query(f"WITH {_FLAGS}, {_MASK} SELECT user_id, frame, round(sum(CASE WHEN mask THEN dv ELSE 0 END) OVER ({_EDGE} ROWS UNBOUNDED PRECEDING), 5) AS rel_value FROM m")
+def masked_cumsum(spark, d):
+    return windows.engaged_pose(flagged(spark, d), ["value"], "on_left", KEY, ORDER).select("user_id", "frame", F.round("rel_value", 5).alias("rel_value"))
+
+
+@query(f"WITH {_FLAGS}, r AS (SELECT *, first_value(on_left) OVER ({_ALL}) <> 0 AS mask, first_value(value) OVER ({_ALL}) AS v0 FROM fl) SELECT user_id, frame, round(CASE WHEN mask THEN value - v0 ELSE 0 END, 5) AS rel_value FROM r")
+def masked_cumsum_reference(spark, d):
+    return windows.engaged_pose(flagged(spark, d), ["value"], "on_left", KEY, ORDER, "reference").select("user_id", "frame", F.round("rel_value", 5).alias("rel_value"))
+
+
+@query(f"WITH {_FLAGS} SELECT user_id, frame, last_value(CASE WHEN on_left <> 0 OR frame = 0 THEN value END IGNORE NULLS) OVER ({_EDGE} ROWS UNBOUNDED PRECEDING) AS held FROM fl")
+def sample_and_hold(spark, d):
+    return windows.held(flagged(spark, d), "value", "on_left", KEY, ORDER).select("user_id", "frame", "held")
+
+
+@query(f"WITH {_FLAGS} SELECT user_id, frame, CASE WHEN on_left <> 0 THEN value ELSE 0 END AS kept FROM fl")
+def zero_when_off(spark, d):
+    return flagged(spark, d).select("user_id", "frame", windows.zero_when_off("value", "on_left").alias("kept"))
+
+
+@query(f"WITH {FRAMES} SELECT user_id, frame // 8 AS chunk, count(*) AS n, round(sum(value), 6) AS total, min_by(value, frame) AS first_value, max_by(value, frame) AS last_value FROM fr WHERE frame < 40 GROUP BY 1, 2")
+def fixed_chunks(spark, d):
+    got = windows.chunks(frames(spark, d).where("frame < 40"), 8, "value", KEY, "frame")
+    total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x)
+    return got.select("user_id", "chunk", F.size("rows").cast("long").alias("n"), F.round(total, 6).alias("total"), F.col("rows")[0].alias("first_value"), F.element_at("rows", -1).alias("last_value"))
+
+
+_CH = f"{FRAMES}, ch AS (SELECT user_id, frame // 9 AS chunk, frame % 9 AS frame, value FROM fr WHERE frame < 45)"
+
+
+def _chunked(spark, d):
+    return frames(spark, d).where("frame < 45").select("user_id", F.floor(F.col("frame") / 9).cast("long").alias("chunk"), (F.col("frame") % 9).alias("frame"), "value")
+
+
+@query(f"WITH {_CH} SELECT user_id, chunk, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY chunk, frame) - 1 AS out_frame FROM ch WHERE frame >= 1")
+def stitch_chunks(spark, d):
+    return windows.stitch(_chunked(spark, d), KEY)
+
+
+@query(f"WITH {_CH}, c AS (SELECT DISTINCT user_id, chunk FROM ch) SELECT c.user_id, c.chunk, p.value AS condition FROM c LEFT JOIN ch p ON p.user_id = c.user_id AND p.chunk = c.chunk - 1 AND p.frame = 8")
+def chunk_handoff(spark, d):
+    return windows.hand_off(_chunked(spark, d), 8, KEY, "value")
+
+
+# statistics and normalisation
+
+
+def _stats_sql(kind: str, extra: str = "", group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    std = "CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END" if extra else "stddev_pop(x)"
+    return (
+        f"SELECT {g}dim, count(*) AS count, round(avg(x), 6) AS mean, round({std}, 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.01), 6) AS q01, round(quantile_cont(x, 0.99), 6) AS q99 "
+        f"FROM (SELECT label, CAST(unnest(embedding) AS {kind})::DOUBLE AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings) GROUP BY {g}dim"
+    )
+
+
+def _rounded(tall: DataFrame, keys=()) -> DataFrame:
+    return tall.select(*keys, "dim", "count", *[F.round(n, 6).alias(n) for n in stats.NAMES])
+
+
+@query(_stats_sql("FLOAT"))
+def vector_stats_f32(spark, d):
+    return _rounded(stats.column_statistics(vectors(spark, d), "v"))
+
+
+@query(_stats_sql("DOUBLE", "floor", "label"))
+def vector_stats_f64(spark, d):
+    return _rounded(stats.column_statistics(vectors(spark, d), "v", ["label"], single=False, floor_std=1e-6), ["label"])
+
+
+@query(
+    "WITH e AS (SELECT CAST(unnest(embedding) AS FLOAT)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), s AS (SELECT dim, avg(x) AS mean FROM e GROUP BY dim) "
+    "SELECT 'state.arm' AS key, CAST(dim - 4 AS INTEGER) AS pos, round(mean, 6) AS mean FROM s WHERE dim >= 4 AND dim < 8 UNION ALL SELECT 'state.own', 0, 0.5"
+)
+def stats_index_projection(spark, d):
+    whole = stats.statistics_arrays(stats.column_statistics(vectors(spark, d), "v")).withColumn("key", F.lit("observation.state"))
+    own = spark.createDataFrame([("state.own", [0.5])], "key string, mean array<double>").select("key", *[F.col("mean").alias(n) for n in stats.NAMES])
+    keys = spark.createDataFrame([("state.arm", "observation.state", 4, 8), ("state.own", "observation.state", 0, 1), ("state.none", "other", 0, 2)], "key string, original string, start int, end int")
+    return stats.project_statistics(keys, own, whole).select("key", F.posexplode("mean").alias("pos", "m")).select("key", "pos", F.round("m", 6).alias("mean"))
+
+
+_BY_LABEL = (
+    "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings), "
+    "s AS (SELECT label, dim, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, quantile_cont(x, 0.01) AS q01, quantile_cont(x, 0.99) AS q99 FROM e GROUP BY label, dim), j AS (SELECT e.*, mean, std, min, max, q01, q99 FROM e JOIN s USING (label, dim))"
+)
+_NORMAL = {
+    "q99": "greatest(least(CASE WHEN q01 = q99 THEN x ELSE 2 * (x - q01) / (q99 - q01) - 1 END, 1), -1)",
+    "mean_std": "CASE WHEN std = 0 THEN x ELSE (x - mean) / std END",
+    "min_max": "CASE WHEN min = max THEN 0 ELSE 2 * (x - min) / (max - min) - 1 END",
+    "scale": "CASE WHEN greatest(abs(min), abs(max)) = 0 THEN 0 ELSE x / greatest(abs(min), abs(max)) END",
+    "binary": "CASE WHEN x > 0.5 THEN 1.0 ELSE 0.0 END",
+}
+_BACK = {"q99": "greatest(least(x, q99), q01)", "mean_std": "x", "min_max": "CASE WHEN min = max THEN (min + max) / 2 ELSE x END", "binary": _NORMAL["binary"]}
+
+
+def _with_stats(spark, d):
+    rows = vectors(spark, d)
+    arrays = stats.statistics_arrays(stats.column_statistics(rows, "v", ["label"], single=False), ["label"])
+    return rows.join(arrays, "label")
+
+
+def _normal_query(mode: str, back: bool):
+    def run(spark, d):
+        s = {n: F.col(n) for n in stats.NAMES}
+        y = numeric.normalise(F.col("v"), mode, s)
+        y = numeric.denormalise(y, mode, s) if back else y
+        return _with_stats(spark, d).select("vec_id", F.posexplode(y).alias("dim", "y")).select("vec_id", "dim", F.round("y", 5).alias("y"))
+
+    run.__name__ = f"{'de' if back else ''}normalize_{mode}"
+    query(f"WITH {_BY_LABEL} SELECT vec_id, dim, round({(_BACK if back else _NORMAL)[mode]}::DOUBLE, 5) AS y FROM j")(run)
+
+
+for _mode in _NORMAL:
+    _normal_query(_mode, False)
+for _mode in _BACK:
+    _normal_query(_mode, True)
+
+
+_W = "e AS (SELECT vec_id, embedding[1:6]::DOUBLE[] AS v, embedding[7:12]::DOUBLE[] AS r FROM embeddings)"
+
+
+def _cells(df, name="y"):
+    return df.select("vec_id", F.posexplode(name).alias("dim", "y")).select("vec_id", "dim", F.round("y", 6).alias("y"))
+
+
+def _unnested(expr: str) -> str:
+    return f"WITH {_W}, u AS (SELECT vec_id, {expr} AS a FROM e) SELECT vec_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS dim, round(unnest(a), 6) AS y FROM u"
+
+
+@query(_unnested("list_transform(range(1, 7), lambda i: v[i] - r[i])"))
+def joint_relative(spark, d):
+    v = F.col("v")
+    return _cells(vectors(spark, d).withColumn("y", numeric.minus(numeric.part(v, 0, 6), numeric.part(v, 6, 12))))
+
+
+@query(_unnested("list_concat(list_concat(v, r), list_transform(range(32), lambda i: 0.0::DOUBLE))"))
+def concat_pad44(spark, d):
+    v = F.col("v")
+    keys = {"action.left": numeric.part(v, 0, 6), "action.right": numeric.part(v, 6, 12)}
+    return _cells(vectors(spark, d).withColumn("y", numeric.pad(numeric.concat_keys(keys, {"action.left": 6, "action.right": 6}))))
+
+
+@query(_unnested("list_concat(list_transform(v, lambda x: sin(x)), list_transform(v, lambda x: cos(x)))"))
+def sincos(spark, d):
+    return _cells(vectors(spark, d).withColumn("y", numeric.sin_cos(numeric.part(F.col("v"), 0, 6))))
+
+
+@query()
+def perturb(spark, d):
+    v, one = numeric.part(F.col("v"), 0, 6), F.array_repeat(F.lit(0.1), 6)
+    return _cells(vectors(spark, d).withColumn("y", numeric.perturb(v, 0.01, F.transform(one, lambda x: -x), one, 7)))
+
+
+@query()
+def dropout(spark, d):
+    got = numeric.dropout({"a": numeric.part(F.col("v"), 0, 3), "b": numeric.part(F.col("v"), 3, 6)}, 0.3, F.col("vec_id"), 7)
+    return vectors(spark, d).select("vec_id", F.concat(got["a"], got["b"]).alias("y")).transform(_cells)
+
+
+# rotations
+
+_Q = "q AS (SELECT vec_id, [embedding[4]::DOUBLE, embedding[5], embedding[6], embedding[7]] AS u FROM embeddings), n AS (SELECT vec_id, list_transform(u, lambda x: x / sqrt(u[1] * u[1] + u[2] * u[2] + u[3] * u[3] + u[4] * u[4])) AS u FROM q), z AS (SELECT vec_id, u[1] AS x, u[2] AS y, u[3] AS z, u[4] AS w FROM n)"
+_MATRIX = "[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]"
+_SPREAD = "SELECT vec_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS dim, round(unnest(m), 6) AS y FROM (SELECT vec_id, {m} AS m FROM z)"
+
+
+@query(f"WITH {_Q} " + _SPREAD.format(m=_MATRIX))
+def quaternion_matrix(spark, d):
+    return _cells(vectors(spark, d).withColumn("y", rotation.from_quaternion(numeric.part(F.col("v"), 3, 7))))
+
+
+@query(
+    "WITH z AS (SELECT vec_id, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b, embedding[6]::DOUBLE AS c FROM embeddings) "
+    + _SPREAD.format(m="[cos(b)*cos(c), sin(a)*sin(b)*cos(c)-cos(a)*sin(c), cos(a)*sin(b)*cos(c)+sin(a)*sin(c), cos(b)*sin(c), sin(a)*sin(b)*sin(c)+cos(a)*cos(c), cos(a)*sin(b)*sin(c)-sin(a)*cos(c), -sin(b), sin(a)*cos(b), cos(a)*cos(b)]")
+)
+def euler_matrix(spark, d):
+    return _cells(vectors(spark, d).withColumn("y", rotation.from_euler(numeric.part(F.col("v"), 3, 6))))
+
+
+@query(f"WITH {_Q} " + _SPREAD.format(m=_MATRIX))
+def rot6d_roundtrip(spark, d):
+    m = rotation.from_quaternion(numeric.part(F.col("v"), 3, 7))
+    return _cells(vectors(spark, d).withColumn("y", rotation.from_six(rotation.to_six(m))))
+
+
+@query(f"WITH {_Q} " + _SPREAD.format(m=f"({_MATRIX})[1:6]"))
+def rotation_convert_rows(spark, d):
+    return _cells(vectors(spark, d).withColumn("y", rotation.convert(numeric.part(F.col("v"), 3, 7), "quaternion", "rot6d_rows")))
+
+
+@query()
+def quat_hybrid_relative(spark, d):
+    v = F.col("v")
+    return _cells(vectors(spark, d).withColumn("y", rotation.relative_pose(numeric.part(v, 0, 7), numeric.part(v, 7, 14))))
+
+
+@query()
+def dual_arm_relative(spark, d):
+    v = F.col("v")
+    arm = lambda a: F.concat(numeric.minus(numeric.part(v, a, a + 3), numeric.part(v, a + 20, a + 23)), rotation.to_six(rotation.multiply(rotation.transpose(rotation.from_six(numeric.part(v, a + 23, a + 29), "row")), rotation.from_six(numeric.part(v, a + 3, a + 9), "row")), "row"), numeric.part(v, a + 9, a + 10))
+    return _cells(vectors(spark, d).withColumn("y", F.concat(arm(0), arm(10))))
+
+
+@query()
+def rot_cumprod(spark, d):
+    v = F.col("v")
+    parts = F.array(*[rotation.from_quaternion(numeric.part(v, 4 * i, 4 * i + 4)) for i in range(3)])
+    return _cells(vectors(spark, d).withColumn("y", F.element_at(rotation.product(parts), -1)))
+
+
+@query()
+def rot_angle_scale(spark, d):
+    pose = rotation.relative_pose(numeric.part(F.col("v"), 0, 7), numeric.part(F.col("v"), 7, 14))
+    return _cells(vectors(spark, d).withColumn("y", rotation.scale_motion(pose, 2.0, 0.5)))
+
+
+# mixtures
+
+_LEAVES = "le AS (SELECT source AS leaf, count(*) AS real_len, 1.0 + CAST(substr(source, 4) AS INT) % 4 AS mix_ratio FROM documents GROUP BY 1)"
+_MIXTURE = (
+    f"{_LEAVES}, a AS (SELECT *, mix_ratio::DOUBLE / greatest(real_len, 1) AS w FROM le), b AS (SELECT *, greatest(1, CAST(round_even(w / min(w) OVER (), 0) AS BIGINT)) AS repeat FROM a), "
+    "mx AS (SELECT leaf, real_len, mix_ratio::DOUBLE AS mix_ratio, repeat, repeat * real_len AS virtual, round(100.0::DOUBLE * (repeat * real_len) / sum(repeat * real_len) OVER (), 6) AS pct, CAST(sum(repeat * real_len) OVER (ORDER BY leaf) AS BIGINT) AS hi FROM b)"
+)
+
+
+def leaves(spark, d):
+    named = t(spark, d, "documents").groupBy(F.col("source").alias("leaf")).agg(F.count("*").alias("real_len"))
+    return named.withColumn("mix_ratio", 1.0 + F.substr("leaf", F.lit(4)).cast("int") % 4)
+
+
+def _mixture(spark, d):
+    return stats.mixture(leaves(spark, d), ["leaf"]).withColumn("pct", F.round("pct", 6))
+
+
+@query(f"WITH {_MIXTURE} SELECT leaf, real_len, mix_ratio, repeat, virtual, pct, hi - virtual AS lo, hi FROM mx")
+def mixture_factors(spark, d):
+    return _mixture(spark, d)
+
+
+@query(f"WITH {_MIXTURE}, i AS (SELECT unnest(range(0, (SELECT max(hi) FROM mx), 7)) AS idx) SELECT idx, leaf, idx - (hi - virtual) AS local, (idx - (hi - virtual)) % real_len AS real FROM i JOIN mx ON idx >= hi - virtual AND idx < hi")
+def mixture_index_lookup(spark, d):
+    m = _mixture(spark, d)
+    asked = spark.range(0, m.agg(F.max("hi")).first()[0], 7).withColumnRenamed("id", "idx")
+    return stats.real_index(joins.locate(asked, m)).select("idx", "leaf", "local", "real")
+
+
+@query(f"WITH {_MIXTURE}, s AS (SELECT leaf, virtual, unnest(range(0, virtual, 16)) AS block_start FROM mx) SELECT leaf, block_start, least(block_start + 16, virtual) AS block_end FROM s")
+def shuffle_blocks(spark, d):
+    return stats.shuffle_blocks(_mixture(spark, d), 16)
+
+
+@query()
+def shuffle_ranks(spark, d):
+    return stats.shuffle_blocks(_mixture(spark, d), 16, seed=3, ranks=4)
+
+
+# lookups
+
+ROLES = [("system", "Rules: follow them"), ("user", "Task: ask"), ("assistant", "Task: part: answer ")]
+_ROLES = "r(role, task) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ROLES) + ")"
+
+
+@query(f"WITH {_ROLES} SELECT conv_id, turn, task FROM conversations JOIN r USING (role)")
+def task_lookup(spark, d):
+    return joins.task_lookup(t(spark, d, "conversations").select("conv_id", "turn", "role"), spark.createDataFrame(ROLES, "role string, task string"), "role", "task").select("conv_id", "turn", "task")
+
+
+@query("SELECT user_id, count(*) AS length, coalesce((SELECT array_to_string(list_sort(list(DISTINCT role)), ',') FROM conversations c WHERE c.conv_id = e.user_id), '') AS tasks FROM events e GROUP BY user_id")
+def task_lookup_optional(spark, d):
+    got = joins.task_list(episodes(spark, d), t(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), "role"), "user_id", "role")
+    return got.select("user_id", "length", F.array_join("tasks", ",").alias("tasks"))
+
+
+@query(f"WITH {_ROLES} SELECT role, trim(string_split(task, ':')[-1]) AS caption FROM r")
+def caption_cleanup(spark, d):
+    return spark.createDataFrame(ROLES, "role string, task string").select("role", text.caption(F.col("task")).alias("caption"))
+
+
+_AT = "SELECT event_id, user_id, CAST(epoch_us(ts) AS BIGINT) AS us FROM events"
+
+
+def _times(spark, d):
+    return t(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+@query(f"WITH e AS ({_AT}), q AS (SELECT event_id AS request, user_id, us + 90000000 AS us FROM e WHERE event_id % 3 = 0), l AS (SELECT event_id, user_id, us FROM e WHERE event_id % 3 <> 0) SELECT request, arg_min(l.event_id, {{'d': abs(l.us - q.us), 'i': l.event_id}}) AS nearest FROM q LEFT JOIN l USING (user_id) GROUP BY request")
+def nearest_timestamp(spark, d):
+    e = _times(spark, d)
+    asked = e.where("event_id % 3 = 0").select(F.col("event_id").alias("request"), "user_id", (F.col("us") + 90_000_000).alias("us"))
+    return joins.nearest(asked, e.where("event_id % 3 <> 0"), KEY, "us", "event_id").select("request", F.col("event_id").alias("nearest"))
+
+
+_TIMES = f"{FRAMES}, x AS (SELECT user_id, frame, CASE user_id % 5 WHEN 0 THEN frame / 30.0::DOUBLE WHEN 1 THEN 1700000000 + frame / 30.0::DOUBLE WHEN 2 THEN 0.0 WHEN 3 THEN (frame // 3) / 10.0::DOUBLE ELSE frame * 2.0::DOUBLE END AS at FROM fr)".replace(" AS at FROM", " AS sec FROM")
+_BROKEN = "SELECT user_id, max(sec) - min(sec) < count(*) / 30.0::DOUBLE - 1.0::DOUBLE / 30 OR min_by(sec, frame) > 1000000 OR count(DISTINCT sec) < 0.5 * count(*) OR (count(*) > 1 AND (max(sec) - min(sec)) / greatest(count(*) - 1, 1) > 10.0::DOUBLE / 30) AS broken FROM x GROUP BY user_id"
+
+
+def _clocks(spark, d):
+    f, u = F.col("frame"), F.col("user_id") % 5
+    at = F.when(u == 0, f / 30.0).when(u == 1, 1700000000 + f / 30.0).when(u == 2, 0.0).when(u == 3, F.floor(f / 3) / 10.0).otherwise(f * 2.0)
+    return frames(spark, d).select("user_id", "frame", at.alias("sec"))
+
+
+@query(f"WITH {_TIMES} {_BROKEN}")
+def broken_timestamps(spark, d):
+    return timestamps.broken(_clocks(spark, d), KEY, "sec", 30.0)
+
+
+@query(f"WITH {_TIMES}, b AS ({_BROKEN}) SELECT user_id, frame, round(CASE WHEN broken THEN frame / 30.0::DOUBLE ELSE sec END, 6) AS repaired FROM x JOIN b USING (user_id)")
+def repair_timestamps(spark, d):
+    return timestamps.repair(_clocks(spark, d), KEY, "sec", 30.0).select("user_id", "frame", F.round("repaired", 6).alias("repaired"))
+
+
+@query("SELECT s_suppkey, n_regionkey AS domain_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def registry_lookup(spark, d):
+    nations = t(spark, d, "nation")
+    rows = t(spark, d, "supplier").join(nations.select("n_nationkey", F.concat(F.lit(" "), F.upper("n_name"), F.lit(" ")).alias("tag")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joins.registry_lookup(rows.select("s_suppkey", "tag"), "tag", nations.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("domain_id")), "name").select("s_suppkey", "domain_id")
+
+
+@query("SELECT r_name AS leaf, m.mode, m.mode_ratio FROM region, (VALUES ('joint', 0.5::DOUBLE), ('policy', 0.25::DOUBLE)) m(mode, mode_ratio)")
+def spec_mode_cross(spark, d):
+    return joins.spec_modes(t(spark, d, "region").select(F.col("r_name").alias("leaf")), {"joint": 0.5, "policy": 0.25, "off": 0.0})
+
+
+@query("SELECT n_nationkey, CAST(round_even((n_nationkey * 5.0::DOUBLE) / greatest(1, n_regionkey * 2), 0) AS BIGINT) AS fps FROM nation")
+def effective_fps(spark, d):
+    return t(spark, d, "nation").select("n_nationkey", text.effective_fps(F.col("n_nationkey") * 5.0, F.col("n_regionkey") * 2).alias("fps"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS k, o_orderstatus AS s FROM orders WHERE o_orderpriority || o_orderstatus NOT IN (SELECT o_orderpriority || o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'P')")
+def schema_audit(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderstatus").alias("s"), "o_orderkey")
+    return joins.missing(rows.select("k", "s").distinct(), rows.where("o_orderkey % 3 = 0 and s <> 'P'"), ["k", "s"])
+
+
+@query("SELECT n_name AS artifact FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0)")
+def artifact_preflight(spark, d):
+    nations = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("artifact"))
+    there = t(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return joins.missing(nations, there, ["n_nationkey"]).select("artifact")
+
+
+@query("SELECT n_regionkey AS \"column\", max(n_nationkey) AS needed, n_regionkey * 5 + 4 AS width, max(n_nationkey) <= n_regionkey * 5 + 4 AS ok FROM nation GROUP BY n_regionkey")
+def width_check(spark, d):
+    n = t(spark, d, "nation")
+    return stats.width_check(n.select(F.col("n_regionkey").alias("column"), F.col("n_nationkey").alias("end")), n.select(F.col("n_regionkey").alias("column"), (F.col("n_regionkey") * 5 + 4).alias("width")).distinct())
+
+
+_MODALITY = '{"state":{"arm":{"start":0,"end":7},"grip":{"start":7,"end":8,"original_key":"s2","absolute":false}},"action":{"arm":{"start":0,"end":9,"dtype":"float32"}}}'
+
+
+@query("SELECT * FROM (VALUES ('state', 'state.arm', 'observation.state', 0, 7, 7, true), ('state', 'state.grip', 's2', 7, 8, 1, false), ('action', 'action.arm', 'action', 0, 9, 9, true)) v(kind, key, original_key, start, \"end\", width, absolute)")
+def modality_flatten(spark, d):
+    from ..sources import leaves as source
+
+    parsed = spark.createDataFrame([(_MODALITY,)], "j string").select(F.from_json("j", source.MODALITY).alias("m")).select("m.*")
+    return source.modality_entries(parsed).drop("rotation_type", "dtype")
+
+
+@query("SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def prompt_union_dupes(spark, d):
+    parts = t(spark, d, "part").select(F.col("p_brand").alias("name"))
+    return stats.duplicates(parts.where(F.length("name") % 2 == 0).unionByName(parts.where(F.length("name") % 2 == 1)), "name")
+
+
+@query("SELECT p_brand AS name, max(p_partkey) AS p_partkey FROM part GROUP BY 1")
+def prompt_keep_last(spark, d):
+    return stats.keep_last(t(spark, d, "part").select(F.col("p_brand").alias("name"), "p_partkey"), "name", "p_partkey")
+
+
+@query("SELECT item_id, 'item-' || item_id AS name, text AS prompt, 189 AS num_frames, '/img/' || item_id || '.png' AS vision_path FROM benchmark")
+def request_records(spark, d):
+    one = text.image_to_video_request(F.concat(F.lit("item-"), F.col("item_id").cast("string")), F.col("text"), F.lit(""), F.concat(F.lit("/img/"), F.col("item_id").cast("string"), F.lit(".png")))
+    back = F.from_json(one, "name string, prompt string, num_frames int, vision_path string")
+    return t(spark, d, "benchmark").select("item_id", back.alias("r")).select("item_id", "r.*")
+
+
+@query("SELECT page_id, CAST(page_id + 60 AS VARCHAR) AS num_frames, '24' AS fps, 'true' AS enable_sound, printf('%.3f', (page_id + 60) / 24.0::DOUBLE) AS sound_duration FROM pages")
+def request_forms(spark, d):
+    form = text.request_form(F.col("url"), F.col("page_id") + 60, F.lit(24), True)
+    return t(spark, d, "pages").select("page_id", form.alias("f")).select("page_id", "f.num_frames", "f.fps", "f.enable_sound", "f.sound_duration")
+
+
+@query("SELECT n_nationkey, 1280 AS width, 720 AS height, n_name AS prompt, CAST(n_regionkey + 1 AS VARCHAR) AS num_frames FROM nation")
+def payload_and_inverse_form(spark, d):
+    made = F.from_json(text.generation_payload(F.col("n_name"), F.lit("blur"), "720"), "prompt string, width int, height int")
+    form = text.inverse_dynamics_form(F.col("n_name"), F.col("n_regionkey"))
+    return t(spark, d, "nation").select("n_nationkey", made.alias("p"), form.alias("f")).select("n_nationkey", "p.width", "p.height", "p.prompt", "f.num_frames")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '/new/b/' || s_suppkey ELSE '/new/' || s_suppkey END AS path FROM supplier")
+def spec_re_root(spark, d):
+    key = F.col("s_suppkey").cast("string")
+    old = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("/old/a/b/"), key)).otherwise(F.concat(F.lit("/far/"), key, F.lit("/")))
+    return t(spark, d, "supplier").select("s_suppkey", joins.re_root(old, "/old/a", "/new").alias("path"))
+
+
+@query("SELECT s_suppkey, '/z/' || CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey || '.png' ELSE 'd/' || s_suppkey || '.png' END AS image FROM supplier")
+def case_images(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("k"))
+    even = F.col("s_suppkey") % 2 == 0
+    cases = s.select("s_suppkey", F.when(even, F.concat(F.lit("/z/"), "k", F.lit(".png"))).otherwise(F.concat("k", F.lit(".png"))).alias("name"))
+    files = s.select(F.when(even, F.concat(F.lit("/z/"), "k", F.lit(".png"))).otherwise(F.concat(F.lit("/z/d/"), "k", F.lit(".png"))).alias("path"))
+    return joins.case_image(cases, files.unionByName(s.where(~even).select(F.concat(F.lit("/z/e/"), "k", F.lit(".png")).alias("path")))).select("s_suppkey", "image")
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS arm, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey * 1000 AS BIGINT) END AS iteration, CAST(n_nationkey AS BIGINT) AS episode, 'data/chunk-' || lpad(CAST(n_nationkey // 10 AS VARCHAR), 3, '0') || '/episode_' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') || '.parquet' AS path FROM nation")
+def names_and_paths(spark, d):
+    from ..sources import leaves as source
+
+    n = F.col("n_nationkey")
+    key = F.when(n % 3 == 0, "LEFT_arm_pose").when(n % 3 == 1, "psmRight").otherwise("scope")
+    it = F.when(n % 2 == 0, F.format_string("iter_%09d", n * 1000)).otherwise("latest")
+    path = source.episode_path(F.lit("data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"), n, F.lit(10))
+    return t(spark, d, "nation").select("n_nationkey", text.arm(key).alias("arm"), text.iteration(it).alias("iteration"), text.episode_of(path).alias("episode"), path.alias("path"))
+
+
+# model outputs
+
+_IDS = "i AS (SELECT doc_id AS id FROM documents)"
+
+
+def _ids(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"))
+
+
+@query(f"WITH {_IDS} SELECT id, (id % 1000) / 1000.0::DOUBLE * 640 AS x1, 0.25::DOUBLE * 480 AS y1, 'obj' || id AS label FROM i")
+def parse_boxes(spark, d):
+    k = F.col("id").cast("string")
+    made = F.concat(F.lit('Here:\n```json\n[{"'), F.element_at(F.array(*map(F.lit, text.BOX_KEYS)), (F.col("id") % 3 + 1).cast("int")), F.lit('": ['), (F.col("id") % 1000).cast("string"), F.lit(', 250, 900, 1000], "label": "obj'), k, F.lit('"}]\n```'))
+    box = text.parse_boxes(made)[0]
+    xy = text.rescale(box["box"], F.lit(640), F.lit(480))
+    return _ids(spark, d).select("id", xy[0].alias("x1"), xy[1].alias("y1"), box["label"].alias("label"))
+
+
+@query(f"WITH {_IDS} SELECT id, CASE id % 4 WHEN 1 THEN 0 WHEN 3 THEN NULL ELSE 1 END AS n, CASE id % 4 WHEN 0 THEN 64.0::DOUBLE WHEN 2 THEN 100.0::DOUBLE END AS x1 FROM i")
+def parse_boxes_tolerant(spark, d):
+    m = F.col("id") % 4
+    made = F.when(m == 0, '<think>[1]</think> {"bbox_2d": [100, 2, 3, 4]}').when(m == 1, '</think>[{"box": [1, 2, 3]}, {"label": "x"}]').when(m == 2, '[{"bbox": [100, 2, 3, 1400]}]').otherwise("no answer")
+    boxes = text.parse_boxes_tolerant(made, F.lit(640), F.lit(480))
+    return _ids(spark, d).select("id", F.when(boxes.isNotNull(), F.size(boxes)).alias("n"), F.try_element_at(boxes, F.lit(1))["box"][0].alias("x1"))
+
+
+@query(f"WITH {_IDS} SELECT id, CAST(id % 1000 AS DOUBLE) AS x, 7.0::DOUBLE AS y, 'p' AS label FROM i")
+def parse_points(spark, d):
+    made = F.concat(F.lit("a</think>[9]</think>\n```json\n{\"point_2d\": ["), (F.col("id") % 1000).cast("string"), F.lit(', 7], "label": "p"}\n```'))
+    p = text.parse_points(made)[0]
+    return _ids(spark, d).select("id", p["point"][0].alias("x"), p["point"][1].alias("y"), p["label"].alias("label"))
+
+
+@query(f"WITH {_IDS} SELECT id, 1.5::DOUBLE AS s1, 60.0::DOUBLE + id % 50 AS e1, 62.25::DOUBLE AS s2 FROM i")
+def parse_intervals(spark, d):
+    made = F.concat(F.lit('```json\n[{"start": 1.5, "end": "01:'), F.lpad((F.col("id") % 50).cast("string"), 2, "0"), F.lit('.00", "caption": "a"}, {"start": "1:02.25", "end": 70, "caption": "b"}]\n```'))
+    got = text.parse_intervals(made)
+    return _ids(spark, d).select("id", got[0]["start"].alias("s1"), got[0]["end"].alias("e1"), got[1]["start"].alias("s2"))
+
+
+# metrics and accounting
+
+_CLIPS = f"{FRAMES}, cl AS (SELECT user_id, frame, abs(value - coalesce(lag(value) OVER ({_EDGE}), 0)) AS l1, value / 100 AS ssim FROM fr WHERE user_id % 3 <> 0 OR frame < 20)"
+_PER_CLIP = (
+    "pc AS (SELECT user_id, count(*) AS num_frames, avg(l1) AS mean_l1, stddev_pop(l1) AS std_l1, avg(ssim) AS mean_ssim, stddev_pop(ssim) AS std_ssim, coalesce(regr_slope(l1, frame - 1), 0) AS l1_slope, "
+    "avg(l1) FILTER (frame BETWEEN 1 AND 12) AS chunk0_l1, avg(l1) FILTER (frame BETWEEN 13 AND 36) AS chunk1_l1, avg(l1) FILTER (frame BETWEEN 37 AND 72) AS chunk2_l1 FROM cl WHERE frame > 0 GROUP BY user_id)"
+)
+_CLIP_NAMES = ("mean_l1", "std_l1", "mean_ssim", "std_ssim", "l1_slope", "chunk0_l1", "chunk1_l1", "chunk2_l1")
+
+
+def _clips(spark, d):
+    f = frames(spark, d)
+    pair = joins.paired_frames(f.select("user_id", "frame", "value"), f.select("user_id", (F.col("frame") + 1).alias("frame"), F.col("value").alias("before")).unionByName(f.where("frame = 0").select("user_id", "frame", F.lit(0.0).alias("before"))), ["user_id", "frame"])
+    pair = pair.where("user_id % 3 <> 0 or frame < 20").select("user_id", "frame", F.abs(F.col("value") - F.col("before")).alias("l1"), (F.col("value") / 100).alias("ssim"))
+    return stats.clip_metrics(pair, "user_id", "frame", "l1", "ssim")
+
+
+@query(f"WITH {_CLIPS}, {_PER_CLIP} SELECT user_id, num_frames, {', '.join(f'round({n}, 6) AS {n}' for n in _CLIP_NAMES)} FROM pc")
+def fds_per_clip(spark, d):
+    return _clips(spark, d).select("user_id", "num_frames", *[F.round(n, 6).alias(n) for n in _CLIP_NAMES])
+
+
+@query(f"WITH {_CLIPS}, {_PER_CLIP} SELECT count(*) AS num_clips, {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('mean_l1', 'mean_ssim', 'l1_slope', 'chunk0_l1', 'chunk1_l1', 'chunk2_l1'))} FROM pc")
+def fds_summary(spark, d):
+    out = stats.run_summary(_clips(spark, d))
+    return out.select("num_clips", *[F.round(c, 6).alias(c) for c in out.columns if c != "num_clips"])
+
+
+@query("SELECT a.label, round(avg(pow(x - y, 2)), 9) AS mse FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS k FROM embeddings) b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.label")
+def action_mse(spark, d):
+    v = vectors(spark, d)
+    return stats.action_error(v.select((F.col("vec_id") - 1).alias("vec_id"), "v"), v.select("vec_id", "label", "v"), ["vec_id"], "v", ["label"]).select("label", F.round("mse", 9).alias("mse"))
+
+
+@query("SELECT event_type, round(sqrt(sum(value * value)), 4) AS l2, max(abs(value)) AS max_abs FROM events GROUP BY 1")
+def l2_norms(spark, d):
+    return stats.norms(t(spark, d, "events"), "value", ["event_type"]).select("event_type", F.round("l2", 4).alias("l2"), "max_abs")
+
+
+@query("SELECT n_regionkey, round(min(n), 4) AS norm_min, round(max(n), 4) AS norm_max, round(avg(n), 4) AS norm_mean FROM (SELECT label % 5 AS n_regionkey, sqrt(pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2) + pow(embedding[3]::DOUBLE, 2) + pow(embedding[4]::DOUBLE, 2)) AS n FROM embeddings) GROUP BY 1")
+def quaternion_norm_check(spark, d):
+    return stats.key_checks(vectors(spark, d).withColumn("n_regionkey", F.col("label") % 5), "n_regionkey", numeric.part(F.col("v"), 0, 4))
+
+
+JOBS = [("1", "1", "01:00:00", "3600", "2", "2", "COMPLETED"), ("2", "2", "00:30:00", "1800", "4", "0", "TIMEOUT"), ("3", "3", "x", "bad", "1", "1", "FAILED"), ("4", "4", "00:10:00", "600", "8", "", "FAILED")]
+
+
+@query("SELECT (3600 * 2 + 1800 * 4 + 600 * 8) / 3600.0::DOUBLE * 8 AS gpu_hours, CAST(3 AS BIGINT) AS jobs, CAST(1 AS BIGINT) AS skipped")
+def gpu_hours(spark, d):
+    from ..sources.leaves import ACCOUNTING
+
+    return stats.gpu_hours(spark.createDataFrame(JOBS, ACCOUNTING), 8)
+
+
+@query("SELECT n_nationkey, n_nationkey * 0.7::DOUBLE * 1.2 AS kwh, round(n_nationkey * 0.7::DOUBLE * 1.2 / 1000, 9) AS mwh, round(n_nationkey * 0.7::DOUBLE * 1.2 * 0.35 / 1000, 9) AS tco2e FROM nation")
+def energy_co2(spark, d):
+    e = stats.energy(F.col("n_nationkey").cast("double"), 700.0, 1.2, 0.35)
+    return t(spark, d, "nation").select("n_nationkey", F.round(e["kwh"], 9).alias("kwh"), F.round(e["mwh"], 9).alias("mwh"), F.round(e["tco2e"], 9).alias("tco2e"))
+
+
+@query("SELECT r_regionkey, 6.0::DOUBLE * 8e9::DOUBLE * (r_regionkey * 1000.0::DOUBLE) AS flops FROM region")
+def flops_6nd(spark, d):
+    return t(spark, d, "region").select("r_regionkey", stats.training_flops(F.lit(8e9), F.col("r_regionkey") * 1000.0).alias("flops"))
+
+
+@query("SELECT round(sum(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 0.7::DOUBLE ELSE s_suppkey END), 6) AS frames, CAST(count(*) FILTER (s_suppkey % 10 = 5) AS BIGINT) AS missing FROM (SELECT CASE WHEN s_suppkey % 10 = 5 THEN NULL ELSE s_suppkey END AS k, s_suppkey FROM supplier) WHERE k IS NOT NULL OR s_suppkey % 10 = 5".replace("ELSE s_suppkey END), 6)", "WHEN s_suppkey % 10 = 5 THEN 0 ELSE s_suppkey END), 6)"))
+def dataset_frames(spark, d):
+    k = F.col("s_suppkey")
+    got = stats.dataset_size(t(spark, d, "supplier").select(F.when(k % 10 != 5, k).alias("frames"), (k % 2 == 0).alias("filtered")), 0.7)
+    return got.select(F.round("frames", 6).alias("frames"), "missing")
+
+
+@query("SELECT o_custkey, CASE max_by(o_orderstatus, o_orderkey) WHEN 'F' THEN 'done' WHEN 'P' THEN 'failed' ELSE 'open' END AS state FROM orders GROUP BY 1")
+def latest_job_state(spark, d):
+    names = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("queued")
+    return stats.latest_status(t(spark, d, "orders").withColumn("status", names), "o_custkey", "o_orderkey", "status").select("o_custkey", "state")
+
+
+# provenance
+
+
+@query("SELECT n_regionkey, substr(sha1(string_agg(DISTINCT n_name || ':' || n_nationkey, chr(10) ORDER BY n_name || ':' || n_nationkey)), 1, 12) AS signature FROM nation GROUP BY 1")
+def signature_sha1(spark, d):
+    rows = t(spark, d, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
+    return rows.groupBy("n_regionkey").agg(stats.set_signature(rows, "n_name", "k").alias("signature"))
+
+
+@query("SELECT user_id, substr(md5('leaf' || user_id || '_train_[0, 6, ' || user_id || ']'), 1, 12) AS key FROM (SELECT DISTINCT user_id FROM events WHERE user_id > 6)")
+def cache_key_md5(spark, d):
+    u = F.col("user_id")
+    key = stats.cache_key(F.concat(F.lit("leaf"), u.cast("string")), F.lit("train"), F.array(u, F.lit(6).cast("long"), F.lit(0).cast("long")))
+    return t(spark, d, "events").where("user_id > 6").select("user_id").distinct().select("user_id", key.alias("key"))
+
+
+@query("SELECT n_nationkey, n_regionkey = 1 AS same FROM nation")
+def provenance_match(spark, d):
+    a = {"experiment_id": F.lit("x"), "set_signature": F.col("n_regionkey").cast("string"), "action_rep": F.lit(None).cast("string")}
+    b = {"experiment_id": F.lit("x"), "set_signature": F.lit("1"), "action_rep": F.lit(None).cast("string")}
+    return t(spark, d, "nation").select("n_nationkey", stats.same_provenance(a, b).alias("same"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes, steps, the training split, windows and normalised values in one plan."""
+    f = frames(spark, d)
+    got = windows.gather(f, "value", DELTAS, KEY, ORDER).withColumnRenamed("frame", "base")
+    moments = f.groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    train = steps.trailing_split(positions(spark, d), "train")
+    rows = got.join(train, ["user_id", "base"]).join(moments, "user_id")
+    one = F.array_repeat(F.lit(1.0), len(DELTAS))
+    y = numeric.normalise(F.col("window"), "mean_std", {"mean": F.transform(one, lambda _: F.col("m")), "std": F.transform(one, lambda _: F.col("s"))})
+    return rows.select("user_id", "base", "pos", *[F.round(y[i], 6).alias(f"w{i}") for i in range(len(DELTAS))])
+
+
+_FLAG = ", ".join(f"round(CASE WHEN s = 0 THEN w{i} ELSE (w{i} - m) / s END, 6) AS w{i}" for i in range(len(DELTAS)))
+query(
+    f"WITH g AS ({_gather_sql(False)}), {_POS}, mo AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1) "
+    f"SELECT g.user_id, g.frame AS base, p.pos, {_FLAG} FROM g JOIN p ON p.user_id = g.user_id AND p.base = g.frame JOIN mo ON mo.user_id = g.user_id WHERE pos < n - greatest(1, CAST(floor(n * 0.02::DOUBLE) AS BIGINT))"
+)(flagship)
+
+
+@query()
+def stream_new_iterations(spark, d):
+    """Iterations that a stream over a folder of announcements hands on, each once, whatever was announced twice."""
+    import uuid
+
+    from ..streaming import watch
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    made = t(spark, d, "orders").select(F.format_string("iter_%09d", F.col("o_orderkey") % 5000 * 100).alias("name"), (F.col("o_orderkey") % 7 != 0).alias("complete"))
+    made.repartition(3).write.json(f"{folder}/in")
+    put = watch.upsert_metrics(f"{folder}/out")
+    watch.watch(watch.events(spark, f"{folder}/in", 2), put, f"{folder}/state", start=1000, stride=500).awaitTermination()
+    return watch.read_metrics(spark, f"{folder}/out").select("iteration", "name")
