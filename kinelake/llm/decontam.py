@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Positions of a span of 11 words that each seed reads.
@@ -152,13 +152,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "item_id").agg(top.alias("x")).select("doc_id", "item_id", "x.*")
 
 
+def clean(text: Column, block: Block) -> Column:
+    """Whether a text repeats no item of the block. Only this comes back from Python, not the text."""
+
+    @F.arrow_udf("boolean")
+    def check(texts: pa.Array) -> pa.Array:
+        return pa.array([not block.matches(words(t.as_py())) for t in texts], pa.bool_())
+
+    return check(text.cast("string"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that repeat a benchmark item."""
     for block in blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not block.matches(words(t.as_py())) for t in b.column("text")], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.where(clean(docs["text"], block))
     return docs

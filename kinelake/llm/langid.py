@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from .common import crc_of_id
 
 DIM, SYMBOLS, SEED, BLOCK, MERGE = 2048, 256, 6, 128, 64
+#: Trigrams whose vectors are made at once, and distinct ones that a language's counts hold before they are bundled.
+GRAMS, HELD = 1024, 1 << 20
 UNKNOWN = "und"
 
 
@@ -65,15 +67,38 @@ def vectors(grams: np.ndarray) -> np.ndarray:
     return a[grams >> 16] * b[grams >> 8 & 255] * c[grams & 255]
 
 
+class Profile:
+    """The sum of the vectors of all trigrams of some texts, exactly. Texts come a few at a time, and the counts of distinct
+    trigrams are bundled when more than HELD are at hand, so that memory does not grow with the texts."""
+
+    def __init__(self) -> None:
+        self.total = np.zeros(DIM, np.int64)
+        self.grams, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str | None]) -> None:
+        """Counts the trigrams of texts; none is copied longer than its piece is at hand."""
+        for k in range(0, len(texts), BLOCK):
+            found = [np.unique(g, return_counts=True) for t in texts[k : k + BLOCK] if len(g := trigrams(t))]
+            if not found:
+                continue
+            grams, at = np.unique(np.concatenate([self.grams, *(g for g, _ in found)]), return_inverse=True)
+            counts = np.zeros(len(grams), np.int64)
+            np.add.at(counts, at, np.concatenate([self.counts, *(n for _, n in found)]))
+            self.grams, self.counts = grams, counts
+            if len(grams) > HELD:
+                self.bundled()
+
+    def bundled(self) -> np.ndarray:
+        for k in range(0, len(self.grams), GRAMS):
+            self.total += np.rint(self.counts[k : k + GRAMS].astype(np.float64) @ vectors(self.grams[k : k + GRAMS]).astype(np.float64)).astype(np.int64)
+        self.grams, self.counts = self.grams[:0], self.counts[:0]
+        return self.total
+
+
 def bundle(texts: list[str | None]) -> np.ndarray:
-    """The sum of the vectors of all trigrams of some texts, exactly."""
-    all_grams = [g for t in texts if len(g := trigrams(t))]
-    total = np.zeros(DIM, np.int64)
-    if all_grams:
-        grams, counts = np.unique(np.concatenate(all_grams), return_counts=True)
-        for k in range(0, len(grams), 4096):
-            total += np.rint(counts[k : k + 4096].astype(np.float64) @ vectors(grams[k : k + 4096]).astype(np.float64)).astype(np.int64)
-    return total
+    profile = Profile()
+    profile.add(texts)
+    return profile.bundled()
 
 
 def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
@@ -83,15 +108,15 @@ def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, totals = TaskContext.get().partitionId(), {}
+        part, profiles = TaskContext.get().partitionId(), {}
         for b in batches:
-            by: dict[str, list] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                totals[lang] = totals.get(lang, 0) + bundle(texts)
-        if totals:
-            yield pa.RecordBatch.from_pydict({"lang": list(totals), "part": [part] * len(totals), "bundle": [*totals.values()]}, pa.schema([("lang", pa.string()), ("part", pa.int32()), ("bundle", pa.list_(pa.int64()))]))
+            langs = b.column("lang").to_numpy(zero_copy_only=False)
+            for lang in np.unique(langs):
+                here = np.flatnonzero(langs == lang)
+                for k in range(0, len(here), BLOCK):
+                    profiles.setdefault(lang, Profile()).add(b.column("text").take(pa.array(here[k : k + BLOCK])).to_pylist())
+        if profiles:
+            yield pa.RecordBatch.from_pydict({"lang": list(profiles), "part": [part] * len(profiles), "bundle": [p.bundled() for p in profiles.values()]}, pa.schema([("lang", pa.string()), ("part", pa.int32()), ("bundle", pa.list_(pa.int64()))]))
 
     def add(group: pa.Table) -> pa.Table:
         total = group.column("bundle").combine_chunks().flatten().to_numpy().reshape(-1, DIM).sum(axis=0)
@@ -112,17 +137,17 @@ def directions(model: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return langs, rows
 
 
-def classify(texts: list[str | None], langs: list[str], rows: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The language of each text and its score, half of one plus the cosine."""
+def classify(texts: pa.Array, langs: list[str], rows: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its score, half of one plus the cosine. Texts are read BLOCK at a time."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     for k in range(0, len(texts), BLOCK):
-        found = [(i, *np.unique(g, return_counts=True)) for i, t in enumerate(texts[k : k + BLOCK], k) if len(g := trigrams(t))]
+        found = [(i, *np.unique(g, return_counts=True)) for i, t in enumerate(texts[k : k + BLOCK], k) if len(g := trigrams(t.as_py()))]
         if not found or not langs:
             continue
         grams = np.unique(np.concatenate([g for _, g, _ in found]))
         bundles = np.zeros((len(found), DIM), np.float32)
-        for a in range(0, len(grams), 4096):
-            some = grams[a : a + 4096]
+        for a in range(0, len(grams), GRAMS):
+            some = grams[a : a + GRAMS]
             counts = np.zeros((len(found), len(some)), np.float32)
             for at, (_, g, n) in enumerate(found):
                 lo, hi = np.searchsorted(g, [some[0], some[-1]], side="left")
@@ -137,29 +162,26 @@ def classify(texts: list[str | None], langs: list[str], rows: np.ndarray) -> tup
     return names, scores
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["doc_id", "text"]) -> DataFrame:
-    """The columns ``keep`` of docs (text among them), lang_pred and score for each row."""
+def judged(text: Column, model: dict[str, np.ndarray]) -> Column:
+    """A struct of lang_pred and score for a text; only that comes back from Python, not the text."""
     langs, rows = directions(model)
-    docs = docs.select(*keep)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = classify(b.column("text").to_pylist(), langs, rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], schema.names)
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(texts: pa.Array) -> pa.Array:
+        names, scores = classify(texts, langs, rows)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return judge(text.cast("string"))
 
 
-def keep_known(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """docs without the rows whose language is unknown."""
-    langs, rows = directions(model)
+def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["doc_id"]) -> DataFrame:
+    """The columns ``keep`` of docs, lang_pred and score for each row."""
+    return docs.select(*keep, judged(docs["text"], model).alias("__judged")).select(*keep, "__judged.lang_pred", "__judged.score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([n != UNKNOWN for n in classify(b.column("text").to_pylist(), langs, rows)[0]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_known(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """docs without the rows whose language is unknown."""
+    return docs.where(judged(docs["text"], model)["lang_pred"] != UNKNOWN)
 
 
 def held_out(docs: DataFrame) -> Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_join
+from .common import BROADCAST_ROWS, cut, small_join
 from .components import components
 
 SEED, HOT, TILE, BLOCK = 42, 64, 8192, 16384
@@ -155,8 +155,9 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
 def deduplicate(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
     """docs with one row of each component, that of its smallest doc_id; rows without doc_id stay."""
     found = cut(near_duplicates(docs, bits, width))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
