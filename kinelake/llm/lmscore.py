@@ -47,7 +47,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         out += [f"{a.dtype.str}{len(a)};".encode().rjust(24), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
