@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, cut
 from .eftrie import Trie, quantise, restore
 
-CHUNK, SHARD, K = 16 << 20, 8 << 20, 300.0
+CHUNK, SHARD, SLICE, K = 16 << 20, 8 << 20, 1 << 16, 300.0
 END, START = b"\n", b"\t"
 ROWS = "chunk long, shard int, payload binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -148,7 +148,7 @@ class Chunk:
         self.lengths = self.lengths.astype(np.int64)
         self.tokens = self.tokens.astype(np.int64)
         self.ends = np.cumsum(self.lengths)
-        self.of = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.of = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
         self.trains = self.train[self.of]
 
     def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +170,13 @@ class Chunk:
         before[np.concatenate([[0], self.ends[:-1]])] = words  # the start
         totals = np.append(self.counts, self.counts[0])
         context = np.append(self.hashes, np.uint64(hashed(START)))
-        seen = np.flatnonzero(totals[before] > 0)
-        keys, inverse = np.unique(before[seen] * words + self.tokens[seen], return_inverse=True)
+        seen = np.flatnonzero((totals > 0)[before])
+        of = np.full(len(self.tokens), -1, np.int32)
+        bigrams = before[seen]
+        bigrams *= words
+        bigrams += self.tokens[seen]
+        keys, inverse = np.unique(bigrams, return_inverse=True)
+        del bigrams
         c, w = keys // words, keys % words
         n = np.bincount(inverse, weights=self.trains[seen], minlength=len(keys)).astype(np.int64)
         h, g, total = scramble(context[c]), scramble(self.hashes[w] + np.uint64(1)), totals[c]
@@ -179,9 +184,8 @@ class Chunk:
         shard = deal(scramble(h + g % slices), shards)
         code_h, code_w = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((code_w, code_h, shard))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        of = np.full(len(self.tokens), -1, np.int64)
         of[seen] = place[inverse]
         return shard[order], code_h[order], code_w[order], total[order].astype(np.int64), n[order], of, totals[before]
 
@@ -263,14 +267,18 @@ def score(docs: DataFrame, training=None, k: float = K) -> DataFrame:
         *_, of, totals = c.pairs(shards, total)
         pair_rows = right.filter(pa.array(is_pair))
         codes = np.concatenate([unpack(p.as_py())[0] for p in _by_shard(pair_rows)] if pair_rows.num_rows else [np.zeros(0, np.uint16)])
-        counts = c.counts[c.tokens]
-        base = (counts + 0.5) / (total + 0.5 * (types + 1))
-        code = np.where(of >= 0, codes[np.maximum(of, 0)], 0) if len(codes) else np.zeros(len(of), np.uint16)
-        p = np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals + k) * base
+        # token by token in slices, so that only the two logarithms have a chunk's length
+        log_base, log_p = np.empty(len(of)), np.empty(len(of))
+        for a in range(0, len(of), SLICE):
+            at = slice(a, a + SLICE)
+            base = (c.counts[c.tokens[at]] + 0.5) / (total + 0.5 * (types + 1))
+            code = np.where(of[at] >= 0, codes[np.maximum(of[at], 0)], 0) if len(codes) else np.zeros(len(base), np.uint16)
+            log_base[at] = np.log10(base)
+            log_p[at] = np.log10(np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals[at] + k) * base)
         add = lambda x: np.bincount(c.of, weights=x, minlength=len(c.ids))
         return pa.table({
-            "doc_id": pa.array(c.ids, pa.int64(), mask=c.null), "held_out": pa.array(~c.train), "n_tokens": pa.array(c.lengths), "n_known": pa.array(add(counts > 0).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(c.ids), total, np.int64)), "base_score": pa.array(add(np.log10(base))), "score": pa.array(add(np.log10(p))),
+            "doc_id": pa.array(c.ids, pa.int64(), mask=c.null), "held_out": pa.array(~c.train), "n_tokens": pa.array(c.lengths), "n_known": pa.array(add((c.counts > 0)[c.tokens]).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(c.ids), total, np.int64)), "base_score": pa.array(add(log_base)), "score": pa.array(add(log_p)),
         })
 
     return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT)
