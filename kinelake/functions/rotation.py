@@ -85,6 +85,32 @@ def from_euler(e: Column) -> Column:
     return _let(_let(e, lambda v: F.array(*[f(v[i]) for f in (F.sin, F.cos) for i in range(3)])), matrix)
 
 
+def to_quaternion(m: Column, order: str = "xyzw") -> Column:
+    """A unit quaternion of a matrix, read off from its largest component, which is positive."""
+    if sorted(order) != sorted("xyzw"):
+        raise ValueError(f"unknown order {order!r}")
+
+    def read(v: Column) -> Column:
+        m, t = v["m"], v["t"]
+        # four times the products of two components
+        pairs = {"wx": m[7] - m[5], "wy": m[2] - m[6], "wz": m[3] - m[1], "xy": m[1] + m[3], "xz": m[2] + m[6], "yz": m[5] + m[7]}
+        out = F
+        for n, big in enumerate("wxyz"):
+            s = F.sqrt(F.greatest(t[n], F.lit(0.0)))
+            parts = [s / 2 if k == big else F.try_divide(pairs["".join(sorted(k + big, key="wxyz".index))], 2 * s) for k in order]
+            out = out.when(t[n] >= F.array_max(t), F.array(*parts))
+        return out
+
+    # one plus the traces: four times the squares of w, x, y and z
+    squares = lambda m: F.array(1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8])
+    return _let(_let(m, lambda x: F.struct(x.alias("m"), squares(x).alias("t"))), read)
+
+
+def to_euler(m: Column) -> Column:
+    """Angles about the fixed axes x, y and z, applied in that order; the inverse of from_euler within half a turn."""
+    return _let(m, lambda x: F.array(F.atan2(x[7], x[8]), F.asin(F.greatest(F.least(-x[6], F.lit(1.0)), F.lit(-1.0))), F.atan2(x[3], x[0])))
+
+
 def transpose(m: Column) -> Column:
     return _let(m, lambda x: F.array(*[x[3 * j + i] for i in range(3) for j in range(3)]))
 
@@ -150,7 +176,7 @@ def relative_pose(pose: Column, reference: Column, kind: str = "quaternion", ord
     return _let(parts, lambda s: F.when(s["own"].isNull(), still).otherwise(moved(s)))
 
 
-def scale_motion(pose9: Column, translation: float, rotation: float) -> Column:
+def scale_motion(pose9: Column, translation: Column | float, rotation: Column | float) -> Column:
     """A relative pose with its translation and its angle scaled."""
     turned = lambda p: to_six(scale_angle(from_six(F.slice(p, 4, 6)), rotation))
     return _let(pose9, lambda p: F.concat(F.transform(F.slice(p, 1, 3), lambda v: v * translation), turned(p)))
@@ -158,9 +184,9 @@ def scale_motion(pose9: Column, translation: float, rotation: float) -> Column:
 
 def convert(c: Column, source: str, target: str, order: str = "xyzw") -> Column:
     """One rotation representation as another, through the matrix: quaternion, euler, rot6d (by columns), rot6d_rows or
-    matrix in; rot6d, rot6d_rows or matrix out."""
+    matrix, in and out."""
     read = {"quaternion": lambda x: from_quaternion(x, order), "euler": from_euler, "rot6d": from_six, "rot6d_rows": lambda x: from_six(x, "row"), "matrix": lambda x: x}
-    write = {"rot6d": to_six, "rot6d_rows": lambda m: to_six(m, "row"), "matrix": lambda m: m}
+    write = {"quaternion": lambda m: to_quaternion(m, order), "euler": to_euler, "rot6d": to_six, "rot6d_rows": lambda m: to_six(m, "row"), "matrix": lambda m: m}
     if source not in read or target not in write:
         raise ValueError(f"no conversion from {source!r} to {target!r}")
     return write[target](read[source](c))

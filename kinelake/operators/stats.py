@@ -75,6 +75,18 @@ def mixture(leaves: DataFrame, order: list[str], length: str = "real_len", ratio
     return out.withColumn("lo", end - F.col("virtual")).withColumn("hi", end)
 
 
+def mixture_summary(mixed: DataFrame, tag: str, length: str = "real_len") -> DataFrame:
+    """One row: leaves, their real and virtual frames, and distinct embodiments of a mixture."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return mixed.agg(F.count("*").alias("leaves"), total(length).alias("real"), total("virtual").alias("virtual"), F.count_distinct(tag).alias("embodiments"))
+
+
+def widest_state(samples: DataFrame, leaf: str, order: str, state: str) -> DataFrame:
+    """One row: the width of the widest state among each leaf's first sample; leaves without one do not count (0 if none)."""
+    first = samples.groupBy(leaf).agg(F.min_by(F.size(state), order).alias("n"))
+    return first.agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(0)).alias("state_dim"))
+
+
 def real_index(located: DataFrame, length: str = "real_len") -> DataFrame:
     """local, a place in a leaf's virtual block, as a real place: repeats run through the leaf again."""
     return located.withColumn("real", F.pmod(F.col("local"), F.col(length)))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, rotation, text
-from ..operators import joins, stats, steps, timestamps, windows
+from ..operators import joins, stats, steps, timestamps, transforms, windows
+from ..sources import slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -753,6 +754,102 @@ def provenance_match(spark, d):
     return t(spark, d, "nation").select("n_nationkey", stats.same_provenance(a, b).alias("same"))
 
 
+# transforms of samples
+
+_WINDOWS = {"action.left_pose": (0, 7), "action.left_gripper": (7, 8), "action.joints": (8, 12)}
+
+
+def samples(spark, d):
+    """Windows of three steps, 16 numbers each, of which the last is an engagement flag; the state is a fourth step."""
+    at = lambda n, a, b: numeric.part(F.col("v"), 16 * n + a, 16 * n + b)
+    actions = {k: F.array(*[at(n, *r) for n in range(3)]) for k, r in _WINDOWS.items()}
+    states = {"state.left_pose": F.array(at(3, 0, 7)), "state.joints": F.array(at(3, 8, 12))}
+    on = F.array(*[F.transform(at(n, 15, 16), lambda x: (x > 0).cast("double")) for n in range(3)])
+    return vectors(spark, d).withColumns({**actions, **states, "state.hapticengaged_left": on}).drop("v", "label")
+
+
+def _window_cells(df: DataFrame, name: str) -> DataFrame:
+    steps_ = df.select("vec_id", F.posexplode(transforms.key(name)).alias("step", "x"))
+    return steps_.select("vec_id", "step", F.posexplode("x").alias("dim", "y")).withColumn("y", F.round("y", 6) + F.lit(0.0))
+
+
+def _window_sql(expr: str, dims: int) -> str:
+    """A cell a step and dimension; ``x(n, i)`` is number i of step n (3: the state)."""
+    return (
+        f"WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, s.step, k.dim FROM embeddings, (SELECT unnest(range(3))::INT AS step) s, (SELECT unnest(range({dims}))::INT AS dim) k) "
+        f"SELECT vec_id, step, dim, round({expr}, 6) + 0.0::DOUBLE AS y FROM c"
+    )
+
+
+@query(_window_sql("e[16 * step + 8 + dim + 1] - e[48 + 8 + dim + 1]", 4))
+def relative_joints(spark, d):
+    rule = transforms.KeyRule("relative", "state.joints")
+    return _window_cells(transforms.RelativeByKey({"action.joints": rule}).apply(samples(spark, d)), "action.joints")
+
+
+@query(_window_sql("e[16 * step + dim + 1] - e[48 + dim + 1]", 3))
+def relative_pose_places(spark, d):
+    rule = transforms.KeyRule("rel_xyz_rot6d", "state.left_pose")
+    return _window_cells(transforms.RelativeByKey({"action.left_pose": rule}).apply(samples(spark, d)), "action.left_pose").where("dim < 3")
+
+
+_CLUTCH = transforms.ClutchRelative({"action.left_pose": "state.left_pose"}, kind="quaternion")
+
+
+@query(
+    _window_sql(
+        "CASE WHEN e[16] > 0 THEN e[dim + 1] - e[48 + dim + 1] ELSE 0 END + CASE WHEN step >= 1 AND e[16] > 0 AND e[32] > 0 THEN e[16 + dim + 1] - e[dim + 1] ELSE 0 END "
+        "+ CASE WHEN step >= 2 AND e[32] > 0 AND e[48] > 0 THEN e[32 + dim + 1] - e[16 + dim + 1] ELSE 0 END",
+        3,
+    )
+)
+def clutch_places(spark, d):
+    return _window_cells(_CLUTCH.apply(samples(spark, d)), "action.left_pose").where("dim < 3")
+
+
+@query()
+def clutch_poses(spark, d):
+    return _window_cells(_CLUTCH.apply(samples(spark, d)), "action.left_pose")
+
+
+@query(_window_sql("CASE WHEN step = 0 THEN e[8] WHEN step = 1 THEN CASE WHEN e[32] > 0 THEN e[24] ELSE e[8] END ELSE CASE WHEN e[48] > 0 THEN e[40] WHEN e[32] > 0 THEN e[24] ELSE e[8] END END", 1))
+def clutch_hold(spark, d):
+    return _window_cells(transforms.ClutchRelative({}, hold=["action.left_gripper"]).apply(samples(spark, d)), "action.left_gripper")
+
+
+@query(_window_sql("CASE WHEN e[16 * step + 16] > 0 THEN e[16 * step + 8] ELSE 0 END", 1))
+def clutch_zero(spark, d):
+    return _window_cells(transforms.ClutchRelative({}, zero=["action.left_gripper"]).apply(samples(spark, d)), "action.left_gripper")
+
+
+@query(_window_sql("CASE dim WHEN 0 THEN e[16 * step + 8] WHEN 5 THEN 0 ELSE greatest(-1, least(1, 2 * (e[16 * step + 8 + dim] + 0.1::DOUBLE) / 0.3::DOUBLE - 1)) END", 6))
+def transform_chain(spark, d):
+    normal = transforms.StateAction(["action.joints"], {"action.joints": "q99"}, {"action.joints": {"q01": [-0.1] * 4, "q99": [0.2] * 4}})
+    chain = transforms.Chain(normal, transforms.Concat("action", {"action.left_gripper": 1, "action.joints": 4}), transforms.Pad("action", 6))
+    return _window_cells(chain.apply(samples(spark, d)), "action")
+
+
+@query(_window_sql("e[16 * step + 8 + dim + 1]", 4))
+def transform_chain_back(spark, d):
+    chain = transforms.Chain(transforms.RelativeByKey({"action.joints": transforms.KeyRule("absolute")}), transforms.StateAction(["action.joints"], {"action.joints": "min_max"}, {"action.joints": {"min": [-1] * 4, "max": [2] * 4}}))
+    return _window_cells(chain.unapply(chain.apply(samples(spark, d))), "action.joints")
+
+
+@query("SELECT * FROM (VALUES ('action', 26, 100, true), ('observation.state', 24, 20, false)) x(\"column\", needed, width, ok)")
+def slice_widths(spark, d):
+    return stats.width_check(slices.table(spark), spark.createDataFrame([("action", 100), ("observation.state", 20)], "column string, width int"))
+
+
+@query(f"WITH {_MIXTURE} SELECT count(*) AS leaves, CAST(sum(real_len) AS BIGINT) AS real, CAST(sum(virtual) AS BIGINT) AS virtual, count(DISTINCT leaf) AS embodiments FROM mx")
+def mixture_summary(spark, d):
+    return stats.mixture_summary(_mixture(spark, d), "leaf")
+
+
+@query("SELECT CAST(max(n) AS INTEGER) AS state_dim FROM (SELECT label, arg_min(len(embedding), vec_id) AS n FROM embeddings GROUP BY label)")
+def widest_state(spark, d):
+    return stats.widest_state(vectors(spark, d), "label", "vec_id", "v")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Episodes, steps, the training split, windows and normalised values in one plan."""
     f = frames(spark, d)

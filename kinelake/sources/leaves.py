@@ -163,3 +163,8 @@ def replace(rows: DataFrame, path: str) -> None:
 def write_filter_cache(steps: DataFrame, path: str) -> None:
     """Valid steps, by leaf."""
     steps.write.mode("errorifexists").partitionBy("leaf").parquet(path)
+
+
+def cached_steps(spark: SparkSession, path: str) -> DataFrame:
+    """leaf and the number of valid steps that the cache holds for it."""
+    return spark.read.parquet(path).groupBy("leaf").agg(F.count("*").alias("steps"))

@@ -13,9 +13,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kinelake.functions import numeric, rotation, text
-from kinelake.operators import joins, stats, steps, timestamps, windows
+from kinelake.operators import joins, stats, steps, timestamps, transforms, windows
 from kinelake.plans import catalogue
-from kinelake.sources import leaves
+from kinelake.sources import leaves, slices
 from kinelake.streaming import watch
 
 SF = "/root/testdata/sf0.01"
@@ -303,3 +303,104 @@ def test_stream_handles_each_once(spark, tmp_path):
     assert watch.parse_iterations("4:10:2, 3 4") == [3, 4, 6, 8, 10]
     p = watch.Progress(1)
     assert [p.go_on(*x) for x in (("FAILED", 1), ("FAILED", 1), ("TIMEOUT", 1), ("FAILED", 1), ("FAILED", 1))] == [True, True, True, True, False]
+
+
+# transforms
+
+
+def turned(rng, n):
+    q = rng.normal(size=(n, 4))
+    return q / np.linalg.norm(q, axis=1, keepdims=True)
+
+
+SAMPLE = "`action.left_pose` array<array<double>>, `state.left_pose` array<array<double>>, `state.hapticengaged_left` array<array<double>>"
+
+
+@pytest.mark.parametrize("flags", [[1, 1, 1, 1], [0, 1, 1, 0], [1, 0, 1, 1], [0, 0, 0, 0], [1], [0]])
+def test_clutch_poses_against_a_loop(spark, flags):
+    rng = np.random.default_rng(len(flags) + sum(flags))
+    q, xyz = turned(rng, 5), rng.normal(size=(5, 3))
+    rows = [[*map(float, [*p, *r])] for p, r in zip(xyz, q, strict=True)]
+    df = spark.createDataFrame([(rows[1:], rows[:1], [[float(f)] for f in flags])], SAMPLE)
+    got = np.array(transforms.ClutchRelative({"action.left_pose": "state.left_pose"}, kind="quaternion").apply(df).first()["action.left_pose"])
+    on, at, turn = flags * 4 if len(flags) == 1 else flags, np.zeros(3), np.eye(3)
+    for t in range(4):
+        if on[t] and on[max(t - 1, 0)]:
+            at, turn = at + xyz[t + 1] - xyz[t], turn @ matrix(q[t]).T @ matrix(q[t + 1])
+        assert np.allclose(got[t], [*at, *turn[:, 0], *turn[:, 1]], atol=1e-9)
+
+
+def test_clutch_scales_drops_and_passes_over(spark):
+    df = spark.createDataFrame([([[2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]], [[1.0]])], SAMPLE).withColumn("state.scale", F.array(F.array(F.lit(3.0))))
+    step = transforms.ClutchRelative({"action.left_pose": "state.left_pose", "action.none": "state.none"}, kind="quaternion", translation="state.scale", drop=["state.scale", "state.other"])
+    out = step.apply(df)
+    assert "state.scale" not in out.columns
+    assert np.allclose(out.first()["action.left_pose"][0], [3, 0, 0, 1, 0, 0, 0, 1, 0])
+    with pytest.raises(KeyError, match="missing"):
+        step.apply(df.drop("state.left_pose"))
+
+
+@pytest.mark.parametrize("target", ["rot6d", "rot6d_rows", "quaternion"])
+def test_state_action_there_and_back(spark, target):
+    q = turned(np.random.default_rng(5), 6)
+    q *= np.sign(q[np.arange(6), np.abs(q).argmax(1)])[:, None]
+    df = spark.createDataFrame([([[*map(float, r)] for r in q],), ([],), (None,)], "`state.r` array<array<double>>")
+    step = transforms.StateAction(["state.r", "state.absent"], {"state.r": "min_max"}, None if target != "quaternion" else {"state.r": {"min": [-1] * 4, "max": [1] * 4}}, {"state.r": target}, {"state.r": transforms.KeyInfo(rotation="quaternion")})
+    there = step.apply(df)
+    assert len(there.first()["state.r"][0]) == transforms.ROTATION_BOUNDS[target][1]
+    back = [r["state.r"] for r in step.unapply(there).collect()]
+    assert np.allclose(back[0], q, atol=1e-9) and back[1:] == [[], None]
+
+
+def test_euler_and_quaternion_of_a_matrix(spark):
+    for e in ([0.3, -0.7, 2.9], [3.1, 1.2, -2.0], [0.0, 0.0, 0.0]):
+        assert np.allclose(one(spark, rotation.to_euler(rotation.from_euler(F.col("e"))), e=(e, "array<double>")), e)
+    for q in ([1.0, 0, 0, 0], [0.0, 1, 0, 0], [0.0, 0, 1, 0], [0.0, 0, 0, 1], [0.6, 0.8, 0, 0]):
+        assert np.allclose(one(spark, rotation.to_quaternion(rotation.from_quaternion(F.col("q"))), q=([*map(float, q)], "array<double>")), q)
+
+
+def test_state_action_refuses():
+    info = {"state.r": transforms.KeyInfo(rotation="quaternion"), "state.rel": transforms.KeyInfo(absolute=False, rotation="quaternion"), "state.b": transforms.KeyInfo(continuous=False)}
+    for keys, modes, given, turns in (
+        (["bare"], {}, {}, {}), (["state.x"], {"state.x": "odd"}, {}, {}), (["state.x"], {"state.x": "q99"}, {"state.x": {"q01": [0]}}, {}),
+        (["state.x"], {"state.x": "q99"}, {"state.x": {"q01": [0], "q99": [1, 2]}}, {}), (["state.r"], {"state.r": "q99"}, {}, {"state.r": "rot6d"}),
+        (["state.rel"], {"state.rel": "min_max"}, {}, {"state.rel": "rot6d"}), (["state.b"], {"state.b": "min_max"}, {}, {}), (["state.x"], {}, {}, {"state.x": "rot6d"}),
+    ):
+        with pytest.raises(ValueError):
+            transforms.StateAction(keys, modes, given, turns, info)
+    for bad in ({"rep": "odd"}, {"rep": "relative"}):
+        with pytest.raises(ValueError):
+            transforms.KeyRule(**bad)
+
+
+def test_chain_names_the_place_and_switches(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0]], [[3.0]])], "id long, `action.a` array<array<double>>, `action.b` array<array<double>>")
+    drop, join = transforms.Dropout(["action.a"], 1.0, "id"), transforms.Concat("action", {"action.a": 2, "action.b": 1})
+    chain = transforms.Chain(drop, transforms.SinCos(["action.absent"]), join)
+    assert chain.apply(df).first()["action"] == [[0.0, 0.0, 3.0]]
+    chain.evaluate()
+    there = chain.apply(df)
+    assert there.first()["action"] == [[1.0, 2.0, 3.0]]
+    back = chain.unapply(there).first()
+    assert (back["action.a"], back["action.b"]) == ([[1.0, 2.0]], [[3.0]])
+    with pytest.raises(ValueError, match="transform 2"):
+        chain.apply(df.drop("action.b"))
+    with pytest.raises(PySparkException, match="not 3 wide"):
+        transforms.Concat("action", {"action.a": 3, "action.b": 1}).apply(df).collect()
+
+
+def test_slices(spark):
+    assert [sum(s[0] == k for s in slices.SLICES) for k in ("state", "action")] == [18, 30]
+    made = json.loads(slices.modality_json({"action": 100, "observation.state": 100}))
+    assert made["action"]["left_pose"] == {"start": 0, "end": 7} and made["state"]["left_pose"]["original_key"] == "action"
+    with pytest.raises(ValueError, match="observation.state"):
+        slices.modality_json({"action": 100, "observation.state": 20})
+    assert slices.modality_json({}, force=True)
+    df = spark.range(1).select(*[F.transform(F.sequence(F.lit(0), F.lit(99)), lambda x: x.cast("double")).alias(c) for c in ("action", "observation.state")])
+    row = df.select(*[c.alias(k) for k, c in slices.columns("action").items()]).first()
+    assert len(row) == 30 and row["action.right_pose"] == [13.0, 14, 15, 16, 17, 18, 19] and row["action.cond_arm_3_color"] == [5.0]
+
+
+def test_cached_steps(spark, tmp_path):
+    leaves.write_filter_cache(spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "leaf string, base long"), str(tmp_path / "cache"))
+    assert {r["leaf"]: r["steps"] for r in leaves.cached_steps(spark, str(tmp_path / "cache")).collect()} == {"a": 2, "b": 1}
