@@ -128,3 +128,19 @@ def hand_off(frames: DataFrame, size: int, keys: list[str], value: str, chunk: s
     """keys, chunk, condition: frame ``size`` of a chunk conditions the next one."""
     last = frames.where(F.col(frame) == size).select(*keys, (F.col(chunk) + 1).alias(chunk), F.col(value).alias("condition"))
     return frames.select(*keys, chunk).distinct().join(last, [*keys, chunk], "left")
+
+
+def fill_up(frames: DataFrame, least: int, keys: list[str], order: str) -> DataFrame:
+    """frames with copies of each last one, numbered on, until there are ``least``; longer runs stay as they are."""
+    w = W.partitionBy(*keys)
+    place = F.row_number().over(w.orderBy(order))
+    more = F.when(place == F.count("*").over(w), F.greatest(F.lit(least) - F.count("*").over(w), F.lit(0))).otherwise(0)
+    copies = frames.withColumn("__more", more.cast("int")).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__more"))))
+    return copies.withColumn(order, (F.col(order) + F.col("__copy")).cast(dict(frames.dtypes)[order])).drop("__more", "__copy")
+
+
+def last_frames(frames: DataFrame, n: int, keys: list[str], order: str) -> DataFrame:
+    """The last n frames of each run, numbered from 0."""
+    w = W.partitionBy(*keys)
+    at = F.row_number().over(w.orderBy(order)) - F.greatest(F.count("*").over(w) - n, F.lit(0)) - 1
+    return frames.withColumn(order, at.cast(dict(frames.dtypes)[order])).where(F.col(order) >= 0)

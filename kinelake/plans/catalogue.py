@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numeric, rotation, text
+from ..functions import numeric, pixels, rotation, text
 from ..operators import joins, stats, steps, timestamps, transforms, windows
 from ..sources import slices
 
@@ -850,6 +850,50 @@ def widest_state(spark, d):
     return stats.widest_state(vectors(spark, d), "label", "vec_id", "v")
 
 
+# frames
+
+_BYTES = "im AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CAST(greatest(0, least(255, floor(128 + 256 * x::DOUBLE))) AS INTEGER)) AS b FROM embeddings)"
+
+
+def pictures(spark, d):
+    """Eight by eight pixels, gray, from the first 64 numbers of a vector."""
+    gray = F.transform(numeric.part(F.col("v"), 0, 64), lambda x: F.greatest(F.least(F.floor(128 + 256 * x), F.lit(255)), F.lit(0)))
+    bits = F.unhex(F.array_join(F.transform(gray, lambda x: F.repeat(F.lpad(F.hex(x), 2, "0"), 3)), ""))
+    return vectors(spark, d).select("vec_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), bits.alias("pixels")).alias("image"))
+
+
+@query(f"WITH {_BYTES} SELECT vec_id, s.i AS pixel, b[s.i // 8 * 8 + 7 - s.i % 8 + 1] // 16 * 16 AS value FROM im, (SELECT unnest(range(64))::INT AS i) s")
+def frame_flip_posterize(spark, d):
+    done = pictures(spark, d).select("vec_id", pixels.transform(F.col("image"), F.col("vec_id"), [pixels.Flip(1.0), pixels.Posterize(4, 1.0)], True).alias("image"))
+    cells = done.select("vec_id", F.hex("image.pixels").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pixel"))
+    return cells.select("vec_id", "pixel", F.conv(F.substr("h", F.col("pixel") * 6 + 1, F.lit(2)), 16, 10).cast("int").alias("value"))
+
+
+def _mirrored(spark, d):
+    flip = pixels.transform(F.col("image"), F.col("vec_id"), [pixels.Flip(1.0)], True)
+    return pictures(spark, d).select("vec_id", pixels.distance(F.col("image"), flip).alias("m"))
+
+
+@query(f"WITH {_BYTES} SELECT vec_id, round(avg(abs(b[i + 1] - b[i // 8 * 8 + 7 - i % 8 + 1])) / 127.5::DOUBLE, 6) AS l1 FROM (SELECT vec_id, b, unnest(range(64)) AS i FROM im) GROUP BY vec_id")
+def frame_l1(spark, d):
+    return _mirrored(spark, d).select("vec_id", F.round("m.l1", 6).alias("l1"))
+
+
+@query()
+def frame_ssim(spark, d):
+    return _mirrored(spark, d).select("vec_id", F.round("m.ssim", 6).alias("ssim"))
+
+
+@query(f"WITH {FRAMES}, n AS (SELECT user_id, count(*) AS n FROM fr GROUP BY 1) SELECT user_id, frame, event_id FROM fr UNION ALL SELECT user_id, f.frame, event_id FROM fr JOIN n USING (user_id), (SELECT unnest(range(73)) AS frame) f WHERE fr.frame = n - 1 AND f.frame >= n")
+def frames_filled_up(spark, d):
+    return windows.fill_up(frames(spark, d).select("user_id", "frame", "event_id"), 73, KEY, "frame")
+
+
+@query(f"WITH {FRAMES}, n AS (SELECT user_id, count(*) AS n FROM fr GROUP BY 1) SELECT user_id, frame - greatest(n - 20, 0) AS frame, event_id FROM fr JOIN n USING (user_id) WHERE frame >= n - 20")
+def frames_last(spark, d):
+    return windows.last_frames(frames(spark, d).select("user_id", "frame", "event_id"), 20, KEY, "frame")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Episodes, steps, the training split, windows and normalised values in one plan."""
     f = frames(spark, d)
