@@ -22,7 +22,7 @@ def _unit(v: list[Column]) -> list[Column]:
     return [x / n for x in v]
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """f(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -42,12 +42,12 @@ def from_six(c: Column, by: str = "column") -> Column:
         w = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
         return F.array(*[v[i] for i in range(3) for v in (a, b, w)]) if by == "column" else F.array(*a, *b, *w)
 
-    first = _let(c, lambda x: F.array(*_unit([x[i] for i in range(3)]), *[x[i] for i in range(3, 6)]))
-    return _let(_let(first, second), third)
+    first = let(c, lambda x: F.array(*_unit([x[i] for i in range(3)]), *[x[i] for i in range(3, 6)]))
+    return let(let(first, second), third)
 
 
 def to_six(m: Column, by: str = "column") -> Column:
-    return _let(m, lambda x: F.array(*[x[i] for i in ((0, 3, 6, 1, 4, 7) if by == "column" else range(6))]))
+    return let(m, lambda x: F.array(*[x[i] for i in ((0, 3, 6, 1, 4, 7) if by == "column" else range(6))]))
 
 
 def from_quaternion(q: Column, order: str = "xyzw") -> Column:
@@ -67,7 +67,7 @@ def from_quaternion(q: Column, order: str = "xyzw") -> Column:
             2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
         )
 
-    return _let(_let(q, unit), lambda u: F.when(u.isNotNull(), matrix(u)))
+    return let(let(q, unit), lambda u: F.when(u.isNotNull(), matrix(u)))
 
 
 def from_euler(e: Column) -> Column:
@@ -82,7 +82,7 @@ def from_euler(e: Column) -> Column:
             -sy, sx * cy, cx * cy,
         )
 
-    return _let(_let(e, lambda v: F.array(*[f(v[i]) for f in (F.sin, F.cos) for i in range(3)])), matrix)
+    return let(let(e, lambda v: F.array(*[f(v[i]) for f in (F.sin, F.cos) for i in range(3)])), matrix)
 
 
 def to_quaternion(m: Column, order: str = "xyzw") -> Column:
@@ -103,21 +103,21 @@ def to_quaternion(m: Column, order: str = "xyzw") -> Column:
 
     # one plus the traces: four times the squares of w, x, y and z
     squares = lambda m: F.array(1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8])
-    return _let(_let(m, lambda x: F.struct(x.alias("m"), squares(x).alias("t"))), read)
+    return let(let(m, lambda x: F.struct(x.alias("m"), squares(x).alias("t"))), read)
 
 
 def to_euler(m: Column) -> Column:
     """Angles about the fixed axes x, y and z, applied in that order; the inverse of from_euler within half a turn."""
-    return _let(m, lambda x: F.array(F.atan2(x[7], x[8]), F.asin(F.greatest(F.least(-x[6], F.lit(1.0)), F.lit(-1.0))), F.atan2(x[3], x[0])))
+    return let(m, lambda x: F.array(F.atan2(x[7], x[8]), F.asin(F.greatest(F.least(-x[6], F.lit(1.0)), F.lit(-1.0))), F.atan2(x[3], x[0])))
 
 
 def transpose(m: Column) -> Column:
-    return _let(m, lambda x: F.array(*[x[3 * j + i] for i in range(3) for j in range(3)]))
+    return let(m, lambda x: F.array(*[x[3 * j + i] for i in range(3) for j in range(3)]))
 
 
 def multiply(a: Column, b: Column) -> Column:
     cells = lambda x, y: F.array(*[sum(x[3 * i + k] * y[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)])
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: cells(s["a"], s["b"]))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: cells(s["a"], s["b"]))
 
 
 def product(matrices: Column) -> Column:
@@ -151,7 +151,7 @@ def scale_angle(m: Column, factor: Column | float) -> Column:
         )
         return F.when(t > EPS, turned).otherwise(identity())
 
-    return _let(_let(m, axis_angle), turn)
+    return let(let(m, axis_angle), turn)
 
 
 def matrix_of(pose: Column, kind: str, order: str = "xyzw") -> Column:
@@ -173,13 +173,13 @@ def relative_pose(pose: Column, reference: Column, kind: str = "quaternion", ord
     still = F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
     parts = F.struct(own.alias("own"), base.alias("base"), pose.alias("pose"), reference.alias("ref"))
     moved = lambda s: F.concat(F.array(*[s["pose"][i] - s["ref"][i] for i in range(3)]), to_six(multiply(transpose(s["base"]), s["own"])))
-    return _let(parts, lambda s: F.when(s["own"].isNull(), still).otherwise(moved(s)))
+    return let(parts, lambda s: F.when(s["own"].isNull(), still).otherwise(moved(s)))
 
 
 def scale_motion(pose9: Column, translation: Column | float, rotation: Column | float) -> Column:
     """A relative pose with its translation and its angle scaled."""
     turned = lambda p: to_six(scale_angle(from_six(F.slice(p, 4, 6)), rotation))
-    return _let(pose9, lambda p: F.concat(F.transform(F.slice(p, 1, 3), lambda v: v * translation), turned(p)))
+    return let(pose9, lambda p: F.concat(F.transform(F.slice(p, 1, 3), lambda v: v * translation), turned(p)))
 
 
 def convert(c: Column, source: str, target: str, order: str = "xyzw") -> Column:

@@ -215,20 +215,24 @@ def engaged_relative(poses: Column, reference: Column, engaged: Column, first: C
     engaged if ``first``. A pose without a rotation counts as the identity."""
     n, origin = F.size(poses), numbers([0, 0, 0])
     place = lambda p, k: F.struct(F.slice(p, 1, 3).alias("at"), F.coalesce(rotation.matrix_of(p, k), rotation.identity()).alias("turn"))
-    now = F.transform(poses, lambda p: place(p, kind))
-    before = F.slice(F.concat(F.array(place(reference, reference_kind or kind)), now), F.lit(1), n)
-    on = broadcast_mask(engaged, n)
-    on_before = F.slice(F.concat(F.array(first), on), F.lit(1), n)
+    start = F.array(place(reference, reference_kind or kind))
 
     def motion(z: Column) -> Column:
         b, h = z["before"], z["now"]
         moved = F.struct(numeric.minus(h["at"], b["at"]).alias("at"), rotation.multiply(rotation.transpose(b["turn"]), h["turn"]).alias("turn"))
         return F.when(z["on_before"] & z["on"], moved).otherwise(F.struct(origin.alias("at"), rotation.identity().alias("turn")))
 
-    motions = F.transform(F.arrays_zip(before.alias("before"), now.alias("now"), on_before.alias("on_before"), on.alias("on")), motion)
-    add = lambda done, m: F.concat(done, F.array(F.zip_with(F.element_at(done, -1), m["at"], lambda a, b: a + b)))
-    places = F.slice(F.aggregate(motions, F.array(origin), add), F.lit(2), n)
-    return F.zip_with(places, rotation.product(F.transform(motions, lambda m: m["turn"])), lambda p, r: F.concat(p, rotation.to_six(r)))
+    def motions(s: Column) -> Column:
+        before, on_before = F.slice(F.concat(start, s["now"]), F.lit(1), n), F.slice(F.concat(F.array(first), s["on"]), F.lit(1), n)
+        return F.transform(F.arrays_zip(before.alias("before"), s["now"].alias("now"), on_before.alias("on_before"), s["on"].alias("on")), motion)
+
+    def summed(m: Column) -> Column:
+        add = lambda done, x: F.concat(done, F.array(F.zip_with(F.element_at(done, -1), x["at"], lambda a, b: a + b)))
+        places = F.slice(F.aggregate(m, F.array(origin), add), F.lit(2), n)
+        return F.zip_with(places, rotation.product(F.transform(m, lambda x: x["turn"])), lambda p, r: F.concat(p, rotation.to_six(r)))
+
+    both = F.struct(F.transform(poses, lambda p: place(p, kind)).alias("now"), broadcast_mask(engaged, n).alias("on"))
+    return rotation.let(rotation.let(both, motions), summed)
 
 
 @dataclass

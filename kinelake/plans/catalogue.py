@@ -769,7 +769,8 @@ def samples(spark, d):
 
 
 def _window_cells(df: DataFrame, name: str) -> DataFrame:
-    steps_ = df.select("vec_id", F.posexplode(transforms.key(name)).alias("step", "x"))
+    # the outer form, since the plain one would filter by the whole transform a second time
+    steps_ = df.select("vec_id", F.posexplode_outer(transforms.key(name)).alias("step", "x")).where("x is not null")
     return steps_.select("vec_id", "step", F.posexplode("x").alias("dim", "y")).withColumn("y", F.round("y", 6) + F.lit(0.0))
 
 
