@@ -223,11 +223,21 @@ def fixed_chunks(spark, d):
     return got.select("user_id", "chunk", F.size("rows").cast("long").alias("n"), F.round(total, 6).alias("total"), F.col("rows")[0].alias("first_value"), F.element_at("rows", -1).alias("last_value"))
 
 
+@query(f"WITH {FRAMES} SELECT user_id, frame // 8 AS chunk, CAST(8 AS BIGINT) AS n, round(sum(value) + (8 - count(*)) * max_by(value, frame), 6) AS total, min_by(value, frame) AS first_value, max_by(value, frame) AS last_value FROM fr GROUP BY 1, 2")
+def fixed_chunks_whole(spark, d):
+    """Whole episodes; the last chunk of each is filled up with copies of its last frame."""
+    rows = frames(spark, d).select("user_id", "frame", "value")
+    rows = rows.join(rows.groupBy("user_id").agg((F.ceil(F.count("*") / 8) * 8).alias("least")), "user_id")
+    got = windows.chunks(windows.fill_up(rows, F.col("least"), KEY, "frame").drop("least"), 8, "value", KEY, "frame")
+    total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x)
+    return got.select("user_id", "chunk", F.size("rows").cast("long").alias("n"), F.round(total, 6).alias("total"), F.col("rows")[0].alias("first_value"), F.element_at("rows", -1).alias("last_value"))
+
+
 _CH = f"{FRAMES}, ch AS (SELECT user_id, frame // 9 AS chunk, frame % 9 AS frame, value FROM fr WHERE frame < 45)"
 
 
-def _chunked(spark, d):
-    return frames(spark, d).where("frame < 45").select("user_id", F.floor(F.col("frame") / 9).cast("long").alias("chunk"), (F.col("frame") % 9).alias("frame"), "value")
+def _chunked(spark, d, rows="frame < 45"):
+    return frames(spark, d).where(rows).select("user_id", F.floor(F.col("frame") / 9).cast("long").alias("chunk"), (F.col("frame") % 9).alias("frame"), "value")
 
 
 @query(f"WITH {_CH} SELECT user_id, chunk, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY chunk, frame) - 1 AS out_frame FROM ch WHERE frame >= 1")
@@ -240,6 +250,19 @@ def chunk_handoff(spark, d):
     return windows.hand_off(_chunked(spark, d), 8, KEY, "value")
 
 
+_CH_WHOLE = f"{FRAMES}, ch AS (SELECT user_id, frame // 9 AS chunk, frame % 9 AS frame, value FROM fr)"
+
+
+@query(f"WITH {_CH_WHOLE} SELECT user_id, chunk, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY chunk, frame) - 1 AS out_frame FROM ch WHERE frame >= 1")
+def stitch_chunks_whole(spark, d):
+    return windows.stitch(_chunked(spark, d, "true"), KEY)
+
+
+@query(f"WITH {_CH_WHOLE}, c AS (SELECT DISTINCT user_id, chunk FROM ch) SELECT c.user_id, c.chunk, p.value AS condition FROM c LEFT JOIN ch p ON p.user_id = c.user_id AND p.chunk = c.chunk - 1 AND p.frame = 8")
+def chunk_handoff_whole(spark, d):
+    return windows.hand_off(_chunked(spark, d, "true"), 8, KEY, "value")
+
+
 # statistics and normalisation
 
 
@@ -436,12 +459,17 @@ def mixture_factors(spark, d):
 
 
 @query(f"WITH {_MIXTURE}, i AS (SELECT unnest(range(0, (SELECT max(hi) FROM mx), 7)) AS idx) SELECT idx, leaf, idx - (hi - virtual) AS local, (idx - (hi - virtual)) % real_len AS real FROM i JOIN mx ON idx >= hi - virtual AND idx < hi")
-def mixture_index_lookup(spark, d):
+def mixture_index_lookup(spark, d, every=7):
     m = _mixture(spark, d)
-    asked = spark.range(0, m.agg(F.max("hi")).first()[0], 7).withColumnRenamed("id", "idx")
+    asked = spark.range(0, m.agg(F.max("hi")).first()[0], every).withColumnRenamed("id", "idx")
     return stats.real_index(joins.locate(asked, m)).select("idx", "leaf", "local", "real")
 
 
+@query(f"WITH {_MIXTURE}, i AS (SELECT unnest(range(0, (SELECT max(hi) FROM mx))) AS idx) SELECT idx, leaf, idx - (hi - virtual) AS local, (idx - (hi - virtual)) % real_len AS real FROM i JOIN mx ON idx >= hi - virtual AND idx < hi")
+def mixture_index_lookup_whole(spark, d):
+    return mixture_index_lookup(spark, d, 1)
+
+
 @query(f"WITH {_MIXTURE}, s AS (SELECT leaf, virtual, unnest(range(0, virtual, 16)) AS block_start FROM mx) SELECT leaf, block_start, least(block_start + 16, virtual) AS block_end FROM s")
 def shuffle_blocks(spark, d):
     return stats.shuffle_blocks(_mixture(spark, d), 16)
@@ -663,10 +691,10 @@ _PER_CLIP = (
 _CLIP_NAMES = ("mean_l1", "std_l1", "mean_ssim", "std_ssim", "l1_slope", "chunk0_l1", "chunk1_l1", "chunk2_l1")
 
 
-def _clips(spark, d):
+def _clips(spark, d, rows="user_id % 3 <> 0 or frame < 20"):
     f = frames(spark, d)
     pair = joins.paired_frames(f.select("user_id", "frame", "value"), f.select("user_id", (F.col("frame") + 1).alias("frame"), F.col("value").alias("before")).unionByName(f.where("frame = 0").select("user_id", "frame", F.lit(0.0).alias("before"))), ["user_id", "frame"])
-    pair = pair.where("user_id % 3 <> 0 or frame < 20").select("user_id", "frame", F.abs(F.col("value") - F.col("before")).alias("l1"), (F.col("value") / 100).alias("ssim"))
+    pair = pair.where(rows).select("user_id", "frame", F.abs(F.col("value") - F.col("before")).alias("l1"), (F.col("value") / 100).alias("ssim"))
     return stats.clip_metrics(pair, "user_id", "frame", "l1", "ssim")
 
 
@@ -681,6 +709,20 @@ def fds_summary(spark, d):
     return out.select("num_clips", *[F.round(c, 6).alias(c) for c in out.columns if c != "num_clips"])
 
 
+_CLIPS_WHOLE = f"{FRAMES}, cl AS (SELECT user_id, frame, abs(value - coalesce(lag(value) OVER ({_EDGE}), 0)) AS l1, value / 100 AS ssim FROM fr)"
+
+
+@query(f"WITH {_CLIPS_WHOLE}, {_PER_CLIP} SELECT user_id, num_frames, {', '.join(f'round({n}, 6) AS {n}' for n in _CLIP_NAMES)} FROM pc")
+def fds_per_clip_whole(spark, d):
+    return _clips(spark, d, "true").select("user_id", "num_frames", *[F.round(n, 6).alias(n) for n in _CLIP_NAMES])
+
+
+@query(f"WITH {_CLIPS_WHOLE}, {_PER_CLIP} SELECT count(*) AS num_clips, {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('mean_l1', 'mean_ssim', 'l1_slope', 'chunk0_l1', 'chunk1_l1', 'chunk2_l1'))} FROM pc")
+def fds_summary_whole(spark, d):
+    out = stats.run_summary(_clips(spark, d, "true"))
+    return out.select("num_clips", *[F.round(c, 6).alias(c) for c in out.columns if c != "num_clips"])
+
+
 @query("SELECT a.label, round(avg(pow(x - y, 2)), 9) AS mse FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS k FROM embeddings) b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.label")
 def action_mse(spark, d):
     v = vectors(spark, d)
@@ -741,10 +783,15 @@ def signature_sha1(spark, d):
 
 
 @query("SELECT user_id, substr(md5('leaf' || user_id || '_train_[0, 6, ' || user_id || ']'), 1, 12) AS key FROM (SELECT DISTINCT user_id FROM events WHERE user_id > 6)")
-def cache_key_md5(spark, d):
+def cache_key_md5(spark, d, rows="user_id > 6"):
     u = F.col("user_id")
     key = stats.cache_key(F.concat(F.lit("leaf"), u.cast("string")), F.lit("train"), F.array(u, F.lit(6).cast("long"), F.lit(0).cast("long")))
-    return t(spark, d, "events").where("user_id > 6").select("user_id").distinct().select("user_id", key.alias("key"))
+    return t(spark, d, "events").where(rows).select("user_id").distinct().select("user_id", key.alias("key"))
+
+
+@query("SELECT user_id, substr(md5('leaf' || user_id || '_train_' || CAST(list_sort([0, 6, user_id]) AS VARCHAR)), 1, 12) AS key FROM (SELECT DISTINCT user_id FROM events)")
+def cache_key_md5_whole(spark, d):
+    return cache_key_md5(spark, d, "true")
 
 
 @query("SELECT n_nationkey, n_regionkey = 1 AS same FROM nation")

@@ -50,6 +50,18 @@ def test_query(spark, duck, name):
         assert got == sorted(([plain(row[names.index(c)]) for c in cols] for row in out.fetchall()), key=str)
 
 
+def test_whole_queries_reach_every_row(spark):
+    q = catalogue.QUERIES
+    rows, users = (catalogue.t(spark, SF, "events").select(*c).distinct().count() for c in (["event_id"], ["user_id"]))
+    lengths = [r["count"] for r in catalogue.t(spark, SF, "events").groupBy("user_id").count().collect()]
+    assert sum(r.n for r in q["fixed_chunks_whole"](spark, SF).collect()) == sum(-(-n // 8) * 8 for n in lengths)
+    assert q["stitch_chunks_whole"](spark, SF).count() == rows - sum(-(-n // 9) for n in lengths)
+    assert q["chunk_handoff_whole"](spark, SF).count() == sum(-(-n // 9) for n in lengths)
+    assert sum(r.num_frames for r in q["fds_per_clip_whole"](spark, SF).collect()) == rows - users
+    assert q["fds_summary_whole"](spark, SF).first().num_clips == users and q["cache_key_md5_whole"](spark, SF).count() == users
+    assert q["mixture_index_lookup_whole"](spark, SF).count() == q["mixture_factors"](spark, SF).agg({"hi": "max"}).first()[0]
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(v for v, _ in values.values())], ", ".join(f"{k} {t}" for k, (_, t) in values.items()))
     return row.select(column.alias("x")).first()["x"]
