@@ -1,8 +1,9 @@
 """Language-model scoring with Elias-Fano n-gram tries.
 
-The model is an interpolated bigram model. A word w after h has probability c(hw) / (c(h) + K) + K / (c(h) + K) * P(w),
-where P is the unigram model whose score is the base score. The first term of each seen bigram, a quantised logarithm, is
-what the tries store. Neither the words nor the n-grams of a corpus fit one machine, so both are dealt to shards, whose
+The model is interpolated, of order 2 or 3. A word w after h has probability c(hw) / (c(h) + K) + K / (c(h) + K) * P(w),
+where P is the model of the order below, down to the unigram model whose score is the base score. A context that was never
+seen leaves P as it is; a document's first word has the start alone before it. The first term of each seen bigram and
+trigram, a quantised logarithm, is what the tries store. Neither the words nor the n-grams of a corpus fit one machine, so both are dealt to shards, whose
 number follows the size of the input, and no task, nor the driver, sees more than a shard:
 
 1. Texts are cut into chunks of about CHUNK bytes, and a chunk's words numbered. It asks the shards of the hashes of its
@@ -11,7 +12,11 @@ number follows the size of the input, and no task, nor the driver, sees more tha
    for their terms. A shard counts, builds its trie (contexts; their successors and terms), maps it into memory and looks
    up everything that it was asked. A context as frequent as a shard's share is dealt to several shards by successor; how
    many is a rule on its total, which all chunks know alike.
-3. Answers meet their chunk again, and the logarithms are added up by document.
+3. Of order 3, a shard also answers with the place of each bigram in its trie and the count where the term is too coarse to
+   tell it. A trigram is then the place of its first two words and the number of its last two among the successors of the
+   middle one (the context-relative number of the trie's third level), and is asked for at the shard of that place; contexts
+   that are frequent are dealt to the shards that follow. Only trigrams whose two bigrams were seen are asked for.
+4. Answers meet their chunk again, and the logarithms are added up by document.
 
 Words are told apart by 64-bit hashes, successors within a context and shard by 32 bits more than the shard takes.
 
@@ -36,6 +41,8 @@ from .common import crc_of_id, cut
 from .eftrie import Trie, quantise, restore
 
 CHUNK, SHARD, SLICE, K = 16 << 20, 8 << 20, 1 << 16, 300.0
+#: Counts up to this one can be told from a quantised term.
+EXACT = 1000
 END, START = b"\n", b"\t"
 ROWS = "chunk long, shard int, payload binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -74,14 +81,19 @@ def deltas(a: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def sums(d: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+def sums(d: np.ndarray, lengths: np.ndarray | None = None, kind: type = np.uint32) -> np.ndarray:
     """The inverse of deltas, for ranges of these lengths."""
     total = np.cumsum(d, dtype=np.uint64)
     if lengths is not None:
         n = lengths.astype(np.int64)
         begins = np.cumsum(n) - n
         total = total - np.repeat(total[begins] - d[begins], n)
-    return total.astype(np.uint32)
+    return total.astype(kind)
+
+
+def count_of(codes: np.ndarray, totals: np.ndarray, k: float) -> np.ndarray:
+    """The count of each seen n-gram by its term, to EXACT at least without an error."""
+    return np.rint(10.0 ** restore(codes) * (totals + k))
 
 
 def hashed(word: bytes) -> int:
@@ -187,16 +199,62 @@ class Chunk:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         of[seen] = place[inverse]
+        self.slices, self.slice = slices[order], (g % slices)[order]
         return shard[order], code_h[order], code_w[order], total[order].astype(np.int64), n[order], of, totals[before]
 
 
+    def learn_pairs(self, answers: pa.Table, shards: int, n_train: int, k: float) -> tuple[np.ndarray, ...]:
+        """What pairs() gives of shard, bigram of each token and context total of each token, and each bigram's code. Fills
+        counts of bigrams, their places and their numbers among the successors of their contexts."""
+        shard, ch, _, total, _, of, totals = self.pairs(shards, n_train)
+        got = [unpack(p.as_py()) for p in _by_shard(answers)]
+        codes = np.concatenate([x[0] for x in got] or [np.zeros(0, np.uint16)])
+        if not got or len(got[0]) < 2:
+            return shard, of, totals, codes
+        seen = codes > 0
+        begin = np.concatenate([sums(x[2]) for x in got]).astype(np.int64)
+        at = np.cumsum(np.concatenate([[True], (ch[1:] != ch[:-1]) | (shard[1:] != shard[:-1])])) - 1
+        self.places, self.pair_counts = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        self.places[seen] = np.concatenate([sums(x[1]) for x in got])
+        self.pair_counts[seen] = count_of(codes[seen], total[seen], k)
+        self.pair_counts[self.pair_counts > EXACT] = np.concatenate([x[3] for x in got])
+        self.numbers = np.where(seen, (self.places - begin[at]) * self.slices.astype(np.int64) + self.slice.astype(np.int64), 0)
+        return shard, of, totals, codes
+
+    def triples(self, shard: np.ndarray, of: np.ndarray, codes: np.ndarray, shards: int, n_train: int) -> tuple[np.ndarray, ...]:
+        """For each distinct trigram of two seen bigrams, by shard: shard, context, number, context total and training count;
+        for each token the number of its trigram, -1 where it has none; and for each token the total of its context of two
+        words, 0 where that was never seen."""
+        before = np.concatenate([[-1], of[:-1]])
+        before[np.concatenate([[0], self.ends[:-1]])] = -1
+        seen = codes > 0 if len(codes) else np.zeros(1, bool)
+        totals = np.where(before >= 0, np.append(self.pair_counts, 0)[before], 0) if len(codes) else np.zeros(len(of), np.int64)
+        asked = np.flatnonzero((totals > 0) & (of >= 0) & seen[np.maximum(of, 0)])
+        keys, inverse = np.unique(before[asked].astype(np.int64) * len(codes) + of[asked], return_inverse=True)
+        n = np.bincount(inverse, weights=self.trains[asked], minlength=len(keys)).astype(np.int64)
+        a, b = (keys // len(codes), keys % len(codes)) if len(codes) else (keys, keys)
+        del keys
+        number, total = self.numbers[b], self.pair_counts[a]
+        slices = np.clip(np.ceil(total * 4.0 * shards / max(n_train, 1)), 1, shards).astype(np.uint64)
+        moved = (scramble(scramble(number.astype(np.uint64) + np.uint64(1))) % slices).astype(np.int64)
+        to, context = (shard[a] + moved) % shards, moved.astype(np.uint64) << np.uint64(32) | self.places[a].astype(np.uint64)
+        order = np.lexsort((number, context, to))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        of3 = np.full(len(of), -1, np.int32)
+        of3[asked] = place[inverse]
+        return to[order], context[order], number[order].astype(np.uint32), total[order], n[order], of3, totals
+
+
 def _by_shard(t: pa.Table) -> list:
     return t.column("payload").combine_chunks().take(pa.array(np.argsort(t.column("shard").to_numpy(), kind="stable")))
 
 
-def score(docs: DataFrame, training=None, k: float = K) -> DataFrame:
+def score(docs: DataFrame, training=None, k: float = K, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. training: which rows the model
-    learns from; those whose crc32 of the id, mod 5, is not 1, if not given."""
+    learns from; those whose crc32 of the id, mod 5, is not 1, if not given. order: 2 or 3, the longest n-grams."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is not 2 or 3")
     training = crc_of_id(F.col("doc_id")) % 5 != 1 if training is None else training
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -226,47 +284,78 @@ def score(docs: DataFrame, training=None, k: float = K) -> DataFrame:
     known = cut(bodies.mapInArrow(ask_words, ROWS).groupBy("shard").applyInArrow(count_words, ROWS + ", tokens long, types long"))
     total, types = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
-    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left.column("payload")[0].as_py())
-        c.learn_words(right, shards)
-        shard, ch, cw, totals, n, _, _ = c.pairs(shards, total)
+    def ask(chunk: int, shard, context, number, totals, n) -> pa.Table:
+        """Rows that ask each shard for n-grams, sorted by shard, context and number."""
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         out, full = [], np.flatnonzero(np.diff(cuts))
         for s in full:
             a, b = cuts[s], cuts[s + 1]
-            begin = np.flatnonzero(np.concatenate([[True], ch[a + 1 : b] != ch[a : b - 1]]))
-            out.append(pack(deltas(ch[a:b][begin]), small(np.diff(np.append(begin, b - a))), small(totals[a:b][begin]), deltas(cw[a:b], begin), small(n[a:b])))
-        return pa.Table.from_batches([rows_of(left.column("chunk")[0].as_py(), full, out)])
+            begin = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
+            out.append(pack(deltas(context[a:b][begin]), small(np.diff(np.append(begin, b - a))), small(totals[a:b][begin]), deltas(number[a:b], begin), small(n[a:b])))
+        return pa.Table.from_batches([rows_of(chunk, full, out)])
 
-    def answer_pairs(t: pa.Table) -> pa.Table:
+    def answer(t: pa.Table, places: bool) -> pa.Table:
+        """The term of each n-gram that was asked for; with places, also what the next level needs of those that were seen."""
         asked = [unpack(p.as_py()) for p in t.column("payload")]
         for x in asked:
-            x[0], x[3] = sums(x[0]), sums(x[3], x[1])
-        keys = [np.repeat(x[0].astype(np.uint64), x[1].astype(np.int64)) << np.uint64(32) | x[3].astype(np.uint64) for x in asked]
-        pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([x[4] for x in asked]), minlength=len(pairs))
-        contexts, first = np.unique(np.concatenate([x[0] for x in asked]), return_index=True)
+            x[0], x[3] = sums(x[0], kind=x[0].dtype.type), sums(x[3], x[1])
+        contexts, first, dense = np.unique(np.concatenate([x[0] for x in asked]), return_index=True, return_inverse=True)
+        dense = np.split(dense.astype(np.uint64), np.cumsum([len(x[0]) for x in asked])[:-1])
+        keys = [np.repeat(c, x[1].astype(np.int64)) << np.uint64(32) | x[3].astype(np.uint64) for c, x in zip(dense, asked, strict=True)]
+        grams, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([x[4] for x in asked]), minlength=len(grams))
         totals = np.concatenate([x[2] for x in asked])[first].astype(np.float64)
-        pair_context = np.searchsorted(contexts, (pairs >> np.uint64(32)).astype(np.uint32))
-        grams = np.column_stack([pair_context, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+        grams = np.column_stack([(grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)])
         seen = n > 0
-        terms = quantise(np.log10(n[seen] / (totals[pair_context[seen]] + k)))
+        terms = quantise(np.log10(n[seen] / (totals[grams[seen, 0]] + k)))
         trie = Trie.build(len(contexts), [grams[seen]], [terms]).mapped()
-        codes = trie.codes(grams)
-        answers = np.split(codes[inverse], np.cumsum([len(x) for x in keys])[:-1])
-        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array([pack(a) for a in answers], pa.binary())})
+        at = trie.place(grams)
+        codes = np.zeros(len(at), np.uint16)
+        codes[at >= 0] = trie.levels[0].codes[at[at >= 0]]
+        parts = np.split(inverse, np.cumsum([len(x) for x in keys])[:-1])
+        if places:
+            begins = trie.levels[0].pointers.get(np.arange(len(contexts))).astype(np.uint32)
+            coarse = seen.copy()
+            coarse[seen] = count_of(codes[seen], totals[grams[seen, 0]], k) > EXACT
+            answers = [pack(codes[i], deltas(at[i[seen[i]]].astype(np.uint32)), deltas(begins[c.astype(np.int64)]), small(n[i[coarse[i]]])) for i, c in zip(parts, dense, strict=True)]
+        else:
+            answers = [pack(codes[i]) for i in parts]
+        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array(answers, pa.binary())})
+
+    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left.column("payload")[0].as_py())
+        c.learn_words(right, shards)
+        return ask(left.column("chunk")[0].as_py(), *c.pairs(shards, total)[:5])
+
+    def level(t: pa.Table, n: int) -> pa.Table:
+        return t.filter(pa.array(t.column("level").to_numpy() == n))
+
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left.column("payload")[0].as_py())
+        c.learn_words(level(right, 1), shards)
+        shard, of, _, codes = c.learn_pairs(level(right, 2), shards, total, k)
+        if not len(codes):
+            return pa.Table.from_batches([rows_of(0, [], [])])
+        return ask(left.column("chunk")[0].as_py(), *c.triples(shard, of, codes, shards, total)[:5])
 
     asked = bodies.groupBy("chunk").cogroup(known.select("chunk", "shard", "payload").groupBy("chunk")).applyInArrow(ask_pairs, ROWS)
-    terms = cut(asked.groupBy("shard").applyInArrow(answer_pairs, ROWS))
-    answers = known.select("chunk", "shard", "payload", F.lit(False).alias("pair")).unionByName(terms.withColumn("pair", F.lit(True)))
+    terms = cut(asked.groupBy("shard").applyInArrow(lambda t: answer(t, order > 2), ROWS))
+    del asked
+    answers = known.select("chunk", "shard", "payload", F.lit(1).alias("level")).unionByName(terms.withColumn("level", F.lit(2)))
+    if order > 2:
+        # what is asked is kept, so that the shuffle files of the chunks are freed before it is dealt
+        asked = cut(bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_triples, ROWS))
+        answers = answers.unionByName(cut(asked.groupBy("shard").applyInArrow(lambda t: answer(t, False), ROWS)).withColumn("level", F.lit(3)))
+        del asked
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left.column("payload")[0].as_py())
-        is_pair = right.column("pair").to_numpy(zero_copy_only=False)
-        c.learn_words(right.filter(pa.array(~is_pair)), shards)
-        *_, of, totals = c.pairs(shards, total)
-        pair_rows = right.filter(pa.array(is_pair))
-        codes = np.concatenate([unpack(p.as_py())[0] for p in _by_shard(pair_rows)] if pair_rows.num_rows else [np.zeros(0, np.uint16)])
+        c.learn_words(level(right, 1), shards)
+        shard, of, totals, codes = c.learn_pairs(level(right, 2), shards, total, k)
+        if order > 2 and len(codes):
+            *_, of3, totals3 = c.triples(shard, of, codes, shards, total)
+            codes3 = np.concatenate([unpack(p.as_py())[0] for p in _by_shard(level(right, 3))] or [np.zeros(0, np.uint16)])
+        del shard
         # token by token in slices, so that only the two logarithms have a chunk's length
         log_base, log_p = np.empty(len(of)), np.empty(len(of))
         for a in range(0, len(of), SLICE):
@@ -274,7 +363,11 @@ def score(docs: DataFrame, training=None, k: float = K) -> DataFrame:
             base = (c.counts[c.tokens[at]] + 0.5) / (total + 0.5 * (types + 1))
             code = np.where(of[at] >= 0, codes[np.maximum(of[at], 0)], 0) if len(codes) else np.zeros(len(base), np.uint16)
             log_base[at] = np.log10(base)
-            log_p[at] = np.log10(np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals[at] + k) * base)
+            p = np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals[at] + k) * base
+            if order > 2 and len(codes):
+                code = np.where(of3[at] >= 0, codes3[np.maximum(of3[at], 0)], 0) if len(codes3) else np.zeros(len(base), np.uint16)
+                p = np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals3[at] + k) * p
+            log_p[at] = np.log10(p)
         add = lambda x: np.bincount(c.of, weights=x, minlength=len(c.ids))
         return pa.table({
             "doc_id": pa.array(c.ids, pa.int64(), mask=c.null), "held_out": pa.array(~c.train), "n_tokens": pa.array(c.lengths), "n_known": pa.array(add((c.counts > 0)[c.tokens]).astype(np.int64)),

@@ -52,7 +52,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(table(spark, sf_dir, "documents"))
+    return lmscore.score(table(spark, sf_dir, "documents"), order=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from kinelake.llm import chat, components, decontam, eftrie, langid, lmscore, mixing, sharding, simhash, topk, urls, warc
+from kinelake.llm import chat, components, decontam, eftrie, langid, lmscore, mixing, queries, sharding, simhash, topk, urls, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, hash long, score double, shard string, fp string, component_id long, prefix string, whole long, train string, block string"
@@ -439,6 +439,38 @@ def test_lm(spark, odd, documents, monkeypatch):
     assert lmscore.score(odd.limit(0)).count() == 0
 
 
+def brute_trigram_scores(rows, k):
+    tokens = lambda t: [b"\t", *re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())), b"\n"]
+    learned = [tokens(t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    grams = [collections.Counter(tuple(w[i : i + n]) for w in learned for i in range(n == 1, len(w) - n + 1)) for n in (1, 2, 3)]
+    after = [collections.Counter(tuple(w[i : i + n]) for w in learned for i in range(len(w) - n)) for n in (1, 2)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    out = []
+    for i, t in rows:
+        w, score = tokens(t), 0.0
+        for at in range(1, len(w)):
+            p = (grams[0][w[at],] + 0.5) / (n + 0.5 * (v + 1))
+            for m in (1, 2)[:at]:
+                h = tuple(w[at - m : at])
+                p = (grams[m][*h, w[at]] + k * p) / (after[m - 1][h] + k)
+            score += np.log10(p)
+        out.append((str(i), len(w) - 1, score))
+    return sorted(out)
+
+
+def test_lm_query_knows_trigrams(spark, odd, documents, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK", 60_000)
+    monkeypatch.setattr(lmscore, "SHARD", 20_000)
+    repeated = frame(spark, [(i, f"the very same pair of words {i} the very same pair again {i % 7}", "en", "s") for i in range(3000)])
+    for docs in (documents.repartition(3), odd, odd.where("doc_id = 4"), repeated):
+        monkeypatch.setattr(queries, "table", lambda *_, docs=docs: docs)
+        want = brute_trigram_scores([(r.doc_id, r.text) for r in docs.collect()], lmscore.K)
+        got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in queries.QUERIES["op10_lm"](spark, SF).collect())
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1.3e-4 * a[1]
+    assert lmscore.score(odd.limit(0), order=3).count() == 0
+
+
 @given(st.lists(st.integers(0, 2**40), max_size=200), st.integers(1, 8))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(values, dense):
