@@ -8,6 +8,10 @@ each, so that what languages share decides nothing. All sums are integers, so no
 A text is its letters, lower-cased, with each run of other characters as one blank. Letters a-z and the 96 that follow
 U+00DF have vectors of their own; all others share the rest by their code point.
 
+Where documents of an unknown language are to go, a text must also reach a bound on its cosine, which is calibrated on the
+labelled rows that are predicted right: SLACK times the QUANTILE of the cosines of texts with about as many trigrams (to a
+power of two), or of longer ones if that is less. Texts shorter than every such row are too short to be judged and stay.
+
 Defined cases: a null text, one without letters, and any text when nothing was learned, is ``und`` with score 0; rows
 without lang teach nothing; ties go to the smaller language; rows that repeat an id are predicted each; an empty table
 gives no row; columns other than doc_id, text and lang are ignored. The model has one prototype for each distinct lang,
@@ -31,6 +35,7 @@ DIM, SYMBOLS, SEED, BLOCK, MERGE = 2048, 256, 6, 128, 64
 #: Trigrams whose vectors are made at once, and distinct ones that a language's counts hold before they are bundled.
 GRAMS, HELD = 1024, 1 << 20
 UNKNOWN = "und"
+QUANTILE, SLACK = 0.001, 0.75
 
 
 @cache
@@ -137,9 +142,9 @@ def directions(model: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return langs, rows
 
 
-def classify(texts: pa.Array, langs: list[str], rows: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The language of each text and its score, half of one plus the cosine. Texts are read BLOCK at a time."""
-    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def classify(texts: pa.Array, langs: list[str], rows: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of each text, its score, half of one plus the cosine, and its trigrams. Texts are read BLOCK at a time."""
+    names, scores, sizes = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for k in range(0, len(texts), BLOCK):
         found = [(i, *np.unique(g, return_counts=True)) for i, t in enumerate(texts[k : k + BLOCK], k) if len(g := trigrams(t.as_py()))]
         if not found or not langs:
@@ -157,9 +162,9 @@ def classify(texts: pa.Array, langs: list[str], rows: np.ndarray) -> tuple[list[
         norms = np.linalg.norm(bundles.astype(np.float64), axis=1, keepdims=True)
         cosines = np.round(bundles.astype(np.float64) @ rows.T / np.maximum(norms, 1e-12), 6)
         best = cosines.argmax(axis=1)
-        for at, (i, _, _) in enumerate(found):
-            names[i], scores[i] = langs[best[at]], min(1.0, max(0.0, (1 + cosines[at, best[at]]) / 2))
-    return names, scores
+        for at, (i, _, n) in enumerate(found):
+            names[i], scores[i], sizes[i] = langs[best[at]], min(1.0, max(0.0, (1 + cosines[at, best[at]]) / 2)), n.sum()
+    return names, scores, sizes
 
 
 def judged(text: Column, model: dict[str, np.ndarray]) -> Column:
@@ -168,7 +173,7 @@ def judged(text: Column, model: dict[str, np.ndarray]) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def judge(texts: pa.Array) -> pa.Array:
-        names, scores = classify(texts, langs, rows)
+        names, scores, _ = classify(texts, langs, rows)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     return judge(text.cast("string"))
@@ -179,9 +184,45 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["d
     return docs.select(*keep, judged(docs["text"], model).alias("__judged")).select(*keep, "__judged.lang_pred", "__judged.score")
 
 
+def classes(sizes: np.ndarray) -> np.ndarray:
+    """Texts of about as many trigrams: the power of two below."""
+    return np.log2(np.maximum(sizes, 1)).astype(np.int64)
+
+
+def bounds(docs: DataFrame, model: dict[str, np.ndarray]) -> np.ndarray:
+    """The least cosine of a text of a known language, by class."""
+    langs, rows = directions(model)
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, scores, sizes = classify(b.column("text"), langs, rows)
+            right = np.array(names, object) == b.column("lang").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(classes(sizes)[right]), pa.array(2 * scores[right] - 1)], ["class", "cosine"])
+
+    labelled = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    right = labelled.mapInArrow(cosines, "class long, cosine double").groupBy("class").agg(F.percentile_approx("cosine", QUANTILE, 100_000).alias("least"))
+    out = np.full(64, np.inf)
+    for r in right.collect():
+        out[r["class"]] = SLACK * r["least"]
+    seen = np.flatnonzero(np.isfinite(out))
+    if not len(seen):
+        return np.full(64, -1.0)
+    out[seen[-1] :] = out[seen[-1]]
+    out = np.minimum.accumulate(out[::-1])[::-1]
+    out[: seen[0]] = -1.0
+    return out
+
+
 def keep_known(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """docs without the rows whose language is unknown."""
-    return docs.where(judged(docs["text"], model)["lang_pred"] != UNKNOWN)
+    """docs without the rows whose language is unknown: those without letters, and those below the bound of their class."""
+    (langs, rows), least = directions(model), bounds(docs, model)
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        names, scores, sizes = classify(texts, langs, rows)
+        return pa.array((np.array(names, object) != UNKNOWN) & (2 * scores - 1 >= least[classes(sizes)]), pa.bool_())
+
+    return docs.where(known(docs["text"].cast("string")))
 
 
 def held_out(docs: DataFrame) -> Column:

@@ -285,6 +285,20 @@ def test_langid(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", odd["lang"].substr(9, 1)).where("lang is null")).collect()} <= {"und", ""}
 
 
+def test_unknown_languages_are_left_out(spark, documents):
+    rng = np.random.default_rng(5)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    planted = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах, они наделены разумом и совестью", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        letters(400, "abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ0123456789+/"), letters(600, "0123456789abcdef"), letters(1000, "abcdefghijklmnopqrstuvwxyz     "),
+    ]
+    docs = documents.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string"), allowMissingColumns=True)
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in documents.collect())
+
+
 def test_bundles_are_sums_of_bound_vectors():
     a, b, c = langid.rolled()
     text = "Ab, é"
