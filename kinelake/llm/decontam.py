@@ -5,7 +5,8 @@ consecutive words; the positions it ignores may differ. The masked hashes of eve
 those of the benchmark, and around each hit the two word sequences are laid side by side and compared: the run around the
 hit is extended both ways as long as its matches outweigh its differences (one for a match, minus two for a difference,
 given up 8 below the best). It counts if it has LEAST words at least (or the whole item, down to SHORTEST), of which SHARE
-agree at least.
+agree at least. If it falls short, the longest run of LEAST words or more that does, with equal words at both ends, is
+looked for on the whole of the two sequences as they lie side by side.
 
 The benchmark is a stated query set: it goes over the documents in blocks of at most BLOCK_WORDS words, one pass each, so
 that what a task holds is bounded; a long item is cut into overlapping pieces. Documents are never shuffled.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,7 @@ class Block:
             return []
         best: dict = {}
         done: dict = {}
+        searched: set = set()
         for d, q in self.hits(w).tolist():
             item = int(np.searchsorted(self.bounds, q, side="right")) - 1
             lo, hi = int(self.bounds[item]), int(self.bounds[item + 1])
@@ -110,6 +113,10 @@ class Block:
             start, stop = d - a - left, d - a + right
             done[item, d - q] = a + stop
             n, equal = stop - start, int(same[start:stop].sum())
+            if not ((n >= LEAST or n == hi - lo) and equal >= SHARE * n) and (item, d - q) not in searched:
+                searched.add((item, d - q))
+                start, stop = _longest(same)
+                n, equal = stop - start, int(same[start:stop].sum())
             if (n >= LEAST or n == hi - lo) and equal >= SHARE * n and (equal, n) > best.get(self.ids[item], (0, 0, 0))[:2]:
                 best[self.ids[item]] = (equal, n, a + start)
         return [(i, at, n, equal) for i, (equal, n, at) in best.items()]
@@ -126,6 +133,21 @@ def _extend(same: np.ndarray) -> int:
     return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
 
 
+def _longest(same: np.ndarray) -> tuple[int, int]:
+    """Begin and end of the longest run of LEAST values at least, true at both ends, of which SHARE are true; (0, 0) if none."""
+    at = np.flatnonzero(same)
+    if len(at) < SHARE * LEAST:
+        return 0, 0
+    # the i-th to the j-th true value make a run if j + 1 - SHARE * (at[j] + 1) is i - SHARE * at[i] at least
+    share = Fraction(SHARE).limit_denominator(100)
+    begins = share.denominator * np.arange(len(at)) - share.numerator * at
+    ends = begins + share.denominator - share.numerator
+    first = np.searchsorted(-np.minimum.accumulate(begins), -ends)  # the first true value from which each can be reached
+    n = at - at[np.minimum(first, np.arange(len(at)))] + 1
+    j = int(n.argmax())
+    return (int(at[j]) + 1 - int(n[j]), int(at[j]) + 1) if n[j] >= LEAST else (0, 0)
+
+
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of about BLOCK_WORDS words, each fetched when it is used."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")

@@ -409,6 +409,28 @@ def test_decontamination(spark, odd):
     assert decontam.decontaminate(odd, benchmark).count() == odd.count()
 
 
+def test_runs_within_longer_ones():
+    item = [f"w{i}" for i in range(154)]
+    block = decontam.Block([(1, " ".join(item))])
+    copy = [w if i < 30 or (i - 30) % 4 else f"x{i}" for i, w in enumerate(item)]
+    assert [m[0] for m in block.matches(decontam.words(" ".join(copy)))] == [1]
+    rng, caught = np.random.default_rng(8), 0
+    for case in range(600):
+        n = (13, 20, 40, 55, 90)[case % 5]
+        same = rng.random(n) > (0.2, 0.25, 0.3, 0.35)[case % 4]
+        runs = [(j - i, i) for i in range(n) for j in range(i + 13, n + 1) if same[i] and same[j - 1] and 5 * same[i:j].sum() >= 4 * (j - i)]
+        a, b = decontam._longest(same)
+        assert (b - a, a) in runs if runs else a == b
+        assert b - a == max(runs, default=(0, 0))[0]
+        text = ["before"] * 5 + [w if s else f"x{k}" for k, (w, s) in enumerate(zip(item, same, strict=False))] + ["after"] * 5
+        # a word stands once in the item, so no other alignment has two equal words; a seed must find this one
+        hit = any(all(same[i + p] for p in mask) for mask in decontam.MASKS for i in range(n - mask[-1]))
+        found = decontam.Block([(1, " ".join(item[:n]))]).matches(decontam.words(" ".join(text)))
+        assert [m[0] for m in found] == ([1] if runs and hit else [])
+        caught += len(found)
+    assert caught > 50
+
+
 def test_blocks_change_nothing(spark, documents, monkeypatch):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontam.contaminated(documents, benchmark).collect()))
