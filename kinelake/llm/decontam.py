@@ -1,44 +1,80 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts become words (letters, digits and underscores, lower-cased), words 64-bit hashes. A seed is a fixed mask over SPAN
-consecutive words; the positions it ignores may differ. The masked hashes of every document position are joined with
-those of the benchmark, and around each hit the two word sequences are laid side by side and compared: the run around the
-hit is extended both ways as long as its matches outweigh its differences (one for a match, minus two for a difference,
-given up 8 below the best). It counts if it has LEAST words at least (or the whole item, down to SHORTEST), of which SHARE
-agree at least. If it falls short, the longest run of LEAST words or more that does, with equal words at both ends, is
-looked for on the whole of the two sequences as they lie side by side.
+Texts become words, lower-cased (letters, digits and underscores; each kana and Han character is one, as these scripts set no
+blanks between words), and words 64-bit hashes. A seed is a fixed mask over a few consecutive words; the positions it ignores may differ.
+The masked hashes of every document position are looked up among those of the benchmark. Each hit puts the two word sequences
+side by side, and on that alignment the longest run of LEAST words at least (of the whole item, if that is shorter) of which
+SHARE agree is looked for. It is reported without differing words at its ends.
 
-The benchmark is a stated query set: it goes over the documents in blocks of at most BLOCK_WORDS words, one pass each, so
-that what a task holds is bounded; a long item is cut into overlapping pieces. Documents are never shuffled.
+The masks are chosen by enumeration so that no such run can be without a hit: a run holds one of LEAST to twice that many
+words that agrees as well, and in each of these, however its differences fall, some mask meets equal words only.
+
+The benchmark is a stated query set: it goes over the documents in blocks of about BLOCK_BYTES of text, one pass each, and what
+a block finds is written down before the next is fetched, so neither the driver nor a task holds more than a block. A long
+item is cut into overlapping pieces. Documents are never shuffled.
 
 Defined cases: null and empty texts are clean; items of fewer than SHORTEST words are no evidence and match nothing; rows
-that repeat an id are checked each (and reported once for each item); rows without item_id count as items of null id, and
+that repeat an id are checked each (and reported once for each item); a word of more than LONGEST characters is cut; rows without item_id count as items of null id, and
 one that has no doc_id is reported with a null one; empty tables give no row; other columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions of a span of 11 words that each seed reads.
-MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 5, 6, 9, 10), (0, 2, 3, 4, 6, 8, 9, 10))
-SPAN, LEAST, SHORTEST, SHARE, DROP = 11, 13, 8, 0.8, 8
-BLOCK_WORDS, PIECE, OVERLAP = 1_000_000, 2048, 256
-SCHEMA = "doc_id long, item_id long, doc_start long, n_words long, n_same long"
-_WORDS = re.compile(r"\w+")
-
+from . import wordhash
+from .common import cut, small_join
 
-def words(text: str | None) -> np.ndarray:
-    found = _WORDS.findall((text or "").lower())
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found))
+#: Positions that each seed reads, for items of LEAST words and more, and for shorter ones.
+MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 6, 9, 10), (0, 1, 5, 7, 9, 10), (0, 1, 4, 5, 7, 8))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 2, 3, 6))
+LEAST, SHORTEST, SHARE = 13, 8, Fraction(4, 5)
+BLOCK_BYTES, PIECE, OVERLAP = 4 << 20, 2048, 256
+#: Characters that are read at once, of a single text at most; words that are matched at once; pairs that are spread out at once.
+BATCH, LONGEST, STRIDE, PAIRS = 1 << 20, 1 << 22, 1 << 20, 1 << 20
+SCHEMA = "doc_id long, item_id long, doc_start long, n_words long, n_same long"
+#: Kana and Han.
+_DENSE = "぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+
+
+@cache
+def alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is part of a word (1), one by itself (2) or neither, and its value."""
+    kind = np.zeros(0x110000, np.uint8)
+    for k, pattern in ((1, r"\w+"), (2, f"[{_DENSE}]+")):
+        for m in re.finditer(pattern, "".join(map(chr, range(0x110000)))):
+            kind[m.start() : m.end()] = k
+    return kind, wordhash.values(0x110000)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of at most LONGEST characters, cut where no word is cut if that can be."""
+    at = 0
+    while len(text) - at > LONGEST:
+        end = max((m.end() for m in re.finditer(r"\W", text[at : at + LONGEST])), default=LONGEST)
+        yield text[at : at + end]
+        at += end
+    yield text[at:]
+
+
+def words(texts: list[str | None]) -> list[np.ndarray]:
+    """The hashes of the words of each text."""
+    kind, value = alphabet()
+    cuts = [p for t in texts for p in pieces((t or "").lower())] if any(len(t or "") > LONGEST for t in texts) else [(t or "").lower() for t in texts]
+    if len(cuts) > len(texts):
+        return [np.concatenate([w for p in pieces((t or "").lower()) for w in words([p])]) for t in texts]
+    points = np.frombuffer("\0".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins, ends = wordhash.spans(kind[points])
+    found = wordhash.hashes(value[points], begins, ends)
+    return np.split(found, np.searchsorted(begins, np.cumsum([len(c) + 1 for c in cuts])[:-1]))
 
 
 def seeds(w: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -46,18 +82,46 @@ def seeds(w: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = len(w) - mask[-1]
     out = np.zeros(max(n, 0), np.uint64)
     for p in mask if n > 0 else ():
-        out = (out ^ w[p : p + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= w[p : p + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
+class Table:
+    """The sorted hashes of one mask with their positions, and a bit for each value of their leading bits."""
+
+    def __init__(self, mask: tuple[int, ...], hashes: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.mask, self.keys, self.at = mask, hashes[order], at[order]
+        self.shift = np.uint64(64 - min(24, max(8, len(at).bit_length() + 4)))
+
+    def hits(self, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in w and in the block at which a seed reads the same words, at most about PAIRS at once."""
+        if not hasattr(self, "bits"):
+            self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+            self.bits[self.keys >> self.shift] = True
+        h = seeds(w, self.mask)
+        here = np.flatnonzero(self.bits[h >> self.shift])
+        lo = np.searchsorted(self.keys, h[here])
+        n = np.searchsorted(self.keys, h[here], side="right") - lo
+        here, lo, n = here[n > 0], lo[n > 0], n[n > 0]
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(int(np.searchsorted(ends, ends[a] - n[a] + PAIRS, side="right")), a + 1)
+            k = np.repeat(np.arange(a, b), n[a:b])
+            yield here[k], self.at[lo[k] + np.arange(len(k)) - (ends[k] - n[k] - (ends[a] - n[a]))]
+            a = b
+
+
 class Block:
-    """Some benchmark items: their words end to end, and for each seed the sorted hashes with their positions."""
+    """Some benchmark items: their words end to end, and for each mask the table of its seeds."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
+    def __init__(self, items: Iterable[tuple[int | None, str | None]]) -> None:
         self.ids, parts, bounds = [], [], [0]
         for item, text in items:
-            w = words(text)
+            (w,) = words([text])
             for a in range(0, max(len(w) - OVERLAP, 1), PIECE):
                 piece = w[a : a + PIECE + OVERLAP]
                 if len(piece) >= SHORTEST:
@@ -67,109 +131,100 @@ class Block:
         self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.bounds = np.array(bounds)
         self.tables = []
-        # items shorter than a span have one seed, all their words; so do their like in the documents
-        masks = [*MASKS, *(tuple(range(k)) for k in sorted({len(p) for p in parts if len(p) < SPAN}))]
-        for mask in masks:
-            h, at = [], []
-            for p, a in zip(parts, bounds, strict=False):
-                if (len(p) >= SPAN) if mask in MASKS else len(p) == len(mask):
-                    h.append(seeds(p, mask))
-                    at.append(np.arange(len(h[-1])) + a)
-            if h:
-                h, at = np.concatenate(h), np.concatenate(at)
-                order = np.argsort(h, kind="stable")
-                self.tables.append((mask, h[order], at[order]))
-
-    def hits(self, w: np.ndarray) -> np.ndarray:
-        """Distinct (document position, block position) of the first word of each hit."""
-        found = []
-        for mask, keys, at in self.tables:
-            h = seeds(w, mask)
-            lo = np.searchsorted(keys, h)
-            lo[lo == len(keys)] = 0
-            here = np.flatnonzero(keys[lo] == h)
-            if len(here):
-                lo = lo[here]
-                n = np.searchsorted(keys, h[here], side="right") - lo
-                k = np.repeat(np.arange(len(here)), n)
-                found.append(np.column_stack([here[k], at[lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-    def matches(self, w: np.ndarray) -> list[tuple[int | None, int, int, int]]:
-        """(item id, first document word, words, equal words): the best verified overlap with each item."""
-        if len(w) < SHORTEST:
-            return []
+        for masks, fits in ((MASKS, [len(p) >= LEAST for p in parts]), (SHORT_MASKS, [len(p) < LEAST for p in parts])):
+            for mask in masks:
+                h = [seeds(p, mask) for p, fit in zip(parts, fits, strict=True) if fit]
+                if h:
+                    at = [np.arange(len(x)) + a for x, a in zip(h, [a for a, fit in zip(bounds, fits, strict=False) if fit], strict=True)]
+                    self.tables.append(Table(mask, np.concatenate(h), np.concatenate(at)))
+
+    def alignments(self, w: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, distance of the block's position from the text's) of all hits."""
+        found = [np.zeros((0, 3), np.int64)]
+        for t in self.tables:
+            for d, q in t.hits(w):
+                text, item = np.searchsorted(begins, d, side="right") - 1, np.searchsorted(self.bounds, q, side="right") - 1
+                rows = np.column_stack([text, item, d - q])
+                rows = rows[np.lexsort(rows.T)]
+                found.append(rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])])
+        return np.unique(np.concatenate(found), axis=0) if len(found) > 2 else found[-1]
+
+    def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int | None, int, int, int]]:
+        """(text, item id, first word in the text, words, equal words): the best overlap of each text with each item."""
+        w = np.concatenate([*texts, np.zeros(0, np.uint64)])
+        begins = np.cumsum([0, *map(len, texts)])
         best: dict = {}
-        done: dict = {}
-        searched: set = set()
-        for d, q in self.hits(w).tolist():
-            item = int(np.searchsorted(self.bounds, q, side="right")) - 1
-            lo, hi = int(self.bounds[item]), int(self.bounds[item + 1])
-            if done.get((item, d - q), -1) > d:
-                continue  # this run has been compared from an earlier hit
-            a, b = max(0, d - (q - lo)), min(len(w), d + hi - q)
-            same = w[a:b] == self.words[a - d + q : b - d + q]
-            left, right = _extend(same[: d - a][::-1]), _extend(same[d - a :])
-            start, stop = d - a - left, d - a + right
-            done[item, d - q] = a + stop
-            n, equal = stop - start, int(same[start:stop].sum())
-            if not ((n >= LEAST or n == hi - lo) and equal >= SHARE * n) and (item, d - q) not in searched:
-                searched.add((item, d - q))
-                start, stop = _longest(same)
-                n, equal = stop - start, int(same[start:stop].sum())
-            if (n >= LEAST or n == hi - lo) and equal >= SHARE * n and (equal, n) > best.get(self.ids[item], (0, 0, 0))[:2]:
-                best[self.ids[item]] = (equal, n, a + start)
-        return [(i, at, n, equal) for i, (equal, n, at) in best.items()]
-
-
-def _extend(same: np.ndarray) -> int:
-    """How many leading values make the highest sum of 1 for true and -2 for false, up to where it has fallen DROP below."""
-    if not len(same):
-        return 0
-    total = np.cumsum(np.where(same, 1, -2))
-    top = np.maximum.accumulate(np.maximum(total, 0))
-    end = np.argmax(top - total >= DROP) if (top - total >= DROP).any() else len(total)
-    total = total[:end]
-    return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
-
-
-def _longest(same: np.ndarray) -> tuple[int, int]:
-    """Begin and end of the longest run of LEAST values at least, true at both ends, of which SHARE are true; (0, 0) if none."""
-    at = np.flatnonzero(same)
-    if len(at) < SHARE * LEAST:
-        return 0, 0
-    # the i-th to the j-th true value make a run if j + 1 - SHARE * (at[j] + 1) is i - SHARE * at[i] at least
-    share = Fraction(SHARE).limit_denominator(100)
-    begins = share.denominator * np.arange(len(at)) - share.numerator * at
-    ends = begins + share.denominator - share.numerator
-    first = np.searchsorted(-np.minimum.accumulate(begins), -ends)  # the first true value from which each can be reached
-    n = at - at[np.minimum(first, np.arange(len(at)))] + 1
+        step = STRIDE  # longer ones go stride by stride, which share what a seed spans
+        for a in range(0, max(len(w), 1), step):
+            begins_here = begins - a
+            for text, item, shift in self.alignments(w[a : a + step + LEAST], begins_here).tolist():
+                shift += a
+                lo, hi = int(self.bounds[item]), int(self.bounds[item + 1])
+                start, stop = max(int(begins[text]), lo + shift), min(int(begins[text + 1]), hi + shift)
+                same = w[start:stop] == self.words[start - shift : stop - shift]
+                i, j = longest(same, min(LEAST, hi - lo))
+                if i < j:
+                    got = (int(same[i:j].sum()), j - i, begins[text] - start - i)
+                    best[text, self.ids[item]] = max(best.get((text, self.ids[item]), got), got)
+        return [(text, i, int(-at), n, equal) for (text, i), (equal, n, at) in best.items()]
+
+
+def longest(same: np.ndarray, least: int) -> tuple[int, int]:
+    """Begin and end of the longest run of ``least`` values at least of which SHARE are true, without false ones at its ends;
+    (0, 0) if there is none."""
+    s = np.concatenate([[0], np.cumsum(SHARE.denominator * same.astype(np.int64) - SHARE.numerator)])
+    first = np.searchsorted(-np.minimum.accumulate(s), -s)  # the first place from which the sum up to each is not below zero
+    n = np.arange(len(s)) - first
     j = int(n.argmax())
-    return (int(at[j]) + 1 - int(n[j]), int(at[j]) + 1) if n[j] >= LEAST else (0, 0)
+    if n[j] < max(least, 1):
+        return 0, 0
+    at = np.flatnonzero(same[first[j] : j]) + first[j]
+    return int(at[0]), int(at[-1]) + 1
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks of about BLOCK_WORDS words, each fetched when it is used."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0
-    n = -(-size // BLOCK_WORDS)
+    """The benchmark in blocks of about BLOCK_BYTES, each fetched when it is asked for."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // BLOCK_BYTES)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield Block([tuple(r) for r in part.collect()])
+        block = Block(tuple(r) for r in part.toLocalIterator())
+        if block.tables:
+            yield block
+
+
+def batches_of(texts: Iterable[pa.Scalar]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts as words, about BATCH characters at once, after the number of the first of them."""
+    first, held, size = 0, [], 0
+    for nth, t in enumerate(texts, 1):
+        held.append(t.as_py())
+        size += len(held[-1] or "") + 1
+        if size >= BATCH:
+            yield first, words(held)
+            first, held, size = nth, [], 0
+    if held:
+        yield first, words(held)
+
+
+def found_by(docs: DataFrame, key: str, block: Block) -> DataFrame:
+    """SCHEMA, with the column ``key`` of docs for doc_id: the overlaps with a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            rows = [(ids[first + text], *m) for first, held in batches_of(b.column("text")) for text, *m in block.matches(held)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "doc_start", "n_words", "n_same"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_start, n_words, n_same: the best overlap of each document with each item that it repeats."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     for block in blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for m in block.matches(words(t.as_py()))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "doc_start", "n_words", "n_same"])
-
-        out = out.union(docs.mapInArrow(run, SCHEMA))
+        out = out.union(cut(found_by(docs, "doc_id", block)))
+        del block
     top = F.max_by(F.struct("doc_start", "n_words", "n_same"), F.struct("n_same", "n_words", -F.col("doc_start")))
     return out.groupBy("doc_id", "item_id").agg(top.alias("x")).select("doc_id", "item_id", "x.*")
 
@@ -179,13 +234,26 @@ def clean(text: Column, block: Block) -> Column:
 
     @F.arrow_udf("boolean")
     def check(texts: pa.Array) -> pa.Array:
-        return pa.array([not block.matches(words(t.as_py())) for t in texts], pa.bool_())
+        out = np.ones(len(texts), bool)
+        for first, held in batches_of(texts):
+            out[[first + m[0] for m in block.matches(held)]] = False
+        return pa.array(out)
 
     return check(text.cast("string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that repeat a benchmark item."""
-    for block in blocks(benchmark):
-        docs = docs.where(clean(docs["text"], block))
-    return docs
+    """docs without the rows that repeat a benchmark item. One block is a filter; of several, each writes down the rows that
+    it finds, and these are left out at the end."""
+    todo = blocks(benchmark)
+    first, second = next(todo, None), next(todo, None)
+    if second is None:
+        return docs if first is None else docs.where(clean(docs["text"], first))
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = cut(found_by(rows, "__row", first).select("doc_id").distinct()).union(cut(found_by(rows, "__row", second).select("doc_id").distinct()))
+    del first, second
+    for block in todo:
+        gone = gone.union(cut(found_by(rows, "__row", block).select("doc_id").distinct()))
+        del block
+    marked = gone.distinct().select(F.col("doc_id").alias("__row"), F.lit(True).alias("__gone"))
+    return small_join(rows, marked, ["__row"]).where("__gone is null").select(*docs.columns)

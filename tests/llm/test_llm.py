@@ -409,26 +409,97 @@ def test_decontamination(spark, odd):
     assert decontam.decontaminate(odd, benchmark).count() == odd.count()
 
 
+def brute_overlap(text, item):
+    """Equal words and length of the best run, over all alignments and all runs that are long enough."""
+    best, least = (0, 0), min(len(item), decontam.LEAST)
+    for shift in range(-len(item), len(text)) if least >= decontam.SHORTEST else ():
+        same = [0 <= i + shift < len(text) and text[i + shift] == x for i, x in enumerate(item)]
+        inside = [0 <= i + shift < len(text) for i in range(len(item))]
+        for i in range(len(item)):
+            for j in range(i + least, len(item) + 1):
+                if all(inside[i:j]) and 5 * sum(same[i:j]) >= 4 * (j - i):
+                    k = [x for x in range(i, j) if same[x]]
+                    best = max(best, (len(k), k[-1] - k[0] + 1))
+    return best
+
+
+def test_no_copy_with_substitutions_is_missed():
+    rng, caught = np.random.default_rng(8), collections.Counter()
+    cases = [(8, 1), (10, 2), (12, 2), (13, 1), (13, 2), (13, 3), (18, 3), (20, 4), (20, 5), (30, 6), (40, 11)]
+    for case in range(440):
+        n, changed = cases[case % len(cases)]
+        item = [f"w{x}" for x in rng.integers(0, 400, n)]
+        copy = list(item)
+        for at in rng.choice(n, changed, replace=False):
+            copy[at] = f"w{rng.integers(0, 400)}x"
+        text = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(0, 9)))] + copy + [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(0, 9)))]
+        got = decontam.Block([(1, " ".join(item))]).matches(decontam.words([None, " ".join(text), "x y z"]))
+        same, length = brute_overlap(text, item)
+        assert [(m[0], m[4]) for m in got] == ([(1, same)] if same else []), (item, text)
+        caught[n, changed] += len(got)
+    # of copies that agree in four fifths of their words, all
+    assert all(caught[c] == 40 for c in cases if 5 * c[1] <= c[0])
+
+
+def test_every_run_has_a_hit():
+    """However its differences fall."""
+    for masks, sizes in ((decontam.MASKS, range(13, 26)), (decontam.SHORT_MASKS, range(8, 13))):
+        for n in sizes:
+            for differ in itertools.combinations(range(n), n - -(-4 * n // 5)):
+                assert any(not {i + p for p in m} & set(differ) for m in masks for i in range(n - m[-1]))
+
+
 def test_runs_within_longer_ones():
     item = [f"w{i}" for i in range(154)]
     block = decontam.Block([(1, " ".join(item))])
     copy = [w if i < 30 or (i - 30) % 4 else f"x{i}" for i, w in enumerate(item)]
-    assert [m[0] for m in block.matches(decontam.words(" ".join(copy)))] == [1]
-    rng, caught = np.random.default_rng(8), 0
-    for case in range(600):
-        n = (13, 20, 40, 55, 90)[case % 5]
-        same = rng.random(n) > (0.2, 0.25, 0.3, 0.35)[case % 4]
-        runs = [(j - i, i) for i in range(n) for j in range(i + 13, n + 1) if same[i] and same[j - 1] and 5 * same[i:j].sum() >= 4 * (j - i)]
-        a, b = decontam._longest(same)
-        assert (b - a, a) in runs if runs else a == b
-        assert b - a == max(runs, default=(0, 0))[0]
-        text = ["before"] * 5 + [w if s else f"x{k}" for k, (w, s) in enumerate(zip(item, same, strict=False))] + ["after"] * 5
-        # a word stands once in the item, so no other alignment has two equal words; a seed must find this one
-        hit = any(all(same[i + p] for p in mask) for mask in decontam.MASKS for i in range(n - mask[-1]))
-        found = decontam.Block([(1, " ".join(item[:n]))]).matches(decontam.words(" ".join(text)))
-        assert [m[0] for m in found] == ([1] if runs and hit else [])
-        caught += len(found)
-    assert caught > 50
+    assert [m[1] for m in block.matches(decontam.words([" ".join(copy)]))] == [1]
+
+
+def test_longest_run():
+    rng = np.random.default_rng(9)
+    for case in range(400):
+        n = (13, 20, 40, 55)[case % 4]
+        same = rng.random(n) > (0.2, 0.25, 0.3, 0.35)[case % 3]
+        longest = max((j - i for i in range(n) for j in range(i + 13, n + 1) if 5 * same[i:j].sum() >= 4 * (j - i)), default=0)
+        a, b = decontam.longest(same, 13)
+        assert (longest == 0) == (a == b) and b - a <= longest
+        assert a == b or (same[a] and same[b - 1] and 5 * same[a:b].sum() >= 4 * (b - a))
+
+
+@pytest.mark.parametrize("item", [
+    "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать",
+    "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική και συνείδηση",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待", "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ",
+])
+def test_benchmarks_in_other_scripts(spark, item):
+    docs = frame(spark, [(1, f"A page. {item.upper()}! And more.", "en", "s"), (2, item[:9] + " else", "en", "s"), (3, "clean " * 40, "en", "s")])
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()] == [(1, 7)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, benchmark).collect()) == [2, 3]
+
+
+def test_words_are_what_the_pattern_says(monkeypatch):
+    texts = ["", None, "One, TWO_2 -- x", "x", "\U0001f600 é\u0301 ß STRASSE İ", "漢字kana かな 1２", "one two_2 X", " " * 50 + "one" + " x" * 40]
+    for most in (1 << 22, 20):
+        monkeypatch.setattr(decontam, "LONGEST", most)
+        got, named = decontam.words(texts), {}
+        for t, hashes in zip(texts, got, strict=True):
+            want = re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W\u3040-\u30ff\u4e00-\u9fff]+", (t or "").lower())
+            assert len(want) == len(hashes)
+            for w, h in zip(want, hashes.tolist(), strict=True):
+                assert named.setdefault(w, h) == h
+        assert len(set(named.values())) == len(named)
+    assert sum(map(len, decontam.words(["y" * 50]))) == 3
+
+
+def test_long_texts_that_repeat_themselves(monkeypatch):
+    monkeypatch.setattr(decontam, "PAIRS", 5000)
+    monkeypatch.setattr(decontam, "STRIDE", 2000)
+    monkeypatch.setattr(decontam, "LONGEST", 1000)
+    item, text = "alpha beta gamma delta " * 30, "x " * 3000 + "alpha beta gamma delta " * 700
+    (m,) = decontam.Block([(1, item)]).matches(decontam.words([text]))
+    assert m == (0, 1, 3000, 120, 120)
 
 
 def test_blocks_change_nothing(spark, documents, monkeypatch):
@@ -437,8 +508,11 @@ def test_blocks_change_nothing(spark, documents, monkeypatch):
     words = {r.item_id: re.findall(r"\w+", r.text.lower()) for r in benchmark.collect()}
     exact = {(r.doc_id, i) for r in documents.collect() for i, x in words.items() if " ".join(x) in " ".join(re.findall(r"\w+", r.text.lower()))}
     assert exact and {(r[0], r[1]) for r in one} == exact
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
+    left = sorted(r.doc_id for r in decontam.decontaminate(documents, benchmark).collect())
+    assert left == sorted({r.doc_id for r in documents.collect()} - {r[0] for r in one})
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
     assert sorted(map(tuple, decontam.contaminated(documents, benchmark).collect())) == one
+    assert sorted(r.doc_id for r in decontam.decontaminate(documents, benchmark).collect()) == left
 
 
 # language-model scores
