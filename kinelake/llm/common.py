@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a table that was counted may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Whether Spark removes the shuffle files of a query when that ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SALTS = 32
 
 
@@ -32,14 +33,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation. The shuffle files
-    that led to it are of no more use; the driver's garbage collection, which is what frees them, is asked for."""
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation. The shuffle files that
+    led to it are of no more use, and Spark is told to remove them when it is done."""
     shared_dir(df.sparkSession)
-    kept = df.checkpoint()
-    del df
-    gc.collect()
-    kept.sparkSession.sparkContext._jvm.System.gc()
-    return kept
+    conf = df.sparkSession.conf
+    before = conf.get(REMOVE_SHUFFLES, None)
+    conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.unset(REMOVE_SHUFFLES) if before is None else conf.set(REMOVE_SHUFFLES, before)
 
 
 def lower_ascii(c: Column) -> Column:

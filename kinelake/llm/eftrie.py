@@ -57,8 +57,15 @@ class EliasFano:
         return self.low, self.high, self.ranks
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        """The values at places i."""
+        """The values at places i. Many of them decode the sequence, a piece at a time."""
         i = np.asarray(i, np.int64)
+        if len(i) * self.DENSE > self.n:
+            out = np.zeros(len(i), np.int64)
+            for a in range(0, self.n, self.PIECE):
+                b = min(a + self.PIECE, self.n)
+                here = np.flatnonzero((i >= a) & (i < b)) if b - a < self.n else slice(None)
+                out[here] = self.decode(a, b)[i[here] - a]
+            return out
         word = np.searchsorted(self.ranks, i, side="right") - 1
         bits, rest = self.high[word].copy(), i - self.ranks[word]
         # the place of the (rest + 1)-th set bit of a word, by halves
@@ -150,6 +157,10 @@ class Level:
         ok[ok] = self.words.get(at[ok]) == x[ok]
         return np.where(ok, at, -1)
 
+    def code(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The codes at these places; ``other`` where a place is -1."""
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)], other).astype(np.uint16) if len(self.codes) else other.astype(np.uint16)
+
 
 class Trie:
     """n-grams over word numbers 0 to words - 1. Level k (from 2) has the k-grams below the (k-1)-grams' places."""
@@ -198,18 +209,23 @@ class Trie:
         return np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype(np.uint16) if len(codes) else np.zeros(len(rows), np.uint16)
 
     def mapped(self) -> Trie:
-        """The same trie, its levels in a file without a name and read through a memory map."""
-        levels = []
-        with tempfile.TemporaryFile() as f:
-            for level in self.levels:
-                arrays = [*level.pointers.parts(), *level.words.parts(), level.codes]
-                starts = []
-                for a in arrays:
-                    f.write(b"\0" * (-f.tell() % 8))
-                    starts.append(f.tell())
-                    f.write(np.ascontiguousarray(a).tobytes())
-                f.flush()
-                maps = [np.memmap(f, a.dtype, "r", start, (len(a),)) if len(a) else a for a, start in zip(arrays, starts, strict=True)]
-                p, w = level.pointers, level.words
-                levels.append(Level(EliasFano(*maps[:3], p.width, p.n), EliasFano(*maps[3:6], w.width, w.n), maps[6]))
-        return Trie(self.words, levels)
+        """The same trie, read through a memory map."""
+        return Trie(self.words, mapped(self.levels))
+
+
+def mapped(levels: list[Level]) -> list[Level]:
+    """The same levels, written one after the other into a file without a name and read through a memory map."""
+    out = []
+    with tempfile.TemporaryFile() as f:
+        for level in levels:
+            arrays = [*level.pointers.parts(), *level.words.parts(), level.codes]
+            starts = []
+            for a in arrays:
+                f.write(b"\0" * (-f.tell() % 8))
+                starts.append(f.tell())
+                f.write(np.ascontiguousarray(a).tobytes())
+            f.flush()
+            maps = [np.memmap(f, a.dtype, "r", start, (len(a),)) if len(a) else a for a, start in zip(arrays, starts, strict=True)]
+            p, w = level.pointers, level.words
+            out.append(Level(EliasFano(*maps[:3], p.width, p.n), EliasFano(*maps[3:6], w.width, w.n), maps[6]))
+    return out

@@ -1,49 +1,54 @@
 """Language-model scoring with Elias-Fano n-gram tries.
 
-The model is interpolated, of order 2 or 3. A word w after h has probability c(hw) / (c(h) + K) + K / (c(h) + K) * P(w),
-where P is the model of the order below, down to the unigram model whose score is the base score. A context that was never
-seen leaves P as it is; a document's first word has the start alone before it. The first term of each seen bigram and
-trigram, a quantised logarithm, is what the tries store. Neither the words nor the n-grams of a corpus fit one machine, so both are dealt to shards, whose
-number follows the size of the input, and no task, nor the driver, sees more than a shard:
-
-1. Texts are cut into chunks of about CHUNK bytes, and a chunk's words numbered. It asks the shards of the hashes of its
-   words for their counts; a shard adds up what the training documents of all chunks have, and answers.
-2. With these counts a chunk knows its base scores and its contexts' totals. It asks the shards of its distinct bigrams
-   for their terms. A shard counts, builds its trie (contexts; their successors and terms), maps it into memory and looks
-   up everything that it was asked. A context as frequent as a shard's share is dealt to several shards by successor; how
-   many is a rule on its total, which all chunks know alike.
-3. Of order 3, a shard also answers with the place of each bigram in its trie and the count where the term is too coarse to
-   tell it. A trigram is then the place of its first two words and the number of its last two among the successors of the
-   middle one (the context-relative number of the trie's third level), and is asked for at the shard of that place; contexts
-   that are frequent are dealt to the shards that follow. Only trigrams whose two bigrams were seen are asked for.
-4. Answers meet their chunk again, and the logarithms are added up by document.
-
-Words are told apart by 64-bit hashes, successors within a context and shard by 32 bits more than the shard takes.
+The model is a trigram model, smoothed level by level. For a context h that was seen m times, followed by t kinds of words,
+a word w has the probability max(c(hw) - D, 0) / m + D * t / m * P(w), where P is that of the level below (absolute
+discounting, D by level); a context that was seen HOT times or more, whose kinds no single task counts, has
+(c(hw) + MASS * P(w)) / (m + MASS) instead. A context that was never seen leaves P as it is. The lowest level is the unigram
+model whose score is the base score. Texts begin after two start tokens.
+
+Neither the words nor the n-grams of a corpus fit one machine, so both are dealt to shards, whose number follows the size of
+the input, and no task, nor the driver, sees more than a shard:
+
+1. Texts are cut into chunks of about CHUNK bytes, and a chunk's words numbered. It asks the shards of its words' hashes for
+   their training counts and for identifiers, small for frequent words.
+2. A bigram whose first word is HOT is asked for at a shard of that word and its successor, which answers with the smoothed
+   probability, and with the count if that is HOT as well. Without hot words there is no such step.
+3. A trigram is asked for at the shard of its middle word, which thus has all bigrams and all trigrams around that word; what
+   is asked brings the last word's unigram probability along. Around a hot word trigrams are dealt by their first word as
+   well, and bring the bigram's probability; after a hot pair of words also by the last one.
+4. A shard counts, builds its trie and looks up in it, by successor search, everything that it was asked for. The trie has
+   the middle words; their successors, each with a smoothed probability; their predecessors (so contexts of two words), each
+   with a back-off weight; and below these the last words as places among the successors of the middle word alone (numbers
+   relative to the shorter context), each with a smoothed probability. Levels are Elias-Fano sequences and 16-bit codes,
+   read through a memory map.
+5. Answers meet their chunk again, and the logarithms are added up by document.
+
+Words are told apart by 64-bit hashes, and from there on by identifiers, which are exact.
 
 Defined cases: a null or empty text is the end token alone; rows without doc_id count as those of an empty id; rows that
 repeat an id are scored each; with no training document every probability is that of an unknown word; an empty table
-gives no row; columns other than doc_id and text are ignored.
+gives no row; columns other than doc_id and text are ignored. A text is one value and stands in one chunk.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordhash
 from .common import crc_of_id, cut
-from .eftrie import Trie, quantise, restore
+from .eftrie import CODES, EliasFano, Level, mapped, quantise, restore
 
-CHUNK, SHARD, SLICE, K = 16 << 20, 8 << 20, 1 << 16, 300.0
-#: Counts up to this one can be told from a quantised term.
-EXACT = 1000
-END, START = b"\n", b"\t"
+CHUNK, SHARD = 16 << 20, 8 << 20
+#: Discounts of bigrams and trigrams; the frequency from which a context is hot, and what counts as its prior's mass.
+DISCOUNTS, HOT, MASS = (0.75, 0.9), 1 << 20, float(1 << 14)
+#: Identifier of the start token, and hash of the end token.
+START, END = 0, np.uint64(0x656E64)
 ROWS = "chunk long, shard int, payload binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -53,325 +58,412 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out += [f"{a.dtype.str}{len(a)};".encode().rjust(24), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""]
+        out += [f"{a.dtype.str}{len(a)};".encode().rjust(16), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     while at < len(raw):
-        kind, n = (x := raw[at : at + 24].decode().strip(" ;"))[:3], int(x[3:])
+        kind, n = (x := raw[at : at + 16].decode().strip(" ;"))[:3], int(x[3:])
         kind = np.dtype(kind)
-        at += 24
+        at += 16
         out.append(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind))
         at += n * kind.itemsize
     return out
 
 
 def small(a: np.ndarray) -> np.ndarray:
-    """Counts in 32 bits where they fit."""
-    return a.astype(np.uint32) if not len(a) or a.max() < 2**32 else a.astype(np.uint64)
+    """Numbers in as few bytes as they fit."""
+    most = a.max(initial=0)
+    return a.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
 
 
-def deltas(a: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
-    """32-bit numbers that rise within each range as their differences; each range begins with its first number."""
+def steps(a: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Numbers that rise within each range as their differences; each range begins with its first number."""
     out = np.diff(a, prepend=a[:1] * 0)
-    if begins is not None:
-        out[begins] = a[begins]
-    return out
+    out[begins] = a[begins]
+    return small(out)
 
 
-def sums(d: np.ndarray, lengths: np.ndarray | None = None, kind: type = np.uint32) -> np.ndarray:
-    """The inverse of deltas, for ranges of these lengths."""
+def sums(d: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The inverse of steps, for ranges of these lengths."""
     total = np.cumsum(d, dtype=np.uint64)
-    if lengths is not None:
-        n = lengths.astype(np.int64)
-        begins = np.cumsum(n) - n
-        total = total - np.repeat(total[begins] - d[begins], n)
-    return total.astype(kind)
-
-
-def count_of(codes: np.ndarray, totals: np.ndarray, k: float) -> np.ndarray:
-    """The count of each seen n-gram by its term, to EXACT at least without an error."""
-    return np.rint(10.0 ** restore(codes) * (totals + k))
-
-
-def hashed(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 10)
+    n = lengths.astype(np.int64)
+    begins = np.cumsum(n) - n
+    return total - np.repeat(total[begins] - d[begins], n) if len(d) else total
 
 
 def deal(h: np.ndarray, n: int) -> np.ndarray:
     """The shard, 0 to n - 1, of each hash."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+
 
+def slice_of(ids: np.ndarray, total: np.ndarray, hot: int) -> np.ndarray:
+    """Which slice of a hot context, seen ``total`` times, has the words ``ids``."""
+    return wordhash.mixed(ids) % (total.astype(np.uint64) // np.uint64(hot) + np.uint64(1)) + np.uint64(1)
 
-def scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
+
+def begins_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def rows_of(chunk, shard, payloads: list[bytes]) -> pa.RecordBatch:
     n = len(payloads)
-    make = lambda x, t: pa.array([x] * n if np.isscalar(x) else list(x), t)
+    make = lambda x, t: pa.array([x] * n if np.isscalar(x) else x, t)
     return pa.RecordBatch.from_arrays([make(chunk, pa.int64()), make(shard, pa.int32()), pa.array(payloads, pa.binary())], ["chunk", "shard", "payload"])
 
 
-def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, train, text to chunks: document ids, whether they are null, train flags, token counts, token numbers, and the
-    hashes of the numbered words (number 0 is the end token)."""
-    from pyspark import TaskContext
-
-    part, nth = TaskContext.get().partitionId(), 0
-
-    def fresh():
-        d: defaultdict = defaultdict()
-        d.default_factory = d.__len__
-        d[END]  # noqa: B018
-        return d, [], [], 0
-
-    def chunk():
-        h = np.fromiter(map(hashed, numbers), np.uint64, len(numbers))
-        ids, train = zip(*docs, strict=True)
-        null = np.array([i is None for i in ids])
-        lengths = np.array([len(t) for t in tokens], np.uint32)
-        return rows_of(part << 32 | nth, 0, [pack(np.array([i or 0 for i in ids], np.int64), null, np.array(train, bool), lengths, np.concatenate(tokens), h)])
-
-    numbers, docs, tokens, size = fresh()
-    for b in batches:
-        for i, train, text in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            words.append(END)
-            tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            docs.append((i, train))
-            size += len(text.as_py() or "") + 16
-            if size >= CHUNK:
-                yield chunk()
-                nth += 1
-                numbers, docs, tokens, size = fresh()
-    if docs:
-        yield chunk()
+def smoothed(n: np.ndarray, m: np.ndarray, kinds: np.ndarray, hot: np.ndarray, discount: float, mass: float, below: np.ndarray) -> np.ndarray:
+    """The probability of n-grams seen n times after contexts seen m times and followed by so many kinds of words."""
+    return np.where(hot, (n + mass * below) / (m + mass), np.maximum(n - discount, 0) / m + discount * kinds / m * below)
 
 
-class Chunk:
-    """A chunk's tokens."""
-
-    def __init__(self, payload: bytes) -> None:
-        self.ids, self.null, self.train, self.lengths, self.tokens, self.hashes = unpack(payload)
-        self.lengths = self.lengths.astype(np.int64)
-        self.tokens = self.tokens.astype(np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.of = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
-        self.trains = self.train[self.of]
-
-    def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers by hash, and where each shard's begin among them."""
-        order = np.argsort(self.hashes)
-        return order, np.searchsorted(deal(self.hashes[order], shards), np.arange(shards + 1))
-
-    def learn_words(self, answers: pa.Table, shards: int) -> None:
-        """Fills counts, the training count of each word."""
-        order, _ = self.word_order(shards)
-        self.counts = np.zeros(len(order), np.float64)
-        self.counts[order] = np.concatenate([unpack(p.as_py())[0] for p in _by_shard(answers)])
-
-    def pairs(self, shards: int, n_train: int) -> tuple[np.ndarray, ...]:
-        """For each distinct bigram of a seen context, by shard: shard, context code, successor code, context total and
-        training count; and for each token the number of its bigram, -1 where the context was never seen."""
-        words = len(self.hashes)
-        before = np.concatenate([[0], self.tokens[:-1]])
-        before[np.concatenate([[0], self.ends[:-1]])] = words  # the start
-        totals = np.append(self.counts, self.counts[0])
-        context = np.append(self.hashes, np.uint64(hashed(START)))
-        seen = np.flatnonzero((totals > 0)[before])
-        of = np.full(len(self.tokens), -1, np.int32)
-        bigrams = before[seen]
-        bigrams *= words
-        bigrams += self.tokens[seen]
-        keys, inverse = np.unique(bigrams, return_inverse=True)
-        del bigrams
-        c, w = keys // words, keys % words
-        n = np.bincount(inverse, weights=self.trains[seen], minlength=len(keys)).astype(np.int64)
-        h, g, total = scramble(context[c]), scramble(self.hashes[w] + np.uint64(1)), totals[c]
-        slices = np.maximum(np.ceil(total * 4 * shards / max(n_train, 1)), 1).astype(np.uint64)
-        shard = deal(scramble(h + g % slices), shards)
-        code_h, code_w = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((code_w, code_h, shard))
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        of[seen] = place[inverse]
-        self.slices, self.slice = slices[order], (g % slices)[order]
-        return shard[order], code_h[order], code_w[order], total[order].astype(np.int64), n[order], of, totals[before]
-
-
-    def learn_pairs(self, answers: pa.Table, shards: int, n_train: int, k: float) -> tuple[np.ndarray, ...]:
-        """What pairs() gives of shard, bigram of each token and context total of each token, and each bigram's code. Fills
-        counts of bigrams, their places and their numbers among the successors of their contexts."""
-        shard, ch, _, total, _, of, totals = self.pairs(shards, n_train)
-        got = [unpack(p.as_py()) for p in _by_shard(answers)]
-        codes = np.concatenate([x[0] for x in got] or [np.zeros(0, np.uint16)])
-        if not got or len(got[0]) < 2:
-            return shard, of, totals, codes
-        seen = codes > 0
-        begin = np.concatenate([sums(x[2]) for x in got]).astype(np.int64)
-        at = np.cumsum(np.concatenate([[True], (ch[1:] != ch[:-1]) | (shard[1:] != shard[:-1])])) - 1
-        self.places, self.pair_counts = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        self.places[seen] = np.concatenate([sums(x[1]) for x in got])
-        self.pair_counts[seen] = count_of(codes[seen], total[seen], k)
-        self.pair_counts[self.pair_counts > EXACT] = np.concatenate([x[3] for x in got])
-        self.numbers = np.where(seen, (self.places - begin[at]) * self.slices.astype(np.int64) + self.slice.astype(np.int64), 0)
-        return shard, of, totals, codes
-
-    def triples(self, shard: np.ndarray, of: np.ndarray, codes: np.ndarray, shards: int, n_train: int) -> tuple[np.ndarray, ...]:
-        """For each distinct trigram of two seen bigrams, by shard: shard, context, number, context total and training count;
-        for each token the number of its trigram, -1 where it has none; and for each token the total of its context of two
-        words, 0 where that was never seen."""
-        before = np.concatenate([[-1], of[:-1]])
-        before[np.concatenate([[0], self.ends[:-1]])] = -1
-        seen = codes > 0 if len(codes) else np.zeros(1, bool)
-        totals = np.where(before >= 0, np.append(self.pair_counts, 0)[before], 0) if len(codes) else np.zeros(len(of), np.int64)
-        asked = np.flatnonzero((totals > 0) & (of >= 0) & seen[np.maximum(of, 0)])
-        keys, inverse = np.unique(before[asked].astype(np.int64) * len(codes) + of[asked], return_inverse=True)
-        n = np.bincount(inverse, weights=self.trains[asked], minlength=len(keys)).astype(np.int64)
-        a, b = (keys // len(codes), keys % len(codes)) if len(codes) else (keys, keys)
-        del keys
-        number, total = self.numbers[b], self.pair_counts[a]
-        slices = np.clip(np.ceil(total * 4.0 * shards / max(n_train, 1)), 1, shards).astype(np.uint64)
-        moved = (scramble(scramble(number.astype(np.uint64) + np.uint64(1))) % slices).astype(np.int64)
-        to, context = (shard[a] + moved) % shards, moved.astype(np.uint64) << np.uint64(32) | self.places[a].astype(np.uint64)
-        order = np.lexsort((number, context, to))
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        of3 = np.full(len(of), -1, np.int32)
-        of3[asked] = place[inverse]
-        return to[order], context[order], number[order].astype(np.uint32), total[order], n[order], of3, totals
+def back_off(m: np.ndarray, kinds: np.ndarray, hot: np.ndarray, discount: float, mass: float) -> np.ndarray:
+    """The weight of the level below; 1 for a context that was never seen."""
+    return np.where(m == 0, 1.0, np.where(hot, mass / (m + mass), discount * kinds / np.maximum(m, 1)))
 
 
-def _by_shard(t: pa.Table) -> list:
-    return t.column("payload").combine_chunks().take(pa.array(np.argsort(t.column("shard").to_numpy(), kind="stable")))
+def lower(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The code of a probability times that of a back-off weight."""
+    return np.minimum(code.astype(np.int64) + weight - 1, CODES).astype(np.uint16)
 
 
-def score(docs: DataFrame, training=None, k: float = K, order: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. training: which rows the model
-    learns from; those whose crc32 of the id, mod 5, is not 1, if not given. order: 2 or 3, the longest n-grams."""
-    if order not in (2, 3):
-        raise ValueError(f"order {order} is not 2 or 3")
-    training = crc_of_id(F.col("doc_id")) % 5 != 1 if training is None else training
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(12, -(-size // SHARD))
-    bodies = cut(rows.mapInArrow(tokenise, ROWS))
+# chunks
+
+
+def tokenise(shards: int, most: int):
+    """doc_id, train, text to chunks: a row of shard -1 with document ids, whether they are null, train flags, token counts and
+    token numbers (in order of the words' hashes), and rows that ask each shard for words: their hashes and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, nth = TaskContext.get().partitionId(), 0
+        ids, train, texts, size = [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            h, n = wordhash.of_words(texts)
+            words, tokens = np.unique(np.insert(h, np.cumsum(n), END), return_inverse=True)
+            learns = np.array(train, bool)
+            counts = np.bincount(tokens, np.repeat(learns, n + 1), len(words)).astype(np.int64)
+            cuts = np.searchsorted(deal(words, shards), np.arange(shards + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            null = np.array([i is None for i in ids])
+            body = pack(np.array([i or 0 for i in ids], np.int64), null, learns, small(n + 1), small(tokens))
+            return rows_of(part << 32 | nth, np.concatenate([[-1], full]), [body, *(pack(words[cuts[s] : cuts[s + 1]], small(counts[cuts[s] : cuts[s + 1]])) for s in full)])
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, p in zip(b.column("chunk").to_pylist(), b.column("payload"), strict=True):
-                c = Chunk(p.as_py())
-                order, cuts = c.word_order(shards)
-                n = small(np.bincount(c.tokens[c.trains], minlength=len(order)))[order]
-                h = c.hashes[order]
-                full = np.flatnonzero(np.diff(cuts))
-                yield rows_of(at, full, [pack(h[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]]) for s in full])
-
-    def count_words(t: pa.Table) -> pa.Table:
+            for i, learn, text in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
+                ids.append(i)
+                train.append(learn)
+                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                size += len(texts[-1]) + 16
+                if size >= most:
+                    yield chunk()
+                    nth += 1
+                    ids, train, texts, size = [], [], [], 0
+        if ids:
+            yield chunk()
+
+    return run
+
+
+def answer_words(shards: int):
+    """Training counts and identifiers of the words that one shard was asked for, and sums over all of its words."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         asked = [unpack(p.as_py()) for p in t.column("payload")]
-        h, n = (np.concatenate([x[i] for x in asked]).astype(np.uint64) for i in (0, 1))
-        words, inverse = np.unique(h, return_inverse=True)
-        counts = np.bincount(inverse, weights=n, minlength=len(words))
-        answers = np.split(counts[inverse], np.cumsum([len(x[0]) for x in asked])[:-1])
-        out = pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array([pack(small(a)) for a in answers], pa.binary())})
+        words, inverse = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([x[1] for x in asked]), len(words)).astype(np.int64)
+        ids = np.empty(len(words), np.uint64)
+        ids[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint64) * np.uint64(shards) + np.uint64(key[0].as_py() + 1)
+        cuts = np.cumsum([len(x[0]) for x in asked])[:-1]
+        answers = [pack(small(c), small(i)) for c, i in zip(np.split(counts[inverse], cuts), np.split(ids[inverse], cuts), strict=True)]
         first = lambda x: pa.array([int(x)] + [0] * (t.num_rows - 1), pa.int64())
-        return out.append_column("tokens", first(counts.sum())).append_column("types", first((counts > 0).sum()))
-
-    known = cut(bodies.mapInArrow(ask_words, ROWS).groupBy("shard").applyInArrow(count_words, ROWS + ", tokens long, types long"))
-    total, types = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-
-    def ask(chunk: int, shard, context, number, totals, n) -> pa.Table:
-        """Rows that ask each shard for n-grams, sorted by shard, context and number."""
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        out, full = [], np.flatnonzero(np.diff(cuts))
-        for s in full:
-            a, b = cuts[s], cuts[s + 1]
-            begin = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
-            out.append(pack(deltas(context[a:b][begin]), small(np.diff(np.append(begin, b - a))), small(totals[a:b][begin]), deltas(number[a:b], begin), small(n[a:b])))
-        return pa.Table.from_batches([rows_of(chunk, full, out)])
-
-    def answer(t: pa.Table, places: bool) -> pa.Table:
-        """The term of each n-gram that was asked for; with places, also what the next level needs of those that were seen."""
-        asked = [unpack(p.as_py()) for p in t.column("payload")]
-        for x in asked:
-            x[0], x[3] = sums(x[0], kind=x[0].dtype.type), sums(x[3], x[1])
-        contexts, first, dense = np.unique(np.concatenate([x[0] for x in asked]), return_index=True, return_inverse=True)
-        dense = np.split(dense.astype(np.uint64), np.cumsum([len(x[0]) for x in asked])[:-1])
-        keys = [np.repeat(c, x[1].astype(np.int64)) << np.uint64(32) | x[3].astype(np.uint64) for c, x in zip(dense, asked, strict=True)]
-        grams, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([x[4] for x in asked]), minlength=len(grams))
-        totals = np.concatenate([x[2] for x in asked])[first].astype(np.float64)
-        grams = np.column_stack([(grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-        seen = n > 0
-        terms = quantise(np.log10(n[seen] / (totals[grams[seen, 0]] + k)))
-        trie = Trie.build(len(contexts), [grams[seen]], [terms]).mapped()
-        at = trie.place(grams)
-        codes = np.zeros(len(at), np.uint16)
-        codes[at >= 0] = trie.levels[0].codes[at[at >= 0]]
-        parts = np.split(inverse, np.cumsum([len(x) for x in keys])[:-1])
-        if places:
-            begins = trie.levels[0].pointers.get(np.arange(len(contexts))).astype(np.uint32)
-            coarse = seen.copy()
-            coarse[seen] = count_of(codes[seen], totals[grams[seen, 0]], k) > EXACT
-            answers = [pack(codes[i], deltas(at[i[seen[i]]].astype(np.uint32)), deltas(begins[c.astype(np.int64)]), small(n[i[coarse[i]]])) for i, c in zip(parts, dense, strict=True)]
-        else:
-            answers = [pack(codes[i]) for i in parts]
-        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array(answers, pa.binary())})
-
-    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left.column("payload")[0].as_py())
-        c.learn_words(right, shards)
-        return ask(left.column("chunk")[0].as_py(), *c.pairs(shards, total)[:5])
-
-    def level(t: pa.Table, n: int) -> pa.Table:
-        return t.filter(pa.array(t.column("level").to_numpy() == n))
-
-    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left.column("payload")[0].as_py())
-        c.learn_words(level(right, 1), shards)
-        shard, of, _, codes = c.learn_pairs(level(right, 2), shards, total, k)
-        if not len(codes):
-            return pa.Table.from_batches([rows_of(0, [], [])])
-        return ask(left.column("chunk")[0].as_py(), *c.triples(shard, of, codes, shards, total)[:5])
-
-    asked = bodies.groupBy("chunk").cogroup(known.select("chunk", "shard", "payload").groupBy("chunk")).applyInArrow(ask_pairs, ROWS)
-    terms = cut(asked.groupBy("shard").applyInArrow(lambda t: answer(t, order > 2), ROWS))
-    del asked
-    answers = known.select("chunk", "shard", "payload", F.lit(1).alias("level")).unionByName(terms.withColumn("level", F.lit(2)))
-    if order > 2:
-        # what is asked is kept, so that the shuffle files of the chunks are freed before it is dealt
-        asked = cut(bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_triples, ROWS))
-        answers = answers.unionByName(cut(asked.groupBy("shard").applyInArrow(lambda t: answer(t, False), ROWS)).withColumn("level", F.lit(3)))
-        del asked
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left.column("payload")[0].as_py())
-        c.learn_words(level(right, 1), shards)
-        shard, of, totals, codes = c.learn_pairs(level(right, 2), shards, total, k)
-        if order > 2 and len(codes):
-            *_, of3, totals3 = c.triples(shard, of, codes, shards, total)
-            codes3 = np.concatenate([unpack(p.as_py())[0] for p in _by_shard(level(right, 3))] or [np.zeros(0, np.uint16)])
-        del shard
-        # token by token in slices, so that only the two logarithms have a chunk's length
-        log_base, log_p = np.empty(len(of)), np.empty(len(of))
-        for a in range(0, len(of), SLICE):
-            at = slice(a, a + SLICE)
-            base = (c.counts[c.tokens[at]] + 0.5) / (total + 0.5 * (types + 1))
-            code = np.where(of[at] >= 0, codes[np.maximum(of[at], 0)], 0) if len(codes) else np.zeros(len(base), np.uint16)
-            log_base[at] = np.log10(base)
-            p = np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals[at] + k) * base
-            if order > 2 and len(codes):
-                code = np.where(of3[at] >= 0, codes3[np.maximum(of3[at], 0)], 0) if len(codes3) else np.zeros(len(base), np.uint16)
-                p = np.where(code > 0, 10.0 ** restore(code), 0.0) + k / (totals3[at] + k) * p
-            log_p[at] = np.log10(p)
-        add = lambda x: np.bincount(c.of, weights=x, minlength=len(c.ids))
+        out = {"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array(answers, pa.binary())}
+        return pa.table({**out, "tokens": first(counts.sum()), "types": first((counts > 0).sum()), "most": first(counts.max())})
+
+    return run
+
+
+class Corpus:
+    """What holds for all chunks: shards, training tokens, types and documents, the frequency from which a context is hot, the
+    mass of its prior, and whether there is one."""
+
+    def __init__(self, shards: int, tokens: int, types: int, documents: int, most: int) -> None:
+        self.shards, self.tokens, self.types, self.documents = shards, tokens, types, documents
+        self.from_count, self.mass = HOT, MASS
+        self.hot = max(most, documents) >= HOT
+
+
+class Chunk:
+    """A chunk's tokens and what is known of their words. Words are numbered anew, in order of their identifiers' shards; the
+    start token is one of them."""
+
+    def __init__(self, body: bytes, known: list[bytes], corpus: Corpus) -> None:
+        self.corpus = corpus
+        self.ids, self.null, self.train, lengths, tokens = unpack(body)
+        self.lengths = lengths.astype(np.int64)
+        got = [unpack(p) for p in known]
+        counts = np.concatenate([x[0].astype(np.int64) for x in got] + [[corpus.documents]])
+        ids = np.concatenate([x[1].astype(np.uint64) for x in got] + [np.array([START], np.uint64)])
+        home = deal(wordhash.mixed(ids), corpus.shards)
+        order = np.lexsort((ids, home))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.counts, self.word, self.home = counts[order], ids[order], home[order]
+        self.tokens, self.start = place[tokens], int(place[-1])
+        self.base = np.log10((self.counts + 0.5) / (corpus.tokens + 0.5 * (corpus.types + 1)))
+        self.codes = quantise(self.base)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.learned = np.repeat(self.train, self.lengths)
+        self.before = self.previous(self.tokens)
+
+    def previous(self, a: np.ndarray) -> np.ndarray:
+        out = np.empty_like(a)
+        out[1:] = a[:-1]
+        out[self.begins] = self.start
+        return out
+
+    def distinct(self, at: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of tokens at these places: the distinct rows of some columns of word numbers, in order, how often the training has
+        each, and the number of each token's row."""
+        size, bits = len(self.word), len(self.word).bit_length()
+        key = columns[0][at].astype(np.int64)
+        names = []
+        for c in columns[1:]:
+            if int(key.max(initial=0)).bit_length() + bits > 63:
+                name, key = np.unique(key, return_inverse=True)
+                names.append(name)
+            else:
+                names.append(None)
+            key = key * size + c[at]
+        keys, inverse = np.unique(key, return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        n = np.bincount(inverse, self.learned[at], len(keys)).astype(np.int64)
+        out = []
+        for name in reversed(names):
+            keys, last = np.divmod(keys, size)
+            out.append(last)
+            keys = keys if name is None else name[keys]
+        return [keys, *reversed(out)], n, inverse
+
+    # bigrams after hot words
+
+    def pairs(self) -> None:
+        (a, b), n, _ = self.distinct(np.flatnonzero(self.counts[self.before] >= self.corpus.from_count), self.before, self.tokens)
+        shard = deal(wordhash.mixed(self.word[a] ^ wordhash.mixed(slice_of(self.word[b], self.counts[a], self.corpus.from_count))), self.corpus.shards)
+        order = np.argsort(shard, kind="stable")
+        self.pair_order, self.pair_key, self.pair_shard, self.pair = order, a * len(self.word) + b, shard[order], (a[order], b[order], n[order])
+
+    def ask_pairs(self) -> Iterator[tuple[int, bytes]]:
+        self.pairs()
+        a, b, n = self.pair
+        for s, lo, hi in self.runs(self.pair_shard):
+            begins = begins_of(a[lo:hi])
+            yield s, pack(small(self.word[a[lo:hi][begins]]), small(self.counts[a[lo:hi][begins]]), small(np.diff(np.append(begins, hi - lo))), small(self.word[b[lo:hi]]), small(n[lo:hi]), self.codes[b[lo:hi]])
+
+    def learn_pairs(self, answers: list[bytes]) -> None:
+        self.pairs()
+        n = len(self.pair_key)
+        self.pair_code, self.pair_count = np.zeros(n, np.uint16), np.zeros(n, np.int64)
+        got = [unpack(p) for p in answers]
+        ends = np.cumsum([len(x[0]) for x in got])
+        self.pair_code[self.pair_order] = np.concatenate([x[0] for x in got] + [np.zeros(0, np.uint16)])
+        for x, end in zip(got, ends, strict=True):
+            self.pair_count[self.pair_order[end - len(x[0]) + x[1]]] = x[2]
+
+    def of_pairs(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What is known of bigrams; 0 for those that were not asked for."""
+        key = a * len(self.word) + b
+        at = np.minimum(np.searchsorted(self.pair_key, key), max(len(self.pair_key) - 1, 0))
+        return np.where(self.pair_key[at] == key, values[at], 0) if len(self.pair_key) else np.zeros(len(key), values.dtype)
+
+    # trigrams
+
+    def triples(self) -> np.ndarray:
+        """Sets shard, words, counts, lower codes and so on of the distinct trigrams whose middle word was seen, in order of
+        shards; gives for each token the number of its trigram, -1 where it has none."""
+        seen = np.flatnonzero(self.counts[self.before] > 0)
+        (b, a, c), n, inverse = self.distinct(seen, self.before, self.previous(self.before), self.tokens)
+        shard, hot, code, total = self.home[b], self.counts[b] >= self.corpus.from_count, self.codes[c], np.zeros(len(b), np.int64)
+        if self.corpus.hot and hot.any():
+            at = np.flatnonzero(hot)
+            code[at] = self.of_pairs(b[at], c[at], self.pair_code)
+            total[at] = np.where((a[at] == self.start) & (b[at] == self.start), self.corpus.documents, self.of_pairs(a[at], b[at], self.pair_count))
+            total[total < self.corpus.from_count] = 0
+            key = self.word[b[at]] ^ wordhash.mixed(slice_of(self.word[a[at]], self.counts[b[at]], self.corpus.from_count))
+            more = slice_of(self.word[c[at]], total[at], self.corpus.from_count) * np.uint64(1 << 40)
+            shard[at] = deal(wordhash.mixed(np.where(total[at] > 0, wordhash.mixed(key ^ wordhash.mixed(self.word[a[at]])) ^ more, key)), self.corpus.shards)
+        order = np.argsort(shard, kind="stable")
+        self.shard, self.triple = shard[order], [x[order] for x in (b, a, c, n, code, hot, total)]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        of = np.full(len(self.tokens), -1, np.int32)
+        of[seen] = place[inverse]
+        return of
+
+    def runs(self, shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        begins = begins_of(shard)
+        yield from zip(shard[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(shard)], strict=False)
+
+    def ask_triples(self) -> Iterator[tuple[int, bytes]]:
+        self.triples()
+        for s, lo, hi in self.runs(self.shard):
+            b, a, c, n, code, hot, total = (x[lo:hi] for x in self.triple)
+            contexts = begins_of(b, a)
+            middles = begins_of(b[contexts])
+            first = contexts[middles]
+            yield s, pack(
+                steps(self.word[b[first]], np.zeros(1, np.int64)), hot[first], small(np.diff(np.append(middles, len(contexts)))),
+                steps(self.word[a[contexts]], middles), small(total[contexts]), small(np.diff(np.append(contexts, hi - lo))), small(self.word[c]), small(n), code,
+            )
+
+    def result(self, answers: list[bytes]) -> pa.Table:
+        of = self.triples()
+        codes = np.concatenate([unpack(p)[0] for p in answers] + [np.zeros(1, np.uint16)])
+        base = self.base[self.tokens]
+        scores = np.where(of >= 0, restore(codes[of]), base)
+        add = lambda x: np.add.reduceat(x, self.begins)
         return pa.table({
-            "doc_id": pa.array(c.ids, pa.int64(), mask=c.null), "held_out": pa.array(~c.train), "n_tokens": pa.array(c.lengths), "n_known": pa.array(add((c.counts > 0)[c.tokens]).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(c.ids), total, np.int64)), "base_score": pa.array(add(log_base)), "score": pa.array(add(log_p)),
+            "doc_id": pa.array(self.ids, pa.int64(), mask=self.null), "held_out": pa.array(~self.train), "n_tokens": pa.array(self.lengths), "n_known": pa.array(add((self.counts > 0)[self.tokens].astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(self.ids), self.corpus.tokens, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(scores)),
         })
 
-    return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT)
+
+# shards
+
+
+def answer_pairs(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
+    """The codes of the bigrams after hot words that one shard was asked for, and the counts of those that are hot."""
+    asked = [unpack(p) for p in payloads]
+    context, total, lengths, word, n, code = (np.concatenate([x[i].astype(np.uint64) for x in asked]) for i in range(6))
+    contexts, first, dense = np.unique(context, return_index=True, return_inverse=True)
+    words, number = np.unique(word, return_inverse=True)
+    grams, inverse, n, code = counted(np.repeat(dense, lengths.astype(np.int64)), number, len(words), n, code)
+    h, m = grams // len(words), total[first].astype(np.float64)
+    weight = quantise(np.log10(back_off(m, m, np.ones(1, bool), 0.0, corpus.mass)))
+    seen = n > 0
+    p = quantise(np.log10(smoothed(n[seen], m[h[seen]], 0, True, 0.0, corpus.mass, 10 ** restore(code[seen]))))
+    (level,) = mapped([Level.build(h[seen], grams[seen] % len(words), p, len(contexts))])
+    out = level.code(level.find(h, grams % len(words)), lower(code, weight[h]))
+    cuts = np.cumsum([len(x[3]) for x in asked])[:-1]
+    back = []
+    for i in np.split(inverse, cuts):
+        hot = np.flatnonzero(n[i] >= corpus.from_count)
+        back.append(pack(out[i], hot, n[i][hot]))
+    return back
+
+
+def counted(first: np.ndarray, second: np.ndarray, size: int, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct first * size + second in order, the number of each row among them, their sums of n, and of each of ``more`` the
+    value at some row of theirs, which all have."""
+    key = first.astype(np.int64) * size + second
+    keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return keys, inverse, np.bincount(inverse, n, len(keys)).astype(np.int64), *(x[at] for x in more)
+
+
+def answer_triples(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
+    """The codes of the trigrams that one shard was asked for, by its trie."""
+    asked = [unpack(p) for p in payloads]
+    middle = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])
+    past = np.concatenate([sums(x[3], x[2]) for x in asked])
+    hot, contexts_of, total, words_of, word, n, code = (np.concatenate([x[i] for x in asked]) for i in (1, 2, 4, 5, 6, 7, 8))
+    middles, first, b = np.unique(middle, return_index=True, return_inverse=True)
+    hot, b = hot[first], np.repeat(b, contexts_of)
+    pasts, a = np.unique(past, return_inverse=True)
+    words, c = np.unique(word, return_inverse=True)
+    # contexts of two words, then bigrams, then trigrams as a context and its successor's place among those of the middle word
+    contexts, context, _, total = counted(b, a, len(pasts), np.zeros(len(b)), total.astype(np.int64))
+    context, b = np.repeat(context, words_of), np.repeat(b, words_of)
+    pairs, pair, n2, code2 = counted(b, c, len(words), n, code)
+    triples, inverse, n3 = counted(context, pair, len(pairs), n)
+    del word, past, middle, a, c, b
+    parent, last = np.divmod(pairs, len(words))
+    m, kinds = np.bincount(parent, n2, len(middles)), np.bincount(parent, n2 > 0, len(middles))
+    weight = quantise(np.log10(np.maximum(back_off(m, kinds, np.zeros(1, bool), DISCOUNTS[0], corpus.mass), 1e-15)))
+    # around a hot word the bigram's probability has come along
+    seen = n2 > 0
+    p2 = quantise(np.log10(smoothed(n2[seen], m[parent[seen]], kinds[parent[seen]], False, DISCOUNTS[0], corpus.mass, 10 ** restore(code2[seen]))))
+    p2 = np.where(hot[parent[seen]], code2[seen], p2)
+    two = Level.build(parent[seen], last[seen], p2, len(middles))
+    below = np.where(hot[parent], code2, lower(code2, weight[parent]))
+    of, at = np.divmod(triples, len(pairs))
+    own, kinds = np.bincount(of, n3, len(contexts)), np.bincount(of, n3 > 0, len(contexts))
+    is_hot = total > 0
+    m = np.where(is_hot, total, own)
+    weights = quantise(np.log10(np.maximum(back_off(m, kinds, is_hot, DISCOUNTS[1], corpus.mass), 1e-15)))
+    past = Level.build(contexts // len(pasts), contexts % len(pasts), weights, len(middles))
+    (two, past) = mapped([two, past])
+    # every number below is searched in the levels above, as a reader of the trie has to
+    places = two.find(parent, last)
+    below = two.code(places, below)
+    relative = places - two.pointers.get(parent)
+    seen = n3 > 0
+    p3 = quantise(np.log10(smoothed(n3[seen], m[of[seen]], kinds[of[seen]], is_hot[of[seen]], DISCOUNTS[1], corpus.mass, 10 ** restore(below[at[seen]]))))
+    (three,) = mapped([Level.build(of[seen], relative[at[seen]], p3, len(contexts))])
+    where = past.find(contexts // len(pasts), contexts % len(pasts))
+    found = np.full(len(triples), -1, np.int64)
+    known = np.flatnonzero(places[at] >= 0)
+    found[known] = three.find(where[of[known]], relative[at[known]])
+    out = three.code(found, lower(below[at], past.codes[where][of]))
+    return [pack(out[i]) for i in np.split(inverse, np.cumsum([len(x[6]) for x in asked])[:-1])]
+
+
+# the whole
+
+
+def by_shard(t: pa.Table) -> list[bytes]:
+    order = np.argsort(t.column("shard").to_numpy(), kind="stable")
+    return [p.as_py() for p in t.column("payload").combine_chunks().take(pa.array(order))]
+
+
+def exchange(asked: DataFrame, answer, corpus: Corpus) -> DataFrame:
+    """What the shards answer to rows that ask them, each for its chunk."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array(answer(t.column("payload").to_pylist(), corpus), pa.binary())})
+
+    return cut(asked.groupBy("shard").applyInArrow(run, ROWS))
+
+
+def score(docs: DataFrame, training=None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. training: which rows the model
+    learns from; those whose crc32 of the id, mod 5, is not 1, if not given."""
+    training = crc_of_id(F.col("doc_id")) % 5 != 1 if training is None else training
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
+    size, documents = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    shards = max(12, -(-(size or 0) // SHARD))
+    made = cut(rows.mapInArrow(tokenise(shards, CHUNK), ROWS))
+    bodies = made.where("shard < 0")
+    known = cut(made.where("shard >= 0").groupBy("shard").applyInArrow(answer_words(shards), ROWS + ", tokens long, types long, most long"))
+    tokens, types, most = known.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "types"), (F.max, "most"))]).first()
+    corpus = Corpus(shards, tokens, types, documents, most)
+    answers = known.select("chunk", "shard", "payload", F.lit(1).alias("level"))
+
+    def meet(work, schema: str) -> DataFrame:
+        """Each chunk with the answers that it has so far."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            levels = right.column("level").to_numpy()
+            c = Chunk(left.column("payload")[0].as_py(), by_shard(right.filter(pa.array(levels == 1))), corpus)
+            if corpus.hot and work is not Chunk.ask_pairs:
+                c.learn_pairs(by_shard(right.filter(pa.array(levels == 2))))
+            if work is Chunk.result:
+                return c.result(by_shard(right.filter(pa.array(levels == 3))))
+            asked = [*work(c)]
+            return pa.Table.from_batches([rows_of(left.column("chunk")[0].as_py(), [s for s, _ in asked], [p for _, p in asked])])
+
+        return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+    for level, ask, answer in ((2, Chunk.ask_pairs, answer_pairs), (3, Chunk.ask_triples, answer_triples)):
+        if level == 3 or corpus.hot:
+            answers = answers.unionByName(exchange(meet(ask, ROWS), answer, corpus).withColumn("level", F.lit(level)))
+    return meet(Chunk.result, RESULT)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from kinelake.llm import chat, components, decontam, eftrie, langid, lmscore, mixing, queries, sharding, simhash, topk, urls, warc
+from kinelake.llm import chat, components, decontam, eftrie, langid, lmscore, mixing, queries, sharding, simhash, topk, urls, warc, wordhash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, hash long, score double, shard string, fp string, component_id long, prefix string, whole long, train string, block string"
@@ -518,67 +518,68 @@ def test_blocks_change_nothing(spark, documents, monkeypatch):
 # language-model scores
 
 
-def brute_scores(rows, k):
-    tokens = lambda t: re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())) + [b"\n"]
-    train = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in rows]
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
-    for (_, t), learn in zip(rows, train, strict=True):
-        w = tokens(t)
-        if learn:
-            one.update(w)
-            two.update(zip([b"\t", *w], w, strict=False))
-            context.update([b"\t", *w[:-1]])
-    n, v = sum(one.values()), len(one)
-    out = []
-    for (i, t), learn in zip(rows, train, strict=True):
-        w = tokens(t)
-        base = [(one[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        p = [(two[h, x] + k * b) / (context[h] + k) for h, x, b in zip([b"\t", *w], w, base, strict=False)]
-        out.append((str(i), not learn, len(w), sum(one[x] > 0 for x in w), n, np.log10(base).sum(), np.log10(p).sum()))
-    return sorted(out)
-
-
-def test_lm(spark, odd, documents, monkeypatch):
-    monkeypatch.setattr(lmscore, "CHUNK", 60_000)
-    monkeypatch.setattr(lmscore, "SHARD", 20_000)
-    for docs in (documents.repartition(3), odd, odd.where("doc_id = 4")):
-        want = brute_scores([(r.doc_id, r.text) for r in docs.collect()], lmscore.K)
-        got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in lmscore.score(docs).collect())
-        for a, b in zip(got, want, strict=True):
-            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and abs(a[6] - b[6]) < 1.3e-4 * a[2]
-    assert lmscore.score(odd.limit(0)).count() == 0
-
-
-def brute_trigram_scores(rows, k):
-    tokens = lambda t: [b"\t", *re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())), b"\n"]
-    learned = [tokens(t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
-    grams = [collections.Counter(tuple(w[i : i + n]) for w in learned for i in range(n == 1, len(w) - n + 1)) for n in (1, 2, 3)]
-    after = [collections.Counter(tuple(w[i : i + n]) for w in learned for i in range(len(w) - n)) for n in (1, 2)]
-    n, v = sum(grams[0].values()), len(grams[0])
+def brute_scores(rows):
+    """The trigram model by its definition."""
+    tokens = lambda t: [b"\t", b"\t", *re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())), b"\n"]
+    learns = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in rows]
+    seen, kinds = collections.Counter(), collections.defaultdict(set)
+    for (_, t), learn in zip(rows, learns, strict=True):
+        w = tokens(t) if learn else []
+        for at in range(2, len(w)):
+            for m in (0, 1, 2):
+                h = tuple(w[at - m : at])
+                seen[h, w[at]] += 1
+                seen[h] += 1
+                kinds[h].add(w[at])
+    n, v = seen[()], len(kinds[()])
     out = []
-    for i, t in rows:
-        w, score = tokens(t), 0.0
-        for at in range(1, len(w)):
-            p = (grams[0][w[at],] + 0.5) / (n + 0.5 * (v + 1))
-            for m in (1, 2)[:at]:
+    for (i, t), learn in zip(rows, learns, strict=True):
+        w, base, score = tokens(t), 0.0, 0.0
+        for at in range(2, len(w)):
+            p = (seen[(), w[at]] + 0.5) / (n + 0.5 * (v + 1))
+            base += np.log10(p)
+            for m in (1, 2):
                 h = tuple(w[at - m : at])
-                p = (grams[m][*h, w[at]] + k * p) / (after[m - 1][h] + k)
+                c, total = seen[h, w[at]], seen[h]
+                if total >= lmscore.HOT:
+                    p = (c + lmscore.MASS * p) / (total + lmscore.MASS)
+                elif total:
+                    d = lmscore.DISCOUNTS[m - 1]
+                    p = max(c - d, 0) / total + d * len(kinds[h]) / total * p
             score += np.log10(p)
-        out.append((str(i), len(w) - 1, score))
+        out.append((str(i), not learn, len(w) - 2, sum(seen[(), x] > 0 for x in w[2:]), n, base, score))
     return sorted(out)
 
 
-def test_lm_query_knows_trigrams(spark, odd, documents, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 20, 60])
+def test_lm(spark, odd, documents, monkeypatch, hot):
     monkeypatch.setattr(lmscore, "CHUNK", 60_000)
     monkeypatch.setattr(lmscore, "SHARD", 20_000)
-    repeated = frame(spark, [(i, f"the very same pair of words {i} the very same pair again {i % 7}", "en", "s") for i in range(3000)])
+    monkeypatch.setattr(lmscore, "HOT", hot)
+    monkeypatch.setattr(lmscore, "MASS", 7.0)
+    repeated = frame(spark, [(i, f"the very same pair of words {i} the very same pair again {i % 7}", "en", "s") for i in range(1500)])
     for docs in (documents.repartition(3), odd, odd.where("doc_id = 4"), repeated):
         monkeypatch.setattr(queries, "table", lambda *_, docs=docs: docs)
-        want = brute_trigram_scores([(r.doc_id, r.text) for r in docs.collect()], lmscore.K)
-        got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in queries.QUERIES["op10_lm"](spark, SF).collect())
+        want = brute_scores([(r.doc_id, r.text) for r in docs.collect()])
+        got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in queries.QUERIES["op10_lm"](spark, SF).collect())
         for a, b in zip(got, want, strict=True):
-            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1.3e-4 * a[1]
-    assert lmscore.score(odd.limit(0), order=3).count() == 0
+            # each level's code is off by half a step at most
+            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and abs(a[6] - b[6]) < 3 * 0.5 / eftrie.STEP * a[2] + 1e-9
+    assert lmscore.score(odd.limit(0)).count() == 0
+
+
+def test_words_of_bytes(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(wordhash, "STEP", 64)
+    named = {}
+    for _ in range(100):
+        texts = ["".join(rng.choice(list("abCD \t\n\x0b\x00é")) if rng.random() < 0.97 else "x" * int(rng.integers(40, 90)) for _ in range(int(rng.integers(0, 120)))).encode() for _ in range(int(rng.integers(1, 9)))]
+        h, n = wordhash.of_words(texts)
+        want = [t.lower().split() for t in texts]
+        assert [len(w) for w in want] == n.tolist()
+        for w, x in zip(itertools.chain(*want), h.tolist(), strict=True):
+            assert named.setdefault(w, x) == x
+    assert len(set(named.values())) == len(named)
 
 
 @given(st.lists(st.integers(0, 2**40), max_size=200), st.integers(1, 8))
