@@ -19,9 +19,12 @@ SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local one, but on
+    a cluster that is an error: executors could not read it."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kinelake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
         conf.unset(REMOVE_SHUFFLES) if before is None else conf.set(REMOVE_SHUFFLES, before)
 
 
+def discard(*kept: DataFrame) -> None:
+    """Deletes what cut has kept, once nothing that is still to run reads it."""
+    for df in kept:
+        path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+        jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -12,7 +12,7 @@ the input, and no task, nor the driver, sees more than a shard:
 1. Texts are cut into chunks of about CHUNK bytes, and a chunk's words numbered. It asks the shards of its words' hashes for
    their training counts and for identifiers, small for frequent words.
 2. A bigram whose first word is HOT is asked for at a shard of that word and its successor, which answers with the smoothed
-   probability, and with the count if that is HOT as well. Without hot words there is no such step.
+   probability, and with the count if that is HOT as well.
 3. A trigram is asked for at the shard of its middle word, which thus has all bigrams and all trigrams around that word; what
    is asked brings the last word's unigram probability along. Around a hot word trigrams are dealt by their first word as
    well, and bring the bigram's probability; after a hot pair of words also by the last one.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import crc_of_id, cut
+from .common import crc_of_id, cut, discard
 from .eftrie import CODES, EliasFano, Level, mapped, quantise, restore
 
 CHUNK, SHARD = 16 << 20, 8 << 20
@@ -188,32 +188,31 @@ def answer_words(shards: int):
         answers = [pack(small(c), small(i)) for c, i in zip(np.split(counts[inverse], cuts), np.split(ids[inverse], cuts), strict=True)]
         first = lambda x: pa.array([int(x)] + [0] * (t.num_rows - 1), pa.int64())
         out = {"chunk": t.column("chunk"), "shard": t.column("shard"), "payload": pa.array(answers, pa.binary())}
-        return pa.table({**out, "tokens": first(counts.sum()), "types": first((counts > 0).sum()), "most": first(counts.max())})
+        return pa.table({**out, "tokens": first(counts.sum()), "types": first((counts > 0).sum())})
 
     return run
 
 
 class Corpus:
-    """What holds for all chunks: shards, training tokens, types and documents, the frequency from which a context is hot, the
-    mass of its prior, and whether there is one."""
+    """What holds for all chunks: shards, training tokens, types and documents, the frequency from which a context is hot, and
+    the mass of its prior."""
 
-    def __init__(self, shards: int, tokens: int, types: int, documents: int, most: int) -> None:
+    def __init__(self, shards: int, tokens: int, types: int, documents: int) -> None:
         self.shards, self.tokens, self.types, self.documents = shards, tokens, types, documents
         self.from_count, self.mass = HOT, MASS
-        self.hot = max(most, documents) >= HOT
 
 
 class Chunk:
     """A chunk's tokens and what is known of their words. Words are numbered anew, in order of their identifiers' shards; the
     start token is one of them."""
 
-    def __init__(self, body: bytes, known: list[bytes], corpus: Corpus) -> None:
+    def __init__(self, state: bytes, corpus: Corpus) -> None:
         self.corpus = corpus
-        self.ids, self.null, self.train, lengths, tokens = unpack(body)
-        self.lengths = lengths.astype(np.int64)
-        got = [unpack(p) for p in known]
-        counts = np.concatenate([x[0].astype(np.int64) for x in got] + [[corpus.documents]])
-        ids = np.concatenate([x[1].astype(np.uint64) for x in got] + [np.array([START], np.uint64)])
+        self.ids, self.null, self.train, lengths, tokens, counts, ids, *pairs = unpack(state)
+        self.lengths, counts, ids = lengths.astype(np.int64), np.append(counts.astype(np.int64), corpus.documents), np.append(ids.astype(np.uint64), np.uint64(START))
+        self.pair_code, hot, n = pairs or (np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.pair_count = np.zeros(len(self.pair_code), np.int64)
+        self.pair_count[hot] = n
         home = deal(wordhash.mixed(ids), corpus.shards)
         order = np.lexsort((ids, home))
         place = np.empty(len(order), np.int32)
@@ -260,8 +259,8 @@ class Chunk:
     def pairs(self) -> None:
         (a, b), n, _ = self.distinct(np.flatnonzero(self.counts[self.before] >= self.corpus.from_count), self.before, self.tokens)
         shard = deal(wordhash.mixed(self.word[a] ^ wordhash.mixed(slice_of(self.word[b], self.counts[a], self.corpus.from_count))), self.corpus.shards)
-        order = np.argsort(shard, kind="stable")
-        self.pair_order, self.pair_key, self.pair_shard, self.pair = order, a * len(self.word) + b, shard[order], (a[order], b[order], n[order])
+        self.pair_key, self.pair_order = a * len(self.word) + b, np.argsort(shard, kind="stable")
+        self.pair_shard, self.pair = shard[self.pair_order], [x[self.pair_order] for x in (a, b, n)]
 
     def ask_pairs(self) -> Iterator[tuple[int, bytes]]:
         self.pairs()
@@ -270,15 +269,15 @@ class Chunk:
             begins = begins_of(a[lo:hi])
             yield s, pack(small(self.word[a[lo:hi][begins]]), small(self.counts[a[lo:hi][begins]]), small(np.diff(np.append(begins, hi - lo))), small(self.word[b[lo:hi]]), small(n[lo:hi]), self.codes[b[lo:hi]])
 
-    def learn_pairs(self, answers: list[bytes]) -> None:
+    def learn_pairs(self, answers: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of the bigrams that were asked for, in order: their codes, which of them are hot, and the counts of these."""
         self.pairs()
-        n = len(self.pair_key)
-        self.pair_code, self.pair_count = np.zeros(n, np.uint16), np.zeros(n, np.int64)
         got = [unpack(p) for p in answers]
         ends = np.cumsum([len(x[0]) for x in got])
-        self.pair_code[self.pair_order] = np.concatenate([x[0] for x in got] + [np.zeros(0, np.uint16)])
-        for x, end in zip(got, ends, strict=True):
-            self.pair_count[self.pair_order[end - len(x[0]) + x[1]]] = x[2]
+        codes = np.empty(len(self.pair_key), np.uint16)
+        codes[self.pair_order] = np.concatenate([x[0] for x in got] + [np.zeros(0, np.uint16)])
+        hot = [self.pair_order[end - len(x[0]) + x[1].astype(np.int64)] for x, end in zip(got, ends, strict=True)]
+        return codes, *(small(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (hot, [x[2] for x in got]))
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarray:
         """What is known of bigrams; 0 for those that were not asked for."""
@@ -292,10 +291,11 @@ class Chunk:
         """Sets shard, words, counts, lower codes and so on of the distinct trigrams whose middle word was seen, in order of
         shards; gives for each token the number of its trigram, -1 where it has none."""
         seen = np.flatnonzero(self.counts[self.before] > 0)
+        self.pairs()
         (b, a, c), n, inverse = self.distinct(seen, self.before, self.previous(self.before), self.tokens)
         shard, hot, code, total = self.home[b], self.counts[b] >= self.corpus.from_count, self.codes[c], np.zeros(len(b), np.int64)
-        if self.corpus.hot and hot.any():
-            at = np.flatnonzero(hot)
+        at = np.flatnonzero(hot)
+        if len(at):
             code[at] = self.of_pairs(b[at], c[at], self.pair_code)
             total[at] = np.where((a[at] == self.start) & (b[at] == self.start), self.corpus.documents, self.of_pairs(a[at], b[at], self.pair_count))
             total[total < self.corpus.from_count] = 0
@@ -358,7 +358,7 @@ def answer_pairs(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
     back = []
     for i in np.split(inverse, cuts):
         hot = np.flatnonzero(n[i] >= corpus.from_count)
-        back.append(pack(out[i], hot, n[i][hot]))
+        back.append(pack(out[i], small(hot), small(n[i][hot])))
     return back
 
 
@@ -442,28 +442,45 @@ def score(docs: DataFrame, training=None) -> DataFrame:
     size, documents = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     shards = max(12, -(-(size or 0) // SHARD))
     made = cut(rows.mapInArrow(tokenise(shards, CHUNK), ROWS))
-    bodies = made.where("shard < 0")
-    known = cut(made.where("shard >= 0").groupBy("shard").applyInArrow(answer_words(shards), ROWS + ", tokens long, types long, most long"))
-    tokens, types, most = known.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "types"), (F.max, "most"))]).first()
-    corpus = Corpus(shards, tokens, types, documents, most)
-    answers = known.select("chunk", "shard", "payload", F.lit(1).alias("level"))
+    known = cut(made.where("shard >= 0").groupBy("shard").applyInArrow(answer_words(shards), ROWS + ", tokens long, types long"))
+    tokens, types = known.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")]).first()
+    corpus = Corpus(shards, tokens, types, documents)
+
+    def ask(state: DataFrame, work) -> DataFrame:
+        """What each chunk asks the shards."""
 
-    def meet(work, schema: str) -> DataFrame:
-        """Each chunk with the answers that it has so far."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload"), strict=True):
+                    asked = [*work(Chunk(payload.as_py(), corpus))]
+                    yield rows_of(chunk, [s for s, _ in asked], [p for _, p in asked])
+
+        return state.mapInArrow(run, ROWS)
+
+    def meet(state: DataFrame, answers: DataFrame, work) -> DataFrame:
+        """Each chunk with what it has been answered."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            levels = right.column("level").to_numpy()
-            c = Chunk(left.column("payload")[0].as_py(), by_shard(right.filter(pa.array(levels == 1))), corpus)
-            if corpus.hot and work is not Chunk.ask_pairs:
-                c.learn_pairs(by_shard(right.filter(pa.array(levels == 2))))
-            if work is Chunk.result:
-                return c.result(by_shard(right.filter(pa.array(levels == 3))))
-            asked = [*work(c)]
-            return pa.Table.from_batches([rows_of(left.column("chunk")[0].as_py(), [s for s, _ in asked], [p for _, p in asked])])
-
-        return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
-
-    for level, ask, answer in ((2, Chunk.ask_pairs, answer_pairs), (3, Chunk.ask_triples, answer_triples)):
-        if level == 3 or corpus.hot:
-            answers = answers.unionByName(exchange(meet(ask, ROWS), answer, corpus).withColumn("level", F.lit(level)))
-    return meet(Chunk.result, RESULT)
+            payload = work(left.column("payload")[0].as_py(), by_shard(right))
+            return pa.Table.from_batches([rows_of(left.column("chunk")[0].as_py(), [-1], [payload])]) if isinstance(payload, bytes) else payload
+
+        schema = RESULT if work is finish else ROWS
+        return state.groupBy("chunk").cogroup(answers.select("chunk", "shard", "payload").groupBy("chunk")).applyInArrow(run, schema)
+
+    def learn_words(body: bytes, answers: list[bytes]) -> bytes:
+        got = [unpack(p) for p in answers]
+        return pack(*unpack(body), *(small(np.concatenate([x[i].astype(np.uint64) for x in got])) for i in (0, 1)))
+
+    def learn_pairs(state: bytes, answers: list[bytes]) -> bytes:
+        return pack(*unpack(state), *Chunk(state, corpus).learn_pairs(answers))
+
+    def finish(state: bytes, answers: list[bytes]) -> pa.Table:
+        return Chunk(state, corpus).result(answers)
+
+    # what a step has read is deleted when its outcome is written, so that the disk holds one state of the chunks
+    first = cut(meet(made.where("shard < 0"), known, learn_words))
+    discard(made, known)
+    answers = exchange(ask(first, Chunk.ask_pairs), answer_pairs, corpus)
+    second = cut(meet(first, answers, learn_pairs))
+    discard(first, answers)
+    return meet(second, exchange(ask(second, Chunk.ask_triples), answer_triples, corpus), finish)
