@@ -3,7 +3,7 @@
 URLs that a rule decides are the labelled rows: allowed ones train one variable-order Markov model of characters, blocked
 ones another. Both interpolate orders 3 to 0 by Witten-Bell weights over an alphabet of 32 symbols (letters, one digit
 symbol, one each for / . - and for query marks, one for all else, and the start), so their tables have at most 32 ** 4
-rows, whatever the input; that bound is what makes the table of gram scores safe to broadcast. The verdict compares the
+rows, whatever the input; the table of gram scores is counted, and broadcast up to that bound. The verdict compares the
 difference of log-likelihoods for each character with a threshold that is calibrated on three sixteenths of the labelled URLs,
 which trains neither model: that with the least sum of both error rates, of 0.05 wide steps.
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, lower_ascii, small_join
 
 ORDER, SYMBOLS, STEP = 3, 32, 20
 
@@ -65,6 +65,12 @@ def symbols(url: Column) -> Column:
     return F.regexp_replace(F.translate(low, "123456789&=#", "000000000???"), r"(?s)[^a-z0/.?-]", "_")
 
 
+def grams_of(text: Column) -> Column:
+    """The ORDER + 1 symbols that end at each symbol, after a start mark for each that is missing: one pass over the text."""
+    padded = F.concat(F.lit("^" * ORDER), text)
+    return F.regexp_extract_all(padded, F.lit(f"(?=(.{{{ORDER + 1}}}))"), F.lit(1))
+
+
 def gram_scores(counts: DataFrame) -> DataFrame:
     """From gram (4 symbols), allow and block (how often the labelled URLs have it): gram and delta, the difference of the
     log-probabilities of its last symbol after its first three. Gives every gram of counts a score."""
@@ -91,14 +97,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     named = named.withColumn("ruled", rule_for(F.col("host"), F.col("path"), rules))
     # a row number keeps apart rows that repeat an id; it is fixed once it is in the shared folder
     named = cut(named.withColumn("row", F.monotonically_increasing_id()))
-    grams = named.where(F.length("symbols") > 0).select(
-        "row", F.col("ruled.verdict").alias("ruled"), "held",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("symbols")), lambda i: F.substr(F.concat(F.lit("^^^"), F.col("symbols")), i, F.lit(ORDER + 1)))).alias("gram"),
-    )
+    grams = named.where(F.length("symbols") > 0).select("row", F.col("ruled.verdict").alias("ruled"), "held", F.explode(grams_of(F.col("symbols"))).alias("gram"))
     seen = lambda v: F.count_if((F.col("ruled") == v) & ~F.col("held"))
     counts = cut(grams.groupBy("gram").agg(seen("allow").alias("allow"), seen("block").alias("block")))
     table = cut(gram_scores(counts))
-    scores = grams.join(F.broadcast(table), "gram").groupBy("row").agg(F.round(F.sum("delta") / F.count("*"), 9).alias("score"))
+    scores = small_join(grams, table, ["gram"], "inner", SYMBOLS ** (ORDER + 1)).groupBy("row").agg(F.round(F.sum("delta") / F.count("*"), 9).alias("score"))
     scored = cut(named.join(scores, "row", "left"))
     at = threshold(scored.where("held").select("score", F.col("ruled.verdict").alias("label")))
     passes = F.when(F.col("score") >= at, "allow").otherwise("block")

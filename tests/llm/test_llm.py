@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinelake.llm import chat, components, decontam, eftrie, langid, lmscore, mixing, queries, sharding, simhash, topk, urls, warc, wordhash
@@ -158,6 +160,18 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_long_urls(spark):
+    """Work in proportion to the length: a megabyte in seconds."""
+    long = "data:text/html;base64," + "AbC9/+=" * 150_000
+    df = spark.createDataFrame([(1, "http://foo.net/x"), (2, "http://b.org/fr/y"), (3, long), (4, "http://c.de/" + "a" * 1_000_000)], "page_id long, url string")
+    began = time.time()
+    out = {r.page_id: r for r in urls.judge(df).collect()}
+    assert len(out) == 4 and out[3].host == "" and out[4].path == "/" + "a" * 1_000_000 and time.time() - began < 60
+    for text in ("", "a", "ab", "ab/9x"):
+        got = spark.createDataFrame([(text,)], "t string").select(urls.grams_of(F.col("t")).alias("g")).first().g
+        assert got == [("^^^" + text)[i : i + 4] for i in range(len(text))]
+
+
 def test_url_model(spark):
     counts = collections.Counter()
     for text, kind in (("aab/a", 0), ("ab-b", 1), ("aa", 1)):
