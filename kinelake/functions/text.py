@@ -81,7 +81,7 @@ def episode_of(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"_(\d+)\.parquet$", 1).try_cast("long")
 
 
-def statistics_file(tag: Column, postfix: str | None, special: str = "cmr_versius", optional: bool = False) -> Column:
+def statistics_file(tag: Column, postfix: str | None, special: str, optional: bool = False) -> Column:
     """The statistics file of an embodiment: one name for the special tag, another for the rest. Without a postfix this is
     an error, unless optional."""
     if not postfix and not optional:

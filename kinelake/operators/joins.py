@@ -3,10 +3,26 @@ or where its size is fixed by configuration (registries, modes, mixture leaves).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a table that was counted may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def checked(rows: DataFrame, rules: dict[str, Column], name: str = "error") -> DataFrame:
+    """rows with the name of the first rule that each of them breaks, null where it breaks none. A rule that is null for a row
+    is broken. In place of an error that stops a job, broken rows can be set aside."""
+    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in rules.items()]
+    return rows.withColumn(name, F.coalesce(*broken, F.lit(None).cast("string")))
+
+
+def quarantine(rows: DataFrame, name: str = "error") -> tuple[DataFrame, DataFrame]:
+    """What broke no rule, without the column, and what did, with it."""
+    return rows.where(F.col(name).isNull()).drop(name), rows.where(F.col(name).isNotNull())
+
+
 def task_lookup(frames: DataFrame, tasks: DataFrame, key: str, value: str, required: bool = True) -> DataFrame:
     """frames with the task's ``value``. An unknown key is an error if required, else null."""
     found = frames.join(tasks.select(key, F.col(value), F.lit(True).alias("__known")), key, "left")
@@ -22,9 +38,11 @@ def task_list(episodes: DataFrame, tasks: DataFrame, key: str, value: str) -> Da
 
 
 def registry_lookup(rows: DataFrame, key: str, registry: DataFrame, tag: str) -> DataFrame:
-    """Inner part of a registry whose tags are compared trimmed and without case; an unknown one is an error."""
+    """Inner part of a registry whose tags are compared trimmed and without case; an unknown one is an error. The registry is
+    counted, and broadcast if it has BROADCAST_ROWS at most."""
     names = registry.withColumn("__tag", F.lower(F.trim(tag))).drop(tag)
-    out = rows.join(F.broadcast(names), F.lower(F.trim(key)) == F.col("__tag"), "left")
+    names = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    out = rows.join(names, F.lower(F.trim(key)) == F.col("__tag"), "left")
     return out.withColumn(key, F.when(F.col("__tag").isNotNull(), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unknown tag: "), F.coalesce(F.col(key), F.lit("null")))))).drop("__tag")
 
 
@@ -34,30 +52,26 @@ def spec_modes(specs: DataFrame, modes: dict[str, float]) -> DataFrame:
     return specs.select("*", F.inline(rows))
 
 
-def nearest(requests: DataFrame, loaded: DataFrame, keys: list[str], at: str = "ts", index: str = "frame", bucket: float | None = None) -> DataFrame:
+def nearest(requests: DataFrame, loaded: DataFrame, keys: list[str], at: str = "ts", index: str = "frame") -> DataFrame:
     """requests with the ``index`` of the loaded row of the same keys whose ``at`` is nearest, the smaller index on a tie;
-    null where the keys have none. An as-of sweep: both sides in one order, the last row before and the first row after."""
-    from pyspark.sql import Window as W
-
+    null where the keys have none. An as-of sweep: both sides in one order, the last row before and, in the opposite order, the
+    last row after; both frames only grow, so the work is that of two sorts. Rows of one combination of keys meet in one task."""
     asked = requests.withColumn("__id", F.monotonically_increasing_id())
     none = F.lit(None).cast(dict(loaded.dtypes)[index])
     # rows of one time: the smallest index stands for them
     firsts = loaded.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.min(index).alias(index))
     both = firsts.select(*keys, F.col(at).alias("__at"), F.col(index).alias("__index"), F.lit(None).cast("long").alias("__id")).unionByName(asked.select(*keys, F.col(at).alias("__at"), none.alias("__index"), "__id"))
     box = F.when(F.col("__id").isNull(), F.struct(F.col("__at").alias("at"), F.col("__index").alias("i")))
-    order = W.partitionBy(*keys).orderBy("__at")
-    before = F.last(box, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first(box, ignorenulls=True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    up = W.partitionBy(*keys).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy(*keys).orderBy(F.col("__at").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    best = both.withColumn("b", F.last(box, ignorenulls=True).over(up)).withColumn("a", F.last(box, ignorenulls=True).over(down)).where("__id is not null")
     far = lambda s: F.abs(s["at"].cast("double") - F.col("__at").cast("double"))
-    best = both.select("__id", "__at", before.alias("b"), after.alias("a")).where("__id is not null")
     pick = F.when(F.col("a").isNull() | (far(F.col("b")) < far(F.col("a"))), F.col("b.i")).when(F.col("b").isNull() | (far(F.col("a")) < far(F.col("b"))), F.col("a.i")).otherwise(F.least("a.i", "b.i"))
     return asked.join(best.select("__id", F.when(F.col("__at").isNotNull(), pick).alias(index)), "__id").drop("__id")
 
 
 def index_blocks(sizes: DataFrame, order: list[str], size: str = "size") -> DataFrame:
     """lo and hi of each leaf's contiguous block of a virtual index space, in order. One row a leaf."""
-    from pyspark.sql import Window as W
-
     end = F.sum(size).over(W.orderBy(*order)).cast("long")
     return sizes.withColumn("lo", end - F.col(size)).withColumn("hi", end)
 

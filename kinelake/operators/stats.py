@@ -107,7 +107,8 @@ def shuffle_blocks(leaves: DataFrame, size: int = 512, seed: int | None = None,
 # metrics
 
 
-CHUNKS = {"chunk0": (0, 12), "chunk1": (12, 36), "chunk2": (36, 72)}
+#: Names and frames of the groups of generated chunks.
+CHUNKS = {"early_c1": (0, 12), "mid_c2c3": (12, 36), "late_c4c6": (36, 72)}
 
 
 def clip_metrics(frames: DataFrame, clip: str, frame: str, l1: str, ssim: str, chunks: dict[str, tuple[int, int]] = CHUNKS) -> DataFrame:

@@ -6,7 +6,7 @@ where there is one data set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Row, Window as W
 from pyspark.sql import functions as F
 
 TEST_RATIO = 0.02
@@ -65,14 +65,25 @@ def exclude(episodes: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return episodes.join(excluded, key, "left_anti")
 
 
+def range_bounds(df: DataFrame, order: list[str], buckets: int) -> list[Row]:
+    """The least value of each of about equal ranges of ``order`` but the first, in order; as many as buckets at most."""
+    each = df.select(F.struct(*order).alias("__at")).repartitionByRange(buckets, "__at").groupBy(F.spark_partition_id()).agg(F.min("__at").alias("__at"))
+    return sorted((r["__at"] for r in each.collect()))[1:]
+
+
 def number(df: DataFrame, order: list[str], name: str = "pos", buckets: int = 64) -> DataFrame:
-    """Positions from 0 in the order of unique ``order`` columns, without bringing all rows together: rows are ranged
-    into partitions, counted, and numbered within."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
+    """Positions from 0 in the order of unique, non-null ``order`` columns, without bringing all rows together. The bounds of
+    the ranges are fetched once (one row a range) and a row's range is an expression of its own values, so that counting and
+    numbering agree however each of them is planned."""
+    types = dict(df.dtypes)
+    bounds = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in range_bounds(df, order, buckets)]
+    at = F.struct(*order)
+    part = F.size(F.filter(F.array(*bounds), lambda x: x <= at)) if bounds else F.lit(0)
+    ranged = df.withColumn("__part", part)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__offset"))
     nth = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    # one row a partition
+    # one row a range
     return ranged.withColumn("__nth", nth).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__offset") + F.col("__nth")).cast("long")).drop("__part", "__nth", "__offset")
 
 
@@ -88,20 +99,21 @@ def positions_by_episode(steps: DataFrame, episode: str = "episode", base: str =
     return steps.withColumn("__nth", nth).join(starts, episode).withColumn(name, (F.col("__start") + F.col("__nth")).cast("long")).drop("__nth", "__start")
 
 
-def trailing_split(positions: DataFrame, part: str, ratio: float = TEST_RATIO, pos: str = "pos") -> DataFrame:
-    """``train``: all but the last max(1, int(n * ratio)) positions; ``test``: those; ``full``: all."""
+def trailing_split(positions: DataFrame, part: str, ratio: float = TEST_RATIO, pos: str = "pos", n: int | None = None) -> DataFrame:
+    """``train``: all but the last max(1, int(n * ratio)) positions; ``test``: those; ``full``: all. n: how many positions there
+    are; they are counted if it is not given."""
     if part == "full":
         return positions
     if not 0 < ratio < 1:
         raise ValueError("the test ratio must be between 0 and 1")
-    n = positions.count()
+    n = positions.count() if n is None else n
     first_test = n - max(1, int(n * ratio))
     return positions.where(F.col(pos) < first_test if part == "train" else F.col(pos) >= first_test)
 
 
-def stride_sample(positions: DataFrame, most: int, pos: str = "pos") -> DataFrame:
+def stride_sample(positions: DataFrame, most: int, pos: str = "pos", n: int | None = None) -> DataFrame:
     """Every (n div most)-th position if there are more than ``most``; that may leave more than ``most``."""
-    n = positions.count()
+    n = positions.count() if n is None else n
     return positions.where(F.col(pos) % max(1, n // most) == 0) if n > most else positions
 
 

@@ -6,6 +6,8 @@ array; the edge values come from the same window. Deltas are a short fixed list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -130,6 +132,16 @@ def hand_off(frames: DataFrame, size: int, keys: list[str], value: str, chunk: s
     return frames.select(*keys, chunk).distinct().join(last, [*keys, chunk], "left")
 
 
+def fold_chunks(chunks: DataFrame, keys: list[str], order: str, value: str, first: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """keys and the states of an ordered fold: ``state``, of each chunk in turn, is ``step`` of the state before (``first`` for a
+    key's first chunk) and the chunk's value. A key's chunks are one sequence and meet in one row."""
+    rows = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v")))).alias("__rows"))
+    empty = F.array().cast(f"array<struct<at:{dict(chunks.dtypes)[order]},state:double>>")
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["state"], first)
+    states = F.aggregate("__rows", empty, lambda done, x: F.concat(done, F.array(F.struct(x["at"].alias("at"), step(last(done), x["v"]).cast("double").alias("state")))))
+    return rows.select(*keys, F.inline(states)).withColumnRenamed("at", order)
+
+
 def fill_up(frames: DataFrame, least: int, keys: list[str], order: str) -> DataFrame:
     """frames with copies of each last one, numbered on, until there are ``least``; longer runs stay as they are."""
     w = W.partitionBy(*keys)

@@ -97,23 +97,27 @@ def episode_exclude(spark, d):
 _POS = f"{FRAMES}, p AS (SELECT user_id, frame AS base, row_number() OVER (ORDER BY user_id, frame) - 1 AS pos, count(*) OVER () AS n FROM fr)"
 
 
+def n_steps(spark, d):
+    return t(spark, d, "events").count()
+
+
 def positions(spark, d):
     return steps.positions_by_episode(steps.enumerate_steps(episodes(spark, d)), "user_id")
 
 
 @query(f"WITH {_POS} SELECT user_id, base, pos FROM p WHERE pos < n - greatest(1, CAST(floor(n * 0.02::DOUBLE) AS BIGINT))")
 def train_split(spark, d):
-    return steps.trailing_split(positions(spark, d), "train")
+    return steps.trailing_split(positions(spark, d), "train", n=n_steps(spark, d))
 
 
 @query(f"WITH {_POS} SELECT user_id, base, pos FROM p WHERE pos >= n - greatest(1, CAST(floor(n * 0.02::DOUBLE) AS BIGINT))")
 def test_split(spark, d):
-    return steps.trailing_split(positions(spark, d), "test")
+    return steps.trailing_split(positions(spark, d), "test", n=n_steps(spark, d))
 
 
 @query(f"WITH {_POS} SELECT user_id, base, pos FROM p WHERE pos % greatest(1, n // 300) = 0")
 def stride_sample(spark, d):
-    return steps.stride_sample(positions(spark, d), 300)
+    return steps.stride_sample(positions(spark, d), 300, n=n_steps(spark, d))
 
 
 @query(f"WITH {FRAMES} SELECT event_id, user_id, frame FROM fr ORDER BY user_id, frame LIMIT 25")
@@ -216,15 +220,8 @@ def zero_when_off(spark, d):
     return flagged(spark, d).select("user_id", "frame", windows.zero_when_off("value", "on_left").alias("kept"))
 
 
-@query(f"WITH {FRAMES} SELECT user_id, frame // 8 AS chunk, count(*) AS n, round(sum(value), 6) AS total, min_by(value, frame) AS first_value, max_by(value, frame) AS last_value FROM fr WHERE frame < 40 GROUP BY 1, 2")
-def fixed_chunks(spark, d):
-    got = windows.chunks(frames(spark, d).where("frame < 40"), 8, "value", KEY, "frame")
-    total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x)
-    return got.select("user_id", "chunk", F.size("rows").cast("long").alias("n"), F.round(total, 6).alias("total"), F.col("rows")[0].alias("first_value"), F.element_at("rows", -1).alias("last_value"))
-
-
 @query(f"WITH {FRAMES} SELECT user_id, frame // 8 AS chunk, CAST(8 AS BIGINT) AS n, round(sum(value) + (8 - count(*)) * max_by(value, frame), 6) AS total, min_by(value, frame) AS first_value, max_by(value, frame) AS last_value FROM fr GROUP BY 1, 2")
-def fixed_chunks_whole(spark, d):
+def fixed_chunks(spark, d):
     """Whole episodes; the last chunk of each is filled up with copies of its last frame."""
     rows = frames(spark, d).select("user_id", "frame", "value")
     rows = rows.join(rows.groupBy("user_id").agg((F.ceil(F.count("*") / 8) * 8).alias("least")), "user_id")
@@ -233,11 +230,11 @@ def fixed_chunks_whole(spark, d):
     return got.select("user_id", "chunk", F.size("rows").cast("long").alias("n"), F.round(total, 6).alias("total"), F.col("rows")[0].alias("first_value"), F.element_at("rows", -1).alias("last_value"))
 
 
-_CH = f"{FRAMES}, ch AS (SELECT user_id, frame // 9 AS chunk, frame % 9 AS frame, value FROM fr WHERE frame < 45)"
+_CH = f"{FRAMES}, ch AS (SELECT user_id, frame // 9 AS chunk, frame % 9 AS frame, value FROM fr)"
 
 
-def _chunked(spark, d, rows="frame < 45"):
-    return frames(spark, d).where(rows).select("user_id", F.floor(F.col("frame") / 9).cast("long").alias("chunk"), (F.col("frame") % 9).alias("frame"), "value")
+def _chunked(spark, d):
+    return frames(spark, d).select("user_id", F.floor(F.col("frame") / 9).cast("long").alias("chunk"), (F.col("frame") % 9).alias("frame"), "value")
 
 
 @query(f"WITH {_CH} SELECT user_id, chunk, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY chunk, frame) - 1 AS out_frame FROM ch WHERE frame >= 1")
@@ -250,17 +247,13 @@ def chunk_handoff(spark, d):
     return windows.hand_off(_chunked(spark, d), 8, KEY, "value")
 
 
-_CH_WHOLE = f"{FRAMES}, ch AS (SELECT user_id, frame // 9 AS chunk, frame % 9 AS frame, value FROM fr)"
-
-
-@query(f"WITH {_CH_WHOLE} SELECT user_id, chunk, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY chunk, frame) - 1 AS out_frame FROM ch WHERE frame >= 1")
-def stitch_chunks_whole(spark, d):
-    return windows.stitch(_chunked(spark, d, "true"), KEY)
-
-
-@query(f"WITH {_CH_WHOLE}, c AS (SELECT DISTINCT user_id, chunk FROM ch) SELECT c.user_id, c.chunk, p.value AS condition FROM c LEFT JOIN ch p ON p.user_id = c.user_id AND p.chunk = c.chunk - 1 AND p.frame = 8")
-def chunk_handoff_whole(spark, d):
-    return windows.hand_off(_chunked(spark, d, "true"), 8, KEY, "value")
+@query(
+    f"WITH RECURSIVE {_CH}, c AS (SELECT user_id, chunk, sum(value) AS v FROM ch GROUP BY 1, 2), f AS (SELECT user_id, chunk, 0.9::DOUBLE * 1 + v AS state FROM c WHERE chunk = 0 "
+    "UNION ALL SELECT c.user_id, c.chunk, 0.9::DOUBLE * f.state + c.v FROM f JOIN c ON c.user_id = f.user_id AND c.chunk = f.chunk + 1) SELECT user_id, chunk, round(state, 6) AS state FROM f"
+)
+def chunk_fold(spark, d):
+    sums = _chunked(spark, d).groupBy("user_id", "chunk").agg(F.sum("value").alias("v"))
+    return windows.fold_chunks(sums, KEY, "chunk", "v", F.lit(1.0), lambda before, v: 0.9 * before + v).withColumn("state", F.round("state", 6))
 
 
 # statistics and normalisation
@@ -458,18 +451,13 @@ def mixture_factors(spark, d):
     return _mixture(spark, d)
 
 
-@query(f"WITH {_MIXTURE}, i AS (SELECT unnest(range(0, (SELECT max(hi) FROM mx), 7)) AS idx) SELECT idx, leaf, idx - (hi - virtual) AS local, (idx - (hi - virtual)) % real_len AS real FROM i JOIN mx ON idx >= hi - virtual AND idx < hi")
-def mixture_index_lookup(spark, d, every=7):
+@query(f"WITH {_MIXTURE}, i AS (SELECT unnest(range(0, (SELECT max(hi) FROM mx))) AS idx) SELECT idx, leaf, idx - (hi - virtual) AS local, (idx - (hi - virtual)) % real_len AS real FROM i JOIN mx ON idx >= hi - virtual AND idx < hi")
+def mixture_index_lookup(spark, d):
     m = _mixture(spark, d)
-    asked = spark.range(0, m.agg(F.max("hi")).first()[0], every).withColumnRenamed("id", "idx")
+    asked = spark.range(0, m.agg(F.max("hi")).first()[0]).withColumnRenamed("id", "idx")
     return stats.real_index(joins.locate(asked, m)).select("idx", "leaf", "local", "real")
 
 
-@query(f"WITH {_MIXTURE}, i AS (SELECT unnest(range(0, (SELECT max(hi) FROM mx))) AS idx) SELECT idx, leaf, idx - (hi - virtual) AS local, (idx - (hi - virtual)) % real_len AS real FROM i JOIN mx ON idx >= hi - virtual AND idx < hi")
-def mixture_index_lookup_whole(spark, d):
-    return mixture_index_lookup(spark, d, 1)
-
-
 @query(f"WITH {_MIXTURE}, s AS (SELECT leaf, virtual, unnest(range(0, virtual, 16)) AS block_start FROM mx) SELECT leaf, block_start, least(block_start + 16, virtual) AS block_end FROM s")
 def shuffle_blocks(spark, d):
     return stats.shuffle_blocks(_mixture(spark, d), 16)
@@ -491,6 +479,14 @@ def task_lookup(spark, d):
     return joins.task_lookup(t(spark, d, "conversations").select("conv_id", "turn", "role"), spark.createDataFrame(ROLES, "role string, task string"), "role", "task").select("conv_id", "turn", "task")
 
 
+@query(
+    "SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'customer' WHEN o_totalprice < 1000 THEN 'price' END AS error FROM orders WHERE o_custkey % 5 = 0 OR o_totalprice < 1000 "
+)
+def quarantined_rows(spark, d):
+    rules = {"customer": F.col("o_custkey") % 5 != 0, "price": F.col("o_totalprice") >= 1000}
+    return joins.quarantine(joins.checked(t(spark, d, "orders"), rules))[1].select("o_orderkey", "error")
+
+
 @query("SELECT user_id, count(*) AS length, coalesce((SELECT array_to_string(list_sort(list(DISTINCT role)), ',') FROM conversations c WHERE c.conv_id = e.user_id), '') AS tasks FROM events e GROUP BY user_id")
 def task_lookup_optional(spark, d):
     got = joins.task_list(episodes(spark, d), t(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), "role"), "user_id", "role")
@@ -683,18 +679,18 @@ def parse_intervals(spark, d):
 
 # metrics and accounting
 
-_CLIPS = f"{FRAMES}, cl AS (SELECT user_id, frame, abs(value - coalesce(lag(value) OVER ({_EDGE}), 0)) AS l1, value / 100 AS ssim FROM fr WHERE user_id % 3 <> 0 OR frame < 20)"
+_CLIPS = f"{FRAMES}, cl AS (SELECT user_id, frame, abs(value - coalesce(lag(value) OVER ({_EDGE}), 0)) AS l1, value / 100 AS ssim FROM fr)"
 _PER_CLIP = (
     "pc AS (SELECT user_id, count(*) AS num_frames, avg(l1) AS mean_l1, stddev_pop(l1) AS std_l1, avg(ssim) AS mean_ssim, stddev_pop(ssim) AS std_ssim, coalesce(regr_slope(l1, frame - 1), 0) AS l1_slope, "
-    "avg(l1) FILTER (frame BETWEEN 1 AND 12) AS chunk0_l1, avg(l1) FILTER (frame BETWEEN 13 AND 36) AS chunk1_l1, avg(l1) FILTER (frame BETWEEN 37 AND 72) AS chunk2_l1 FROM cl WHERE frame > 0 GROUP BY user_id)"
+    "avg(l1) FILTER (frame BETWEEN 1 AND 12) AS early_c1_l1, avg(l1) FILTER (frame BETWEEN 13 AND 36) AS mid_c2c3_l1, avg(l1) FILTER (frame BETWEEN 37 AND 72) AS late_c4c6_l1 FROM cl WHERE frame > 0 GROUP BY user_id)"
 )
-_CLIP_NAMES = ("mean_l1", "std_l1", "mean_ssim", "std_ssim", "l1_slope", "chunk0_l1", "chunk1_l1", "chunk2_l1")
+_CLIP_NAMES = ("mean_l1", "std_l1", "mean_ssim", "std_ssim", "l1_slope", "early_c1_l1", "mid_c2c3_l1", "late_c4c6_l1")
 
 
-def _clips(spark, d, rows="user_id % 3 <> 0 or frame < 20"):
+def _clips(spark, d):
     f = frames(spark, d)
     pair = joins.paired_frames(f.select("user_id", "frame", "value"), f.select("user_id", (F.col("frame") + 1).alias("frame"), F.col("value").alias("before")).unionByName(f.where("frame = 0").select("user_id", "frame", F.lit(0.0).alias("before"))), ["user_id", "frame"])
-    pair = pair.where(rows).select("user_id", "frame", F.abs(F.col("value") - F.col("before")).alias("l1"), (F.col("value") / 100).alias("ssim"))
+    pair = pair.select("user_id", "frame", F.abs(F.col("value") - F.col("before")).alias("l1"), (F.col("value") / 100).alias("ssim"))
     return stats.clip_metrics(pair, "user_id", "frame", "l1", "ssim")
 
 
@@ -703,26 +699,12 @@ def fds_per_clip(spark, d):
     return _clips(spark, d).select("user_id", "num_frames", *[F.round(n, 6).alias(n) for n in _CLIP_NAMES])
 
 
-@query(f"WITH {_CLIPS}, {_PER_CLIP} SELECT count(*) AS num_clips, {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('mean_l1', 'mean_ssim', 'l1_slope', 'chunk0_l1', 'chunk1_l1', 'chunk2_l1'))} FROM pc")
+@query(f"WITH {_CLIPS}, {_PER_CLIP} SELECT count(*) AS num_clips, {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('mean_l1', 'mean_ssim', 'l1_slope', 'early_c1_l1', 'mid_c2c3_l1', 'late_c4c6_l1'))} FROM pc")
 def fds_summary(spark, d):
     out = stats.run_summary(_clips(spark, d))
     return out.select("num_clips", *[F.round(c, 6).alias(c) for c in out.columns if c != "num_clips"])
 
 
-_CLIPS_WHOLE = f"{FRAMES}, cl AS (SELECT user_id, frame, abs(value - coalesce(lag(value) OVER ({_EDGE}), 0)) AS l1, value / 100 AS ssim FROM fr)"
-
-
-@query(f"WITH {_CLIPS_WHOLE}, {_PER_CLIP} SELECT user_id, num_frames, {', '.join(f'round({n}, 6) AS {n}' for n in _CLIP_NAMES)} FROM pc")
-def fds_per_clip_whole(spark, d):
-    return _clips(spark, d, "true").select("user_id", "num_frames", *[F.round(n, 6).alias(n) for n in _CLIP_NAMES])
-
-
-@query(f"WITH {_CLIPS_WHOLE}, {_PER_CLIP} SELECT count(*) AS num_clips, {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('mean_l1', 'mean_ssim', 'l1_slope', 'chunk0_l1', 'chunk1_l1', 'chunk2_l1'))} FROM pc")
-def fds_summary_whole(spark, d):
-    out = stats.run_summary(_clips(spark, d, "true"))
-    return out.select("num_clips", *[F.round(c, 6).alias(c) for c in out.columns if c != "num_clips"])
-
-
 @query("SELECT a.label, round(avg(pow(x - y, 2)), 9) AS mse FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS k FROM embeddings) b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.label")
 def action_mse(spark, d):
     v = vectors(spark, d)
@@ -782,16 +764,11 @@ def signature_sha1(spark, d):
     return rows.groupBy("n_regionkey").agg(stats.set_signature(rows, "n_name", "k").alias("signature"))
 
 
-@query("SELECT user_id, substr(md5('leaf' || user_id || '_train_[0, 6, ' || user_id || ']'), 1, 12) AS key FROM (SELECT DISTINCT user_id FROM events WHERE user_id > 6)")
-def cache_key_md5(spark, d, rows="user_id > 6"):
+@query("SELECT user_id, substr(md5('leaf' || user_id || '_train_' || CAST(list_sort([0, 6, user_id]) AS VARCHAR)), 1, 12) AS key FROM (SELECT DISTINCT user_id FROM events)")
+def cache_key_md5(spark, d):
     u = F.col("user_id")
     key = stats.cache_key(F.concat(F.lit("leaf"), u.cast("string")), F.lit("train"), F.array(u, F.lit(6).cast("long"), F.lit(0).cast("long")))
-    return t(spark, d, "events").where(rows).select("user_id").distinct().select("user_id", key.alias("key"))
-
-
-@query("SELECT user_id, substr(md5('leaf' || user_id || '_train_' || CAST(list_sort([0, 6, user_id]) AS VARCHAR)), 1, 12) AS key FROM (SELECT DISTINCT user_id FROM events)")
-def cache_key_md5_whole(spark, d):
-    return cache_key_md5(spark, d, "true")
+    return t(spark, d, "events").select("user_id").distinct().select("user_id", key.alias("key"))
 
 
 @query("SELECT n_nationkey, n_regionkey = 1 AS same FROM nation")
@@ -947,7 +924,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     got = windows.gather(f, "value", DELTAS, KEY, ORDER).withColumnRenamed("frame", "base")
     moments = f.groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    train = steps.trailing_split(positions(spark, d), "train")
+    train = steps.trailing_split(positions(spark, d), "train", n=n_steps(spark, d))
     rows = got.join(train, ["user_id", "base"]).join(moments, "user_id")
     one = F.array_repeat(F.lit(1.0), len(DELTAS))
     y = numeric.normalise(F.col("window"), "mean_std", {"mean": F.transform(one, lambda _: F.col("m")), "std": F.transform(one, lambda _: F.col("s"))})

@@ -109,10 +109,21 @@ def video_files(spark: SparkSession, leaf: str, pattern: str = "*.mp4") -> DataF
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(f"{leaf}/videos")
 
 
+def files_below(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Paths of all files below a folder that end so, in order; only names are listed."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return sorted(f for f in out if f.endswith(suffix))
+
+
 def first_file(spark: SparkSession, leaf: str, rows: int) -> DataFrame:
     """The first rows of the first Parquet file in order of paths."""
-    files = spark.read.option("recursiveFileLookup", "true").parquet(f"{leaf}/data").select(F.input_file_name().alias("f")).agg(F.min("f")).first()[0]
-    return spark.read.parquet(files).limit(rows)
+    files = files_below(spark, f"{leaf}/data", ".parquet")
+    if not files:
+        raise FileNotFoundError(f"no Parquet file below {leaf}/data")
+    return spark.read.parquet(files[0]).limit(rows)
 
 
 # sinks
@@ -148,16 +159,22 @@ def write_statistics(stats: DataFrame, path: str, provenance: dict[str, str], fo
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Writes beside the old folder and then takes its place, so that readers see one of the two."""
+    """Writes beside the old folder, moves that aside and takes its place, so that one of the two is there whole at any time;
+    what a run that broke off has left aside is put back first."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}.new")
     jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, here, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path, f"{path}.old"))
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
+    if fs.exists(aside) and not fs.exists(here):
+        fs.rename(aside, here)
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(aside, True)
+    if fs.exists(here) and not fs.rename(here, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, here):
+        fs.rename(aside, here)
         raise OSError(f"{path}.new could not take the place of {path}")
+    fs.delete(aside, True)
 
 
 def write_filter_cache(steps: DataFrame, path: str) -> None:

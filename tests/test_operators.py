@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.functions import numeric, rotation, text
@@ -54,12 +55,12 @@ def test_whole_queries_reach_every_row(spark):
     q = catalogue.QUERIES
     rows, users = (catalogue.t(spark, SF, "events").select(*c).distinct().count() for c in (["event_id"], ["user_id"]))
     lengths = [r["count"] for r in catalogue.t(spark, SF, "events").groupBy("user_id").count().collect()]
-    assert sum(r.n for r in q["fixed_chunks_whole"](spark, SF).collect()) == sum(-(-n // 8) * 8 for n in lengths)
-    assert q["stitch_chunks_whole"](spark, SF).count() == rows - sum(-(-n // 9) for n in lengths)
-    assert q["chunk_handoff_whole"](spark, SF).count() == sum(-(-n // 9) for n in lengths)
-    assert sum(r.num_frames for r in q["fds_per_clip_whole"](spark, SF).collect()) == rows - users
-    assert q["fds_summary_whole"](spark, SF).first().num_clips == users and q["cache_key_md5_whole"](spark, SF).count() == users
-    assert q["mixture_index_lookup_whole"](spark, SF).count() == q["mixture_factors"](spark, SF).agg({"hi": "max"}).first()[0]
+    assert sum(r.n for r in q["fixed_chunks"](spark, SF).collect()) == sum(-(-n // 8) * 8 for n in lengths)
+    assert q["stitch_chunks"](spark, SF).count() == rows - sum(-(-n // 9) for n in lengths)
+    assert q["chunk_handoff"](spark, SF).count() == sum(-(-n // 9) for n in lengths)
+    assert sum(r.num_frames for r in q["fds_per_clip"](spark, SF).collect()) == rows - users
+    assert q["fds_summary"](spark, SF).first().num_clips == users and q["cache_key_md5"](spark, SF).count() == users
+    assert q["mixture_index_lookup"](spark, SF).count() == q["mixture_factors"](spark, SF).agg({"hi": "max"}).first()[0]
 
 
 def one(spark, column, **values):
@@ -98,6 +99,21 @@ def test_splits_and_samples(spark):
     assert steps.number(p.orderBy(F.desc("pos")), ["pos"], "k").where("k <> pos").count() == 0
 
 
+def test_numbers_of_many_rows(spark):
+    """Partitions that are sampled, with a column that only one side of the plan reads."""
+    many = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("a"), F.hash("id").alias("b"), F.repeat(F.lit("x"), 20).alias("extra"))
+    got = steps.number(many, ["a", "b"])
+    ordered = got.withColumn("before", F.lag("a").over(W.partitionBy(F.floor(F.col("pos") / 50_000)).orderBy("pos")))
+    r = ordered.agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count_if(F.col("before") > F.col("a")).alias("wrong"), F.max("extra").alias("x")).first()
+    assert (r.n, r.lo, r.hi, r.wrong) == (1_000_000, 0, 999_999, 0)
+
+
+def test_nearest_of_one_hot_key(spark):
+    rows = spark.range(400_000).select(F.lit(1).alias("k"), F.col("id").alias("ts"), F.col("id").alias("frame"))
+    got = joins.nearest(rows.where("frame % 4 = 1").select("k", "ts"), rows.where("frame % 4 = 3"), ["k"])
+    assert got.where("frame <> greatest(ts - 2, 3)").count() == 0 and got.count() == 100_000
+
+
 # windows
 
 
@@ -184,9 +200,9 @@ def test_clip_metrics(spark):
     f = spark.createDataFrame([("a", 0, 9.0), ("a", 1, 1.0), ("a", 2, 3.0), ("b", 0, 1.0), ("b", 1, float("nan"))], "clip string, frame long, l1 double").withColumn("ssim", F.lit(0.5))
     clips = stats.clip_metrics(f, "clip", "frame", "l1", "ssim")
     a = clips.where("clip = 'a'").first()
-    assert (a.num_frames, a.mean_l1, a.std_l1, a.l1_slope, a.chunk0_l1, a.chunk1_l1) == (2, 2.0, 1.0, 2.0, 2.0, None)
+    assert (a.num_frames, a.mean_l1, a.std_l1, a.l1_slope, a.early_c1_l1, a.mid_c2c3_l1) == (2, 2.0, 1.0, 2.0, 2.0, None)
     total = stats.run_summary(clips).first()
-    assert (total.num_clips, total.mean_l1, total.chunk1_l1) == (2, 2.0, None)
+    assert (total.num_clips, total.mean_l1, total.mid_c2c3_l1) == (2, 2.0, None)
     empty = stats.norms(spark.createDataFrame([(1, None)], "k int, v double"), "v", ["k"]).first()
     assert (empty.l2, empty.max_abs) == (0.0, 0.0)
 
@@ -259,7 +275,7 @@ def test_tolerant_and_strict_parsing(spark):
     assert (seconds("3.5"), seconds("01:02.25"), seconds("1:00:00"), seconds("x")) == (3.5, 62.25, 3600.0, None)
     assert one(spark, text.caption(F.col("s")), s=("a: b : c d ", "string")) == "c d"
     with pytest.raises(ValueError):
-        text.statistics_file(F.col("s"), None)
+        text.statistics_file(F.col("s"), None, "x")
     with pytest.raises(ValueError):
         text.generation_payload(F.col("s"), F.col("s"), "720", "4:3")
 
