@@ -98,7 +98,8 @@ def shuffle_blocks(leaves: DataFrame, size: int = 512, seed: int | None = None,
     out = leaves.where(F.col(length) > 0).select(key, F.col(length).alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(length).cast("long") - 1, F.lit(size).cast("long"))).alias("block_start"))
     out = out.withColumn("block_end", F.least(F.col("block_start") + size, F.col("__n"))).drop("__n")
     if seed is not None:
-        out = out.withColumn("shuffled", F.xxhash64(key, "block_start", F.lit(seed)))
+        digits = F.substring(F.md5(F.concat_ws(":", F.col(key), F.col("block_start"), F.lit(seed)).cast("binary")), 1, 15)
+        out = out.withColumn("shuffled", F.conv(digits, 16, 10).cast("long"))
         if ranks:
             out = out.withColumn("rank", F.pmod("shuffled", F.lit(ranks)).cast("int"))
     return out

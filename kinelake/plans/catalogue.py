@@ -402,27 +402,80 @@ def rotation_convert_rows(spark, d):
     return _cells(vectors(spark, d).withColumn("y", rotation.convert(numeric.part(F.col("v"), 3, 7), "quaternion", "rot6d_rows")))
 
 
-@query()
+def _times(a: str, b: str) -> str:
+    """The product of two matrices in SQL."""
+    return "[" + ", ".join(" + ".join(f"{a}[{3 * i + k + 1}] * {b}[{3 * k + j + 1}]" for k in range(3)) for i in range(3) for j in range(3)) + "]"
+
+
+def _picked(a: str, places: tuple[int, ...]) -> str:
+    return "[" + ", ".join(f"{a}[{i + 1}]" for i in places) + "]"
+
+
+def _turned(q: str) -> str:
+    """The matrix of a unit quaternion (a list) in SQL."""
+    x, y, z, w = (f"{q}[{i}]" for i in range(1, 5))
+    return f"[1-2*({y}*{y}+{z}*{z}), 2*({x}*{y}-{z}*{w}), 2*({x}*{z}+{y}*{w}), 2*({x}*{y}+{z}*{w}), 1-2*({x}*{x}+{z}*{z}), 2*({y}*{z}-{x}*{w}), 2*({x}*{z}-{y}*{w}), 2*({y}*{z}+{x}*{w}), 1-2*({x}*{x}+{y}*{y})]"
+
+
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda c: c / sqrt(list_sum(list_transform({v}, lambda k: k * k))))"
+
+
+_TURN = (0, 3, 6, 1, 4, 7, 2, 5, 8)
+_SIX = (0, 3, 6, 1, 4, 7)
+_LISTS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
+_LIST_CELLS = "SELECT vec_id, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS dim, round(unnest(y), 6) AS y FROM o"
+_RELATIVE = (
+    f"{_LISTS}, u AS (SELECT vec_id, v, {_unit('v[4:7]')} AS p, {_unit('v[11:14]')} AS q FROM v), m AS (SELECT vec_id, v, {_turned('p')} AS a, {_turned('q')} AS b FROM u), "
+    f"t AS (SELECT vec_id, v, a, {_picked('b', _TURN)} AS b FROM m), r AS (SELECT vec_id, [v[1] - v[8], v[2] - v[9], v[3] - v[10]] AS place, {_times('b', 'a')} AS m FROM t)"
+)
+
+
+@query(f"WITH {_RELATIVE}, o AS (SELECT vec_id, list_concat(place, {_picked('m', _SIX)}) AS y FROM r) {_LIST_CELLS}")
 def quat_hybrid_relative(spark, d):
     v = F.col("v")
     return _cells(vectors(spark, d).withColumn("y", rotation.relative_pose(numeric.part(v, 0, 7), numeric.part(v, 7, 14))))
 
 
-@query()
+def _rows_of_six(v: str, at: int) -> str:
+    return f"{v}[{at + 1}:{at + 3}]", f"{v}[{at + 4}:{at + 6}]"
+
+
+def _arm_sql(at: int) -> str:
+    """The relative numbers of one arm: Gram-Schmidt by rows on both sides."""
+    steps_ = [f"a{at} AS (SELECT vec_id, v, {_unit(_rows_of_six('v', at + 3)[0])} AS p, {_rows_of_six('v', at + 3)[1]} AS p2, {_unit(_rows_of_six('v', at + 23)[0])} AS q, {_rows_of_six('v', at + 23)[1]} AS q2 FROM v)"]
+    less = lambda x: f"list_transform(range(1, 4), lambda i: {x}2[i] - list_inner_product({x}, {x}2) * {x}[i])"
+    steps_.append(f"b{at} AS (SELECT vec_id, v, p, q, {less('p')} AS p2, {less('q')} AS q2 FROM a{at})")
+    steps_.append(f"c{at} AS (SELECT vec_id, v, p, q, {_unit('p2')} AS p2, {_unit('q2')} AS q2 FROM b{at})")
+    cross = lambda x: f"list_concat(list_concat({x}, {x}2), [{x}[2]*{x}2[3]-{x}[3]*{x}2[2], {x}[3]*{x}2[1]-{x}[1]*{x}2[3], {x}[1]*{x}2[2]-{x}[2]*{x}2[1]])"
+    steps_.append(f"d{at} AS (SELECT vec_id, v, {cross('p')} AS p, {cross('q')} AS q FROM c{at})")
+    steps_.append(f"e{at} AS (SELECT vec_id, v, p, {_picked('q', _TURN)} AS q FROM d{at})")
+    steps_.append(f"f{at} AS (SELECT vec_id, list_concat(list_concat([{', '.join(f'v[{at + i}] - v[{at + 20 + i}]' for i in (1, 2, 3))}], ({_times('q', 'p')})[1:6]), [v[{at + 10}]]) AS y FROM e{at})")
+    return ", ".join(steps_)
+
+
+@query(f"WITH {_LISTS}, {_arm_sql(0)}, {_arm_sql(10)}, o AS (SELECT vec_id, list_concat(f0.y, f10.y) AS y FROM f0 JOIN f10 USING (vec_id)) {_LIST_CELLS}")
 def dual_arm_relative(spark, d):
     v = F.col("v")
     arm = lambda a: F.concat(numeric.minus(numeric.part(v, a, a + 3), numeric.part(v, a + 20, a + 23)), rotation.to_six(rotation.multiply(rotation.transpose(rotation.from_six(numeric.part(v, a + 23, a + 29), "row")), rotation.from_six(numeric.part(v, a + 3, a + 9), "row")), "row"), numeric.part(v, a + 9, a + 10))
     return _cells(vectors(spark, d).withColumn("y", F.concat(arm(0), arm(10))))
 
 
-@query()
+@query(
+    f"WITH {_LISTS}, u AS (SELECT vec_id, {_unit('v[1:4]')} AS p, {_unit('v[5:8]')} AS q, {_unit('v[9:12]')} AS r FROM v), m AS (SELECT vec_id, {_turned('p')} AS a, {_turned('q')} AS b, {_turned('r')} AS c FROM u), "
+    f"n AS (SELECT vec_id, {_times('a', 'b')} AS a, c AS b FROM m), o AS (SELECT vec_id, {_times('a', 'b')} AS y FROM n) {_LIST_CELLS}"
+)
 def rot_cumprod(spark, d):
     v = F.col("v")
     parts = F.array(*[rotation.from_quaternion(numeric.part(v, 4 * i, 4 * i + 4)) for i in range(3)])
     return _cells(vectors(spark, d).withColumn("y", F.element_at(rotation.product(parts), -1)))
 
 
-@query()
+@query(
+    f"WITH {_RELATIVE}, g AS (SELECT vec_id, place, acos(greatest(-1, least(1, (m[1] + m[5] + m[9] - 1) / 2))) / 2 AS t, {_unit('[m[8] - m[6], m[3] - m[7], m[4] - m[2]]')} AS u FROM r), "
+    "h AS (SELECT vec_id, place, u[1] AS x, u[2] AS y, u[3] AS z, sin(t) AS s, cos(t) AS c FROM g), "
+    "o AS (SELECT vec_id, list_concat([2 * place[1], 2 * place[2], 2 * place[3]], [c+x*x*(1-c), y*x*(1-c)+z*s, z*x*(1-c)-y*s, x*y*(1-c)-z*s, c+y*y*(1-c), z*y*(1-c)+x*s]) AS y FROM h) " + _LIST_CELLS
+)
 def rot_angle_scale(spark, d):
     pose = rotation.relative_pose(numeric.part(F.col("v"), 0, 7), numeric.part(F.col("v"), 7, 14))
     return _cells(vectors(spark, d).withColumn("y", rotation.scale_motion(pose, 2.0, 0.5)))
@@ -463,7 +516,10 @@ def shuffle_blocks(spark, d):
     return stats.shuffle_blocks(_mixture(spark, d), 16)
 
 
-@query()
+@query(
+    f"WITH {_MIXTURE}, s AS (SELECT leaf, virtual, unnest(range(0, virtual, 16)) AS block_start FROM mx), h AS (SELECT *, CAST(('0x' || substr(md5(leaf || ':' || block_start || ':3'), 1, 15)) AS BIGINT) AS shuffled FROM s) "
+    "SELECT leaf, block_start, least(block_start + 16, virtual) AS block_end, shuffled, CAST(shuffled % 4 AS INTEGER) AS rank FROM h"
+)
 def shuffle_ranks(spark, d):
     return stats.shuffle_blocks(_mixture(spark, d), 16, seed=3, ranks=4)
 
@@ -938,17 +994,142 @@ query(
 )(flagship)
 
 
-@query()
-def stream_new_iterations(spark, d):
-    """Iterations that a stream over a folder of announcements hands on, each once, whatever was announced twice."""
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own that driver and executors share."""
     import uuid
 
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/kinelake-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT o_orderkey % 5000 * 100 AS iteration, printf('iter_%09d', o_orderkey % 5000 * 100) AS name FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5000 * 100 >= 1000 AND o_orderkey % 5000 * 100 % 500 = 0")
+def stream_new_iterations(spark, d):
+    """Iterations that a stream over a folder of announcements hands on, each once, whatever was announced twice."""
     from ..streaming import watch
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     made = t(spark, d, "orders").select(F.format_string("iter_%09d", F.col("o_orderkey") % 5000 * 100).alias("name"), (F.col("o_orderkey") % 7 != 0).alias("complete"))
     made.repartition(3).write.json(f"{folder}/in")
     put = watch.upsert_metrics(f"{folder}/out")
     watch.watch(watch.events(spark, f"{folder}/in", 2), put, f"{folder}/state", start=1000, stride=500).awaitTermination()
     return watch.read_metrics(spark, f"{folder}/out").select("iteration", "name")
+
+
+@query("SELECT o_orderkey, o_orderkey % 5000 * 100 AS iteration FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5000 * 100 >= 1000 AND o_orderkey % 5000 * 100 % 500 = 0")
+def wanted_iterations(spark, d):
+    from ..streaming import watch
+
+    key = F.col("o_orderkey")
+    made = t(spark, d, "orders").select("o_orderkey", F.format_string("iter_%09d", key % 5000 * 100).alias("name"), (key % 7 != 0).alias("complete"))
+    return watch.wanted(made, 1000, 500).select("o_orderkey", "iteration")
+
+
+# sources and sinks: written, read back
+
+
+@query("SELECT event_id, value, user_id AS episode FROM events")
+def leaf_frames(spark, d):
+    from ..sources import leaves as source
+
+    leaf = scratch(spark)
+    t(spark, d, "events").select("event_id", "value", F.col("user_id").alias("episode_index")).write.parquet(f"{leaf}/data/chunk-000")
+    return source.frames(spark, leaf, ["event_id", "value"], tolerant=True)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS episode_index, n_name AS task, CAST(n_regionkey + 1 AS BIGINT) AS length FROM nation")
+def leaf_episodes(spark, d):
+    from ..sources import leaves as source
+
+    leaf = scratch(spark)
+    n = t(spark, d, "nation")
+    source.write_episodes(n.select(F.col("n_nationkey").cast("long").alias("episode_index"), F.array("n_name").alias("tasks"), (F.col("n_regionkey") + 1).cast("long").alias("length")), f"{leaf}/meta/episodes.jsonl")
+    return source.episodes(spark, leaf).select("episode_index", F.col("tasks")[0].alias("task"), "length")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS task_index, n_comment AS task FROM nation".replace("n_comment", "n_name"))
+def leaf_tasks(spark, d):
+    from ..sources import leaves as source
+
+    leaf = scratch(spark)
+    source.write_json_lines(t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("task_index"), F.col("n_name").alias("task")), f"{leaf}/meta/tasks.jsonl")
+    return source.tasks(spark, leaf)
+
+
+@query("SELECT n_name AS name, 'float32' AS dtype, n_regionkey AS width, CASE WHEN n_regionkey < 3 THEN repeat('x', 30 * (n_regionkey + 1)) END AS names FROM nation".replace("n_regionkey < 3", "30 * (n_regionkey + 1) <= 64"))
+def leaf_features(spark, d):
+    from ..sources import leaves as source
+
+    leaf = scratch(spark)
+    one = F.struct(F.lit("float32").alias("dtype"), F.array(F.col("n_regionkey").cast("int")).alias("shape"), F.repeat(F.lit("x"), 30 * (F.col("n_regionkey").cast("int") + 1)).alias("names"))
+    features = t(spark, d, "nation").agg(F.map_from_entries(F.collect_list(F.struct("n_name", one))).alias("features"))
+    features.select(F.to_json(F.struct("features")).alias("value")).write.text(f"{leaf}/meta/info.json")
+    return source.feature_summary(source.info(spark, leaf)).select("name", "dtype", F.col("shape")[0].alias("width"), "names")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def leaf_first_file(spark, d):
+    from ..sources import leaves as source
+
+    leaf = scratch(spark)
+    n = t(spark, d, "nation").select("n_nationkey", "n_name")
+    n.coalesce(1).write.parquet(f"{leaf}/data/chunk-000")
+    n.limit(0).write.parquet(f"{leaf}/data/chunk-001")
+    return source.first_file(spark, leaf, 100)
+
+
+@query("SELECT r_name AS leaf FROM region WHERE r_regionkey <> 2")
+def leaf_discovery(spark, d):
+    from ..sources import leaves as source
+
+    parent = scratch(spark)
+    for r in t(spark, d, "region").collect():
+        t(spark, d, "region").limit(1).write.parquet(f"{parent}/{r['r_name']}/{'other' if r['r_regionkey'] == 2 else 'meta'}")
+    return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in source.discover(spark, parent)], "leaf string")
+
+
+@query("SELECT kind, n_regionkey AS \"start\", n_regionkey + 2 AS \"end\" FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey = 3), (VALUES ('state'), ('action')) k(kind)")
+def leaf_modality(spark, d):
+    from ..sources import leaves as source
+
+    leaf = scratch(spark)
+    entry = F.struct(F.max("n_regionkey").cast("int").alias("start"), (F.max("n_regionkey") + 2).cast("int").alias("end"))
+    made = t(spark, d, "nation").where("n_regionkey = 3").agg(F.to_json(F.struct(F.create_map(F.lit("arm"), entry).alias("state"), F.create_map(F.lit("arm"), entry).alias("action"))).alias("value"))
+    made.write.text(f"{leaf}/meta/modality.json")
+    return source.modality_entries(source.modality(spark, leaf)).select("kind", "start", "end")
+
+
+@query("SELECT JobID, CAST(Elapsed AS VARCHAR) AS ElapsedRaw FROM (SELECT CAST(s_suppkey AS VARCHAR) AS JobID, s_suppkey * 60 AS Elapsed FROM supplier)")
+def accounting_rows(spark, d):
+    from ..sources import leaves as source
+
+    path = scratch(spark)
+    key = F.col("s_suppkey").cast("string")
+    t(spark, d, "supplier").select(F.concat_ws("|", key, key, F.lit("00:10:00"), (F.col("s_suppkey") * 60).cast("string"), F.lit("2"), F.lit("2"), F.lit("COMPLETED")).alias("value")).write.text(path)
+    return source.accounting(spark, path).select("JobID", "ElapsedRaw")
+
+
+@query("SELECT dim, round(avg(x), 6) AS mean, 'b' AS run FROM (SELECT CAST(unnest(embedding) AS FLOAT)::DOUBLE AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings) GROUP BY dim")
+def statistics_written(spark, d):
+    from ..sources import leaves as source
+
+    path = scratch(spark)
+    whole = stats.column_statistics(vectors(spark, d), "v")
+    source.write_statistics(whole.limit(3), path, {"run": "a"})
+    source.write_statistics(whole, path, {"run": "b"}, force=True)
+    return spark.read.parquet(path).select("dim", F.round("mean", 6).alias("mean"), "run")
+
+
+@query(f"WITH {_RULE} SELECT CAST(user_id % 4 AS VARCHAR) AS leaf, count(*) AS steps FROM ru WHERE rule IS NULL GROUP BY 1")
+def filter_cache(spark, d):
+    from ..sources import leaves as source
+
+    path = scratch(spark)
+    valid = _ruled(spark, d).where("rule is null").select("user_id", "frame", F.concat(F.lit("leaf"), F.col("user_id") % 4).alias("leaf"))
+    source.write_filter_cache(valid, path)
+    return source.cached_steps(spark, path).select(F.substr("leaf", F.lit(5)).alias("leaf"), "steps")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def unique_lookup(spark, d):
+    customers = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return joins.unique_lookup(t(spark, d, "orders").select("o_orderkey", "o_custkey"), customers, "o_custkey").select("o_orderkey", "c_name")
