@@ -9,8 +9,8 @@ its line separator); a file has at most FILE_RECORDS records, so that a reader's
 
 Reading. Files are split into records by their headers' lengths. Records that stand alone are decoded at once; of the
 others the pieces of one origin are brought together, ordered by number, checked to be gapless and of the stated total
-length, and joined; then the HTTP head is cut off and the chunks are decoded. What is incomplete is reported with a null
-payload and ``complete`` false.
+length, and joined in one pass; then the HTTP head is cut off and the chunks are decoded. What is incomplete or damaged is reported
+with a null payload and ``complete`` false; what cannot be read of an archive stops no other record.
 
 Defined cases: a null html is an empty payload; pages of equal page_id and payload are all responses or all revisits; rows
 without page_id count as smaller than any other; an empty table gives no row; columns other than page_id, url and html
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .common import cut, new_folder, small_join
 
 SEGMENT, CHUNK, FILE_RECORDS = 16_384, 4096, 2048
 END = "\r\n"
-RECORDS = "record_id string, page_id long, kind string, digest string, refers_to string, segment int, total long, block binary"
+RECORDS = "record_id string, page_id long, kind string, digest string, refers_to string, segment int, total long, block binary, whole boolean"
 HTTP_HEAD = END.join(("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", ""))
 
 
@@ -50,8 +52,9 @@ def record_id(page: Column, digest: Column) -> Column:
 
 
 def pieces_of(text: Column, n: int) -> Column:
-    """text in pieces of n characters, in one pass over it."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+    """text in pieces of n characters, in one pass over it. The quantifier is possessive: any other recurses for each character
+    where some take two code units and others one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}+"), F.lit(0))
 
 
 def framed(text: Column) -> Column:
@@ -92,31 +95,48 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive file."""
+    """The records of one archive file. What has no whole head, no id or no length is reported with its type, if there is one,
+    and without a block; a block that ends early is not whole; names of fields are read in any case."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[at:stop].decode("utf-8", "replace").split(END)[1:])
-        at = stop + 4 + int(fields["Content-Length"])
+        stop = data.find(b"\r\n\r\n", at)
+        lines = data[at : stop if stop >= 0 else len(data)].decode("utf-8", "replace").split(END)[1:]
+        fields = {name.strip().lower(): value.strip() for name, sep, value in (x.partition(":") for x in lines) if sep}
+        number = lambda name, most=2**63: int(v) if (v := fields.get(name, "")).isascii() and v.isdigit() and int(v) < most else None  # noqa: B023, E731
+        size, segment, page = number("content-length"), number("warc-segment-number", 2**31) or 0, fields.get("x-page-id", "")
+        name = fields.get("warc-segment-origin-id", fields.get("warc-record-id"))
+        known = stop >= 0 and size is not None and name is not None
+        begin = stop + 4 if stop >= 0 else len(data)
+        at = min(begin + size, len(data)) if known else begin
         yield {
-            "record_id": fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
-            "kind": fields["WARC-Type"], "digest": fields.get("WARC-Payload-Digest"), "refers_to": fields.get("WARC-Refers-To"),
-            "segment": int(fields.get("WARC-Segment-Number", 0)), "total": int(fields["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in fields else None, "block": data[stop + 4 : at],
+            "record_id": name, "page_id": int(page) if re.fullmatch(r"-?[0-9]{1,18}", page) else None, "kind": fields.get("warc-type"), "digest": fields.get("warc-payload-digest"), "refers_to": fields.get("warc-refers-to"),
+            "segment": segment, "total": number("warc-segment-total-length"), "block": data[begin:at] if known else None, "whole": known and begin + size <= len(data),
         }
 
 
+def inflate(data: bytes) -> bytes:
+    """What gzip members hold, one after the other, as far as they can be read."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data if member.eof else b""
+    return b"".join(out)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives in a folder, as they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         schema = None
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 data = content.as_buffer().to_pybytes()
-                rows = [*parse(gzip.decompress(data) if name.endswith(".gz") else data)]
-                schema = schema or pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+                rows = [*parse(inflate(data) if name.endswith(".gz") else data)]
+                schema = schema or pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("whole", pa.bool_())])
                 for k in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 512], schema)
 
@@ -125,17 +145,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: those that stand alone, and those whose segments 1 to n are all there and add up to the stated
-    length; ``complete`` is false for others. Rows that repeat a segment make as many records as there are firsts."""
-    alone = records.where("segment = 0").drop("segment", "total").withColumn("complete", F.lit(True))
+    """Whole records, as ``parts`` in order: those that stand alone, and those whose segments 1 to n are all there and add up to
+    the stated length; ``complete`` is false for others. Rows that repeat a segment make as many records as there are firsts."""
+    alone = records.where("segment = 0").select("record_id", "page_id", "kind", "digest", "refers_to", F.array("block").alias("parts"), F.col("whole").alias("complete"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c)))
     groups = records.where("segment > 0").groupBy("record_id").agg(
         first("page_id").alias("page_id"), first("kind").alias("kind"), first("digest").alias("digest"), first("refers_to").alias("refers_to"),
-        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.count_if(F.col("segment") == 1).alias("copies"),
+        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("pieces"), F.max("total").alias("total"), F.count_if(F.col("segment") == 1).alias("copies"), F.min("whole").alias("whole"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    gapless = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))
-    joined = groups.withColumn("block", block).withColumn("complete", F.coalesce(gapless & (F.octet_length("block") == F.col("total")), F.lit(False)))
+    gapless = F.transform("pieces", lambda x: x["segment"]) == F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1)))
+    size = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
+    joined = groups.withColumn("parts", F.transform("pieces", lambda x: x["block"])).withColumn("complete", F.coalesce(F.col("whole") & gapless & (size == F.col("total")), F.lit(False)))
     return alone.unionByName(joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*alone.columns))
 
 
@@ -173,8 +193,8 @@ def read_payloads(whole: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, bodies, good = [], [], [], []
-            for block, kind, said, complete in zip(b.column("block"), b.column("kind").to_pylist(), b.column("digest").to_pylist(), b.column("complete").to_pylist(), strict=True):
-                body = payload(block.as_py()) if complete and kind == "response" else None
+            for parts, kind, said, complete in zip(b.column("parts"), b.column("kind").to_pylist(), b.column("digest").to_pylist(), b.column("complete").to_pylist(), strict=True):
+                body = payload(b"".join(p.as_py() for p in parts.values)) if complete and kind == "response" else None
                 digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if body is not None else None
                 ok = complete and (kind != "response" or digest is not None and said in (None, f"sha1:{digest}"))
                 good.append(ok)
