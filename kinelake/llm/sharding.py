@@ -1,7 +1,9 @@
 """Sharding by minimax contiguous partition.
 
 Equal texts are one atomic group, and groups are ordered by a hash of their text. The smallest capacity at which a greedy
-pass needs no more shards than there are is found by binary search; the groups are cut where that pass cuts them.
+pass needs no more shards than there are is found by binary search; the groups are cut where that pass cuts them. Where one
+group is that capacity (a group of copies larger than a fair share), it gets a shard of its own and the groups before and after
+it are partitioned by themselves, in the same way, so that all other shards stay near equal.
 
 The groups are never brought together. The driver sees sums over ranges of the hash, at most RANGES of them to begin
 with, and only the ranges in which some cut could still fall are split into 2 ** STEP parts, again and again, until each
@@ -100,8 +102,26 @@ def cut_points(groups: DataFrame, shards: int) -> list[int]:
         marks = [r.start >> (64 - coarse) for r in todo]
         inside = groups.where(F.shiftrightunsigned("hash", 64 - coarse).isin(marks))
         ranges = sorted([r for r in ranges if r not in set(todo)] + sums(inside, bits))
-    _, ends = minimax([r.size for r in ranges], shards)
-    return [ranges[k].start for k in ends[:-1]]
+    capacity, ends = minimax([r.size for r in ranges], shards)
+    top = groups.groupBy("hash").agg(F.sum("size").alias("size")).agg(F.max(F.struct("size", "hash")).alias("top")).first()["top"]
+    if top is None or top["size"] < capacity or shards < 2:
+        return [ranges[k].start for k in ends[:-1]]
+    # one group is the capacity: it gets a shard of its own, and the stretches before and after it what even shards they can
+    at = top["hash"] % 2**64
+    order = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
+    sides = [groups.where(order < F.lit(at - 2**63)), groups.where(order > F.lit(at - 2**63))]
+    sizes = [side.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for side in sides]
+    left = 0 if not sizes[0] else shards - 1 if not sizes[1] else min(max(round((shards - 1) * sizes[0] / sum(sizes)), 1), max(shards - 2, 1))
+    if (sizes[0] and not left) or (sizes[1] and left == shards - 1) or not fits([*ranges], at, capacity, left, shards - 1 - left):
+        return [ranges[k].start for k in ends[:-1]]
+    points = cut_points(sides[0], left) + [at] * (left > 0) if sizes[0] else []
+    return points + ([at + 1, *cut_points(sides[1], shards - 1 - left)] if sizes[1] else [])
+
+
+def fits(ranges: list[Range], at: int, capacity: int, left: int, right: int) -> bool:
+    """Whether the ranges before and after a group's hash go into so many shards each."""
+    sides = [r.size for r in ranges if r.start + (1 << 64 - r.bits) <= at], [r.size for r in ranges if r.start > at]
+    return all(not sizes or (n > 0 and greedy(sizes, capacity, n) is not None) for sizes, n in zip(sides, (left, right), strict=True))
 
 
 def place(rows: DataFrame, points: list[int]) -> Column:
