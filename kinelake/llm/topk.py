@@ -91,6 +91,8 @@ def _block_search(k: int):
             got = []
             for q, v, floor in zip(right.column("query_id").to_numpy().tolist(), queries.astype(kind), floors, strict=True):
                 at, best = lists.search(q, v, k, float("-inf") if floor is None else floor)
+                if floor is not None:  # k better ones are known
+                    at, best = at[best >= floor], best[best >= floor]
                 got.append((np.full(len(at), q), lists.ids[at], np.array([min(max(int(x), _LO), _HI) for x in best], np.int64)))
             out = [np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)]
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
