@@ -15,7 +15,8 @@ power of two), or of longer ones if that is less. Texts shorter than every such
 Defined cases: a null text, one without letters, and any text when nothing was learned, is ``und`` with score 0; rows
 without lang teach nothing; ties go to the smaller language; rows that repeat an id are predicted each; an empty table
 gives no row; columns other than doc_id, text and lang are ignored. The model has one prototype for each distinct lang,
-which is what the driver and the tasks hold: DIM numbers times the number of languages.
+which is what the driver and the tasks hold: DIM numbers times the number of languages, of which more than LANGUAGES are
+an error.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ DIM, SYMBOLS, SEED, BLOCK, MERGE = 2048, 256, 6, 128, 64
 #: Trigrams whose vectors are made at once, and distinct ones that a language's counts hold before they are bundled.
 GRAMS, HELD = 1024, 1 << 20
 UNKNOWN = "und"
+#: Distinct values of lang beyond which learning is refused: each has a prototype in the driver and in every task.
+LANGUAGES = 1000
 QUANTILE, SLACK = 0.001, 0.75
 
 
@@ -109,6 +112,9 @@ def bundle(texts: list[str | None]) -> np.ndarray:
 def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
     """The prototype of each language: partial sums from each task, added up in two rounds."""
     schema = "lang string, part int, bundle array<long>"
+    labelled = docs.where(training & F.col("lang").isNotNull())
+    if labelled.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values; it does not name languages")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,7 +133,7 @@ def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
         total = group.column("bundle").combine_chunks().flatten().to_numpy().reshape(-1, DIM).sum(axis=0)
         return pa.table({"lang": group.column("lang")[:1], "part": pa.array([0], pa.int32()), "bundle": pa.array([total], pa.list_(pa.int64()))})
 
-    parts = docs.where(training & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(sums, schema)
+    parts = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(sums, schema)
     some = parts.groupBy("lang", F.col("part") % MERGE).applyInArrow(lambda _, g: add(g), schema)
     return {r["lang"]: np.array(r["bundle"], np.int64) for r in some.groupBy("lang").applyInArrow(lambda _, g: add(g), schema).collect()}
 

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import re
@@ -299,6 +300,45 @@ def test_langid(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", odd["lang"].substr(9, 1)).where("lang is null")).collect()} <= {"und", ""}
 
 
+def test_predictions_by_definition(spark, documents):
+    """Prototypes, cosines and scores from the vectors of single trigrams."""
+    a, b, c = (x.astype(np.int64) for x in langid.rolled())
+
+    def profile(text):
+        s = [0]
+        for ch in text or "":
+            low = ord(ch.lower()[0])
+            code = 0 if not ch.isalpha() else low - 96 if 97 <= low <= 122 else low - 0xDF + 27 if 0xDF <= low < 0x13F else 123 + low % 133
+            s += [code] * bool(code or s[-1])
+        s += [0] * bool(s[-1])
+        total = np.zeros(langid.DIM, np.int64)
+        for (x, y, z), n in collections.Counter(zip(s, s[1:], s[2:], strict=False)).items():
+            total += n * (a[x] * b[y] * c[z])
+        return total
+
+    rows = documents.limit(120).collect()
+    profiles = [profile(r.text) for r in rows]
+    sums = collections.defaultdict(lambda: np.zeros(langid.DIM, np.int64))
+    for r, p in zip(rows, profiles, strict=True):
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            sums[r.lang] += p
+    langs = sorted(sums)
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs])
+    unit = unit - unit.mean(axis=0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, documents.schema)).collect()}
+    for r, p in zip(rows, profiles, strict=True):
+        cosines = unit @ p / max(np.linalg.norm(p), 1e-12)
+        assert got[r.doc_id].lang_pred == (langs[int(cosines.argmax())] if p.any() else "und")
+        assert got[r.doc_id].score == pytest.approx((1 + cosines.max()) / 2 if p.any() else 0.0, abs=2e-6)
+
+
+def test_labels_that_name_no_languages(spark):
+    many = spark.range(3000).selectExpr("id AS doc_id", "'some text' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError, match="more than"):
+        langid.identify(many)
+
+
 def test_unknown_languages_are_left_out(spark, documents):
     rng = np.random.default_rng(5)
     letters = lambda n, of: "".join(rng.choice(list(of), n))
@@ -365,6 +405,18 @@ def test_shards(spark, odd, documents):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+def test_shards_beside_a_large_group(spark):
+    """A group of copies with a third of all bytes makes one large shard, and the others share the rest evenly."""
+    rows = [(i, "copy of one text " * 4) for i in range(700)] + [(1000 + i, f"text {i} " + "x" * (i % 40 + 60)) for i in range(1200)]
+    out = sharding.shard(frame(spark, [(i, t, "en", "s") for i, t in rows]), 16).collect()
+    loads = collections.Counter()
+    for r in out:
+        loads[r.shard] += r.size
+    big = 700 * (len("copy of one text ") * 4 + 1)
+    rest = sorted(loads.values())[:-1]
+    assert max(loads.values()) == big and len(loads) == 16 and max(rest) < 1.1 * sum(rest) / len(rest)
+
+
 # WARC
 
 
@@ -392,6 +444,34 @@ def test_missing_segments(spark, tmp_path):
         assert [(r.complete, r.payload_bytes) for r in warc.read_payloads(warc.reassemble(records.where(f"segment <> {missing}"))).collect()] == [(False, None)]
 
 
+def test_large_pages(spark):
+    """Segments are joined in time that follows the length."""
+    html = "0123456789abcde\n" * (24 << 16)
+    began = time.time()
+    (r,) = warc.round_trip(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert r.payload_bytes == len(html) and time.time() - began < 120
+    assert r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+
+
+def test_damaged_and_foreign_archives(spark, tmp_path):
+    good = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <a>\r\nX-Page-ID: 5\r\nno field\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody"
+    bad = [
+        b"WARC/1.1\r\nWARC-Type: response\r\n", b"WARC/1.1\r\n\r\n", b"WARC/1.1\r\nWARC-Record-ID: <b>\r\nContent-Length: x\r\n\r\n", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc",
+        b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <c>\r\nContent-Length: 900\r\n\r\nHTTP/1.1 200 OK\r\n\r\nshort", b"\xff\xfe", b"", b"WARC/",
+        b"WARC/1.1\r\nWARC-Record-ID: <d>\r\nWARC-Segment-Number: 99999999999999999999\r\nX-Page-ID: 12x\r\nContent-Length: 2\r\n\r\nab",
+    ]
+    for i, x in enumerate(bad):
+        (tmp_path / f"{i}.txt").write_bytes(good + b"\r\n\r\n" + x)
+    packed = gzip.compress(good + b"\r\n\r\n") + gzip.compress(good)
+    (tmp_path / "two.txt.gz").write_bytes(packed)
+    (tmp_path / "cut.txt.gz").write_bytes(packed[:-12])
+    (tmp_path / "none.txt.gz").write_bytes(b"no gzip at all")
+    out = warc.read_payloads(warc.reassemble(warc.read_records(spark, f"file://{tmp_path}"))).collect()
+    whole = [r for r in out if r.complete and r.kind == "response"]
+    assert len(whole) == len(bad) + 3 and {(r.record_id, r.page_id, bytes(r.payload)) for r in whole} == {("<a>", 5, b"body")}
+    assert sum(not r.complete for r in out) >= 5 and all(r.payload is None for r in out if not r.complete)
+
+
 @pytest.mark.parametrize("body", [b"", b"5\r\nab", b"zz\r\nx\r\n0\r\n\r\n", b"2\r\nabX\r\n0\r\n\r\n", b"-1\r\n"])
 def test_broken_chunks(body):
     assert warc.dechunk(body) is None
