@@ -15,9 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.steps import positions_by_episode
+
 FRAME = "struct<height: int, width: int, pixels: binary>"
 _FRAME = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
 INTERPOLATIONS = ("nearest", "linear", "cubic", "lanczos")
@@ -50,6 +52,44 @@ def decode(files: DataFrame, fps: float, decoder: Callable[[bytes], Iterable[np.
     return files.select("path", "content").mapInArrow(run, f"path string, frame long, ts double, image {FRAME}")
 
 
+def frames_at(files: DataFrame, fps: float, by: str = "frame", decoder: Callable[[bytes], Iterable[np.ndarray]] = numpy_frames) -> DataFrame:
+    """path, nth, frame and image for each entry of ``wanted`` (a list in files, beside path and content), nth being its place
+    there. By ``frame`` the entries are indices, and one that the file lacks is an error; by ``ts`` they are seconds, and the
+    frame nearest in time is taken, the earlier on a tie. A file is decoded up to the last frame that its list needs, with two
+    frames in memory. A null list asks for nothing; a null entry is an error."""
+    if by not in ("frame", "ts"):
+        raise ValueError(f"frames are found by frame or ts, not by {by!r}")
+
+    def picked(content: bytes, wanted: list) -> Iterator[tuple[int, int, np.ndarray]]:
+        todo = sorted(range(len(wanted)), key=lambda k: wanted[k], reverse=True)
+        before, n = None, -1
+        for n, x in enumerate(decoder(content) if todo else ()):
+            while todo and wanted[todo[-1]] <= (n if by == "frame" else n / fps):
+                w = wanted[todo[-1]]
+                if by == "frame" and w != n:
+                    raise ValueError(f"no frame {w}")
+                earlier = by == "ts" and before is not None and w - (n - 1) / fps <= n / fps - w
+                yield todo.pop(), n - earlier, before if earlier else x
+            if not todo:
+                return
+            before = x
+        if todo and (by == "frame" or before is None):
+            raise ValueError(f"no frame {wanted[todo[-1]]} among {n + 1}")
+        for k in reversed(todo):
+            yield k, n, before
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content, wanted in zip(b.column("path"), b.column("content"), b.column("wanted"), strict=True):
+                try:
+                    for k, n, x in picked(content.as_py(), wanted.as_py() or []):
+                        yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([_pack(x)], _FRAME)], ["path", "nth", "frame", "image"])
+                except (TypeError, ValueError) as error:
+                    raise ValueError(f"{path.as_py()}: {error}") from error
+
+    return files.select("path", "content", "wanted").mapInArrow(run, f"path string, nth int, frame long, image {FRAME}")
+
+
 def _pack(x: np.ndarray) -> dict:
     return {"height": x.shape[0], "width": x.shape[1], "pixels": np.ascontiguousarray(x, np.uint8).tobytes()}
 
@@ -201,26 +241,28 @@ class Posterize(Step):
 
 @dataclass(frozen=True)
 class Jitter(Step):
-    """Brightness, contrast and saturation times a factor of at most so much from 1, and the hue turned by at most so
-    much of a circle; in this order."""
+    """Brightness, contrast and saturation times a factor, and the hue turned by a share of the circle, in an order that is
+    drawn too. A number means a factor of at most so much from 1 (a turn of at most so much either way); a pair gives the
+    bounds themselves."""
 
-    brightness: float = 0.0
-    contrast: float = 0.0
-    saturation: float = 0.0
-    hue: float = 0.0
+    brightness: float | tuple[float, float] = 0.0
+    contrast: float | tuple[float, float] = 0.0
+    saturation: float | tuple[float, float] = 0.0
+    hue: float | tuple[float, float] = 0.0
 
     def __call__(self, x, draw, training):
-        by = lambda n, most: max(0.0, 1 + (2 * draw(n) - 1) * most)
-        v = x.astype(np.float64)
         mix = lambda v, base, f: np.clip(f * v + (1 - f) * base, 0, 255)
-        if self.brightness:
-            v = mix(v, 0.0, by(0, self.brightness))
-        if self.contrast:
-            v = mix(v, gray(v).mean(), by(1, self.contrast))
-        if self.saturation:
-            v = mix(v, gray(v), by(2, self.saturation))
-        if self.hue:
-            v = turn_hue(v, (2 * draw(3) - 1) * self.hue)
+        parts = [
+            (self.brightness, 1.0, lambda v, f: mix(v, 0.0, f)),
+            (self.contrast, 1.0, lambda v, f: mix(v, gray(v).mean(), f)),
+            (self.saturation, 1.0, lambda v, f: mix(v, gray(v), f)),
+            (self.hue, 0.0, turn_hue),
+        ]
+        asked = [(n, middle, most, change) for n, (most, middle, change) in enumerate(parts) if most]
+        v = x.astype(np.float64)
+        for n, middle, most, change in sorted(asked, key=lambda a: draw(4 + a[0])) if len(asked) > 1 else asked:
+            low, high = most if isinstance(most, tuple) else (max(0.0, 1 - most) if middle else -most, middle + most)
+            v = change(v, low + (high - low) * draw(n))
         return to_bytes(v)
 
 
@@ -251,6 +293,93 @@ def transform(image: Column, sample: Column, steps: list[Step], training: bool,
     return run(image, sample.cast("string"))
 
 
+def transform_views(df: DataFrame, views: list[str], sample: str, steps: list[Step], training: bool, seed: int = 0) -> DataFrame:
+    """df with all its views changed alike: they share the sample's numbers. Views are named ``modality.name``."""
+    odd = [v for v in views if v not in df.columns or "." not in v]
+    if odd:
+        raise KeyError(", ".join(odd))
+    return df.withColumns({v: transform(F.col(f"`{v}`"), F.col(sample), steps, training, seed) for v in views})
+
+
+# layouts
+
+PLANES = "struct<channels: int, height: int, width: int, values: array<float>>"
+_PLANES = pa.struct([("channels", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("values", pa.list_(pa.float32()))])
+CLIP = "struct<channels: int, frames: int, height: int, width: int, values: binary>"
+_CLIP = pa.struct([("channels", pa.int32()), ("frames", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("values", pa.binary())])
+
+
+def _each(change: Callable[[object], dict | None], c: Column, ddl: str, arrow: pa.DataType) -> Column:
+    """What change makes of each value; null stays null."""
+
+    @F.arrow_udf(ddl)
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v.as_py() is None else change(v.as_py()) for v in values], arrow)
+
+    return run(c)
+
+
+def to_planes(image: Column) -> Column:
+    """A frame as single-precision numbers from 0 to 1, channel by row by column."""
+
+    def change(frame: dict) -> dict | None:
+        x = _unpack(frame)
+        return None if x is None else {"channels": 3, "height": x.shape[0], "width": x.shape[1], "values": (np.moveaxis(x, 2, 0).astype(np.float32) / np.float32(255)).ravel()}
+
+    return _each(change, image, PLANES, _PLANES)
+
+
+def from_planes(planes: Column) -> Column:
+    """The way back: 255 times each number, held within 0 to 255 and cut to whole bytes."""
+
+    def change(p: dict) -> dict:
+        v = np.array(p["values"], np.float32).reshape(p["channels"], p["height"], p["width"])
+        return _pack(np.moveaxis(np.clip(v * np.float32(255), 0, 255).astype(np.uint8), 0, 2))
+
+    return _each(change, planes, FRAME, _FRAME)
+
+
+def clip_of(window: Column) -> Column:
+    """An array of frames of one size as bytes, channel by frame by row by column. An empty or null array gives null; a null
+    frame or one of another size is an error."""
+
+    def change(window: list) -> dict | None:
+        frames = [_unpack(x) for x in window]
+        if any(x is None or x.shape != frames[0].shape for x in frames):
+            raise ValueError("the frames of a clip must all be there and of one size")
+        v = np.moveaxis(np.stack(frames), 3, 0) if frames else None
+        return None if v is None else {"channels": v.shape[0], "frames": v.shape[1], "height": v.shape[2], "width": v.shape[3], "values": v.tobytes()}
+
+    return _each(change, window, CLIP, _CLIP)
+
+
+def clips(frames: DataFrame, keys: list[str], order: str, image: str = "image") -> DataFrame:
+    """keys and ``clip``: the frames of each combination of keys, in order. A clip is one value, so keep it to a window."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.struct(F.col(image)).alias("one"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    return frames.groupBy(*keys).agg(listed.alias("__all")).select(*keys, clip_of(F.transform("__all", lambda x: x["one"][image])).alias("clip"))
+
+
+# frame cache
+
+
+def write_frame_cache(frames: DataFrame, path: str, episode: str = "episode", step: str = "frame", image: str = "image") -> None:
+    """Decoded frames under their absolute positions (those of earlier episodes, in order, come before), with each episode's
+    start and length, so that later reads decode nothing."""
+    placed = positions_by_episode(frames.select(episode, step, image), episode, step, "at")
+    placed.select("at", F.col(image).alias("image")).write.mode("errorifexists").parquet(f"{path}/frames")
+    placed.groupBy(F.col(episode).alias("episode")).agg(F.min("at").alias("start"), F.count("*").alias("length")).write.mode("errorifexists").parquet(f"{path}/episodes")
+
+
+def cached_frames(spark: SparkSession, path: str, requests: DataFrame, deltas: list[int], episode: str = "episode", base: str = "base") -> DataFrame:
+    """episode, base, delta, step and image for each request and delta; steps beyond an episode hold its first or last frame. An
+    episode that the cache lacks gives no row."""
+    asked = requests.select(F.col(episode).alias("episode"), F.col(base).alias("base"), F.explode(F.array(*map(F.lit, deltas))).alias("delta"))
+    found = asked.join(spark.read.parquet(f"{path}/episodes"), "episode")
+    step = F.greatest(F.lit(0), F.least(F.col("base") + F.col("delta"), F.col("length") - 1))
+    found = found.withColumn("step", step.cast("long")).withColumn("at", F.col("start") + F.col("step"))
+    return found.join(spark.read.parquet(f"{path}/frames"), "at").select("episode", "base", "delta", "step", "image")
+
+
 # distance
 
 

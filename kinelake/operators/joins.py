@@ -98,6 +98,16 @@ def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFra
     return required.join(present.select(*keys).distinct(), keys, "left_anti")
 
 
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same values, however often and in whatever order; null if one of them is null."""
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+def all_tags(specs: DataFrame, registry: DataFrame, tag: str) -> DataFrame:
+    """Each tag, once, that a spec names or the registry has; null is none."""
+    return specs.select(tag).union(registry.select(tag)).where(F.col(tag).isNotNull()).distinct()
+
+
 def re_root(path: Column, old: str, new: str) -> Column:
     """A path below ``old`` moved below ``new``; of any other only the last part is kept."""
     old = old.rstrip("/")

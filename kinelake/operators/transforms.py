@@ -300,15 +300,20 @@ class SinCos(Transform):
 
 @dataclass
 class Concat(Reversible):
-    """Keys, end to end at each step, as one; each row must be as wide as said. The way back cuts them apart."""
+    """Keys, end to end at each step, as one; each row must be as wide as said. If ``exact``, a sample may have no other key
+    ``name.something``. The way back cuts them apart."""
 
     name: str
     widths: dict[str, int]
+    exact: bool = False
 
     def apply(self, df: DataFrame) -> DataFrame:
         lacking = [k for k in self.widths if k not in df.columns]
         if lacking:
             raise KeyError(", ".join(lacking))
+        beyond = [c for c in df.columns if c.startswith(f"{self.name}.") and c not in self.widths]
+        if self.exact and beyond:
+            raise ValueError(f"not in the order of {self.name}: {', '.join(beyond)}")
         steps = F.arrays_zip(*[key(k).alias(f"k{n}") for n, k in enumerate(self.widths)])
         joined = F.transform(steps, lambda z: numeric.concat_keys({k: z[f"k{n}"] for n, k in enumerate(self.widths)}, self.widths))
         return df.withColumn(self.name, joined).drop(*[k for k in self.widths if k != self.name])
@@ -330,6 +335,42 @@ class Pad(Transform):
         return df.withColumn(self.name, F.transform(key(self.name), lambda x: numeric.pad(x, self.width)))
 
 
+@dataclass
+class Cast(Transform):
+    """Each key's rows as another type of number (float, double, int, long); integers are cut towards zero."""
+
+    types: dict[str, str]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        lacking = [k for k in self.types if k not in df.columns]
+        if lacking:
+            raise KeyError(", ".join(lacking))
+        return df.withColumns({k: key(k).cast(f"array<array<{to}>>") for k, to in self.types.items()})
+
+
+@dataclass
+class Rename(Reversible):
+    """Keys under other names; a name that is taken already is an error."""
+
+    names: dict[str, str]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return self._renamed(df, self.names)
+
+    def unapply(self, df: DataFrame) -> DataFrame:
+        return self._renamed(df, {new: old for old, new in self.names.items()})
+
+    @staticmethod
+    def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        lacking = [k for k in names if k not in df.columns]
+        if lacking:
+            raise KeyError(", ".join(lacking))
+        columns = [names.get(c, c) for c in df.columns]
+        if len({*columns}) < len(columns):
+            raise ValueError(f"names would repeat: {columns}")
+        return df.toDF(*columns)
+
+
 @dataclass
 class Dropout(Transform):
     """In training, all keys of a sample zero together, as a hash of the sample's id says."""

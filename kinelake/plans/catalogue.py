@@ -975,6 +975,87 @@ def frames_last(spark, d):
     return windows.last_frames(frames(spark, d).select("user_id", "frame", "event_id"), 20, KEY, "frame")
 
 
+# videos: sixteen pictures a file, in numpy's format
+
+_VIDEOS = f"{_BYTES}, vi AS (SELECT vec_id // 16 AS video, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS frame, list_sum(b) * 3 AS total, b FROM im)"
+_FRAME_SUM = "aggregate(transform(sequence(1, 192), i -> cast(conv(substr(hex(image.pixels), 2 * i - 1, 2), 16, 10) AS long)), 0L, (a, x) -> a + x)"
+
+
+def videos(spark, d, wanted):
+    """path, content and wanted: a list that may use n, the number of frames."""
+    grouped = pictures(spark, d).groupBy(F.floor(F.col("vec_id") / 16).alias("video")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.hex("image.pixels").alias("h")))).alias("all"))
+    shape = F.concat(F.lit("{'descr': '|u1', 'fortran_order': False, 'shape': ("), F.size("all"), F.lit(", 8, 8, 3), }"))
+    head = F.concat(F.lit("934E554D505901007600"), F.hex(F.rpad(shape, 117, " ")), F.lit("0A"))
+    content = F.unhex(F.concat(head, F.array_join(F.transform("all", lambda x: x["h"]), "")))
+    return grouped.select(F.col("video").cast("string").alias("path"), content.alias("content"), F.size("all").alias("n")).withColumn("wanted", F.expr(wanted))
+
+
+@query(f"WITH {_VIDEOS} SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS frame, CAST(total AS BIGINT) AS total, round(frame / 30.0::DOUBLE, 6) AS ts FROM vi")
+def video_frames(spark, d):
+    return pixels.decode(videos(spark, d, "array(0)"), 30.0).select(F.col("path").cast("long").alias("video"), "frame", F.expr(_FRAME_SUM).alias("total"), F.round("ts", 6).alias("ts"))
+
+
+@query(f"WITH {_VIDEOS}, n AS (SELECT video, count(*) AS n FROM vi GROUP BY 1), w AS (SELECT video, unnest([0, 1, 2]) AS nth, unnest([n - 1, 0, n // 2]) AS frame FROM n) SELECT CAST(video AS BIGINT) AS video, nth, CAST(frame AS BIGINT) AS frame, CAST(total AS BIGINT) AS total FROM w JOIN vi USING (video, frame)")
+def video_frames_by_index(spark, d):
+    found = pixels.frames_at(videos(spark, d, "array(n - 1, 0, n div 2)"), 30.0)
+    return found.select(F.col("path").cast("long").alias("video"), "nth", "frame", F.expr(_FRAME_SUM).alias("total"))
+
+
+@query(f"WITH {_VIDEOS}, n AS (SELECT video, count(*) AS n FROM vi GROUP BY 1), w AS (SELECT video, unnest([0, 1, 2, 3]) AS nth, unnest([9.0, -1.0, 0.74, 1.5]) AS sec FROM n) SELECT CAST(video AS BIGINT) AS video, nth, CAST(arg_min(frame, (abs(frame / 2.0 - sec), frame)) AS BIGINT) AS frame, CAST(arg_min(total, (abs(frame / 2.0 - sec), frame)) AS BIGINT) AS total FROM w JOIN vi USING (video) GROUP BY 1, 2")
+def video_frames_by_time(spark, d):
+    found = pixels.frames_at(videos(spark, d, "array(9.0D, -1.0D, 0.74D, 1.5D)"), 2.0, "ts")
+    return found.select(F.col("path").cast("long").alias("video"), "nth", "frame", F.expr(_FRAME_SUM).alias("total"))
+
+
+@query(f"WITH {_VIDEOS}, e AS (SELECT DISTINCT video FROM vi), w AS (SELECT video, s.x AS delta FROM e, (VALUES (-3), (0), (5), (40)) s(x)), n AS (SELECT video, count(*) AS n FROM vi GROUP BY 1), p AS (SELECT video, delta, greatest(0, least(n - 1, 2 + delta)) AS step FROM w JOIN n USING (video)) SELECT CAST(video AS BIGINT) AS video, delta, CAST(step AS BIGINT) AS step, CAST(total AS BIGINT) AS total FROM p JOIN vi USING (video) WHERE frame = step")
+def video_frame_cache(spark, d):
+    path = scratch(spark)
+    decoded = pixels.decode(videos(spark, d, "array(0)"), 30.0).withColumn("video", F.col("path").cast("long"))
+    pixels.write_frame_cache(decoded, path, "video")
+    requests = videos(spark, d, "array(0)").select(F.col("path").cast("long").alias("video"), F.lit(2).alias("base"))
+    found = pixels.cached_frames(spark, path, requests, [-3, 0, 5, 40], "video")
+    return found.select(F.col("episode").alias("video"), "delta", "step", F.expr(_FRAME_SUM).alias("total"))
+
+
+@query(f"WITH {_BYTES}, px AS (SELECT vec_id, unnest(range(64)) AS i, b FROM im) SELECT vec_id, CAST(c.c AS INTEGER) AS channel, CAST(i AS INTEGER) AS i, round(b[i + 1] / 255.0::DOUBLE, 5) AS value FROM px, (VALUES (0), (1), (2)) c(c)")
+def frame_planes(spark, d):
+    cells = pictures(spark, d).select("vec_id", F.posexplode(pixels.to_planes(F.col("image"))["values"]).alias("at", "value"))
+    return cells.select("vec_id", F.expr("at div 64").cast("int").alias("channel"), (F.col("at") % 64).alias("i"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query(f"WITH {_VIDEOS}, h AS (SELECT video, count(*) AS n, string_agg(array_to_string(list_transform(b, lambda x: printf('%02X', x)), ''), '' ORDER BY frame) AS h FROM vi GROUP BY 1) SELECT CAST(video AS BIGINT) AS video, 3 AS channels, CAST(n AS INTEGER) AS frames, md5(h || h || h) AS digest FROM h")
+def clip_layout(spark, d):
+    decoded = pixels.decode(videos(spark, d, "array(0)"), 30.0)
+    return pixels.clips(decoded, ["path"], "frame").select(F.col("path").cast("long").alias("video"), "clip.channels", "clip.frames", F.md5(F.hex("clip.values").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_BYTES}, v AS (SELECT vec_id, 'video.left' AS view, b FROM im UNION ALL SELECT vec_id, 'video.right', list_reverse(b) FROM im) SELECT vec_id, view, i, b[i // 8 * 8 + 7 - i % 8 + 1] AS value FROM (SELECT vec_id, view, b, unnest(range(64))::INT AS i FROM v)")
+def views_transformed(spark, d):
+    back = F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substr(F.hex("image.pixels"), i * 6 + 1, F.lit(6)))), ""))
+    both = pictures(spark, d).select("vec_id", F.col("image").alias("video.left"), F.col("image").withField("pixels", back).alias("video.right"))
+    done = pixels.transform_views(both, ["video.left", "video.right"], "vec_id", [pixels.Flip(1.0)], True)
+    rows = done.select("vec_id", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.hex(F.col(f"`{v}`")["pixels"]).alias("h")) for v in ("video.left", "video.right")])))
+    return rows.select("vec_id", "view", "h", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("vec_id", "view", "i", F.conv(F.substr("h", F.col("i") * 6 + 1, F.lit(2)), 16, 10).cast("int").alias("value"))
+
+
+@query("SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(trunc(1000 * x::DOUBLE) AS BIGINT))[1] AS first, CAST(trunc(1000 * embedding[2]::DOUBLE) AS BIGINT) AS second FROM embeddings")
+def cast_keys(spark, d):
+    rows = vectors(spark, d).select("vec_id", F.array(F.transform(numeric.part(F.col("v"), 0, 4), lambda x: x * 1000)).alias("action.raw"))
+    chain = transforms.Chain(transforms.Cast({"action.raw": "long"}), transforms.Rename({"action.raw": "action.whole"}))
+    return chain.apply(rows).select("vec_id", F.col("`action.whole`")[0][0].alias("first"), F.col("`action.whole`")[0][1].alias("second"))
+
+
+@query("WITH o AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS a, list_sort(list_distinct(list(CASE WHEN l_quantity > 10 THEN l_linenumber ELSE 1 END))) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, a = b AS same FROM o")
+def same_keys(spark, d):
+    lists = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("a"), F.collect_list(F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).otherwise(F.lit(1).cast("long"))).alias("b"))
+    return lists.select("l_orderkey", joins.same_set(F.col("a").cast("array<long>"), F.col("b").cast("array<long>")).alias("same"))
+
+
+@query("SELECT c_mktsegment AS tag FROM customer WHERE c_mktsegment IS NOT NULL UNION SELECT n_name FROM nation WHERE n_name IS NOT NULL")
+def all_tags(spark, d):
+    return joins.all_tags(t(spark, d, "customer").select(F.col("c_mktsegment").alias("tag")), t(spark, d, "nation").select(F.col("n_name").alias("tag")), "tag")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Episodes, steps, the training split, windows and normalised values in one plan."""
     f = frames(spark, d)
@@ -1133,3 +1214,18 @@ def filter_cache(spark, d):
 def unique_lookup(spark, d):
     customers = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return joins.unique_lookup(t(spark, d, "orders").select("o_orderkey", "o_custkey"), customers, "o_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def control_specs(spark, d):
+    from ..sources import leaves as source
+
+    folder = scratch(spark)
+    rows = t(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")))).alias("items"))
+    text_of = rows.select(F.to_json("items").alias("j")).first()["j"]
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/edge.json")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(('{"control": "edge",\n "items": ' + text_of + "}\n").encode()))
+    out.close()
+    return source.read_spec(spark, folder, "edge", ("edge", "depth")).select(F.inline("items")).select(F.col("key").alias("n_nationkey"), F.col("name").alias("n_name"))

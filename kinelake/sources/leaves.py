@@ -126,6 +126,17 @@ def first_file(spark: SparkSession, leaf: str, rows: int) -> DataFrame:
     return spark.read.parquet(files[0]).limit(rows)
 
 
+def read_spec(spark: SparkSession, folder: str, control: str, allowed: tuple[str, ...]) -> DataFrame:
+    """The specification of a control, one JSON object in the file of that name, as one row. Controls other than the allowed
+    ones and missing files are errors."""
+    if control not in allowed:
+        raise ValueError(f"unknown control {control!r}; one of {allowed}")
+    path = f"{folder}/{control}.json"
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.json(path, multiLine=True, mode="FAILFAST")
+
+
 # sinks
 
 

@@ -432,3 +432,27 @@ def test_slices(spark):
 def test_cached_steps(spark, tmp_path):
     leaves.write_filter_cache(spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "leaf string, base long"), str(tmp_path / "cache"))
     assert {r["leaf"]: r["steps"] for r in leaves.cached_steps(spark, str(tmp_path / "cache")).collect()} == {"a": 2, "b": 1}
+
+
+def test_sets_specs_and_types(spark, tmp_path):
+    df = spark.createDataFrame([(["a", "b", "a"], ["b", "a"]), (["a"], ["a", "b"]), ([], []), (None, ["a"])], "x array<string>, y array<string>")
+    assert [r[0] for r in df.select(joins.same_set(F.col("x"), F.col("y"))).collect()] == [True, False, True, None]
+    tags = joins.all_tags(spark.createDataFrame([("a",), (None,), ("a",)], "tag string"), spark.createDataFrame([("b",), ("a",)], "tag string"), "tag")
+    assert sorted(r["tag"] for r in tags.collect()) == ["a", "b"]
+    (tmp_path / "edge.json").write_text('{"name": "x",\n "strength": 0.5}')
+    assert leaves.read_spec(spark, str(tmp_path), "edge", ("edge", "depth")).first().asDict() == {"name": "x", "strength": 0.5}
+    with pytest.raises(FileNotFoundError):
+        leaves.read_spec(spark, str(tmp_path), "depth", ("edge", "depth"))
+    with pytest.raises(ValueError):
+        leaves.read_spec(spark, str(tmp_path), "odd", ("edge", "depth"))
+    rows = spark.createDataFrame([([[1.9, -1.9]], [[0.0]])], "`action.a` array<array<double>>, `action.b` array<array<double>>")
+    assert transforms.Cast({"action.a": "int"}).apply(rows).first()["action.a"] == [[1, -1]]
+    named = transforms.Rename({"action.a": "action.c"})
+    assert named.apply(rows).columns == ["action.c", "action.b"] and named.unapply(named.apply(rows)).columns == rows.columns
+    for wrong in (lambda: transforms.Cast({"action.z": "int"}).apply(rows), lambda: transforms.Rename({"action.z": "x"}).apply(rows)):
+        with pytest.raises(KeyError):
+            wrong()
+    with pytest.raises(ValueError, match="repeat"):
+        transforms.Rename({"action.a": "action.b"}).apply(rows)
+    with pytest.raises(ValueError, match="action.b"):
+        transforms.Concat("action", {"action.a": 2}, exact=True).apply(rows)
