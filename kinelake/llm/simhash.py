@@ -6,7 +6,9 @@ The 64 bits are cut into segments whose radii add up to ``bits - segments + 1``
 Hamming ball of that radius around a fingerprint's segment, fetch matches, and complete distances are verified within
 the join. A table key that more than HOT fingerprints share would give all their pairs; such keys go to tiles of bounded
 size instead, in which a fingerprint is only compared with what is not yet linked to it, so a dense group costs about
-its size and gives a spanning forest. Nothing is capped: tiles cover every pair of a hot key.
+its size and gives a spanning forest. A key that more than TILE share is split first, by the parts of the bits that it
+leaves open (of bits + 1 parts, linked fingerprints share one), and only a part that many share goes to tiles. Nothing is
+capped: tiles and parts cover every link of a hot key.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; rows without doc_id have a fingerprint
 and no component, and link nothing; rows that repeat an id are nodes of that id; an empty table gives no row; columns
@@ -27,6 +29,8 @@ from .common import BROADCAST_ROWS, cut, small_join
 from .components import components
 
 SEED, HOT, TILE, BLOCK = 42, 64, 8192, 16384
+#: The part of a hot key that is not split.
+WHOLE = -1
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -78,6 +82,17 @@ def ball(width: int, radius: int) -> list[int]:
     return sorted(masks)
 
 
+def open_bits(first: int, width: int, bits: int) -> list[int]:
+    """Masks (as longs) that cut the bits outside a segment into bits + 1 parts, of which two fingerprints within ``bits`` share
+    one at least; one empty mask where there are too few bits for that."""
+    rest = [i for i in range(64) if not first <= i < first + width]
+    if len(rest) <= bits:
+        return [0]
+    edges = [round(len(rest) * i / (bits + 1)) for i in range(bits + 2)]
+    masks = [sum(1 << i for i in rest[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [m - (m >> 63 << 64) for m in masks]
+
+
 def forest(tables: np.ndarray, probes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join up every two members, one from each array, within ``bits``: those that a search from each table
     member finds among probes not yet linked to it."""
@@ -117,19 +132,33 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
 
     balls = [probes_of(i, *part) for i, part in enumerate(parts)]
     probes = nodes.select(F.inline(F.concat(*balls)), F.col("fp").alias("b"))
-    hot = cut(tables.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")))
+    hot = cut(tables.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("a") != F.col("b"))
     if hot.isEmpty():
         return tables.join(probes, ["seg", "key"]).where(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    marked_t, marked_p = (small_join(x, hot.select("seg", "key", "tiles"), ["seg", "key"]) for x in (tables, probes))
-    cold = marked_t.where("tiles is null").join(marked_p.where("tiles is null"), ["seg", "key"]).where(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    marked_t, marked_p = (small_join(x, hot.select("seg", "key", "n"), ["seg", "key"]) for x in (tables, probes))
+    cold = marked_t.where("n is null").join(marked_p.where("n is null"), ["seg", "key"]).where(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
     # a hot key's probes are up to a ball's size times its fingerprints: they are dealt to as many more tiles
-    tile = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     spread = max(len(ball(w, r)) for _, w, r in parts)
-    cols = F.col("tiles") * spread
-    t = marked_t.where("tiles is not null").select("seg", "key", tile("a", F.col("tiles")).alias("ti"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("tj"), F.col("a").alias("fp"))
-    p = marked_p.where("tiles is not null").select("seg", "key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("ti"), tile("b", cols).alias("tj"), F.col("b").alias("fp"))
-    names = ["seg", "key", "ti", "tj"]
+    whole = [F.lit(WHOLE).alias("part"), F.lit(0).cast("long").alias("value"), F.lit(1).alias("tiles"), F.lit(spread).alias("cols")]
+    t, p = (x.where(F.col("n") <= TILE).select("seg", "key", *whole, F.col(fp).alias("fp")) for x, fp in ((marked_t, "a"), (marked_p, "b")))
+    if not hot.where(F.col("n") > TILE).isEmpty():
+        # the bits that a very hot key leaves open are cut into one part more than bits may differ: links agree in one of them
+        cuts = F.create_map(*[x for i, (a, w, _) in enumerate(parts) for x in (F.lit(i), F.array(*[F.lit(m) for m in open_bits(a, w, bits)]))])
+        some = lambda x, fp: x.where(F.col("n") > TILE).select("seg", "key", F.posexplode(F.element_at(cuts, F.col("seg"))).alias("part", "mask"), F.col(fp).alias("fp")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+        sub_t, sub_p = some(marked_t, "a"), some(marked_p, "b")
+        sub = ["seg", "key", "part", "value"]
+        sizes = cut(sub_t.groupBy(*sub).agg(F.count("*").alias("n")).join(sub_p.groupBy(*sub).agg(F.count("*").alias("m")), sub))
+        dealt = sizes.where(F.col("n") > HOT).select(*sub, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil(F.col("m") / TILE).cast("int").alias("cols"))
+        sub_t, sub_p = (small_join(x, dealt, sub) for x in (sub_t, sub_p))
+        few = sub_t.where("tiles is null").withColumnRenamed("fp", "a").join(sub_p.where("tiles is null").withColumnRenamed("fp", "b"), sub)
+        cold = cold.union(few.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        t, p = (x.union(y.where("tiles is not null").select(*x.columns)) for x, y in ((t, sub_t), (p, sub_p)))
+    tile = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    t = t.select("seg", "key", "part", "value", tile(F.col("tiles")).alias("ti"), every(F.col("cols")).alias("tj"), "fp")
+    p = p.select("seg", "key", "part", "value", every(F.col("tiles")).alias("ti"), tile(F.col("cols")).alias("tj"), "fp")
+    names = ["seg", "key", "part", "value", "ti", "tj"]
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.uint64)] * 2

@@ -269,6 +269,37 @@ def test_links_of_dense_groups(spark, monkeypatch, bits):
     assert {i: found.get(i, i) for i in graph} == seen
 
 
+def test_open_bits():
+    for first, width, bits in ((0, 21, 4), (21, 22, 4), (43, 21, 7), (32, 32, 4), (0, 64, 0), (0, 60, 3), (0, 60, 4)):
+        masks = [m % 2**64 for m in simhash.open_bits(first, width, bits)]
+        assert len(masks) == (bits + 1 if bits < 64 - width else 1)
+        assert sum(m.bit_count() for m in masks) == (64 - width if bits < 64 - width else 0)
+        assert not any(m >> first & (2**width - 1) for m in masks) and not any(a & b for a, b in itertools.combinations(masks, 2))
+
+
+def test_a_very_hot_key(spark, monkeypatch):
+    """Fingerprints that share their low bits and little else: pairs at 0 to 6 bits, some by way of a changed low bit."""
+    rng = np.random.default_rng(5)
+    fps = set()
+    for _ in range(400):
+        f = int(rng.integers(0, 2**42)) << 21 | 5
+        g = f
+        for b in rng.choice(64, int(rng.integers(0, 7)), replace=False):
+            g ^= 1 << int(b)
+        fps |= {f, g}
+    fps = sorted(fps)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    pairs = {(a, b) for (a, x), (b, y) in itertools.combinations(zip(signed, fps, strict=True), 2) if (x ^ y).bit_count() <= 4}
+    pairs = {tuple(sorted(p)) for p in pairs}
+    assert len(pairs) > 100
+    for hot, tile in ((8, 50), (8, 100_000)):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "TILE", tile)
+        got = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4).collect()}
+        # no two pairs share a fingerprint here, so every link must be there itself
+        assert got == pairs
+
+
 def test_components_of_a_chain(spark):
     n = 300
     order = np.random.default_rng(1).permutation(n).tolist()
