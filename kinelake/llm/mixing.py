@@ -42,12 +42,18 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", F.when(found.isNull(), F.col("cap")).otherwise(F.least("cap", fits * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with size, source_size, target and taken (size times the number of copies that the mix takes)."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, keep: list[str] | None = None) -> DataFrame:
+    """docs with size, source_size, target and taken (size times the number of copies that the mix takes). ``keep`` names the
+    columns of docs that are wanted, source among them; those are written down beside the sizes, so that texts, if not among
+    them, are read and counted once only. All columns are wanted if it is not given, and texts are then read a second time."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "taken")]
+    if "source" not in kept:
+        raise ValueError("the columns to keep must have source among them")
     point = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col("text"), F.lit("")))).cast("binary")), 1, LEVELS * DIGITS)
     measured = docs.select(*kept, sizes(docs).alias("size"), point.alias("__point"))
-    lean = cut(measured.select("source", "size", "__point"))
+    if keep is not None:
+        measured = cut(measured)
+    lean = cut(measured.select("source", "size", "__point")) if keep is None else measured.select("source", "size", "__point")
 
     def histogram(rows: DataFrame, level: int) -> DataFrame:
         """By source, bucket of this level: its size and that of all buckets before it within the same parent."""

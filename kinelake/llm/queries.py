@@ -23,7 +23,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,11 @@ def test_mix(spark, odd, documents):
             largest[r.source] = max(largest[r.source], r.size)
         assert all(abs(taken[s] - goal[s]) <= (slack or largest[s]) for s in goal)
         assert sorted((str(r.doc_id), r.taken) for r in mixing.mix(docs.repartition(7)).collect()) == sorted((str(r.doc_id), r.taken) for r in out)
+        lean = mixing.mix(docs, keep=["doc_id", "source"])
+        assert lean.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+        assert sorted(map(str, lean.collect())) == sorted(map(str, mixing.mix(docs).select(*lean.columns).collect()))
+    with pytest.raises(ValueError):
+        mixing.mix(odd, keep=["doc_id"])
     assert mixing.mix(odd.limit(0)).count() == 0
     assert mixing.take(odd).columns == odd.columns
 
