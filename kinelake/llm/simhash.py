@@ -170,27 +170,51 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return cold.union(dense)
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
-    """doc_id, fp, component_id for each row."""
+def linked(docs: DataFrame, bits: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, fp of each row; each fp of rows with a doc_id and the smallest of these (rep); links of fingerprints."""
     fps = cut(fingerprints(docs, width))
     nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    return fps, nodes, links(nodes.select("fp"), bits)
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
+    """doc_id, fp, component_id for each row."""
+    fps, nodes, found = linked(docs, bits, width)
     ends = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a"))
-    found = links(nodes.select("fp"), bits).join(ends, "a").join(ends.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    found = found.join(ends, "a").join(ends.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     classes = components(found)
     named = nodes.join(classes, nodes["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def marked(text: Column, width: int = 4) -> Column:
+    """The fingerprint of a text, as a long."""
+
+    @F.arrow_udf("long")
+    def mark(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64))
+
+    return mark(text.cast("string"))
+
+
 def deduplicate(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
-    """docs with one row of each component, that of its smallest doc_id; rows without doc_id stay."""
-    found = cut(near_duplicates(docs, bits, width))
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    """docs with one row of each class of linked fingerprints, that of its smallest doc_id; rows without doc_id stay. Rows that
+    repeat an id but not a text are judged each by its own text; of rows that share both id and fingerprint, the first by its
+    columns stays."""
+    fps, nodes, found = linked(docs, bits, width)
+    classes = components(found)
+    named = nodes.join(classes, nodes["fp"] == classes["node"], "left").select(F.coalesce("component", "fp").alias("class"), F.struct(F.col("rep").alias("doc_id"), "fp").alias("row"))
+    stays = cut(named.groupBy("class").agg(F.min("row").alias("row")).select("row.*"))
+    ids = fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = cut(ids.join(stays.select("doc_id", F.lit(True).alias("stays")).distinct(), "doc_id", "left"))
+    gone = ids.where("stays is null").select(F.col("doc_id").alias("__gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    again = ids.where("stays and rows > 1").select("doc_id", F.lit(True).alias("__again"))
     if again.isEmpty():
         return kept
-    # ids that several rows share: the first row of each, by its columns
-    marked = small_join(kept, again.withColumn("__again", F.lit(True)), ["doc_id"])
-    first = marked.where("__again").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return marked.where("__again is null").select(*docs.columns).unionByName(first)
+    # ids that several rows share and of which some row stays
+    parted = small_join(kept, again, ["doc_id"])
+    shared = parted.where("__again").select("doc_id", marked(F.col("text"), width).alias("fp"), F.struct(*docs.columns).alias("__row"))
+    first = shared.join(stays, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("__row").alias("__row")).select("__row.*")
+    return parted.where("__again is null").select(*docs.columns).unionByName(first)

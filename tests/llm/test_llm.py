@@ -239,6 +239,23 @@ def test_simhash(spark, odd, documents):
     assert kept == sorted([str(i) for i in {brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in odd.collect()])[i] for i in (1, 2, 3, 4, 5, 6, 7)}] + ["None"] * 2)
 
 
+def test_deduplicate_by_row(spark):
+    """Rows that repeat an id but not a text stand for themselves."""
+    text = lambda word: " ".join(f"{word}{i}" for i in range(30))
+    rows = [(3, text("a")), (3, text("b")), (3, text("b")), (4, text("b")), (5, text("c")), (2, text("c")), (2, text("d")), (6, text("e")), (6, text("a")), (7, text("a")), (None, text("a")), (8, None), (8, ""), (9, "")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    classes = brute_components([(n, brute_fingerprint(t)) for n, (_, t) in enumerate(rows)])
+    want = {}
+    for n, (i, t) in enumerate(rows):
+        if i is not None:
+            want.setdefault(classes[n], []).append((i, t))
+    assert len(want) == 6
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [*(min(x, key=lambda r: (r[0], r[1] or "")) if x[0][1] else (8, None) for x in want.values()), (None, text("a"))]))
+
+
 @pytest.mark.parametrize("bits", [0, 2, 4, 7])
 def test_links_of_dense_groups(spark, monkeypatch, bits):
     rng = np.random.default_rng(bits)
