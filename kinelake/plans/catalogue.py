@@ -960,7 +960,13 @@ def frame_l1(spark, d):
     return _mirrored(spark, d).select("vec_id", F.round("m.l1", 6).alias("l1"))
 
 
-@query()
+_WINDOWS = "w AS (SELECT vec_id, o, b[i + 1] / 127.5::DOUBLE - 1 AS x, b[i // 8 * 8 + 7 - i % 8 + 1] / 127.5::DOUBLE - 1 AS y FROM im, (SELECT unnest(range(64)) AS i) p, (SELECT unnest([0, 1, 8, 9]) AS o) q WHERE i % 8 BETWEEN o % 8 AND o % 8 + 6 AND i // 8 BETWEEN o // 8 AND o // 8 + 6)"
+
+
+@query(
+    f"WITH {_BYTES}, {_WINDOWS}, m AS (SELECT vec_id, o, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM w GROUP BY vec_id, o) "
+    "SELECT vec_id, round(avg((2 * mx * my + 0.0004::DOUBLE) * (2 * c + 0.0036::DOUBLE) / ((mx * mx + my * my + 0.0004::DOUBLE) * (vx + vy + 0.0036::DOUBLE))), 6) AS ssim FROM m GROUP BY vec_id"
+)
 def frame_ssim(spark, d):
     return _mirrored(spark, d).select("vec_id", F.round("m.ssim", 6).alias("ssim"))
 
