@@ -557,13 +557,13 @@ def caption_cleanup(spark, d):
 _AT = "SELECT event_id, user_id, CAST(epoch_us(ts) AS BIGINT) AS us FROM events"
 
 
-def _times(spark, d):
+def _instants(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 @query(f"WITH e AS ({_AT}), q AS (SELECT event_id AS request, user_id, us + 90000000 AS us FROM e WHERE event_id % 3 = 0), l AS (SELECT event_id, user_id, us FROM e WHERE event_id % 3 <> 0) SELECT request, arg_min(l.event_id, {{'d': abs(l.us - q.us), 'i': l.event_id}}) AS nearest FROM q LEFT JOIN l USING (user_id) GROUP BY request")
 def nearest_timestamp(spark, d):
-    e = _times(spark, d)
+    e = _instants(spark, d)
     asked = e.where("event_id % 3 = 0").select(F.col("event_id").alias("request"), "user_id", (F.col("us") + 90_000_000).alias("us"))
     return joins.nearest(asked, e.where("event_id % 3 <> 0"), KEY, "us", "event_id").select("request", F.col("event_id").alias("nearest"))
 
@@ -960,11 +960,11 @@ def frame_l1(spark, d):
     return _mirrored(spark, d).select("vec_id", F.round("m.l1", 6).alias("l1"))
 
 
-_WINDOWS = "w AS (SELECT vec_id, o, b[i + 1] / 127.5::DOUBLE - 1 AS x, b[i // 8 * 8 + 7 - i % 8 + 1] / 127.5::DOUBLE - 1 AS y FROM im, (SELECT unnest(range(64)) AS i) p, (SELECT unnest([0, 1, 8, 9]) AS o) q WHERE i % 8 BETWEEN o % 8 AND o % 8 + 6 AND i // 8 BETWEEN o // 8 AND o // 8 + 6)"
+_SSIM_WINDOWS = "w AS (SELECT vec_id, o, b[i + 1] / 127.5::DOUBLE - 1 AS x, b[i // 8 * 8 + 7 - i % 8 + 1] / 127.5::DOUBLE - 1 AS y FROM im, (SELECT unnest(range(64)) AS i) p, (SELECT unnest([0, 1, 8, 9]) AS o) q WHERE i % 8 BETWEEN o % 8 AND o % 8 + 6 AND i // 8 BETWEEN o // 8 AND o // 8 + 6)"
 
 
 @query(
-    f"WITH {_BYTES}, {_WINDOWS}, m AS (SELECT vec_id, o, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM w GROUP BY vec_id, o) "
+    f"WITH {_BYTES}, {_SSIM_WINDOWS}, m AS (SELECT vec_id, o, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM w GROUP BY vec_id, o) "
     "SELECT vec_id, round(avg((2 * mx * my + 0.0004::DOUBLE) * (2 * c + 0.0036::DOUBLE) / ((mx * mx + my * my + 0.0004::DOUBLE) * (vx + vy + 0.0036::DOUBLE))), 6) AS ssim FROM m GROUP BY vec_id"
 )
 def frame_ssim(spark, d):
