@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lmscore, mixing, sharding, simhash, topk, urls, warc
+from . import align, ann, audit, chat, decontam, langid, lmscore, mixing, sharding, simhash, topk, urls, warc
 from .common import table
 
 
@@ -56,8 +56,21 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.labelled(audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return audit.audit(rows, "ABCDE")
+
+
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_chat, op3_mix, op4_urls, op5_simhash, op6_langid, op7_shards, op8_warc, op9_decontam, op10_lm)
+    f.__name__: f for f in (op1_topk, op2_chat, op3_mix, op4_urls, op5_simhash, op6_langid, op7_shards, op8_warc, op9_decontam, op10_lm, op11_align, op12_audit, op13_ann)
 }
 
 _TOPK = """
@@ -163,5 +176,39 @@ z AS (SELECT row, round(sum(ln(pa) - ln(pb)) / count(*), 9) AS score FROM g JOIN
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT least FROM best) THEN 'allow' ELSE 'block' END) AS verdict FROM y
 """
 
+_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x) AS INT)
+    + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(min(doc_id) OVER (PARTITION BY x) < doc_id, false) AS INT) AS m FROM d
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, m, count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(toxic, false)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m
+), k(f, v) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS v FROM k a, k b, k c, k d, k e
+  WHERE (a.v | b.v | c.v | d.v | e.v) = 31
+), s AS (
+  SELECT filter_order, step, v[step] AS bit, coalesce(list_sum(v[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+)
+SELECT part, filter_order, step, sum(CASE WHEN m & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN m & bit <> 0 AND m & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN m = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost, sum(CASE WHEN m & bit <> 0 THEN n * 120 // bit_count(m) ELSE 0 END)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+_ANN = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
 
-ORACLES: dict[str, str] = {"op1_topk": _TOPK, "op2_chat": _CHAT, "op3_mix": _MIX, "op4_urls": _urls(), "op8_warc": _WARC}
+ORACLES: dict[str, str] = {"op1_topk": _TOPK, "op2_chat": _CHAT, "op3_mix": _MIX, "op4_urls": _urls(), "op8_warc": _WARC, "op12_audit": _AUDIT, "op13_ann": _ANN}
