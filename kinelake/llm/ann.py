@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .topk import usable
 
-#: Queries in a block; candidates in a group, and the most groups that a query's neighbours come from; tasks; candidates
-#: that are multiplied at once; components whose products of int8 codes add up exactly in 32-bit floats.
-QUERY_BLOCK, GROUP, MOST_GROUPS, TASKS, BATCH, EXACT = 8192, 2048, 512, 10_000, 512, 1024
+#: Queries in a block; the most candidates in a group; pairs of a block and a group that are wanted at least, for as many
+#: tasks to work; the most tasks; candidates that are multiplied at once; components whose products of int8 codes add up
+#: exactly in 32-bit floats.
+QUERY_BLOCK, GROUP, PARALLEL, TASKS, BATCH, EXACT = 8192, 1 << 22, 32, 10_000, 512, 1024
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -163,7 +164,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of each query. vectors: vec_id, v, times (how often
     the row counts); queries: query_id, v, one row an id."""
     n, q = vectors.count(), queries.count()
-    blocks, groups = max(1, -(-q // QUERY_BLOCK)), max(1, min(MOST_GROUPS, -(-n // GROUP)))
+    blocks = max(1, -(-q // QUERY_BLOCK))
+    groups = max(1, -(-PARALLEL // blocks), -(-n // GROUP))  # each group returns k rows for a query: no more than needed
     of = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     one, kind = F.lit(1).cast("long").alias("times"), lambda x: F.lit(x).alias("kind")

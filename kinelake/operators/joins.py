@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import ranges
 
 #: Rows up to which a table that was counted may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -52,22 +53,33 @@ def spec_modes(specs: DataFrame, modes: dict[str, float]) -> DataFrame:
     return specs.select("*", F.inline(rows))
 
 
-def nearest(requests: DataFrame, loaded: DataFrame, keys: list[str], at: str = "ts", index: str = "frame") -> DataFrame:
-    """requests with the ``index`` of the loaded row of the same keys whose ``at`` is nearest, the smaller index on a tie;
-    null where the keys have none. An as-of sweep: both sides in one order, the last row before and, in the opposite order, the
-    last row after; both frames only grow, so the work is that of two sorts. Rows of one combination of keys meet in one task."""
-    asked = requests.withColumn("__id", F.monotonically_increasing_id())
-    none = F.lit(None).cast(dict(loaded.dtypes)[index])
+def nearest(requests: DataFrame, loaded: DataFrame, keys: list[str], at: str = "ts", index: str = "frame", span: int = ranges.SPAN) -> DataFrame:
+    """requests with the ``index`` of the loaded row of the same keys whose ``at`` is nearest, the smaller index on a tie; null
+    where the keys have none or ``at`` is null. An as-of sweep: both sides in one order, the last loaded row up to each row
+    and, the other way, the first from it on. Requests go through the sweep as values, so no row is numbered and nothing is
+    joined back. If a combination of keys has more rows than ``span``, the sweep goes by ranges: the last loaded row before
+    a range and the first one after it are carried over, across ranges that have none."""
+    none = F.lit(None)
+    boxed = F.struct(F.col(at).alias("at"), F.col(index).alias("i"))
     # rows of one time: the smallest index stands for them
     firsts = loaded.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.min(index).alias(index))
-    both = firsts.select(*keys, F.col(at).alias("__at"), F.col(index).alias("__index"), F.lit(None).cast("long").alias("__id")).unionByName(asked.select(*keys, F.col(at).alias("__at"), none.alias("__index"), "__id"))
-    box = F.when(F.col("__id").isNull(), F.struct(F.col("__at").alias("at"), F.col("__index").alias("i")))
-    up = W.partitionBy(*keys).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    down = W.partitionBy(*keys).orderBy(F.col("__at").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    best = both.withColumn("b", F.last(box, ignorenulls=True).over(up)).withColumn("a", F.last(box, ignorenulls=True).over(down)).where("__id is not null")
+    firsts = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(at).alias("__at"), boxed.alias("__box"), none.cast(requests.schema).alias("__row"), F.lit(0).alias("__salt"))
+    row = F.struct(*requests.columns)
+    asked = requests.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(at).alias("__at"), none.cast(firsts.schema["__box"].dataType).alias("__box"), row.alias("__row"))
+    hashed = [c for c, kind in requests.dtypes if "map<" not in kind]
+    both, names = firsts.unionByName(asked.withColumn("__salt", F.lit(0))), [f"__k{i}" for i in range(len(keys))]
+    if ranges.spread(both, names, span):  # many requests of one time may be in several ranges
+        both = ranges.dealt(firsts.unionByName(asked.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"__row.`{c}`") for c in hashed]), F.lit(1000)).cast("int") + 1)), names, ["__at", "__salt"], span)
+        box = F.col("__box")
+        best = ranges.scan(both, names, ["__at"], peers=True, b=ranges.latest(box, ["__at"]), a=ranges.latest(box, ["__at"], back=True))
+    else:
+        up = W.partitionBy(*names).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+        down = W.partitionBy(*names).orderBy(F.col("__at").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+        best = both.withColumn("b", F.last("__box", ignorenulls=True).over(up)).withColumn("a", F.last("__box", ignorenulls=True).over(down))
+    best = best.where("__row is not null")
     far = lambda s: F.abs(s["at"].cast("double") - F.col("__at").cast("double"))
     pick = F.when(F.col("a").isNull() | (far(F.col("b")) < far(F.col("a"))), F.col("b.i")).when(F.col("b").isNull() | (far(F.col("a")) < far(F.col("b"))), F.col("a.i")).otherwise(F.least("a.i", "b.i"))
-    return asked.join(best.select("__id", F.when(F.col("__at").isNotNull(), pick).alias(index)), "__id").drop("__id")
+    return best.select("__row", F.when(F.col("__at").isNotNull(), pick).alias("__index")).select("__row.*", F.col("__index").alias(index))
 
 
 def index_blocks(sizes: DataFrame, order: list[str], size: str = "size") -> DataFrame:

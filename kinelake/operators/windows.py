@@ -1,7 +1,9 @@
 """Windows around each step, and ordered folds within an episode.
 
-``gather`` takes one row for each delta with lead and lag over one shuffle by episode, so an episode is never held as one
-array; the edge values come from the same window. Deltas are a short fixed list.
+``gather`` takes one row for each delta with lead and lag, so an episode is never held as one array; the edge values come
+from the same window. Deltas are a short fixed list. Episodes of up to ``span`` rows are each worked on by one task, in one
+shuffle; if there is a larger one (episodes are counted), all go the way of ranges with halos and carries (``ranges``),
+with the same results and no task above a range.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import ranges
+
 FILLS = ("edge", "zero", "clamp")
 
 
@@ -18,11 +22,26 @@ def by(keys: list[str], order: list[str]):
     return W.partitionBy(*keys).orderBy(*order)
 
 
-def gather(frames: DataFrame, value: str, deltas: list[int], keys: list[str], order: list[str], fill: str = "edge", name: str = "window", zero: Column | None = None) -> DataFrame:
+def near(frames: DataFrame, keys: list[str], order: list[str], before: int, after: int, span: int, work: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``work`` on frames and the keys of its windows, which look at most so many rows back and ahead: by episode, or by range
+    with halos if an episode is larger than ``span``."""
+    if not ranges.spread(frames, keys, span):
+        return work(frames, keys)
+    wide = ranges.halo(ranges.placed(frames, keys, order, span), before, after, span)
+    return ranges.owned(work(wide, [*keys, ranges.RANGE]), span).drop(ranges.PLACE, ranges.RANGE)
+
+
+def gather(frames: DataFrame, value: str, deltas: list[int], keys: list[str], order: list[str], fill: str = "edge", name: str = "window", zero: Column | None = None, span: int = ranges.SPAN) -> DataFrame:
     """frames with ``name``: the values at each delta from the row. Out of range, ``edge`` and ``clamp`` hold the first or
-    last row's value, ``zero`` gives ``zero`` (0.0 if not given). A null value within the range stays null."""
+    last row's value, ``zero`` gives ``zero`` (0.0 if not given). A null value within the range stays null. Where a delta
+    leaves an episode, its end is in the halo, so the edge values are at hand in every range that needs them."""
     if fill not in FILLS:
         raise ValueError(f"unknown fill {fill!r}; one of {FILLS}")
+    reach = [max([0, *(sign * d for d in deltas)]) for sign in (-1, 1)]
+    return near(frames, keys, order, *reach, span, lambda rows, by_: _gather(rows, value, deltas, by_, order, fill, name, zero))
+
+
+def _gather(frames: DataFrame, value: str, deltas: list[int], keys: list[str], order: list[str], fill: str, name: str, zero: Column | None) -> DataFrame:
     w, whole = by(keys, order), by(keys, order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     boxed = F.struct(F.col(value).alias("v"))  # tells a null value from a missing row
     low, high = F.first(boxed).over(whole), F.last(boxed).over(whole)
@@ -34,12 +53,15 @@ def gather(frames: DataFrame, value: str, deltas: list[int], keys: list[str], or
     return frames.withColumn(name, F.array(*cells))
 
 
-def horizon_filter(frames: DataFrame, horizon: int, keys: list[str], order: list[str], engaged: tuple[str, str], arm: tuple[str, str]) -> DataFrame:
+def horizon_filter(frames: DataFrame, horizon: int, keys: list[str], order: list[str], engaged: tuple[str, str], arm: tuple[str, str], span: int = ranges.SPAN) -> DataFrame:
     """frames with ``rule``: the first reason, in this order, for which a window of rows 0 to horizon is left out
     (out_of_bounds, left_swap, right_swap, never_engaged), else null. A swap is a change of arm within the window; never
     engaged means that neither side is engaged on any of its rows."""
-    w = by(keys, order)
-    ahead = w.rowsBetween(0, horizon)
+    return near(frames, keys, order, 0, horizon, span, lambda rows, by_: _horizon(rows, horizon, by_, order, engaged, arm))
+
+
+def _horizon(frames: DataFrame, horizon: int, keys: list[str], order: list[str], engaged: tuple[str, str], arm: tuple[str, str]) -> DataFrame:
+    ahead = by(keys, order).rowsBetween(0, horizon)
     fits = F.count("*").over(ahead) == horizon + 1
     swap = lambda c: F.min(c).over(ahead) != F.max(c).over(ahead)
     any_engaged = F.max(F.greatest(*[(F.col(c) != 0).cast("int") for c in engaged])).over(ahead) == 1
@@ -88,7 +110,12 @@ def sample_and_hold(value: str, engaged: str, keys: list[str], order: list[str])
     return boxed, w.rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def held(frames: DataFrame, value: str, engaged: str, keys: list[str], order: list[str], name: str = "held") -> DataFrame:
+def held(frames: DataFrame, value: str, engaged: str, keys: list[str], order: list[str], name: str = "held", span: int = ranges.SPAN) -> DataFrame:
+    """frames with ``name``: sample_and_hold."""
+    if ranges.spread(frames, keys, span):
+        rows = ranges.placed(frames, keys, order, span)
+        box = F.when((F.col(engaged) != 0) | (F.col(ranges.PLACE) == 0), F.struct(F.col(value).alias("v")))
+        return ranges.scan(rows, keys, order, **{name: ranges.latest(box, order)}).withColumn(name, F.col(name)["v"]).drop(ranges.PLACE, ranges.RANGE)
     boxed, w = sample_and_hold(value, engaged, keys, order)
     return frames.withColumn("__box", boxed).withColumn(name, F.last("__box", ignorenulls=True).over(w)["v"]).drop("__box")
 
@@ -97,22 +124,56 @@ def zero_when_off(value: str, engaged: str) -> Column:
     return F.when(F.col(engaged) != 0, F.col(value)).otherwise(0.0)
 
 
-def engaged_pose(frames: DataFrame, position: list[str], engaged: str, keys: list[str], order: list[str], mode: str = "per_step") -> DataFrame:
+def engaged_pose(frames: DataFrame, position: list[str], engaged: str, keys: list[str], order: list[str], mode: str = "per_step", span: int = ranges.SPAN) -> DataFrame:
     """Running relative positions: each column's differences summed while engaged. ``per_step`` asks this row and the one
     before, ``reference`` the episode's first row for all."""
     if mode not in ("per_step", "reference"):
         raise ValueError(f"unknown mode {mode!r}")
-    w = by(keys, order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    mask = both_engaged(engaged, keys, order) if mode == "per_step" else F.first(F.col(engaged) != 0).over(whole)
-    out = frames.withColumn("__mask", mask)
-    for c in position:
-        out = out.withColumn(f"__d_{c}", F.col(c) - F.coalesce(F.lag(c).over(w), F.col(c)))
-    for c in position:
-        out = out.withColumn(f"rel_{c}", masked_sum(f"__d_{c}", "__mask", keys, order))
+    large = ranges.spread(frames, keys, span)
+
+    def differences(rows: DataFrame, by_: list[str]) -> DataFrame:
+        w = by(by_, order)
+        rows = rows.withColumn("__mask", both_engaged(engaged, by_, order))
+        return rows.withColumns({f"__d_{c}": F.col(c) - F.coalesce(F.lag(c).over(w), F.col(c)) for c in position})
+
+    if not large:
+        out = differences(frames, keys)
+        if mode == "reference":
+            whole = by(keys, order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            out = out.withColumn("__mask", F.first(F.col(engaged) != 0).over(whole))
+        out = out.withColumns({f"rel_{c}": masked_sum(f"__d_{c}", "__mask", keys, order) for c in position})
+    else:
+        rows = ranges.halo(ranges.placed(frames, keys, order, span), 1, 0, span)
+        rows = ranges.owned(differences(rows, [*keys, ranges.RANGE]), span)
+        if mode == "reference":
+            first = F.when(F.col(ranges.PLACE) == 0, F.struct((F.col(engaged) != 0).alias("on")))
+            rows = ranges.scan(rows, keys, order, __first=ranges.latest(first, order)).withColumn("__mask", F.col("__first")["on"]).drop("__first")
+        sums = {f"rel_{c}": ranges.total(F.when(F.col("__mask"), F.col(f"__d_{c}")).otherwise(0.0)) for c in position}
+        out = ranges.scan(rows, keys, order, **sums).drop(ranges.PLACE, ranges.RANGE)
     return out.drop("__mask", *[f"__d_{c}" for c in position])
 
 
+def engaged_motion(frames: DataFrame, pose: str, engaged: str, keys: list[str], order: list[str], kind: str = "quaternion", name: str = "motion", span: int = ranges.SPAN) -> DataFrame:
+    """frames with ``name``, nine numbers: the motions from row to row (position differences; rotations as seen from the row
+    before) over rows that are engaged and whose predecessor is, added and multiplied up along the episode, however long that
+    is. A pose without a rotation counts as the identity."""
+    from ..functions import rotation
+
+    def motions(rows: DataFrame, by_: list[str]) -> DataFrame:
+        w = by(by_, order)
+        rows = rows.withColumn("__turn", F.coalesce(rotation.matrix_of(F.col(pose), kind), rotation.identity()))
+        both = (F.col(engaged) != 0) & F.coalesce(F.lag(engaged).over(w) != 0, F.lit(False))
+        turned = rotation.multiply(rotation.transpose(F.lag("__turn").over(w)), F.col("__turn"))
+        moved = {f"__d{i}": F.when(both, F.col(pose)[i] - F.lag(F.col(pose)[i]).over(w)).otherwise(0.0) for i in range(3)}
+        return rows.withColumns({"__step": F.when(both, turned).otherwise(rotation.identity()), **moved}).drop("__turn")
+
+    rows = motions(ranges.halo(ranges.placed(frames, keys, order, span), 1, 0, span), [*keys, ranges.RANGE])
+    rows = ranges.scan(ranges.owned(rows, span), keys, order, **{f"__p{i}": ranges.total(F.col(f"__d{i}")) for i in range(3)})
+    rows = ranges.products(rows, keys, order, "__step", "__turned", 3)
+    out = F.concat(F.array(*[F.col(f"__p{i}") for i in range(3)]), rotation.to_six(F.col("__turned")))
+    return rows.withColumn(name, out).drop("__step", "__turned", ranges.PLACE, ranges.RANGE, *[f"__{k}{i}" for k in "dp" for i in range(3)])
+
+
 def chunks(frames: DataFrame, size: int, value: str, keys: list[str], order: str) -> DataFrame:
     """keys, chunk, rows (values in order): pieces of ``size`` rows. An episode whose length is no multiple is an error."""
     got = frames.groupBy(*keys, F.floor(F.col(order) / size).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v")))).alias("rows"))
@@ -134,7 +195,8 @@ def hand_off(frames: DataFrame, size: int, keys: list[str], value: str, chunk: s
 
 def fold_chunks(chunks: DataFrame, keys: list[str], order: str, value: str, first: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """keys and the states of an ordered fold: ``state``, of each chunk in turn, is ``step`` of the state before (``first`` for a
-    key's first chunk) and the chunk's value. A key's chunks are one sequence and meet in one row."""
+    key's first chunk) and the chunk's value. For steps that are no affine map (see fold_affine): a key's chunks are one
+    sequence and meet in one row."""
     rows = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v")))).alias("__rows"))
     empty = F.array().cast(f"array<struct<at:{dict(chunks.dtypes)[order]},state:double>>")
     last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["state"], first)
@@ -142,6 +204,15 @@ def fold_chunks(chunks: DataFrame, keys: list[str], order: str, value: str, firs
     return rows.select(*keys, F.inline(states)).withColumnRenamed("at", order)
 
 
+def fold_affine(chunks: DataFrame, keys: list[str], order: str, gain: Column | float, add: Column, first: Column | float, name: str = "state", span: int = ranges.SPAN) -> DataFrame:
+    """chunks with ``name``, the states of an ordered fold: gain times the state before (``first`` for a key's first chunk) plus
+    ``add``. Affine maps are 2 x 2 matrices, whose products run along ranges; no key meets in one task."""
+    as_column = lambda c: c if isinstance(c, Column) else F.lit(float(c))
+    rows = chunks.withColumn("__map", F.array(as_column(gain).cast("double"), add.cast("double"), F.lit(0.0), F.lit(1.0))).withColumn("__first", as_column(first))
+    rows = ranges.products(ranges.dealt(rows, keys, [order], span), keys, [order], "__map", "__all", 2, left=True)
+    return rows.withColumn(name, F.col("__all")[0] * F.col("__first") + F.col("__all")[1]).drop("__map", "__all", "__first", ranges.RANGE)
+
+
 def fill_up(frames: DataFrame, least: int, keys: list[str], order: str) -> DataFrame:
     """frames with copies of each last one, numbered on, until there are ``least``; longer runs stay as they are."""
     w = W.partitionBy(*keys)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, pixels, rotation, text
 from ..operators import joins, stats, steps, timestamps, transforms, windows
-from ..sources import slices
+from ..sources import shared, slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,29 @@ def head_sample(spark, d):
     return steps.head(frames(spark, d).select("event_id", "user_id", "frame"), ["user_id", "frame"], 25)
 
 
+def _times(a: str, b: str) -> str:
+    """The product of two matrices in SQL."""
+    return "[" + ", ".join(" + ".join(f"{a}[{3 * i + k + 1}] * {b}[{3 * k + j + 1}]" for k in range(3)) for i in range(3) for j in range(3)) + "]"
+
+
+def _picked(a: str, places: tuple[int, ...]) -> str:
+    return "[" + ", ".join(f"{a}[{i + 1}]" for i in places) + "]"
+
+
+def _turned(q: str) -> str:
+    """The matrix of a unit quaternion (a list) in SQL."""
+    x, y, z, w = (f"{q}[{i}]" for i in range(1, 5))
+    return f"[1-2*({y}*{y}+{z}*{z}), 2*({x}*{y}-{z}*{w}), 2*({x}*{z}+{y}*{w}), 2*({x}*{y}+{z}*{w}), 1-2*({x}*{x}+{z}*{z}), 2*({y}*{z}-{x}*{w}), 2*({x}*{z}-{y}*{w}), 2*({y}*{z}+{x}*{w}), 1-2*({x}*{x}+{y}*{y})]"
+
+
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda c: c / sqrt(list_sum(list_transform({v}, lambda k: k * k))))"
+
+
+_TURN = (0, 3, 6, 1, 4, 7, 2, 5, 8)
+_SIX = (0, 3, 6, 1, 4, 7)
+
+
 # windows
 
 _EDGE = "PARTITION BY user_id ORDER BY frame"
@@ -253,7 +276,25 @@ def chunk_handoff(spark, d):
 )
 def chunk_fold(spark, d):
     sums = _chunked(spark, d).groupBy("user_id", "chunk").agg(F.sum("value").alias("v"))
-    return windows.fold_chunks(sums, KEY, "chunk", "v", F.lit(1.0), lambda before, v: 0.9 * before + v).withColumn("state", F.round("state", 6))
+    return windows.fold_affine(sums, KEY, "chunk", 0.9, F.col("v"), 1.0).select("user_id", "chunk", F.round("state", 6).alias("state"))
+
+
+_STEPS = (
+    f"u AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, embedding[16]::DOUBLE > 0 AS e, embedding[1:3]::DOUBLE[] AS p, {_unit('embedding[4:7]::DOUBLE[]')} AS q FROM embeddings), "
+    f"t AS (SELECT *, {_turned('q')} AS b, lag(e) OVER o AS le, lag(p) OVER o AS lp, lag(q) OVER o AS lq FROM u WINDOW o AS (PARTITION BY label ORDER BY vec_id)), "
+    f"t2 AS (SELECT *, {_picked(_turned('lq'), _TURN)} AS a FROM t), "
+    f"s AS (SELECT vec_id, label, n, CASE WHEN e AND le THEN {_times('a', 'b')} ELSE [1.0::DOUBLE, 0, 0, 0, 1, 0, 0, 0, 1] END AS m, CASE WHEN e AND le THEN [p[1] - lp[1], p[2] - lp[2], p[3] - lp[3]] ELSE [0.0::DOUBLE, 0, 0] END AS d FROM t2)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_STEPS}, r AS (SELECT label, n, vec_id, m, d FROM s WHERE n = 1 UNION ALL SELECT s.label, s.n, s.vec_id, {_times('r.m', 's.m')}, [r.d[1] + s.d[1], r.d[2] + s.d[2], r.d[3] + s.d[3]] FROM r JOIN s ON s.label = r.label AND s.n = r.n + 1), "
+    f"y AS (SELECT vec_id, list_concat(d, {_picked('m', _SIX)}) AS y FROM r) SELECT vec_id, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS dim, round(unnest(y), 6) + 0.0 AS y FROM y"
+)
+def episode_motion(spark, d):
+    """Motions along whole episodes (labels), in ranges of 16 rows so that carries are at work."""
+    rows = vectors(spark, d).select("vec_id", "label", numeric.part(F.col("v"), 0, 7).alias("pose"), (F.col("v")[15] > 0).cast("int").alias("on"))
+    return _cells(windows.engaged_motion(rows, "pose", "on", ["label"], ["vec_id"], span=16), "motion").select("vec_id", "dim", (F.col("y") + 0.0).alias("y"))
 
 
 # statistics and normalisation
@@ -402,27 +443,6 @@ def rotation_convert_rows(spark, d):
     return _cells(vectors(spark, d).withColumn("y", rotation.convert(numeric.part(F.col("v"), 3, 7), "quaternion", "rot6d_rows")))
 
 
-def _times(a: str, b: str) -> str:
-    """The product of two matrices in SQL."""
-    return "[" + ", ".join(" + ".join(f"{a}[{3 * i + k + 1}] * {b}[{3 * k + j + 1}]" for k in range(3)) for i in range(3) for j in range(3)) + "]"
-
-
-def _picked(a: str, places: tuple[int, ...]) -> str:
-    return "[" + ", ".join(f"{a}[{i + 1}]" for i in places) + "]"
-
-
-def _turned(q: str) -> str:
-    """The matrix of a unit quaternion (a list) in SQL."""
-    x, y, z, w = (f"{q}[{i}]" for i in range(1, 5))
-    return f"[1-2*({y}*{y}+{z}*{z}), 2*({x}*{y}-{z}*{w}), 2*({x}*{z}+{y}*{w}), 2*({x}*{y}+{z}*{w}), 1-2*({x}*{x}+{z}*{z}), 2*({y}*{z}-{x}*{w}), 2*({x}*{z}-{y}*{w}), 2*({y}*{z}+{x}*{w}), 1-2*({x}*{x}+{y}*{y})]"
-
-
-def _unit(v: str) -> str:
-    return f"list_transform({v}, lambda c: c / sqrt(list_sum(list_transform({v}, lambda k: k * k))))"
-
-
-_TURN = (0, 3, 6, 1, 4, 7, 2, 5, 8)
-_SIX = (0, 3, 6, 1, 4, 7)
 _LISTS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
 _LIST_CELLS = "SELECT vec_id, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS dim, round(unnest(y), 6) AS y FROM o"
 _RELATIVE = (
@@ -1083,10 +1103,7 @@ query(
 
 def scratch(spark: SparkSession) -> str:
     """A folder of its own that driver and executors share."""
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/kinelake-{uuid.uuid4().hex}"
+    return shared.new_folder(spark)
 
 
 @query("SELECT DISTINCT o_orderkey % 5000 * 100 AS iteration, printf('iter_%09d', o_orderkey % 5000 * 100) AS name FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5000 * 100 >= 1000 AND o_orderkey % 5000 * 100 % 500 = 0")
