@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import quantiles
+from ..sources.shared import fixed
+
 NAMES = ("mean", "std", "min", "max", "q01", "q99")
+QUANTILES = {"q01": 0.01, "q99": 0.99}
 
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def column_statistics(rows: DataFrame, vector: str, keys: list[str] | None = None, single: bool = True, floor_std: float | None = None, exact: bool = True) -> DataFrame:
+def column_statistics(rows: DataFrame, vector: str, keys: list[str] | None = None, single: bool = True, floor_std: float | None = None, exact: bool = True, held: int = quantiles.HELD) -> DataFrame:
     """keys, dim, count and NAMES for each component: population deviation, quantiles between neighbours. ``single`` takes
-    the values in 32 bits, as raw statistics do. A deviation below floor_std becomes 1. Exact quantiles hold each
-    component's distinct values; ``exact=False`` sketches them for inputs where these do not fit."""
+    the values in 32 bits, as raw statistics do. A deviation below floor_std becomes 1. Up to ``held`` rows (they are
+    counted) a task holds a component's distinct values; beyond, the quantiles come from refined histograms, and are the same.
+    ``exact=False`` sketches them in one pass."""
     keys = keys or []
     v = F.col(vector).cast("array<float>" if single else "array<double>")
     x = rows.select(*keys, F.posexplode(v).alias("dim", "__x")).withColumn("__x", F.col("__x").cast("double"))
     std = F.stddev_pop("__x")
     if floor_std is not None:
         std = F.when(std < floor_std, 1.0).otherwise(std)
-    q = (lambda p: F.percentile("__x", p)) if exact else (lambda p: F.percentile_approx("__x", p, 100_000))
-    return x.groupBy(*keys, "dim").agg(F.count("__x").alias("count"), F.avg("__x").alias("mean"), std.alias("std"), F.min("__x").alias("min"), F.max("__x").alias("max"), q(0.01).alias("q01"), q(0.99).alias("q99"))
+    sums = [F.count("__x").alias("count"), F.avg("__x").alias("mean"), std.alias("std"), F.min("__x").alias("min"), F.max("__x").alias("max")]
+    names, wanted = [*keys, "dim"], F.array(*[F.lit(p) for p in QUANTILES.values()])
+    if exact and rows.count() > held:
+        return quantiles.quantiles(x, names, "__x", QUANTILES, fixed(x.groupBy(*names).agg(*sums)), held)
+    q = F.percentile("__x", wanted) if exact else F.percentile_approx("__x", wanted, 100_000)
+    made = x.groupBy(*names).agg(*sums, q.alias("__q"))
+    return made.select(*names, "count", *NAMES[:4], *[F.col("__q")[i].alias(n) for i, n in enumerate(QUANTILES)])
 
 
 def statistics_arrays(tall: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -92,19 +102,47 @@ def real_index(located: DataFrame, length: str = "real_len") -> DataFrame:
     return located.withColumn("real", F.pmod(F.col("local"), F.col(length)))
 
 
-def shuffle_blocks(leaves: DataFrame, size: int = 512, seed: int | None = None, ranks: int | None = None, length: str = "virtual", key: str = "leaf") -> DataFrame:
-    """key, block_start, block_end: contiguous blocks of at most ``size`` that never cross a leaf. With a seed, also their
-    shuffled order (a hash) and, given ranks, who reads them."""
-    out = leaves.where(F.col(length) > 0).select(key, F.col(length).alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(length).cast("long") - 1, F.lit(size).cast("long"))).alias("block_start"))
-    out = out.withColumn("block_end", F.least(F.col("block_start") + size, F.col("__n"))).drop("__n")
+def shuffle_blocks(leaves: DataFrame, size: int = 512, seed: int | None = None, ranks: int | None = None, length: str = "virtual", key: str = "leaf", start: str | None = None) -> DataFrame:
+    """key, block_start, block_end: contiguous blocks of at most ``size`` that never cross a leaf; with ``start``, the leaf's
+    begin in the mixture, block_first too, the block's begin there. With a seed, also ``shuffled``, the block's place in a
+    permutation of all blocks, and given ranks, who reads it: places in turn, so ranks have as many blocks, but for one. A
+    block's number comes from the sizes of the leaves before its own (planner rows) and its place from its number alone:
+    blocks are neither sorted nor shuffled. A key is one leaf's."""
+    used = leaves.where(F.col(length) > 0).select(key, F.col(length).cast("long").alias("__n"), *([F.col(start).cast("long").alias("__lo")] if start else []))
+    blocks = F.ceil(F.col("__n") / size).cast("long")
+    if seed is not None:
+        used = used.withColumn("__upto", F.sum(blocks).over(W.orderBy(key))).withColumn("__all", F.sum(blocks).over(W.partitionBy()))
+    out = used.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("__i")).withColumn("block_start", F.col("__i") * size)
+    made = [key, "block_start", F.least(F.col("block_start") + size, F.col("__n")).alias("block_end")]
+    if start:
+        made.append((F.col("__lo") + F.col("block_start")).alias("block_first"))
     if seed is not None:
-        digits = F.substring(F.md5(F.concat_ws(":", F.col(key), F.col("block_start"), F.lit(seed)).cast("binary")), 1, 15)
-        out = out.withColumn("shuffled", F.conv(digits, 16, 10).cast("long"))
-        if ranks:
-            out = out.withColumn("rank", F.pmod("shuffled", F.lit(ranks)).cast("int"))
+        place = permuted(F.col("__upto") - blocks + F.col("__i"), F.col("__all"), seed)
+        made.append(place.alias("shuffled"))
+    out = out.select(*made)
+    if seed is not None and ranks:
+        out = out.withColumn("rank", F.pmod("shuffled", F.lit(ranks)).cast("int"))
     return out
 
 
+#: Rounds of a permutation.
+ROUNDS = 48
+
+
+def permuted(i: Column, n: Column, seed: int, rounds: int = ROUNDS) -> Column:
+    """The place of i, 0 to n - 1, in a permutation of these that the seed draws. Each round pairs every number with that at
+    an equal distance from a drawn point, and swaps the two or does not, by a bit drawn for the pair: a bijection for every
+    n, without a detour for numbers out of range."""
+    drawn = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *c).cast("binary"))
+
+    def swap(x: Column, r: Column) -> Column:
+        point = F.pmod(F.conv(F.substring(drawn(r), 1, 15), 16, 10).cast("long"), n)
+        mate = F.pmod(point + n - x, n)
+        return F.when(F.substring(drawn(r, F.greatest(x, mate)), 1, 1) >= "8", mate).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), i.cast("long"), swap)
+
+
 # metrics
 
 

@@ -537,11 +537,14 @@ def shuffle_blocks(spark, d):
 
 
 @query(
-    f"WITH {_MIXTURE}, s AS (SELECT leaf, virtual, unnest(range(0, virtual, 16)) AS block_start FROM mx), h AS (SELECT *, CAST(('0x' || substr(md5(leaf || ':' || block_start || ':3'), 1, 15)) AS BIGINT) AS shuffled FROM s) "
-    "SELECT leaf, block_start, least(block_start + 16, virtual) AS block_end, shuffled, CAST(shuffled % 4 AS INTEGER) AS rank FROM h"
+    f"WITH RECURSIVE {_MIXTURE}, s AS (SELECT leaf, hi - virtual AS lo, virtual, unnest(range(0, virtual, 16)) AS block_start FROM mx), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY leaf, block_start) - 1 AS i, count(*) OVER () AS n FROM s), "
+    f"k AS (SELECT r, CAST(('0x' || substr(md5('3:' || r), 1, 15)) AS BIGINT) AS point FROM (SELECT unnest(range(0, {stats.ROUNDS})) AS r)), "
+    "p AS (SELECT i, n, CAST(i AS BIGINT) AS x, 0 AS r FROM o UNION ALL SELECT i, n, CASE WHEN substr(md5('3:' || p.r || ':' || greatest(x, (point % n + n - x) % n)), 1, 1) >= '8' THEN (point % n + n - x) % n ELSE x END, CAST(p.r + 1 AS INTEGER) FROM p JOIN k ON k.r = p.r) "
+    f"SELECT leaf, block_start, least(block_start + 16, virtual) AS block_end, lo + block_start AS block_first, x AS shuffled, CAST(x % 4 AS INTEGER) AS rank FROM o JOIN p USING (i) WHERE r = {stats.ROUNDS}"
 )
 def shuffle_ranks(spark, d):
-    return stats.shuffle_blocks(_mixture(spark, d), 16, seed=3, ranks=4)
+    return stats.shuffle_blocks(_mixture(spark, d), 16, seed=3, ranks=4, start="lo")
 
 
 # lookups
@@ -1187,7 +1190,8 @@ def leaf_discovery(spark, d):
 
     parent = scratch(spark)
     for r in t(spark, d, "region").collect():
-        t(spark, d, "region").limit(1).write.parquet(f"{parent}/{r['r_name']}/{'other' if r['r_regionkey'] == 2 else 'meta'}")
+        above = "/".join(["deep"] * r["r_regionkey"])  # leaves at several depths
+        t(spark, d, "region").where(F.col("r_regionkey") == r["r_regionkey"]).write.parquet(f"{parent}/{above}/{r['r_name']}/meta/{'other' if r['r_regionkey'] == 2 else 'modality'}.json")
     return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in source.discover(spark, parent)], "leaf string")
 
 

@@ -32,11 +32,16 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in listed if s.isDirectory())
 
 
-def discover(spark: SparkSession, path: str) -> list[str]:
-    """The leaf itself, or the leaves below a parent directory, in order."""
-    if _exists(spark, f"{path}/meta"):
-        return [path]
-    return [c for c in _children(spark, path) if _exists(spark, f"{c}/meta")]
+def discover(spark: SparkSession, path: str, marker: str = "meta/modality.json") -> list[str]:
+    """All leaves at and below a path, at any depth, in order: directories that have the marker. Directories below a leaf are
+    looked through as well, but for those of its own data, metadata and videos, which hold most files."""
+    found, todo = [], [path.rstrip("/")]
+    while todo:
+        here = todo.pop()
+        own = _exists(spark, f"{here}/{marker}")
+        found += [here] * own
+        todo += [c for c in _children(spark, here) if not (own and c.rsplit("/", 1)[-1] in ("data", "meta", "videos"))]
+    return sorted(found)
 
 
 def frames(spark: SparkSession, leaf: str, columns: list[str] | None = None, tolerant: bool = False) -> DataFrame:
