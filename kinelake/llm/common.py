@@ -83,7 +83,8 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
         on, named = F.lit(True), F.broadcast(named)
     else:
         named = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        big = big.withColumn("__of", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+        hashed = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+        big = big.withColumn("__of", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
         on = F.col("__of") == F.col("__salt")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))

@@ -11,7 +11,7 @@ words that agrees as well, and in each of these, however its differences fall, s
 
 The benchmark is a stated query set: it goes over the documents in blocks of about BLOCK_BYTES of text, one pass each, and what
 a block finds is written down before the next is fetched, so neither the driver nor a task holds more than a block. A long
-item is cut into overlapping pieces. Documents are never shuffled.
+item is searched in overlapping pieces; where one of them agrees, the run is looked for in the whole item. Documents are never shuffled.
 
 Defined cases: null and empty texts are clean; items of fewer than SHORTEST words are no evidence and match nothing; rows
 that repeat an id are checked each (and reported once for each item); a word of more than LONGEST characters is cut; rows without item_id count as items of null id, and
@@ -119,13 +119,15 @@ class Block:
     """Some benchmark items: their words end to end, and for each mask the table of its seeds."""
 
     def __init__(self, items: Iterable[tuple[int | None, str | None]]) -> None:
-        self.ids, parts, bounds = [], [], [0]
+        self.ids, self.whole, self.origin, parts, bounds = [], [], [], [], [0]
         for item, text in items:
             (w,) = words([text])
+            self.whole.append(w)
             for a in range(0, max(len(w) - OVERLAP, 1), PIECE):
                 piece = w[a : a + PIECE + OVERLAP]
                 if len(piece) >= SHORTEST:
                     self.ids.append(item)
+                    self.origin.append((len(self.whole) - 1, a))
                     parts.append(piece)
                     bounds.append(bounds[-1] + len(piece))
         self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -154,6 +156,7 @@ class Block:
         w = np.concatenate([*texts, np.zeros(0, np.uint64)])
         begins = np.cumsum([0, *map(len, texts)])
         best: dict = {}
+        seen = set()
         step = STRIDE  # longer ones go stride by stride, which share what a seed spans
         for a in range(0, max(len(w), 1), step):
             begins_here = begins - a
@@ -164,6 +167,15 @@ class Block:
                 same = w[start:stop] == self.words[start - shift : stop - shift]
                 i, j = longest(same, min(LEAST, hi - lo))
                 if i < j:
+                    n, first = self.origin[item]
+                    whole, origin = self.whole[n], shift + lo - first  # where the item would begin in w
+                    if len(whole) > hi - lo:
+                        # a piece agrees: the run goes on in the others, on the same alignment
+                        if (text, n, origin) in seen:
+                            continue
+                        seen.add((text, n, origin))
+                        start, stop = max(int(begins[text]), origin), min(int(begins[text + 1]), origin + len(whole))
+                        i, j = longest(same := w[start:stop] == whole[start - origin : stop - origin], LEAST)
                     got = (int(same[i:j].sum()), j - i, begins[text] - start - i)
                     best[text, self.ids[item]] = max(best.get((text, self.ids[item]), got), got)
         return [(text, i, int(-at), n, equal) for (text, i), (equal, n, at) in best.items()]

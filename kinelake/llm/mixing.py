@@ -46,7 +46,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """docs with size, source_size, target and taken (size times the number of copies that the mix takes). ``keep`` names the
     columns of docs that are wanted, source among them; those are written down beside the sizes, so that texts, if not among
     them, are read and counted once only. All columns are wanted if it is not given, and texts are then read a second time."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "taken")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("size", "source_size", "target", "taken")]
     if "source" not in kept:
         raise ValueError("the columns to keep must have source among them")
     point = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col("text"), F.lit("")))).cast("binary")), 1, LEVELS * DIGITS)

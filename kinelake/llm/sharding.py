@@ -12,7 +12,7 @@ counts over SLOTS slices and by place within a slice, so that no task gets a who
 
 Defined cases: a null text counts as an empty one (size 1, crc32 0); equal texts are never parted, so a group larger than
 a fair share makes its shard larger; ties and repeated rows get slots in any order; rows without doc_id are numbered like
-any other; an empty table gives no row; columns other than doc_id and text are ignored.
+any other; an empty table gives no row; columns other than doc_id and text are ignored, or kept as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 FIRST_BITS, STEP, SLOTS = 12, 8, 1024
 RANGES = 1 << FIRST_BITS
@@ -131,18 +131,28 @@ def place(rows: DataFrame, points: list[int]) -> Column:
     return sum(((order >= p).cast("int") for p in signed), F.lit(0)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law (bytes), shard, slot and grown_shard (null: a further shard moves the cuts)."""
+#: What shard adds to a row.
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def shard(docs: DataFrame, shards: int = 16, keep: bool = False) -> DataFrame:
+    """doc_id and ADDED: law (bytes), slot, grown_shard (null: a further shard moves the cuts). ``keep``: all columns of docs
+    but those of these names (in any case) come before them; texts are then read a second time, and not written down in between."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash")))
-    groups = cut(rows.groupBy("hash").agg(F.sum("size").alias("size")))
-    placed = rows.withColumn("shard", place(rows, cut_points(groups, shards))).withColumn("slice", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SLOTS)).cast("int"))
-    counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
-    before = W.partitionBy("shard").orderBy("slice")
-    offsets = counts.select("shard", "slice", (F.sum("n").over(before) - F.col("n")).alias("offset"))
-    nth = F.row_number().over(W.partitionBy("shard", "slice").orderBy("doc_id", "hash"))
-    # at most shards times SLOTS rows
-    out = placed.withColumn("nth", nth).join(F.broadcast(offsets), ["shard", "slice"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    measured = [F.col("doc_id").alias("__id"), (F.octet_length(text) + 1).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), F.xxhash64(text).alias("hash")]
+    rows = cut(docs.select(*measured))
+    groups = cut(rows.groupBy("hash").agg(F.sum("__size").alias("size")))
+    if keep:
+        rows = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in ADDED]).alias("__row"), *measured)
+    placed = rows.withColumn("__shard", place(rows, cut_points(groups, shards))).withColumn("__slice", F.pmod(F.xxhash64("__id", "hash"), F.lit(SLOTS)).cast("int"))
+    counts = cut(placed.groupBy("__shard", "__slice").agg(F.count("*").alias("n")))
+    before = W.partitionBy("__shard").orderBy("__slice")
+    offsets = counts.select("__shard", "__slice", (F.sum("n").over(before) - F.col("n")).alias("offset"))
+    nth = F.row_number().over(W.partitionBy("__shard", "__slice").orderBy("__id", "hash"))
+    small = offsets.count() <= BROADCAST_ROWS  # at most shards times SLOTS rows
+    out = placed.withColumn("nth", nth).join(F.broadcast(offsets) if small else offsets, ["__shard", "__slice"])
+    own = ["__row.*"] if keep else [F.col("__id").alias("doc_id")]
+    added = [F.col("__size"), F.col("__crc"), F.lit("bytes"), F.col("__shard"), (F.col("offset") + F.col("nth") - 1).cast("long"), F.lit(None).cast("int")]
+    return out.select(*own, *[c.alias(n) for c, n in zip(added, ADDED, strict=True)])

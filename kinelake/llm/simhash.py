@@ -170,10 +170,11 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return cold.union(dense)
 
 
-def linked(docs: DataFrame, bits: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, fp of each row; each fp of rows with a doc_id and the smallest of these (rep); links of fingerprints."""
+def linked(docs: DataFrame, bits: int, width: int, ids: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, fp of each row; each fp of rows with a doc_id (without ``ids``, of all rows) and the smallest of these (rep);
+    links of fingerprints."""
     fps = cut(fingerprints(docs, width))
-    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = cut((fps.where("doc_id is not null") if ids else fps).groupBy("fp").agg(F.min("doc_id").alias("rep")))
     return fps, nodes, links(nodes.select("fp"), bits)
 
 
@@ -197,24 +198,42 @@ def marked(text: Column, width: int = 4) -> Column:
     return mark(text.cast("string"))
 
 
+def first_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of the first row of each key, by all of its columns that have an order."""
+    plain = [F.col(f.name) for f in rows.select(*columns).schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    top = F.min_by(F.struct(*columns), F.struct(*plain, F.lit(0).alias("__none")))
+    return rows.groupBy(*keys).agg(top.alias("__row")).select("__row.*")
+
+
 def deduplicate(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
-    """docs with one row of each class of linked fingerprints, that of its smallest doc_id; rows without doc_id stay. Rows that
-    repeat an id but not a text are judged each by its own text; of rows that share both id and fingerprint, the first by its
-    columns stays."""
-    fps, nodes, found = linked(docs, bits, width)
+    """docs with one row of each class of linked fingerprints, that of its smallest doc_id (of rows without one, if it has
+    only these). Rows that repeat an id but not a text are judged each by its own text; of rows that share both id and
+    fingerprint, the first by its columns stays (rows that differ in maps only: any of them)."""
+    fps, nodes, found = linked(docs, bits, width, ids=False)
     classes = components(found)
-    named = nodes.join(classes, nodes["fp"] == classes["node"], "left").select(F.coalesce("component", "fp").alias("class"), F.struct(F.col("rep").alias("doc_id"), "fp").alias("row"))
-    stays = cut(named.groupBy("class").agg(F.min("row").alias("row")).select("row.*"))
+    row = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "fp").alias("row")
+    named = nodes.join(classes, nodes["fp"] == classes["node"], "left").select(F.coalesce("component", "fp").alias("class"), row)
+    stays = cut(named.groupBy("class").agg(F.min("row").alias("row")).select("row.doc_id", "row.fp"))
     ids = fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
     ids = cut(ids.join(stays.select("doc_id", F.lit(True).alias("stays")).distinct(), "doc_id", "left"))
     gone = ids.where("stays is null").select(F.col("doc_id").alias("__gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    nameless = not fps.where("doc_id is null").isEmpty()
     kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     again = ids.where("stays and rows > 1").select("doc_id", F.lit(True).alias("__again"))
-    if again.isEmpty():
-        return kept
-    # ids that several rows share and of which some row stays
-    parted = small_join(kept, again, ["doc_id"])
-    shared = parted.where("__again").select("doc_id", marked(F.col("text"), width).alias("fp"), F.struct(*docs.columns).alias("__row"))
-    first = shared.join(stays, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min("__row").alias("__row")).select("__row.*")
-    return parted.where("__again is null").select(*docs.columns).unionByName(first)
+    if nameless:
+        kept = kept.where("doc_id is not null")
+    judged = []
+    if not again.isEmpty():
+        # ids that several rows share and of which some row stays
+        parted = small_join(kept, again, ["doc_id"])
+        shared = parted.where("__again").select(*docs.columns, marked(F.col("text"), width).alias("__fp"))
+        judged.append(shared.join(stays.select("doc_id", F.col("fp").alias("__fp")), ["doc_id", "__fp"], "left_semi"))
+        kept = parted.where("__again is null").select(*docs.columns)
+    if nameless:
+        # fingerprints that only rows without an id have, one of each class
+        rest = docs.where("doc_id is null").select("*", marked(F.col("text"), width).alias("__fp"))
+        judged.append(small_join(rest, stays.where("doc_id is null").select(F.col("fp").alias("__fp"), F.lit(True).alias("__stays")), ["__fp"]).where("__stays").drop("__stays"))
+    for rows in judged:
+        kept = kept.unionByName(first_of(rows, ["doc_id", "__fp"], docs.columns))
+    return kept

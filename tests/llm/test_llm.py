@@ -144,6 +144,7 @@ def test_mix(spark, odd, documents):
         mixing.mix(odd, keep=["doc_id"])
     assert mixing.mix(odd.limit(0)).count() == 0
     assert mixing.take(odd).columns == odd.columns
+    assert mixing.mix(odd.drop("size").withColumn("Size", F.lit("x"))).columns.count("size") == 1
 
 
 # URLs
@@ -235,25 +236,29 @@ def test_simhash(spark, odd, documents):
         want = brute_components(rows)
         assert all(r.component_id == want.get(r.doc_id) for r in out)
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    kept = sorted(str(r.doc_id) for r in simhash.deduplicate(odd).collect())
-    assert kept == sorted([str(i) for i in {brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in odd.collect()])[i] for i in (1, 2, 3, 4, 5, 6, 7)}] + ["None"] * 2)
 
 
-def test_deduplicate_by_row(spark):
-    """Rows that repeat an id but not a text stand for themselves."""
-    text = lambda word: " ".join(f"{word}{i}" for i in range(30))
-    rows = [(3, text("a")), (3, text("b")), (3, text("b")), (4, text("b")), (5, text("c")), (2, text("c")), (2, text("d")), (6, text("e")), (6, text("a")), (7, text("a")), (None, text("a")), (8, None), (8, ""), (9, "")]
-    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
-    classes = brute_components([(n, brute_fingerprint(t)) for n, (_, t) in enumerate(rows)])
-    want = {}
+def one_of_each_class(rows):
+    """Ids and texts of the rows that stay, by definition: of each class that of the smallest id, or one without."""
+    classes, out = brute_components([(n, brute_fingerprint(t)) for n, (_, t) in enumerate(rows)]), {}
     for n, (i, t) in enumerate(rows):
-        if i is not None:
-            want.setdefault(classes[n], []).append((i, t))
-    assert len(want) == 6
-    got = simhash.deduplicate(docs)
-    assert got.columns == docs.columns
-    kept = [(r.doc_id, r.text) for r in got.collect()]
-    assert sorted(map(str, kept)) == sorted(map(str, [*(min(x, key=lambda r: (r[0], r[1] or "")) if x[0][1] else (8, None) for x in want.values()), (None, text("a"))]))
+        f = brute_fingerprint(t)
+        out.setdefault(classes[n], []).append((i is None, i or 0, f - (f >> 63 << 64)))
+    return [(None if none else i, f % 2**64) for none, i, f in map(min, out.values())]
+
+
+def test_deduplicate_by_row(spark, odd, documents):
+    """Rows that repeat an id but not a text stand for themselves; so do rows without an id."""
+    text = lambda word: " ".join(f"{word}{i}" for i in range(30))
+    rows = [(3, text("a")), (3, text("b")), (3, text("b")), (4, text("b")), (5, text("c")), (2, text("c")), (2, text("d")), (6, text("e")), (6, text("a")), (7, text("a")), (None, text("a")), (None, text("z")), (None, text("z")), (8, None), (8, ""), (9, "")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows]).withColumn("note", F.create_map("lang", "source"))
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for x in (docs, nameless, odd, documents, documents.union(documents), docs.where("doc_id is not null")):
+        got = simhash.deduplicate(x)
+        assert got.columns == x.columns
+        want = one_of_each_class([(r.doc_id, r.text) for r in x.collect()])
+        assert sorted(map(str, want)) == sorted(str((r.doc_id, brute_fingerprint(r.text))) for r in got.collect())
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("bits", [0, 2, 4, 7])
@@ -458,6 +463,19 @@ def test_shards(spark, odd, documents):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+def test_shards_keep_columns(spark, odd, documents):
+    tagged = documents.withColumn("tag", F.create_map("lang", "source")).withColumn("SLOT", F.lit("x"))
+    for docs in (tagged, odd, tagged.limit(0)):
+        got, lean = sharding.shard(docs, 5, keep=True), sharding.shard(docs, 5)
+        own = [c for c in docs.columns if c.lower() not in sharding.ADDED]
+        assert got.columns == [*own, *sharding.ADDED]
+        plain = [c for c in own if c != "tag"]
+        assert sorted(map(str, got.select(*plain).collect())) == sorted(map(str, docs.select(*plain).collect()))
+        places = lambda df: sorted(map(str, df.select(*lean.columns).collect()))  # noqa: B023, E731
+        assert places(got.drop("slot").withColumn("slot", F.lit(0))) == places(lean.drop("slot").withColumn("slot", F.lit(0)))
+        assert sorted((r.shard, r.slot) for r in got.collect()) == sorted((r.shard, r.slot) for r in lean.collect())
+
+
 def test_shards_beside_a_large_group(spark):
     """A group of copies with a third of all bytes makes one large shard, and the others share the rest evenly."""
     rows = [(i, "copy of one text " * 4) for i in range(700)] + [(1000 + i, f"text {i} " + "x" * (i % 40 + 60)) for i in range(1200)]
@@ -603,6 +621,17 @@ def test_runs_within_longer_ones():
     assert [m[1] for m in block.matches(decontam.words([" ".join(copy)]))] == [1]
 
 
+def test_long_items_are_matched_whole():
+    item = [f"w{i}" for i in range(6000)]
+    block = decontam.Block([(1, " ".join(item)), (2, "other words " * 40), (3, " ".join(item[2000:2040]))])
+    go = lambda text: sorted(m[1:] for m in block.matches(decontam.words([" ".join(text)])))
+    assert go(["x", *item, "y"]) == [(1, 1, 6000, 6000), (3, 2001, 40, 40)]
+    assert go(item[1000:5500]) == [(1, 0, 4500, 4500), (3, 1000, 40, 40)]
+    changed = [f"x{i}" if i % 7 == 3 and i < 5000 else w for i, w in enumerate(item)]
+    assert go(changed)[0] == (1, 0, 6000, 6000 - sum(i % 7 == 3 for i in range(5000)))
+    assert go(item[:3000] + ["gap"] * 9000 + item[3000:])[0] == (1, 0, 3000, 3000) or go(item[:3000] + ["gap"] * 9000 + item[3000:])[0] == (1, 12000, 3000, 3000)
+
+
 def test_longest_run():
     rng = np.random.default_rng(9)
     for case in range(400):
@@ -772,8 +801,12 @@ def test_pipeline(spark, documents):
     want = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])
     assert sizes[0] == (len(rows), len(rows)) and sizes[1][1] == len(set(want.values()))
     assert sizes[2][1] < sizes[2][0]
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.collect())
+    out = corpus_pipeline.run(spark, SF)
+    columns = documents.columns
+    assert sorted(map(str, out.select(*columns).collect())) == sorted(map(str, docs.select(*columns).collect()))
+    rows = out.collect()
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
 def test_pipeline_of_odd_rows(spark, odd, empty):
