@@ -29,8 +29,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
-    return sharding.shard(docs)
+    """Every row with its shard and slot."""
+    return sharding.shard(docs, keep=True)
 
 
 STAGES = [("language ID", language), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
