@@ -2,17 +2,19 @@
 
 The model is a trigram model, smoothed level by level. For a context h that was seen m times, followed by t kinds of words,
 a word w has the probability max(c(hw) - D, 0) / m + D * t / m * P(w), where P is that of the level below (absolute
-discounting, D by level); a context that was seen HOT times or more, whose kinds no single task counts, has
-(c(hw) + MASS * P(w)) / (m + MASS) instead. A context that was never seen leaves P as it is. The lowest level is the unigram
-model whose score is the base score. Texts begin after two start tokens.
+discounting, D by level), however often h was seen. A context that was never seen leaves P as it is. The lowest level is the
+unigram model whose score is the base score. Texts begin after two start tokens.
 
 Neither the words nor the n-grams of a corpus fit one machine, so both are dealt to shards, whose number follows the size of
 the input, and no task, nor the driver, sees more than a shard:
 
 1. Texts are cut into chunks of about CHUNK bytes, and a chunk's words numbered. It asks the shards of its words' hashes for
    their training counts and for identifiers, small for frequent words.
-2. A bigram whose first word is HOT is asked for at a shard of that word and its successor, which answers with the smoothed
-   probability, and with the count if that is HOT as well.
+2. A context is hot if it was seen HOT times or more, and more than once in CONTEXTS tokens, so that there are at most CONTEXTS
+   of them. Its successors are dealt to slices, each of which counts its kinds of them; the sums over slices, one number for
+   each hot context, go to every task. This settles where counting is done, and no probability. A bigram whose first word is
+   hot is asked for at a shard of that word's slice, which answers with the smoothed probability, and with the count if that
+   makes the bigram hot as well; hot pairs of words have their kinds counted in the same way before trigrams are asked for.
 3. A trigram is asked for at the shard of its middle word, which thus has all bigrams and all trigrams around that word; what
    is asked brings the last word's unigram probability along. Around a hot word trigrams are dealt by their first word as
    well, and bring the bigram's probability; after a hot pair of words also by the last one.
@@ -45,8 +47,8 @@ from .common import crc_of_id, cut, discard
 from .eftrie import CODES, EliasFano, Level, mapped, quantise, restore
 
 CHUNK, SHARD = 16 << 20, 8 << 20
-#: Discounts of bigrams and trigrams; the frequency from which a context is hot, and what counts as its prior's mass.
-DISCOUNTS, HOT, MASS = (0.75, 0.9), 1 << 20, float(1 << 14)
+#: Discounts of bigrams and trigrams; the least frequency from which a context is hot, and how many contexts can be.
+DISCOUNTS, HOT, CONTEXTS = (0.75, 0.9), 1 << 20, 1 << 20
 #: Identifier of the start token, and hash of the end token.
 START, END = 0, np.uint64(0x656E64)
 ROWS = "chunk long, shard int, payload binary"
@@ -120,14 +122,37 @@ def rows_of(chunk, shard, payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([make(chunk, pa.int64()), make(shard, pa.int32()), pa.array(payloads, pa.binary())], ["chunk", "shard", "payload"])
 
 
-def smoothed(n: np.ndarray, m: np.ndarray, kinds: np.ndarray, hot: np.ndarray, discount: float, mass: float, below: np.ndarray) -> np.ndarray:
+def smoothed(n: np.ndarray, m: np.ndarray, kinds: np.ndarray, discount: float, below: np.ndarray) -> np.ndarray:
     """The probability of n-grams seen n times after contexts seen m times and followed by so many kinds of words."""
-    return np.where(hot, (n + mass * below) / (m + mass), np.maximum(n - discount, 0) / m + discount * kinds / m * below)
+    return np.maximum(n - discount, 0) / m + discount * kinds / m * below
 
 
-def back_off(m: np.ndarray, kinds: np.ndarray, hot: np.ndarray, discount: float, mass: float) -> np.ndarray:
+def back_off(m: np.ndarray, kinds: np.ndarray, discount: float) -> np.ndarray:
     """The weight of the level below; 1 for a context that was never seen."""
-    return np.where(m == 0, 1.0, np.where(hot, mass / (m + mass), discount * kinds / np.maximum(m, 1)))
+    return np.where(m == 0, 1.0, discount * kinds / np.maximum(m, 1))
+
+
+class Kinds:
+    """How many kinds of words follow each hot context: rows (second, first, kinds), first being 0 for contexts of one word."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]) -> None:
+        last, before, self.kinds = (np.array([r[i] for r in rows], np.uint64) for i in range(3))
+        self.last, of = np.unique(last, return_inverse=True)
+        self.keys = self.key(of, before)
+        order = np.argsort(self.keys)
+        self.keys, self.kinds = self.keys[order], self.kinds[order].astype(np.int64)
+
+    @staticmethod
+    def key(of: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return of.astype(np.uint64) << np.uint64(43) | before.astype(np.uint64)  # identifiers are below 2^43
+
+    def __call__(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The kinds of contexts that are all hot."""
+        keys = self.key(np.searchsorted(self.last, last), before)
+        at = np.searchsorted(self.keys, keys)
+        if len(keys) and (at.max() == len(self.keys) or (self.keys[at] != keys).any()):
+            raise ValueError("a context that is hot was not counted")
+        return self.kinds[at]
 
 
 def lower(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -195,11 +220,12 @@ def answer_words(shards: int):
 
 class Corpus:
     """What holds for all chunks: shards, training tokens, types and documents, the frequency from which a context is hot, and
-    the mass of its prior."""
+    the kinds of words after hot words and hot pairs."""
 
     def __init__(self, shards: int, tokens: int, types: int, documents: int) -> None:
         self.shards, self.tokens, self.types, self.documents = shards, tokens, types, documents
-        self.from_count, self.mass = HOT, MASS
+        self.from_count = max(HOT, -(-tokens // CONTEXTS))
+        self.after_word = self.after_pair = Kinds([])
 
 
 class Chunk:
@@ -287,6 +313,30 @@ class Chunk:
 
     # trigrams
 
+    def slice_of_triples(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The shards of trigrams around hot words; total is 0 unless the first two words are hot as a pair."""
+        key = self.word[b] ^ wordhash.mixed(slice_of(self.word[a], self.counts[b], self.corpus.from_count))
+        more = slice_of(self.word[c], total, self.corpus.from_count) * np.uint64(1 << 40)
+        return deal(wordhash.mixed(np.where(total > 0, wordhash.mixed(key ^ wordhash.mixed(self.word[a])) ^ more, key)), self.corpus.shards)
+
+    def total_of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How often pairs with a hot second word were seen; 0 if that does not make them hot."""
+        total = np.where((a == self.start) & (b == self.start), self.corpus.documents, self.of_pairs(a, b, self.pair_count))
+        return np.where(total < self.corpus.from_count, 0, total)
+
+    def ask_kinds(self) -> Iterator[tuple[int, bytes]]:
+        """The training's distinct trigrams that begin with a hot pair, for the shards that have their slices."""
+        self.pairs()
+        past = self.previous(self.before)
+        at = np.flatnonzero(self.learned & (self.counts[self.before] >= self.corpus.from_count))
+        at = at[self.total_of_pairs(past[at], self.before[at]) > 0]
+        (b, a, c), _, _ = self.distinct(at, self.before, past, self.tokens)
+        shard = self.slice_of_triples(a, b, c, self.total_of_pairs(a, b))
+        order = np.argsort(shard, kind="stable")
+        b, a, c, shard = b[order], a[order], c[order], shard[order]
+        for s, lo, hi in self.runs(shard):
+            yield s, pack(*(small(self.word[x[lo:hi]]) for x in (b, a, c)))
+
     def triples(self) -> np.ndarray:
         """Sets shard, words, counts, lower codes and so on of the distinct trigrams whose middle word was seen, in order of
         shards; gives for each token the number of its trigram, -1 where it has none."""
@@ -297,11 +347,8 @@ class Chunk:
         at = np.flatnonzero(hot)
         if len(at):
             code[at] = self.of_pairs(b[at], c[at], self.pair_code)
-            total[at] = np.where((a[at] == self.start) & (b[at] == self.start), self.corpus.documents, self.of_pairs(a[at], b[at], self.pair_count))
-            total[total < self.corpus.from_count] = 0
-            key = self.word[b[at]] ^ wordhash.mixed(slice_of(self.word[a[at]], self.counts[b[at]], self.corpus.from_count))
-            more = slice_of(self.word[c[at]], total[at], self.corpus.from_count) * np.uint64(1 << 40)
-            shard[at] = deal(wordhash.mixed(np.where(total[at] > 0, wordhash.mixed(key ^ wordhash.mixed(self.word[a[at]])) ^ more, key)), self.corpus.shards)
+            total[at] = self.total_of_pairs(a[at], b[at])
+            shard[at] = self.slice_of_triples(a[at], b[at], c[at], total[at])
         order = np.argsort(shard, kind="stable")
         self.shard, self.triple = shard[order], [x[order] for x in (b, a, c, n, code, hot, total)]
         place = np.empty(len(order), np.int32)
@@ -341,6 +388,29 @@ class Chunk:
 # shards
 
 
+def kinds_of_words(payloads: list[bytes], corpus: Corpus) -> tuple[np.ndarray, ...]:
+    """Of the slices of hot words that one shard has: the words, zeros, their kinds of successors, and how many of these make
+    a hot pair."""
+    asked = [unpack(p) for p in payloads]
+    context, lengths, word, n = (np.concatenate([x[i].astype(np.uint64) for x in asked]) for i in (0, 2, 3, 4))
+    contexts, dense = np.unique(context, return_inverse=True)
+    words, number = np.unique(word, return_inverse=True)
+    grams, _, n = counted(np.repeat(dense, lengths.astype(np.int64)), number, len(words), n)
+    count = lambda chosen: np.bincount(grams[chosen] // len(words), minlength=len(contexts))
+    return contexts, np.zeros(len(contexts), np.uint64), count(n > 0), count(n >= corpus.from_count)
+
+
+def kinds_of_pairs(payloads: list[bytes], corpus: Corpus) -> tuple[np.ndarray, ...]:
+    """The same of hot pairs: second words, first words, kinds, zeros."""
+    b, a, c = (np.concatenate(x).astype(np.uint64) for x in zip(*[unpack(p) for p in payloads], strict=True))
+    order = np.lexsort((c, a, b))
+    b, a, c = b[order], a[order], c[order]
+    new = begins_of(b, a, c)
+    b, a = b[new], a[new]
+    begins = begins_of(b, a)
+    return b[begins], a[begins], np.diff(np.append(begins, len(b))), np.zeros(len(begins), np.int64)
+
+
 def answer_pairs(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
     """The codes of the bigrams after hot words that one shard was asked for, and the counts of those that are hot."""
     asked = [unpack(p) for p in payloads]
@@ -348,10 +418,10 @@ def answer_pairs(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
     contexts, first, dense = np.unique(context, return_index=True, return_inverse=True)
     words, number = np.unique(word, return_inverse=True)
     grams, inverse, n, code = counted(np.repeat(dense, lengths.astype(np.int64)), number, len(words), n, code)
-    h, m = grams // len(words), total[first].astype(np.float64)
-    weight = quantise(np.log10(back_off(m, m, np.ones(1, bool), 0.0, corpus.mass)))
+    h, m, kinds = grams // len(words), total[first].astype(np.float64), corpus.after_word(contexts, np.zeros(len(contexts), np.uint64))
+    weight = quantise(np.log10(np.maximum(back_off(m, kinds, DISCOUNTS[0]), 1e-15)))
     seen = n > 0
-    p = quantise(np.log10(smoothed(n[seen], m[h[seen]], 0, True, 0.0, corpus.mass, 10 ** restore(code[seen]))))
+    p = quantise(np.log10(smoothed(n[seen], m[h[seen]], kinds[h[seen]], DISCOUNTS[0], 10 ** restore(code[seen]))))
     (level,) = mapped([Level.build(h[seen], grams[seen] % len(words), p, len(contexts))])
     out = level.code(level.find(h, grams % len(words)), lower(code, weight[h]))
     cuts = np.cumsum([len(x[3]) for x in asked])[:-1]
@@ -388,10 +458,10 @@ def answer_triples(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
     del word, past, middle, a, c, b
     parent, last = np.divmod(pairs, len(words))
     m, kinds = np.bincount(parent, n2, len(middles)), np.bincount(parent, n2 > 0, len(middles))
-    weight = quantise(np.log10(np.maximum(back_off(m, kinds, np.zeros(1, bool), DISCOUNTS[0], corpus.mass), 1e-15)))
+    weight = quantise(np.log10(np.maximum(back_off(m, kinds, DISCOUNTS[0]), 1e-15)))
     # around a hot word the bigram's probability has come along
     seen = n2 > 0
-    p2 = quantise(np.log10(smoothed(n2[seen], m[parent[seen]], kinds[parent[seen]], False, DISCOUNTS[0], corpus.mass, 10 ** restore(code2[seen]))))
+    p2 = quantise(np.log10(smoothed(n2[seen], m[parent[seen]], kinds[parent[seen]], DISCOUNTS[0], 10 ** restore(code2[seen]))))
     p2 = np.where(hot[parent[seen]], code2[seen], p2)
     two = Level.build(parent[seen], last[seen], p2, len(middles))
     below = np.where(hot[parent], code2, lower(code2, weight[parent]))
@@ -399,7 +469,8 @@ def answer_triples(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
     own, kinds = np.bincount(of, n3, len(contexts)), np.bincount(of, n3 > 0, len(contexts))
     is_hot = total > 0
     m = np.where(is_hot, total, own)
-    weights = quantise(np.log10(np.maximum(back_off(m, kinds, is_hot, DISCOUNTS[1], corpus.mass), 1e-15)))
+    kinds[is_hot] = corpus.after_pair(middles[contexts[is_hot] // len(pasts)], pasts[contexts[is_hot] % len(pasts)])
+    weights = quantise(np.log10(np.maximum(back_off(m, kinds, DISCOUNTS[1]), 1e-15)))
     past = Level.build(contexts // len(pasts), contexts % len(pasts), weights, len(middles))
     (two, past) = mapped([two, past])
     # every number below is searched in the levels above, as a reader of the trie has to
@@ -407,7 +478,7 @@ def answer_triples(payloads: list[bytes], corpus: Corpus) -> list[bytes]:
     below = two.code(places, below)
     relative = places - two.pointers.get(parent)
     seen = n3 > 0
-    p3 = quantise(np.log10(smoothed(n3[seen], m[of[seen]], kinds[of[seen]], is_hot[of[seen]], DISCOUNTS[1], corpus.mass, 10 ** restore(below[at[seen]]))))
+    p3 = quantise(np.log10(smoothed(n3[seen], m[of[seen]], kinds[of[seen]], DISCOUNTS[1], 10 ** restore(below[at[seen]]))))
     (three,) = mapped([Level.build(of[seen], relative[at[seen]], p3, len(contexts))])
     where = past.find(contexts // len(pasts), contexts % len(pasts))
     found = np.full(len(triples), -1, np.int64)
@@ -434,6 +505,18 @@ def exchange(asked: DataFrame, answer, corpus: Corpus) -> DataFrame:
     return cut(asked.groupBy("shard").applyInArrow(run, ROWS))
 
 
+def hot_kinds(asked: DataFrame, count, corpus: Corpus) -> tuple[Kinds, int]:
+    """The kinds of all hot contexts, of which there are at most CONTEXTS, and how many hot pairs the slices have found."""
+
+    def run(t: pa.Table) -> pa.Table:
+        b, a, kinds, pairs = count(t.column("payload").to_pylist(), corpus)
+        return pa.table({"b": pa.array(b.astype(np.int64)), "a": pa.array(a.astype(np.int64)), "kinds": pa.array(kinds.astype(np.int64)), "pairs": pa.array(pairs.astype(np.int64))})
+
+    slices = asked.groupBy("shard").applyInArrow(run, "b long, a long, kinds long, pairs long")
+    rows = slices.groupBy("b", "a").agg(F.sum("kinds").alias("kinds"), F.sum("pairs").alias("pairs")).collect()
+    return Kinds([(r["b"], r["a"], r["kinds"]) for r in rows]), sum(r["pairs"] for r in rows)
+
+
 def score(docs: DataFrame, training=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row. training: which rows the model
     learns from; those whose crc32 of the id, mod 5, is not 1, if not given."""
@@ -480,7 +563,11 @@ def score(docs: DataFrame, training=None) -> DataFrame:
     # what a step has read is deleted when its outcome is written, so that the disk holds one state of the chunks
     first = cut(meet(made.where("shard < 0"), known, learn_words))
     discard(made, known)
-    answers = exchange(ask(first, Chunk.ask_pairs), answer_pairs, corpus)
+    asked = cut(ask(first, Chunk.ask_pairs))
+    corpus.after_word, pairs = hot_kinds(asked, kinds_of_words, corpus)
+    answers = exchange(asked, answer_pairs, corpus)
     second = cut(meet(first, answers, learn_pairs))
-    discard(first, answers)
+    discard(first, asked, answers)
+    if pairs or documents >= corpus.from_count:
+        corpus.after_pair, _ = hot_kinds(ask(second, Chunk.ask_kinds), kinds_of_pairs, corpus)
     return meet(second, exchange(ask(second, Chunk.ask_triples), answer_triples, corpus), finish)

@@ -717,9 +717,7 @@ def brute_scores(rows):
             for m in (1, 2):
                 h = tuple(w[at - m : at])
                 c, total = seen[h, w[at]], seen[h]
-                if total >= lmscore.HOT:
-                    p = (c + lmscore.MASS * p) / (total + lmscore.MASS)
-                elif total:
+                if total:
                     d = lmscore.DISCOUNTS[m - 1]
                     p = max(c - d, 0) / total + d * len(kinds[h]) / total * p
             score += np.log10(p)
@@ -732,7 +730,6 @@ def test_lm(spark, odd, documents, monkeypatch, hot):
     monkeypatch.setattr(lmscore, "CHUNK", 60_000)
     monkeypatch.setattr(lmscore, "SHARD", 20_000)
     monkeypatch.setattr(lmscore, "HOT", hot)
-    monkeypatch.setattr(lmscore, "MASS", 7.0)
     repeated = frame(spark, [(i, f"the very same pair of words {i} the very same pair again {i % 7}", "en", "s") for i in range(1500)])
     for docs in (documents.repartition(3), odd, odd.where("doc_id = 4"), repeated):
         monkeypatch.setattr(queries, "table", lambda *_, docs=docs: docs)
@@ -744,6 +741,16 @@ def test_lm(spark, odd, documents, monkeypatch, hot):
     assert lmscore.score(odd.limit(0)).count() == 0
 
 
+def test_hot_contexts_are_bounded(monkeypatch):
+    monkeypatch.setattr(lmscore, "CONTEXTS", 100)
+    assert lmscore.Corpus(12, 10**12, 10, 10).from_count == 10**10 and lmscore.Corpus(12, 5, 5, 1).from_count == lmscore.HOT
+    k = lmscore.Kinds([(2**42, 7, 3), (5, 2**42, 4), (2**42, 6, 9), (5, 0, 1)])
+    assert k(np.array([5, 2**42, 2**42, 5], np.uint64), np.array([0, 6, 7, 2**42], np.uint64)).tolist() == [1, 9, 3, 4]
+    with pytest.raises(ValueError):
+        k(np.array([5], np.uint64), np.array([1], np.uint64))
+    assert lmscore.Kinds([])(np.zeros(0, np.uint64), np.zeros(0, np.uint64)).tolist() == []
+
+
 def test_words_of_bytes(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(wordhash, "STEP", 64)
