@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, pixels, rotation, text
 from ..operators import joins, stats, steps, timestamps, transforms, windows
-from ..sources import shared, slices
+from ..sources import containers, shared, slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1036,6 +1036,51 @@ def video_frames_by_time(spark, d):
     return found.select(F.col("path").cast("long").alias("video"), "nth", "frame", F.expr(_FRAME_SUM).alias("total"))
 
 
+# the same in containers: a key frame in five, between them the difference to the frame before
+
+
+def _differences(batches):
+    """path and content (numpy's format) to path and samples."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("data", pa.binary()), ("sync", pa.bool_()), ("shift", pa.int32())]))
+    for b in batches:
+        for path, content in zip(b.column("path"), b.column("content"), strict=True):
+            x = np.stack(list(pixels.numpy_frames(content.as_py())))
+            coded = np.where((np.arange(len(x)) % 5 == 0)[:, None, None, None], x, x - np.roll(x, 1, axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([[{"data": c.tobytes(), "sync": n % 5 == 0, "shift": 0} for n, c in enumerate(coded)]], kind)], ["path", "samples"])
+
+
+def _sums(setup, samples):
+    """The frames of a run of differences."""
+    import numpy as np
+
+    yield from np.cumsum([np.frombuffer(s, np.uint8).reshape(8, 8, 3) for s in samples], axis=0, dtype=np.uint8)
+
+
+def contained(spark, d, wanted):
+    """path, video and wanted, for files that were written from the pictures; two frames a second."""
+    folder = scratch(spark)
+    made = videos(spark, d, wanted)
+    samples = made.select("path", "content").mapInArrow(_differences, "path string, samples array<struct<data: binary, sync: boolean, shift: int>>")
+    where = F.concat(F.lit(f"{folder}/"), F.col("path"), F.lit(".mp4"))
+    written = containers.write(samples.withColumn("path", where), 10, 5)
+    return made.select(where.alias("path"), F.col("path").cast("long").alias("video"), F.posexplode("wanted").alias("nth", "entry")).join(written.select("path"), "path")
+
+
+@query(f"WITH {_VIDEOS}, n AS (SELECT video, count(*) AS n FROM vi GROUP BY 1), w AS (SELECT video, unnest([0, 1, 2]) AS nth, unnest([n - 1, 0, n // 2]) AS frame FROM n) SELECT CAST(video AS BIGINT) AS video, nth, CAST(frame AS BIGINT) AS frame, CAST(total AS BIGINT) AS total, CAST(192 * (max(frame % 5) OVER (PARTITION BY video, frame // 5) + 1) AS BIGINT) AS run_bytes FROM w JOIN vi USING (video, frame)")
+def container_frames_by_index(spark, d):
+    wanted = contained(spark, d, "array(n - 1, 0, n div 2)").withColumn("frame", F.col("entry").cast("long"))
+    return containers.frames_at(wanted, _sums).select("video", "nth", "frame", F.expr(_FRAME_SUM).alias("total"), "run_bytes")
+
+
+@query(ORACLES["video_frames_by_time"])
+def container_frames_by_time(spark, d):
+    wanted = contained(spark, d, "array(9.0D, -1.0D, 0.74D, 1.5D)").withColumn("at", F.col("entry"))
+    return containers.frames_at(wanted, _sums, "at").select("video", "nth", "frame", F.expr(_FRAME_SUM).alias("total"))
+
+
 @query(f"WITH {_VIDEOS}, e AS (SELECT DISTINCT video FROM vi), w AS (SELECT video, s.x AS delta FROM e, (VALUES (-3), (0), (5), (40)) s(x)), n AS (SELECT video, count(*) AS n FROM vi GROUP BY 1), p AS (SELECT video, delta, greatest(0, least(n - 1, 2 + delta)) AS step FROM w JOIN n USING (video)) SELECT CAST(video AS BIGINT) AS video, delta, CAST(step AS BIGINT) AS step, CAST(total AS BIGINT) AS total FROM p JOIN vi USING (video) WHERE frame = step")
 def video_frame_cache(spark, d):
     path = scratch(spark)
