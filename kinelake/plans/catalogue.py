@@ -1167,6 +1167,55 @@ def stream_new_iterations(spark, d):
     return watch.read_metrics(spark, f"{folder}/out").select("iteration", "name")
 
 
+def _checkpoint_folders(folder):
+    """key and done to checkpoint folders, a hundred iterations a key; those that are done get their marker."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+
+        system, base = pyarrow.fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for key, done in zip(b.column("key").to_pylist(), b.column("done").to_pylist(), strict=True):
+                system.create_dir(f"{base}/iter_{key * 100:09d}/model", recursive=True)
+                if done:
+                    system.open_output_stream(f"{base}/iter_{key * 100:09d}/model/.metadata").close()
+            yield pa.RecordBatch.from_arrays([b.column("key")], ["key"])
+
+    return run
+
+
+def _made(spark, d, folder, done):
+    keys = t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.expr(done).alias("done"))
+    return keys.mapInArrow(_checkpoint_folders(folder), "key long").count()
+
+
+@query("SELECT c_custkey * 100 AS iteration, printf('iter_%09d', c_custkey * 100) AS name, CASE WHEN c_custkey % 7 = 3 THEN 2 ELSE 1 END AS run FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey * 100 >= 1000 AND c_custkey * 100 % 500 = 0")
+def stream_folders(spark, d):
+    """Checkpoint folders, each once, and in which run: some are finished only after the first, some never."""
+    from ..streaming import folders
+
+    base = scratch(spark)
+    for run, done in ((1, "c_custkey % 7 not in (0, 3)"), (2, "c_custkey % 7 <> 0")):
+        _made(spark, d, f"{base}/in", done)
+        put = lambda batch, number, run=run: batch.select("iteration", "name", F.lit(run).alias("run")).write.mode("overwrite").parquet(f"{base}/out/{run}-{number}")
+        folders.replay(lambda: folders.checkpoints(spark, f"{base}/in", f"{base}/log", 1000, 500), put, f"{base}/state")
+    return spark.read.parquet(f"{base}/out/*")
+
+
+@query("WITH c AS (SELECT c_custkey * 100 AS iteration, c_custkey * 10 >= 6 * max(c_custkey) OVER () AND c_custkey % 7 = 0 AS waits, greatest(1, count(*) OVER () // 20) AS n FROM customer), w AS (SELECT *, row_number() OVER (ORDER BY iteration) - 1 AS k FROM c WHERE iteration % 500 = 0) SELECT iteration, CAST(k // n AS INTEGER) AS batch FROM w WHERE iteration < (SELECT min(iteration) FROM w WHERE waits)")
+def stream_backlog(spark, d):
+    """A backlog of checkpoint folders in order, a bounded number a batch, up to the first that is not finished."""
+    from ..streaming import folders
+
+    base = scratch(spark)
+    most, n = t(spark, d, "customer").agg(F.max("c_custkey"), F.count("*")).first()
+    _made(spark, d, f"{base}/in", f"not (c_custkey * 10 >= {6 * most} and c_custkey % 7 = 0)")
+    put = lambda batch, number: batch.select("iteration", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{base}/out/{number}")
+    folders.replay(lambda: folders.checkpoints(spark, f"{base}/in", f"{base}/log", stride=500, limit=max(1, n // 20), ordered=True), put, f"{base}/state")
+    return spark.read.parquet(f"{base}/out/*")
+
+
 @query("SELECT o_orderkey, o_orderkey % 5000 * 100 AS iteration FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5000 * 100 >= 1000 AND o_orderkey % 5000 * 100 % 500 = 0")
 def wanted_iterations(spark, d):
     from ..streaming import watch
