@@ -1216,6 +1216,27 @@ def stream_backlog(spark, d):
     return spark.read.parquet(f"{base}/out/*")
 
 
+@query(
+    "WITH p AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'failed' END AS e FROM orders), "
+    "j AS (SELECT o_custkey, min(d) AS b, max(d) AS last, min(d) FILTER (e IS NOT NULL) AS ended, arg_min(e, (d, o_orderkey)) FILTER (e IS NOT NULL) AS e FROM p GROUP BY 1), m AS (SELECT max(d) - 1 AS w FROM p) "
+    "SELECT o_custkey, CASE WHEN ended <= b + 100 THEN e ELSE 'timed out' END AS state, strftime(CASE WHEN ended <= b + 100 THEN ended ELSE b + 100 END, '%Y-%m-%d') AS day FROM j, m WHERE ended <= b + 100 OR last > b + 100 OR w > b + 100"
+)
+def job_outcomes(spark, d):
+    """Orders as polls of their customer's job, in three runs of a stream; a job has a hundred days and a half."""
+    from ..streaming import jobs
+
+    base, day = scratch(spark), F.col("o_orderdate").cast("date")
+    polls = t(spark, d, "orders").select("o_custkey", "o_orderkey", day.cast("timestamp").alias("at"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'cancelled' ELSE 'queued' END").alias("status"))
+    third = polls.select("*", F.floor((F.unix_millis("at") - F.lit((b := polls.agg(F.unix_millis(F.min("at")), F.unix_millis(F.max("at"))).first())[0])) * 3 / (b[1] - b[0] + 1)).alias("third"))
+    for run in range(3):
+        third.where(F.col("third") == run).drop("third").write.parquet(f"{base}/in/{run}")
+        stream = spark.readStream.schema(polls.schema).parquet(f"{base}/in/*")
+        put = lambda batch, number, run=run: batch.write.mode("overwrite").parquet(f"{base}/out/{run}-{number}")
+        out = jobs.outcomes(stream, "o_custkey", "at", "o_orderkey", "status", 100 * 86400 + 43200, late="1 day")
+        out.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out/*").select("o_custkey", "state", F.date_format("at", "yyyy-MM-dd").alias("day"))
+
+
 @query("SELECT o_orderkey, o_orderkey % 5000 * 100 AS iteration FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5000 * 100 >= 1000 AND o_orderkey % 5000 * 100 % 500 = 0")
 def wanted_iterations(spark, d):
     from ..streaming import watch
