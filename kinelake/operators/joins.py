@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import together
 from . import ranges
 
 #: Rows up to which a table that was counted may be broadcast.
@@ -67,9 +68,9 @@ def nearest(requests: DataFrame, loaded: DataFrame, keys: list[str], at: str = "
     row = F.struct(*requests.columns)
     asked = requests.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(at).alias("__at"), none.cast(firsts.schema["__box"].dataType).alias("__box"), row.alias("__row"))
     hashed = [c for c, kind in requests.dtypes if "map<" not in kind]
-    both, names = firsts.unionByName(asked.withColumn("__salt", F.lit(0))), [f"__k{i}" for i in range(len(keys))]
+    both, names = together(firsts, asked.withColumn("__salt", F.lit(0))), [f"__k{i}" for i in range(len(keys))]
     if ranges.spread(both, names, span):  # many requests of one time may be in several ranges
-        both = ranges.dealt(firsts.unionByName(asked.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"__row.`{c}`") for c in hashed]), F.lit(1000)).cast("int") + 1)), names, ["__at", "__salt"], span)
+        both = ranges.dealt(together(firsts, asked.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"__row.`{c}`") for c in hashed]), F.lit(1000)).cast("int") + 1)), names, ["__at", "__salt"], span)
         box = F.col("__box")
         best = ranges.scan(both, names, ["__at"], peers=True, b=ranges.latest(box, ["__at"]), a=ranges.latest(box, ["__at"], back=True))
     else:
@@ -117,7 +118,7 @@ def same_set(a: Column, b: Column) -> Column:
 
 def all_tags(specs: DataFrame, registry: DataFrame, tag: str) -> DataFrame:
     """Each tag, once, that a spec names or the registry has; null is none."""
-    return specs.select(tag).union(registry.select(tag)).where(F.col(tag).isNotNull()).distinct()
+    return together(specs.select(tag), registry.select(tag)).where(F.col(tag).isNotNull()).distinct()
 
 
 def re_root(path: Column, old: str, new: str) -> Column:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..sources.shared import fixed
+from ..sources.shared import fixed, together
 
 #: Rows up to which a group's values are held by one task; buckets for a factor of two, and of each later level; groups up
 #: to which their bounds, once counted, are broadcast.
@@ -63,7 +63,7 @@ def at_ranks(values: DataFrame, keys: list[str], value: str, wanted: DataFrame,
         bounds = _narrowed(inside.agg(F.count("*").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")), names)
     found = done[0]
     for d in done[1:]:
-        found = found.unionByName(d)
+        found = together(found, d)
     on = F.col("rank") == F.col("__rank")
     for k, n in zip(keys, names, strict=True):
         on = on & F.col(k).eqNullSafe(F.col(n))

@@ -151,14 +151,15 @@ CHUNKS = {"early_c1": (0, 12), "mid_c2c3": (12, 36), "late_c4c6": (36, 72)}
 
 
 def clip_metrics(frames: DataFrame, clip: str, frame: str, l1: str, ssim: str, chunks: dict[str, tuple[int, int]] = CHUNKS) -> DataFrame:
-    """Per clip, over frames after the first (which is the condition): means, population deviations, the slope of l1 by
-    frame (0 for a single frame), and means of l1 over each chunk of generated frames."""
-    t = F.col(frame) - 1
-    x = frames.where(F.col(frame) > 0).withColumn("__t", t.cast("double"))
-    within = lambda a, b: F.avg(F.when((F.col("__t") >= a) & (F.col("__t") < b), F.col(l1)))
+    """Per clip, over frames after the first (which is the condition): how many, means, population deviations, the slope of l1 by
+    frame (null for fewer than two), and means of l1 and ssim over each chunk of generated frames. A clip of the condition
+    alone has a row of zero frames, whose measures are null."""
+    made = F.col(frame) > 0
+    x = frames.select(clip, F.when(made, (F.col(frame) - 1).cast("double")).alias("__t"), F.when(made, F.col(l1)).alias("__l"), F.when(made, F.col(ssim)).alias("__s"))
+    within = lambda c, a, b: F.avg(F.when((F.col("__t") >= a) & (F.col("__t") < b), F.col(c)))
     return x.groupBy(clip).agg(
-        F.count("*").alias("num_frames"), F.avg(l1).alias("mean_l1"), F.stddev_pop(l1).alias("std_l1"), F.avg(ssim).alias("mean_ssim"), F.stddev_pop(ssim).alias("std_ssim"),
-        F.coalesce(F.regr_slope(F.col(l1), F.col("__t")), F.lit(0.0)).alias("l1_slope"), *[within(*r).alias(f"{k}_l1") for k, r in chunks.items()],
+        F.count("__t").alias("num_frames"), F.avg("__l").alias("mean_l1"), F.stddev_pop("__l").alias("std_l1"), F.avg("__s").alias("mean_ssim"), F.stddev_pop("__s").alias("std_ssim"),
+        F.regr_slope(F.col("__l"), F.col("__t")).alias("l1_slope"), *[within(c, *r).alias(f"{k}_{n}") for n, c in (("l1", "__l"), ("ssim", "__s")) for k, r in chunks.items()],
     )
 
 

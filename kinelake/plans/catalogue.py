@@ -83,9 +83,11 @@ def splits(spark):
     return spark.createDataFrame(SPLITS, "name string, spec string")
 
 
-@query(f"WITH {_SPLITS}, {_RANGES} SELECT DISTINCT name, episode FROM q")
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS name, unnest(list_concat(range(user_id, user_id + user_id % 4 + 1), [user_id * 2])) AS episode FROM (SELECT DISTINCT user_id FROM events)")
 def split_range_parse(spark, d):
-    return splits(spark).select("name", F.explode(steps.parse_ranges(F.col("spec"))).alias("episode"))
+    name = F.col("user_id").cast("string")
+    spec = F.concat(name, F.lit(":"), (F.col("user_id") + F.col("user_id") % 4).cast("string"), F.lit(", "), (F.col("user_id") * 2).cast("string"))
+    return t(spark, d, "events").select("user_id").distinct().select(name.alias("name"), F.explode(steps.parse_ranges(spec)).alias("episode")).distinct()
 
 
 @query(f"WITH {_SPLITS}, {_RANGES} SELECT user_id, count(*) AS length FROM events WHERE user_id NOT IN (SELECT episode FROM q WHERE lower(name) IN ('fail', 'bad_frames')) GROUP BY 1")
@@ -572,9 +574,9 @@ def task_lookup_optional(spark, d):
     return got.select("user_id", "length", F.array_join("tasks", ",").alias("tasks"))
 
 
-@query(f"WITH {_ROLES} SELECT role, trim(string_split(task, ':')[-1]) AS caption FROM r")
+@query("SELECT conv_id, turn, trim(string_split(role || ': ' || text, ':')[-1]) AS caption FROM conversations")
 def caption_cleanup(spark, d):
-    return spark.createDataFrame(ROLES, "role string, task string").select("role", text.caption(F.col("task")).alias("caption"))
+    return t(spark, d, "conversations").select("conv_id", "turn", text.caption(F.concat("role", F.lit(": "), "text")).alias("caption"))
 
 
 _AT = "SELECT event_id, user_id, CAST(epoch_us(ts) AS BIGINT) AS us FROM events"
@@ -647,21 +649,23 @@ def width_check(spark, d):
     return stats.width_check(n.select(F.col("n_regionkey").alias("column"), F.col("n_nationkey").alias("end")), n.select(F.col("n_regionkey").alias("column"), (F.col("n_regionkey") * 5 + 4).alias("width")).distinct())
 
 
-_MODALITY = '{"state":{"arm":{"start":0,"end":7},"grip":{"start":7,"end":8,"original_key":"s2","absolute":false}},"action":{"arm":{"start":0,"end":9,"dtype":"float32"}}}'
-
-
-@query("SELECT * FROM (VALUES ('state', 'state.arm', 'observation.state', 0, 7, 7, true), ('state', 'state.grip', 's2', 7, 8, 1, false), ('action', 'action.arm', 'action', 0, 9, 9, true)) v(kind, key, original_key, start, \"end\", width, absolute)")
+@query(
+    "SELECT kind, kind || '.s' || s_suppkey AS key, CASE kind WHEN 'state' THEN 'observation.state' ELSE 'a' || s_nationkey END AS original_key, CAST(CASE kind WHEN 'state' THEN s_nationkey ELSE 0 END AS INTEGER) AS start, "
+    "CAST(s_nationkey + 7 AS INTEGER) AS \"end\", CAST(CASE kind WHEN 'state' THEN 7 ELSE s_nationkey + 7 END AS INTEGER) AS width, kind = 'state' AS absolute FROM supplier, (VALUES ('state'), ('action')) k(kind)"
+)
 def modality_flatten(spark, d):
     from ..sources import leaves as source
 
-    parsed = spark.createDataFrame([(_MODALITY,)], "j string").select(F.from_json("j", source.MODALITY).alias("m")).select("m.*")
+    form = '{"state":{"s%d":{"start":%d,"end":%d}},"action":{"s%d":{"start":0,"end":%d,"original_key":"a%d","absolute":false,"dtype":"float32"}}}'
+    key, n = F.col("s_suppkey"), F.col("s_nationkey")
+    parsed = t(spark, d, "supplier").select(F.from_json(F.format_string(form, key, n, n + 7, key, n + 7, n), source.MODALITY).alias("m")).select("m.*")
     return source.modality_entries(parsed).drop("rotation_type", "dtype")
 
 
 @query("SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def prompt_union_dupes(spark, d):
     parts = t(spark, d, "part").select(F.col("p_brand").alias("name"))
-    return stats.duplicates(parts.where(F.length("name") % 2 == 0).unionByName(parts.where(F.length("name") % 2 == 1)), "name")
+    return stats.duplicates(shared.together(parts.where(F.length("name") % 2 == 0), parts.where(F.length("name") % 2 == 1)), "name")
 
 
 @query("SELECT p_brand AS name, max(p_partkey) AS p_partkey FROM part GROUP BY 1")
@@ -760,15 +764,16 @@ def parse_intervals(spark, d):
 
 _CLIPS = f"{FRAMES}, cl AS (SELECT user_id, frame, abs(value - coalesce(lag(value) OVER ({_EDGE}), 0)) AS l1, value / 100 AS ssim FROM fr)"
 _PER_CLIP = (
-    "pc AS (SELECT user_id, count(*) AS num_frames, avg(l1) AS mean_l1, stddev_pop(l1) AS std_l1, avg(ssim) AS mean_ssim, stddev_pop(ssim) AS std_ssim, coalesce(regr_slope(l1, frame - 1), 0) AS l1_slope, "
-    "avg(l1) FILTER (frame BETWEEN 1 AND 12) AS early_c1_l1, avg(l1) FILTER (frame BETWEEN 13 AND 36) AS mid_c2c3_l1, avg(l1) FILTER (frame BETWEEN 37 AND 72) AS late_c4c6_l1 FROM cl WHERE frame > 0 GROUP BY user_id)"
+    "pc AS (SELECT user_id, count(*) FILTER (frame > 0) AS num_frames, avg(l1) FILTER (frame > 0) AS mean_l1, stddev_pop(l1) FILTER (frame > 0) AS std_l1, avg(ssim) FILTER (frame > 0) AS mean_ssim, stddev_pop(ssim) FILTER (frame > 0) AS std_ssim, "
+    "CASE WHEN count(*) FILTER (frame > 0) > 1 THEN regr_slope(l1, frame - 1) FILTER (frame > 0) END AS l1_slope, "
+    "avg(l1) FILTER (frame BETWEEN 1 AND 12) AS early_c1_l1, avg(l1) FILTER (frame BETWEEN 13 AND 36) AS mid_c2c3_l1, avg(l1) FILTER (frame BETWEEN 37 AND 72) AS late_c4c6_l1 FROM cl GROUP BY user_id)"
 )
 _CLIP_NAMES = ("mean_l1", "std_l1", "mean_ssim", "std_ssim", "l1_slope", "early_c1_l1", "mid_c2c3_l1", "late_c4c6_l1")
 
 
 def _clips(spark, d):
     f = frames(spark, d)
-    pair = joins.paired_frames(f.select("user_id", "frame", "value"), f.select("user_id", (F.col("frame") + 1).alias("frame"), F.col("value").alias("before")).unionByName(f.where("frame = 0").select("user_id", "frame", F.lit(0.0).alias("before"))), ["user_id", "frame"])
+    pair = joins.paired_frames(f.select("user_id", "frame", "value"), shared.together(f.select("user_id", (F.col("frame") + 1).alias("frame"), F.col("value").alias("before")), f.where("frame = 0").select("user_id", "frame", F.lit(0.0).alias("before"))), ["user_id", "frame"])
     pair = pair.select("user_id", "frame", F.abs(F.col("value") - F.col("before")).alias("l1"), (F.col("value") / 100).alias("ssim"))
     return stats.clip_metrics(pair, "user_id", "frame", "l1", "ssim")
 
@@ -784,6 +789,27 @@ def fds_summary(spark, d):
     return out.select("num_clips", *[F.round(c, 6).alias(c) for c in out.columns if c != "num_clips"])
 
 
+_SHORT = f"{FRAMES}, x AS (SELECT user_id * 100000 + frame - frame % (1 + user_id % 3) AS clip, frame % (1 + user_id % 3) AS f, value AS l1, value / 100 AS ssim FROM fr), sc AS (SELECT clip, count(*) FILTER (f > 0) AS num_frames, avg(l1) FILTER (f > 0) AS mean_l1, CASE WHEN count(*) FILTER (f > 0) > 1 THEN regr_slope(l1, f - 1) FILTER (f > 0) END AS l1_slope, avg(ssim) FILTER (f BETWEEN 1 AND 12) AS early_c1_ssim FROM x GROUP BY clip)"
+
+
+def _short_clips(spark, d):
+    f, most = frames(spark, d), 1 + F.col("user_id") % 3
+    cut = f.select((F.col("user_id") * 100000 + F.col("frame") - F.col("frame") % most).alias("clip"), (F.col("frame") % most).alias("frame"), F.col("value").alias("l1"), (F.col("value") / 100).alias("ssim"))
+    return stats.clip_metrics(cut, "clip", "frame", "l1", "ssim")
+
+
+@query(f"WITH {_SHORT} SELECT clip, num_frames, round(mean_l1, 6) AS mean_l1, round(l1_slope, 6) AS l1_slope, round(early_c1_ssim, 6) AS early_c1_ssim FROM sc")
+def fds_short_clips(spark, d):
+    """Clips of one, two and three frames, the first of which is the condition."""
+    return _short_clips(spark, d).select("clip", "num_frames", *[F.round(n, 6).alias(n) for n in ("mean_l1", "l1_slope", "early_c1_ssim")])
+
+
+@query(f"WITH {_SHORT} SELECT count(*) AS num_clips, round(avg(mean_l1), 6) AS mean_l1, round(avg(l1_slope), 6) AS l1_slope FROM sc")
+def fds_short_summary(spark, d):
+    out = stats.run_summary(_short_clips(spark, d))
+    return out.select("num_clips", F.round("mean_l1", 6).alias("mean_l1"), F.round("l1_slope", 6).alias("l1_slope"))
+
+
 @query("SELECT a.label, round(avg(pow(x - y, 2)), 9) AS mse FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS k FROM embeddings) b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.label")
 def action_mse(spark, d):
     v = vectors(spark, d)
@@ -800,14 +826,12 @@ def quaternion_norm_check(spark, d):
     return stats.key_checks(vectors(spark, d).withColumn("n_regionkey", F.col("label") % 5), "n_regionkey", numeric.part(F.col("v"), 0, 4))
 
 
-JOBS = [("1", "1", "01:00:00", "3600", "2", "2", "COMPLETED"), ("2", "2", "00:30:00", "1800", "4", "0", "TIMEOUT"), ("3", "3", "x", "bad", "1", "1", "FAILED"), ("4", "4", "00:10:00", "600", "8", "", "FAILED")]
-
-
-@query("SELECT (3600 * 2 + 1800 * 4 + 600 * 8) / 3600.0::DOUBLE * 8 AS gpu_hours, CAST(3 AS BIGINT) AS jobs, CAST(1 AS BIGINT) AS skipped")
+@query("SELECT round(sum(e / 3600.0::DOUBLE * n * 8), 4) AS gpu_hours, count(e) AS jobs, count(*) FILTER (e IS NULL) AS skipped FROM (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 7200 END AS e, CASE WHEN o_orderkey % 3 = 2 THEN 2 ELSE o_orderkey % 4 + 1 END AS n FROM orders)")
 def gpu_hours(spark, d):
-    from ..sources.leaves import ACCOUNTING
-
-    return stats.gpu_hours(spark.createDataFrame(JOBS, ACCOUNTING), 8)
+    key = F.col("o_orderkey")
+    elapsed = F.when(key % 11 != 0, (key % 7200).cast("string")).otherwise("bad").alias("ElapsedRaw")
+    nodes = (key % 4 + 1).cast("string").alias("NNodes"), F.element_at(F.array(F.lit(""), F.lit("0"), F.lit("2")), (key % 3 + 1).cast("int")).alias("AllocNodes")
+    return stats.gpu_hours(t(spark, d, "orders").select(elapsed, *nodes), 8).withColumn("gpu_hours", F.round("gpu_hours", 4))
 
 
 @query("SELECT n_nationkey, n_nationkey * 0.7::DOUBLE * 1.2 AS kwh, round(n_nationkey * 0.7::DOUBLE * 1.2 / 1000, 9) AS mwh, round(n_nationkey * 0.7::DOUBLE * 1.2 * 0.35 / 1000, 9) AS tco2e FROM nation")
@@ -939,9 +963,12 @@ def transform_chain_back(spark, d):
     return _window_cells(chain.unapply(chain.apply(samples(spark, d))), "action.joints")
 
 
-@query("SELECT * FROM (VALUES ('action', 26, 100, true), ('observation.state', 24, 20, false)) x(\"column\", needed, width, ok)")
+@query("SELECT \"column\", needed, width, width >= needed AS ok FROM (SELECT CASE label % 2 WHEN 0 THEN 'action' ELSE 'observation.state' END AS \"column\", CASE label % 2 WHEN 0 THEN 26 ELSE 24 END AS needed, CAST(min(len(embedding)) // (1 + 4 * (label % 2)) AS INTEGER) AS width FROM embeddings GROUP BY label % 2)")
 def slice_widths(spark, d):
-    return stats.width_check(slices.table(spark), spark.createDataFrame([("action", 100), ("observation.state", 20)], "column string, width int"))
+    odd = F.col("label") % 2
+    raw = vectors(spark, d).groupBy(odd.alias("odd")).agg(F.min(F.size("v")).alias("n"))
+    widths = raw.select(F.when(F.col("odd") == 0, "action").otherwise("observation.state").alias("column"), F.floor(F.col("n") / (1 + 4 * F.col("odd"))).cast("int").alias("width"))
+    return stats.width_check(slices.table(spark), widths)
 
 
 @query(f"WITH {_MIXTURE} SELECT count(*) AS leaves, CAST(sum(real_len) AS BIGINT) AS real, CAST(sum(virtual) AS BIGINT) AS virtual, count(DISTINCT leaf) AS embodiments FROM mx")
@@ -1310,13 +1337,14 @@ def leaf_discovery(spark, d):
     return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in source.discover(spark, parent)], "leaf string")
 
 
-@query("SELECT kind, n_regionkey AS \"start\", n_regionkey + 2 AS \"end\" FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey = 3), (VALUES ('state'), ('action')) k(kind)")
+@query("SELECT kind, n_regionkey AS \"start\", n_regionkey + 2 AS \"end\" FROM (SELECT DISTINCT n_regionkey FROM nation), (VALUES ('state'), ('action')) k(kind)")
 def leaf_modality(spark, d):
     from ..sources import leaves as source
 
     leaf = scratch(spark)
-    entry = F.struct(F.max("n_regionkey").cast("int").alias("start"), (F.max("n_regionkey") + 2).cast("int").alias("end"))
-    made = t(spark, d, "nation").where("n_regionkey = 3").agg(F.to_json(F.struct(F.create_map(F.lit("arm"), entry).alias("state"), F.create_map(F.lit("arm"), entry).alias("action"))).alias("value"))
+    region = F.col("n_regionkey").cast("int")
+    entries = F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("arm"), region.cast("string")), F.struct(region.alias("start"), (region + 2).alias("end")))))
+    made = t(spark, d, "nation").agg(F.to_json(F.struct(entries.alias("state"), entries.alias("action"))).alias("value"))
     made.write.text(f"{leaf}/meta/modality.json")
     return source.modality_entries(source.modality(spark, leaf)).select("kind", "start", "end")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import numeric, rotation, text
 from kinelake.operators import joins, stats, steps, timestamps, transforms, windows
 from kinelake.plans import catalogue
-from kinelake.sources import leaves, slices
+from kinelake.sources import leaves, shared, slices
 from kinelake.streaming import watch
 
 SF = "/root/testdata/sf0.01"
@@ -203,10 +203,23 @@ def test_clip_metrics(spark):
     assert (a.num_frames, a.mean_l1, a.std_l1, a.l1_slope, a.early_c1_l1, a.mid_c2c3_l1) == (2, 2.0, 1.0, 2.0, 2.0, None)
     total = stats.run_summary(clips).first()
     assert (total.num_clips, total.mean_l1, total.mid_c2c3_l1) == (2, 2.0, None)
+    assert clips.where("clip = 'b'").first().l1_slope is None
+    alone = spark.createDataFrame([("c", 0, 9.0, 0.5), ("d", 0, 9.0, 0.5), ("d", 1, 2.0, 0.25)], "clip string, frame long, l1 double, ssim double")
+    c, d = stats.clip_metrics(alone, "clip", "frame", "l1", "ssim").orderBy("clip").collect()
+    assert (c.num_frames, c.mean_l1, c.l1_slope) == (0, None, None) and (d.num_frames, d.l1_slope, d.early_c1_ssim, d.mid_c2c3_ssim) == (1, None, 0.25, None)
     empty = stats.norms(spark.createDataFrame([(1, None)], "k int, v double"), "v", ["k"]).first()
     assert (empty.l2, empty.max_abs) == (0.0, 0.0)
 
 
+def test_groups_of_rows_together_are_whole(spark):
+    """Two inputs dealt by one key, of very different sizes: adaptive execution merges their partitions unequally."""
+    many = spark.range(60_000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v")).groupBy("k", "v").count().groupBy("k").agg(F.max("v").alias("v"))
+    few = spark.range(50).withColumnRenamed("id", "k").groupBy("k").agg(F.lit(1).cast("long").alias("v")).where("k < 40")
+    got = shared.together(many, few).groupBy("k").count().collect()
+    assert sorted((r["k"], r["count"]) for r in got) == [(k, 1 + (k < 40)) for k in range(50)]
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+
+
 def test_broken_timestamps(spark):
     n = 30
     clocks = {"good": [i / 30 for i in range(n)], "epoch": [2e6 + i / 30 for i in range(n)], "equal": [0.0] * n, "coarse": [(i // 3) / 10 for i in range(n)], "sparse": [float(i) for i in range(n)]}
