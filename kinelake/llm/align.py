@@ -352,7 +352,7 @@ def links(made: DataFrame, size_b: int) -> DataFrame:
     parts = made.where("not whole").select("chunk", "doc", "copy", F.explode("pairs").alias("pair"))
     asked = spool(whole.unionByName(parts.select("chunk", "pair", F.lit(0).cast("long").alias("n")).distinct()), "asked-pairs")
     split = parts.select("doc", "copy", "pair").distinct().groupBy("pair").agg(F.count("*").alias("n"))
-    counted = asked.groupBy("pair").agg(F.sum("n").alias("n")).unionByName(split).groupBy("pair").agg(F.sum("n").alias("documents"))
+    counted = asked.select("pair", "n").unionByName(split).groupBy("pair").agg(F.sum("n").alias("documents"))
     most = counted.groupBy(F.floor(F.col("pair") / size_b).cast("long").alias("a")).agg(F.max("documents").alias("most"))
     known = counted.withColumn("a", F.floor(F.col("pair") / size_b).cast("long")).join(most, "a").select("pair", "documents", (F.col("documents") == F.col("most")).alias("best"))
     return asked.select("chunk", "pair").distinct().join(known, "pair").select("chunk", "pair", "documents", "best")
