@@ -12,9 +12,11 @@ An ordered source stops at the first folder that is not complete: what comes aft
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -24,11 +26,29 @@ SCHEMA = "name string, iteration long, path string"
 NAME, MARKER = re.compile(r"iter_(\d+)"), "model/.metadata"
 
 
+#: Names that a task reads at most, and markers that are asked for at once.
+PIECE, ASKED = 10_000, 1000
+
+
 class Entries(InputPartition):
-    """Folders that one poll took."""
+    """Names of folders that one poll took, or a piece of them."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
 
-    def __init__(self, rows: list[tuple[str, int, str]]) -> None:
-        self.rows = rows
+
+def listed(system: pyarrow.fs.FileSystem, base: str) -> Iterator[str]:
+    """Names of the directories in a folder that are named like checkpoints. A local folder is walked as the system lists it, without
+    asking for the state of each entry."""
+    if isinstance(system, pyarrow.fs.LocalFileSystem):
+        try:
+            with os.scandir(base) as found:
+                yield from (i.name for i in found if NAME.fullmatch(i.name) and i.is_dir())
+        except FileNotFoundError:
+            return
+    else:
+        found = system.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True))
+        yield from (i.base_name for i in found if i.type == pyarrow.fs.FileType.Directory and NAME.fullmatch(i.base_name))
 
 
 class Log:
@@ -75,25 +95,31 @@ class FolderReader(DataSourceStreamReader):
     def complete(self) -> list[str]:
         """Complete folders that are new, in order of iteration, as many as a poll may take."""
         system, base = pyarrow.fs.FileSystem.from_uri(self.folder)
-        found = [i.base_name for i in system.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True)) if i.type == pyarrow.fs.FileType.Directory]
-        new = sorted((int(m[1]), n) for n in found if n not in self.taken and (m := NAME.fullmatch(n)))
-        new = [n for it, n in new if it >= self.first and it % self.stride == 0]
-        out = []
-        for name in new:
-            if self.limit and len(out) == self.limit:
-                break
-            if system.get_file_info(f"{base}/{name}/{self.marker}").type == pyarrow.fs.FileType.File:
-                out.append(name)
-            elif self.ordered:
-                break
+        numbered = ((int(NAME.fullmatch(n)[1]), n) for n in listed(system, base))
+        new = [n for _, n in sorted((it, n) for it, n in numbered if it >= self.first and it % self.stride == 0 and n not in self.taken)]
+        out, at = [], 0
+        while at < len(new) and not (self.limit and len(out) == self.limit):
+            part = new[at : at + (min(ASKED, self.limit - len(out)) if self.limit else ASKED)]
+            at += len(part)
+            for name, info in zip(part, system.get_file_info([f"{base}/{n}/{self.marker}" for n in part]), strict=True):
+                if info.type == pyarrow.fs.FileType.File:
+                    out.append(name)
+                elif self.ordered:
+                    return out
         return out
 
     def partitions(self, start: dict, end: dict) -> list[Entries]:
         polls = (self.log.names(i) for i in range(start["entry"] + 1, end["entry"] + 1))
-        return [Entries([(n, int(NAME.fullmatch(n)[1]), f"{self.folder}/{n}") for n in names]) for names in polls]
+        return [Entries(names[i : i + PIECE]) for names in polls for i in range(0, len(names), PIECE)]
+
+    def read(self, partition: Entries) -> Iterator[pa.RecordBatch]:
+        names = partition.names
+        columns = [pa.array(names, pa.string()), pa.array([int(NAME.fullmatch(n)[1]) for n in names], pa.int64()), pa.array([f"{self.folder}/{n}" for n in names], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "iteration", "path"])
 
-    def read(self, partition: Entries) -> Iterator[tuple[str, int, str]]:
-        yield from partition.rows
+    def __getstate__(self) -> dict:
+        """What tasks need: not the names that were taken before."""
+        return self.__dict__ | {"taken": set()}
 
 
 class CheckpointFolders(DataSource):

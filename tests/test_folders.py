@@ -1,5 +1,7 @@
 """Checkpoint folders as a stream: order, lateness, limits, failures and restarts."""
 
+import pickle
+
 import pytest
 from pyspark.errors import StreamingQueryException
 
@@ -70,3 +72,52 @@ def test_a_batch_that_failed_comes_again(spark, place):
     assert h.seen[0] == (0, [1, 2]) and [x for _, x in h.seen[1:]] == [[3, 4]]
     with pytest.raises(ValueError):
         folders.checkpoints(spark, place.folder, place.log, stride=0)
+
+
+def test_a_large_poll_is_dealt_to_tasks(place):
+    """A poll of very many folders is read in pieces, in order, and tasks are not sent the names of earlier polls."""
+    names = [f"iter_{n:09d}" for n in range(25_000)]
+    folders.Log(place.log).add(names)
+    reader = folders.FolderReader({"path": place.folder, "log": place.log})
+    parts = reader.partitions({"entry": 0}, {"entry": 1})
+    assert len(parts) == 3 and all(p.names for p in parts)
+    sent = pickle.loads(pickle.dumps(reader))
+    rows = [r for p in parts for b in sent.read(p) for r in b.to_pylist()]
+    assert [(r["name"], r["iteration"], r["path"]) for r in rows] == [(n, i, f"{place.folder}/{n}") for i, n in enumerate(names)]
+    assert len(pickle.dumps(reader)) < 10_000 and len(reader.taken) == 25_000
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_markers_are_asked_for_in_lists(place, tmp_path, monkeypatch, local):
+    """Polls of a backlog ask for markers of many folders at once, never for more than the limit leaves, on any file system."""
+    import pyarrow.fs
+
+    place(*range(100, 2700, 100))
+    place(2700, done=False)
+    place(2800, 50)
+    (tmp_path / "ckpt" / "iter_000002900").write_text("")
+    (tmp_path / "ckpt" / "other").mkdir()
+    asked = []
+
+    class Handler(pyarrow.fs.FSSpecHandler):
+        def __init__(self):
+            self.at = pyarrow.fs.LocalFileSystem()
+
+        def get_file_info(self, paths):
+            asked.append(len(paths))
+            return self.at.get_file_info(paths)
+
+        def get_file_info_selector(self, selector):
+            return self.at.get_file_info(selector)
+
+    reader = lambda **more: folders.FolderReader({"path": place.folder, "log": place.log, **more})
+    readers = reader(), reader(limit="5"), reader(ordered="true"), reader(ordered="true", limit="50", start="2600", stride="100")
+    if not local:
+        system = pyarrow.fs.PyFileSystem(Handler())
+        monkeypatch.setattr(folders.pyarrow.fs, "FileSystem", type("Any", (), {"from_uri": staticmethod(lambda uri: (system, uri.removeprefix("file://")))}))
+    number = lambda r: [int(n[5:]) for n in r.complete()]
+    assert number(readers[0]) == [50, *range(100, 2700, 100), 2800]
+    assert number(readers[1]) == [50, 100, 200, 300, 400]
+    assert number(readers[2]) == [50, *range(100, 2700, 100)]
+    assert number(readers[3]) == [2600]
+    assert local or asked == [29, 5, 29, 3]
