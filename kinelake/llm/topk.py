@@ -4,7 +4,8 @@ Vectors are cut into blocks of about BLOCK rows. Within a block every dimension
 A query goes down all lists at once, in the direction of its sign; each row met is scored at once by its whole vector; the
 threshold is the score that a row of the values just met would have. The query leaves the block when the threshold is
 below its kth score so far: no row that has not been met can then be among its results. Each query brings to every
-block the kth score that it has reached in a first one, so most of its work is to prove that a block holds nothing better.
+block the kth score that it has reached in a first one, so most of its work is to prove that a block holds nothing better: the
+thresholds of all queries at all depths are one product of matrices, and each query goes down to its depth in one go.
 
 Scores are sums in double precision while these are exact, else in integers of any length, and results beyond a long are
 its limits. Queries are a stated set and go over all blocks, in blocks of their own of QUERY_BLOCK rows.
@@ -78,6 +79,34 @@ class Lists:
         return at, best
 
 
+    def depths(self, vs: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """How far down the lists each query has to go for a floor that is known before: to the first of search's depths at which the
+        threshold is below it, or all the way."""
+        n = len(self.ids)
+        to = FIRST_DEPTH * (2 ** np.arange(1, 64) - 1)
+        to = np.append(to[: np.searchsorted(to, n)], n)
+        column = np.arange(vs.shape[1])
+        top, low = (self.rows[self.order[at], column] for at in (n - to, to - 1))
+        below = np.where(vs > 0, vs, 0) @ top.T + np.where(vs < 0, vs, 0) @ low.T < floors[:, None]
+        return to[np.where(below.any(axis=1), below.argmax(axis=1), len(to) - 1)]
+
+    def above(self, query: int, v: np.ndarray, k: int, floor: float, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Like search, in one go to a depth: positions and scores of the k best rows that reach the floor."""
+        n = len(self.ids)
+        met = np.full(n, depth >= n)
+        if depth < n:
+            met[self.order[n - depth :, v > 0]] = True
+            met[self.order[:depth, v < 0]] = True
+        met[np.searchsorted(self.ids, query) : np.searchsorted(self.ids, query, side="right")] = False
+        at = np.flatnonzero(met)
+        # a copy of most rows costs more than the scores that it saves
+        best = (self.rows @ v)[at] if 4 * len(at) > n else self.rows[at] @ v
+        reach = np.flatnonzero(best >= floor)
+        at, best = at[reach], best[reach]
+        keep = np.lexsort((at, -best))[:k]
+        return at[keep], best[keep]
+
+
 def _block_search(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)] * 3
@@ -88,11 +117,10 @@ def _block_search(k: int):
             kind = np.float64 if exact else object
             lists = Lists(left.column("vec_id").to_numpy(), rows.astype(kind))
             floors = right.column("floor").to_pylist()
-            got = []
-            for q, v, floor in zip(right.column("query_id").to_numpy().tolist(), queries.astype(kind), floors, strict=True):
-                at, best = lists.search(q, v, k, float("-inf") if floor is None else floor)
-                if floor is not None:  # k better ones are known
-                    at, best = at[best >= floor], best[best >= floor]
+            got, queries = [], queries.astype(kind)
+            depths = lists.depths(queries, np.array([float("-inf") if f is None else f for f in floors])).tolist()
+            for q, v, floor, depth in zip(right.column("query_id").to_numpy().tolist(), queries, floors, depths, strict=True):
+                at, best = lists.search(q, v, k, float("-inf")) if floor is None else lists.above(q, v, k, floor, depth)
                 got.append((np.full(len(at), q), lists.ids[at], np.array([min(max(int(x), _LO), _HI) for x in best], np.int64)))
             out = [np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)]
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})

@@ -78,6 +78,26 @@ def test_threshold_stops_early():
     assert at.tolist() == [3999, 3998, 3997] and best.tolist() == [3999, 3998, 3997]
 
 
+@pytest.mark.parametrize("kind", [float, object])
+def test_topk_depths_from_a_floor(kind):
+    """With a floor known, depths of all queries come at once, and one pass to that depth finds what a scan finds."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-9, 10, (700, 3)).astype(kind)
+    rows[50:60] = rows[40]
+    ids = np.arange(700) // 2 * 5  # each id twice
+    lists, vs = topk.Lists(ids, rows), rng.integers(-9, 10, (40, 3)).astype(kind)
+    vs[0], vs[1, 1:] = 0, 0
+    scores = vs @ rows.T
+    floors = np.array([float(sorted(s)[-20]) for s in scores])
+    depths = lists.depths(vs, floors)
+    assert depths.min() < 100 and depths.max() <= 700
+    for q, (v, floor, depth) in enumerate(zip(vs, floors, depths.tolist(), strict=True)):
+        at, best = lists.above(5 * q, v, 5, floor, depth)
+        own = ids == 5 * q
+        order = [i for i in sorted(range(700), key=lambda i: (-scores[q][i], i)) if not own[i] and scores[q][i] >= floor][:5]
+        assert at.tolist() == order and best.tolist() == [scores[q][i] for i in order]
+
+
 # chat
 
 
